@@ -213,7 +213,7 @@ def dropped_keys(posted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     busy = cut(references(posted).where(F.col("n_docs") >= min_docs))
     shards = shards_for(busy.count())
     filters = load_filters(cut(build_filters(busy, shards)))
-    held = probe(posted, filters, shards).join(busy.select("key"), "key", "left_semi").dropDuplicates(["key", "doc_id"])
+    held = cut(probe(posted, filters, shards).dropDuplicates(["key", "doc_id"]))
     exact = references(held).where(F.col("n_docs") >= min_docs)
     lost = held.join(exact, "key").where(F.col("doc_id") != F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))

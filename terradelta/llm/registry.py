@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terradelta.llm import bpe, line_dedup, minhash, url_filter
+from terradelta.llm import bpe, decontaminate, language_id, line_dedup, minhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and the benchmark items they contain: 80 percent of the item's 5-word shingles or more."""
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of them."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that at least 3 documents hold stay only in the largest doc_id."""
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -32,8 +42,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op10_bpe": op10_bpe,
 }
@@ -41,7 +53,29 @@ QUERIES = {
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _shingle_sql(table: str, key: str, size: int, name: str) -> str:
+    """CTEs: ``name`` has the distinct shingles (key, sh) of every row of a table."""
+    return f"""
+{name}_w AS (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^ \\t-\\r]+') AS w FROM {table}),
+{name}_i AS (SELECT {key}, w, unnest(range(greatest(len(w) - {size} + 1, least(len(w), 1)))) AS i FROM {name}_w),
+{name} AS (SELECT DISTINCT {key}, array_to_string(w[i + 1:i + {size}], ' ') AS sh FROM {name}_i)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": f"""
+WITH {_shingle_sql("benchmark", "item_id", 5, "b")},{_shingle_sql("documents", "doc_id", 5, "d")},
+n AS (SELECT item_id, count(*)::BIGINT AS n_item FROM b GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*)::BIGINT AS n_common FROM d JOIN b USING (sh) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_common, n_item, n_common / n_item AS containment FROM c JOIN n USING (item_id) WHERE n_common >= 0.8 * n_item""",
+    "op6_minhash_dedup": f"""
+WITH RECURSIVE {_shingle_sql("documents", "doc_id", 3, "d")},
+n AS (SELECT doc_id, count(sh)::BIGINT AS n FROM (SELECT doc_id FROM documents) LEFT JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM d x JOIN d y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+r AS (SELECT doc_id, doc_id AS t FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.t)
+SELECT n.doc_id, n.n AS n_shingles, min(r.t) AS component_id, min(r.t) = n.doc_id AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n""",
     "op2_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
