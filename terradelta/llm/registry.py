@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terradelta.llm import bpe, decontaminate, language_id, line_dedup, minhash, url_filter
+from terradelta.llm import audio, bpe, decontaminate, language_id, line_dedup, minhash, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as 8-bit sound, read back, with log-mel and segment features."""
+    return audio.text_media(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text and the decoded bytes, as digests."""
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
@@ -36,6 +41,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), spark.sql(url_filter.RULES))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles are similar by 85 percent or more."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -46,7 +56,9 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
+    "op5_warc": op5_warc,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op9_audio_media": op9_audio_media,
     "op10_bpe": op10_bpe,
 }
 
@@ -69,6 +81,12 @@ WITH {_shingle_sql("benchmark", "item_id", 5, "b")},{_shingle_sql("documents", "
 n AS (SELECT item_id, count(*)::BIGINT AS n_item FROM b GROUP BY item_id),
 c AS (SELECT doc_id, item_id, count(*)::BIGINT AS n_common FROM d JOIN b USING (sh) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_common, n_item, n_common / n_item AS containment FROM c JOIN n USING (item_id) WHERE n_common >= 0.8 * n_item""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest)""",
     "op6_minhash_dedup": f"""
 WITH RECURSIVE {_shingle_sql("documents", "doc_id", 3, "d")},
 n AS (SELECT doc_id, count(sh)::BIGINT AS n FROM (SELECT doc_id FROM documents) LEFT JOIN d USING (doc_id) GROUP BY doc_id),
