@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terradelta.llm import audio, bpe, decontaminate, language_id, line_dedup, minhash, url_filter, warc
+from terradelta.llm import audio, bpe, decontaminate, language_id, line_dedup, minhash, quality, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by two co-trained views."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as 8-bit sound, read back, with log-mel and segment features."""
     return audio.text_media(_table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_quality": op7_quality,
     "op9_audio_media": op9_audio_media,
     "op10_bpe": op10_bpe,
 }
