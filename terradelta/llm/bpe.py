@@ -225,6 +225,11 @@ class Tokenizer:
             self._young[unit] = found
         return found
 
+    @property
+    def known(self) -> dict[str, tuple[int, str, bytes]]:
+        """What ``learn`` has met of late."""
+        return self._young
+
     def count(self, match: str) -> int:
         """Number of ids of one match of the pattern."""
         return self._unit(match)[0]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terradelta.llm import audio, bpe, decontaminate, language_id, line_dedup, minhash, quality, url_filter, warc
+from terradelta.llm import audio, bpe, decontaminate, language_id, line_dedup, minhash, quality, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after two edits to it."""
+    docs = _table(spark, sf_dir, "documents")
+    edits = token_counts.sample_edits(F.col("text"), F.col("source"))
+    return token_counts.edited_counts(docs.select("doc_id", "text", edits.alias("edits")))
+
+
 def op9_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as 8-bit sound, read back, with log-mel and segment features."""
     return audio.text_media(_table(spark, sf_dir, "documents"))
@@ -64,6 +72,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_quality": op7_quality,
+    "op8_token_counts": op8_token_counts,
     "op9_audio_media": op9_audio_media,
     "op10_bpe": op10_bpe,
 }
