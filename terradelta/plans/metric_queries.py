@@ -8,8 +8,16 @@ from pyspark.sql.window import Window
 from terradelta.operators import metrics as M
 from terradelta.plans.registry import query
 
-HARD = F.col("prob") >= 0.5
-GT = F.col("gt")
+
+
+def hard():
+    return F.col("prob") >= 0.5
+
+
+def gt():
+    return F.col("gt")
+
+
 _CONF = ", z AS (SELECT count(*) FILTER (prob >= 0.5 AND gt = 1) AS tp, count(*) FILTER (prob >= 0.5 AND gt <> 1) AS fp, count(*) FILTER (prob < 0.5 AND gt = 1) AS fn, count(*) FILTER (prob < 0.5 AND gt <> 1) AS tn FROM px WHERE gt <> 255)"
 _SCORES = "round({a}, 6) AS precision, round({b}, 6) AS recall, round({c}, 6) AS f1, round({d}, 6) AS iou, round({e}, 6) AS accuracy"
 
@@ -23,10 +31,10 @@ def _scores_sql(eps: str = "1e-9", style: str = "den") -> str:
     return _SCORES.format(a=r("tp", "tp + fp"), b=r("tp", "tp + fn"), c=r("2 * tp", "2 * tp + fp + fn"), d=r("tp", "tp + fp + fn"), e=r("tp + tn", "tp + fp + fn + tn"))
 
 
-query("confusion_binary", "px", _CONF + "SELECT * FROM z")(lambda px: M.confusion(px, HARD, GT))
-query("binary_metrics", "px", _CONF + f"SELECT {_scores_sql()} FROM z")(lambda px: M.confusion(px, HARD, GT).select(*M.binary_scores()))
-query("sk_binary_scores", "px", _CONF + f"SELECT precision, recall, f1 FROM (SELECT {_scores_sql(style='exact')} FROM z)")(lambda px: M.confusion(px, HARD, GT).select(*M.binary_scores(style="exact")).select("precision", "recall", "f1"))
-query("f1_threshold", "px", _CONF + f"SELECT f1 FROM (SELECT {_scores_sql('1e-8')} FROM z)")(lambda px: M.confusion(px, HARD, GT).select(*M.binary_scores(1e-8)).select("f1"))
+query("confusion_binary", "px", _CONF + "SELECT * FROM z")(lambda px: M.confusion(px, hard(), gt()))
+query("binary_metrics", "px", _CONF + f"SELECT {_scores_sql()} FROM z")(lambda px: M.confusion(px, hard(), gt()).select(*M.binary_scores()))
+query("sk_binary_scores", "px", _CONF + f"SELECT precision, recall, f1 FROM (SELECT {_scores_sql(style='exact')} FROM z)")(lambda px: M.confusion(px, hard(), gt()).select(*M.binary_scores(style="exact")).select("precision", "recall", "f1"))
+query("f1_threshold", "px", _CONF + f"SELECT f1 FROM (SELECT {_scores_sql('1e-8')} FROM z)")(lambda px: M.confusion(px, hard(), gt()).select(*M.binary_scores(1e-8)).select("f1"))
 
 _MATRIX = ", m AS (SELECT g AS gt, p AS pred, count(c.pred) AS n FROM (SELECT unnest(range(4))::INT AS g), (SELECT unnest(range(4))::INT AS p) LEFT JOIN cls_px c ON c.label = g AND c.pred = p GROUP BY ALL)"
 query("confusion_matrix", "cls_px", ", a AS (SELECT unnest(range(4))::INT AS g), b AS (SELECT a.g, x.g AS p FROM a, a x) SELECT g AS gt, p AS pred, count(c.pred) AS n FROM b LEFT JOIN cls_px c ON c.label = g AND c.pred = p GROUP BY ALL")(lambda px: M.confusion_matrix(px, "pred", "label", [0, 1, 2, 3]))
@@ -105,7 +113,7 @@ query("nan_fill", "chip_px", "SELECT chip_id, band, r, c, CASE WHEN isnan(v0) TH
 
 @query("per_sample_metrics", "px", ", z AS (SELECT scene_id, count(*) FILTER (gt <> 255) AS valid, count(*) FILTER (prob >= 0.5 AND gt = 1) AS tp, count(*) FILTER (prob >= 0.5 AND gt = 0) AS fp, count(*) FILTER (prob < 0.5 AND gt = 1) AS fn FROM px GROUP BY scene_id) SELECT scene_id, valid, round(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(tp::DOUBLE / nullif(tp + fp + fn, 0), 6) AS iou FROM z")
 def per_sample_metrics(px):
-    z = px.groupBy("scene_id").agg(M.n_if(GT != 255).alias("valid"), M.n_if(HARD & (GT == 1)).alias("tp"), M.n_if(HARD & (GT == 0)).alias("fp"), M.n_if(~HARD & (GT == 1)).alias("fn"))
+    z = px.groupBy("scene_id").agg(M.n_if(gt() != 255).alias("valid"), M.n_if(hard() & (gt() == 1)).alias("tp"), M.n_if(hard() & (gt() == 0)).alias("fp"), M.n_if(~hard() & (gt() == 1)).alias("fn"))
     return z.select("scene_id", "valid", F.expr("round(try_divide(2D * tp, 2 * tp + fp + fn), 6)").alias("f1"), F.expr("round(try_divide(cast(tp as double), tp + fp + fn), 6)").alias("iou"))
 
 
@@ -129,8 +137,8 @@ _STATS = ", m AS (SELECT scene_id, count(*) AS total, count(*) FILTER (gt = 1) A
 
 
 def mask_stats(px):
-    pos, valid = M.n_if(GT == 1), M.n_if(GT != 255)
-    return px.groupBy("scene_id").agg(F.count("*").alias("total"), pos.alias("pos"), M.n_if(GT == 255).alias("ign"), valid.alias("valid"), F.bool_or(GT == 1).alias("has_pos"), F.round(pos.cast("double") / F.greatest(valid, F.lit(1)), 6).alias("positive_ratio"), F.array_join(F.sort_array(F.collect_set("gt")), ",").alias("vals"))
+    pos, valid = M.n_if(gt() == 1), M.n_if(gt() != 255)
+    return px.groupBy("scene_id").agg(F.count("*").alias("total"), pos.alias("pos"), M.n_if(gt() == 255).alias("ign"), valid.alias("valid"), F.bool_or(gt() == 1).alias("has_pos"), F.round(pos.cast("double") / F.greatest(valid, F.lit(1)), 6).alias("positive_ratio"), F.array_join(F.sort_array(F.collect_set("gt")), ",").alias("vals"))
 
 
 query("mask_stats", "px", _STATS + "SELECT * REPLACE (array_to_string(vals, ',') AS vals) FROM m")(mask_stats)
@@ -142,7 +150,7 @@ query("label_value_freq", "px", "SELECT gt AS value, count(DISTINCT scene_id) AS
 )
 query("shape_hist", "px", "SELECT h, w, count(*) AS n FROM (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM px GROUP BY scene_id) GROUP BY ALL")(lambda px: px.groupBy("scene_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")).groupBy("h", "w").agg(F.count("*").alias("n")))
 query("class_weights", "px", "SELECT round(least(greatest(sqrt(count(*)::DOUBLE / greatest(count(*) FILTER (gt = 0), 1)), 1e-6), 10.0), 6) AS w0, round(least(greatest(sqrt(count(*)::DOUBLE / greatest(count(*) FILTER (gt = 1), 1)), 1e-6), 10.0), 6) AS w1 FROM px WHERE gt <> 255")(
-    lambda px: px.where("gt <> 255").agg(*[F.round(F.least(F.greatest(F.sqrt(F.count("*") / F.greatest(M.n_if(GT == k), F.lit(1))), F.lit(1e-6)), F.lit(10.0)), 6).alias(f"w{k}") for k in (0, 1)])
+    lambda px: px.where("gt <> 255").agg(*[F.round(F.least(F.greatest(F.sqrt(F.count("*") / F.greatest(M.n_if(gt() == k), F.lit(1))), F.lit(1e-6)), F.lit(10.0)), 6).alias(f"w{k}") for k in (0, 1)])
 )
 
 _VALID = ", v AS (SELECT scene_id, r, c, prob AS p, gt::DOUBLE AS g FROM px WHERE gt <> 255)"
@@ -152,17 +160,26 @@ def _valid(px):
     return px.where("gt <> 255").select("scene_id", "r", "c", F.col("prob").alias("p"), F.col("gt").cast("double").alias("g"))
 
 
-P, G = F.col("p"), F.col("g")
+
+
+def p():
+    return F.col("p")
+
+
+def g():
+    return F.col("g")
+
+
 query("soft_scores", "px", _VALID + ", s AS (SELECT scene_id, sum(p * g) AS i, sum(p) AS p, sum(g) AS g FROM v GROUP BY scene_id) SELECT scene_id, round(1 - 2 * i / greatest(p + g, 1e-7), 6) AS dice_loss, round(1 - i / greatest(p + g - i, 1e-7), 6) AS jaccard_loss, round(1 - i / greatest(i + 0.3::DOUBLE * (p - i) + 0.7::DOUBLE * (g - i), 1e-7), 6) AS tversky_loss FROM s")(
-    lambda px: M.soft_sums(_valid(px), P, G, "scene_id").select("scene_id", *M.soft_scores())
+    lambda px: M.soft_sums(_valid(px), p(), g(), "scene_id").select("scene_id", *M.soft_scores())
 )
 query("masked_error", "px", "SELECT scene_id, round(sum(CASE WHEN gt <> 255 THEN (prob - gt) * (prob - gt) ELSE 0 END) / greatest(count(*) FILTER (gt <> 255), 1), 6) AS mse, round(sum(CASE WHEN gt <> 255 THEN abs(prob - gt) ELSE 0 END) / greatest(count(*) FILTER (gt <> 255), 1), 6) AS l1 FROM px GROUP BY scene_id")(
-    lambda px: px.groupBy("scene_id").agg(*[F.round(F.sum(F.when(GT != 255, e).otherwise(0.0)) / F.greatest(M.n_if(GT != 255), F.lit(1)), 6).alias(n) for e, n in (((F.col("prob") - GT) * (F.col("prob") - GT), "mse"), (F.abs(F.col("prob") - GT), "l1"))])
+    lambda px: px.groupBy("scene_id").agg(*[F.round(F.sum(F.when(gt() != 255, e).otherwise(0.0)) / F.greatest(M.n_if(gt() != 255), F.lit(1)), 6).alias(n) for e, n in (((F.col("prob") - gt()) * (F.col("prob") - gt()), "mse"), (F.abs(F.col("prob") - gt()), "l1"))])
 )
-query("focal_score", "px", _VALID + "SELECT scene_id, round(avg(-(CASE WHEN g = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * pow(1 - greatest(CASE WHEN g = 1 THEN p ELSE 1 - p END, 1e-9), 2) * ln(greatest(CASE WHEN g = 1 THEN p ELSE 1 - p END, 1e-9))), 5) AS focal FROM v GROUP BY scene_id")(lambda px: _valid(px).groupBy("scene_id").agg(F.round(F.avg(M.focal(P, G)), 5).alias("focal")))
-query("smoothed_bce", "px", _VALID + ", y AS (SELECT scene_id, g * 0.9::DOUBLE + 0.05::DOUBLE AS y, least(greatest(p, 1e-7), 1 - 1e-7::DOUBLE) AS q FROM v) SELECT scene_id, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 5) AS bce FROM y GROUP BY scene_id")(lambda px: _valid(px).groupBy("scene_id").agg(F.round(F.avg(M.smoothed_bce(P, G)), 5).alias("bce")))
+query("focal_score", "px", _VALID + "SELECT scene_id, round(avg(-(CASE WHEN g = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * pow(1 - greatest(CASE WHEN g = 1 THEN p ELSE 1 - p END, 1e-9), 2) * ln(greatest(CASE WHEN g = 1 THEN p ELSE 1 - p END, 1e-9))), 5) AS focal FROM v GROUP BY scene_id")(lambda px: _valid(px).groupBy("scene_id").agg(F.round(F.avg(M.focal(p(), g())), 5).alias("focal")))
+query("smoothed_bce", "px", _VALID + ", y AS (SELECT scene_id, g * 0.9::DOUBLE + 0.05::DOUBLE AS y, least(greatest(p, 1e-7), 1 - 1e-7::DOUBLE) AS q FROM v) SELECT scene_id, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 5) AS bce FROM y GROUP BY scene_id")(lambda px: _valid(px).groupBy("scene_id").agg(F.round(F.avg(M.smoothed_bce(p(), g())), 5).alias("bce")))
 query("contrastive_score", "px", _VALID + "SELECT round(sum(CASE WHEN g = 0 THEN p * p ELSE 0 END) / (count(*) FILTER (g = 0) + 1e-9::DOUBLE) + sum(CASE WHEN g = 1 THEN pow(greatest(2 - p, 0), 2) ELSE 0 END) / (count(*) FILTER (g = 1) + 1e-9::DOUBLE), 6) AS contrastive FROM v")(
-    lambda px: _valid(px).agg(F.round(F.sum(F.when(G == 0, P * P).otherwise(0.0)) / (M.n_if(G == 0) + 1e-9) + F.sum(F.when(G == 1, F.pow(F.greatest(2 - P, F.lit(0.0)), F.lit(2.0))).otherwise(0.0)) / (M.n_if(G == 1) + 1e-9), 6).alias("contrastive"))
+    lambda px: _valid(px).agg(F.round(F.sum(F.when(g() == 0, p() * p()).otherwise(0.0)) / (M.n_if(g() == 0) + 1e-9) + F.sum(F.when(g() == 1, F.pow(F.greatest(2 - p(), F.lit(0.0)), F.lit(2.0))).otherwise(0.0)) / (M.n_if(g() == 1) + 1e-9), 6).alias("contrastive"))
 )
 query("lovasz_score", "px", _VALID + """, e AS (SELECT *, abs(g - p) AS err FROM v), w AS (SELECT *, sum(g) OVER (PARTITION BY scene_id) AS t, sum(g) OVER o AS cg, sum(1 - g) OVER o AS cn FROM e WINDOW o AS (PARTITION BY scene_id ORDER BY err DESC, r, c ROWS UNBOUNDED PRECEDING)),
 j AS (SELECT *, 1 - CASE WHEN t + cn = 0 THEN 0 ELSE (t - cg) / (t + cn) END AS jac FROM w) SELECT scene_id, round(sum(d), 6) AS lovasz FROM (SELECT scene_id, err * (jac - coalesce(lag(jac) OVER (PARTITION BY scene_id ORDER BY err DESC, r, c), 0)) AS d FROM j) GROUP BY scene_id""")(
