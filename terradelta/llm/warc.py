@@ -37,6 +37,8 @@ MIN_REVISIT = 1000
 SEGMENT_BYTES = 8 << 10
 CHUNK_BYTES = 1 << 10
 ARCHIVE_BYTES = 4 << 20
+#: Up to so many pages' roles (about 100 bytes each) are sent to tasks; more are joined by a shuffle.
+SENT_ROLES = 100_000
 
 _HEAD = "record_id string, page_id long, url string, kind string, refers_to string, digest string, segment int, origin string, total long, block binary"
 
@@ -48,17 +50,27 @@ def roles(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", F.sha2(body, 256).alias("sha"), F.length(body).alias("size"))
-    first = own.where(F.col("size") >= min_revisit).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
-    known = cut(own.select("page_id", "sha").join(first, "sha").select("page_id", "sha", "keeper").dropDuplicates(["page_id", "sha"]))
-    same = [own["page_id"].eqNullSafe(known["page_id"]), own["sha"] == known["sha"]]
-    named = own.join(known, same, "left").select(own["page_id"], "url", "html", own["sha"], "keeper")
-    nth = F.row_number().over(Window.partitionBy("page_id", "sha").orderBy("url"))  # a page's repeats only
+    ids = cut(own.select("page_id", "sha", "size"))
+    first = ids.where(F.col("size") >= min_revisit).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
+    shared = ids.join(first, "sha").select("page_id", "sha", "keeper").dropDuplicates(["page_id", "sha"])
+    repeats = cut(ids.groupBy("page_id", "sha").agg(F.count("*").alias("n")).where("n > 1"))
+    listed = shared.unionByName(repeats, allowMissingColumns=True)
+    special = cut(listed.groupBy("page_id", "sha").agg(F.max("keeper").alias("keeper"), F.max("n").alias("n")))
+    # Pages that share their payload or repeat a row; few are sent to the tasks, so that no html is shuffled.
+    known = special.select(F.col("page_id").alias("k_page"), F.col("sha").alias("k_sha"), "keeper", "n")
+    known = F.broadcast(known) if special.count() <= SENT_ROLES else known
+    named = own.join(known, F.col("page_id").eqNullSafe(F.col("k_page")) & (F.col("sha") == F.col("k_sha")), "left")
 
     def record(page, copy):
         return F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), F.substring("sha", 1, 16), F.lit(":"), copy.cast("string"))
 
+    if repeats.isEmpty():
+        numbered = named.withColumn("copy", F.lit(1))
+    else:
+        nth = F.row_number().over(Window.partitionBy("page_id", "sha").orderBy("url"))  # a page's repeats only
+        numbered = named.where("n IS NULL").withColumn("copy", F.lit(1)).unionByName(named.where("n IS NOT NULL").withColumn("copy", nth))
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), record(F.col("keeper"), F.lit(1)))
-    return named.withColumn("copy", nth).select("page_id", "url", "html", record(F.col("page_id"), F.col("copy")).alias("record_id"), refers.alias("refers_to"))
+    return numbered.select("page_id", "url", "html", record(F.col("page_id"), F.col("copy")).alias("record_id"), refers.alias("refers_to"))
 
 
 def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
