@@ -64,7 +64,7 @@ def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chip_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of the chips: chip_id, split, band, r, c, v0, v1."""
     both = chips(spark, sf_dir).select("chip_id", "split", F.posexplode(F.arrays_zip("t0", "t1")).alias("i", "v"))
-    return both.select("chip_id", "split", F.expr("i div 16").alias("band"), F.expr("cast(i % 16 div 4 as bigint)").alias("r"), (F.col("i") % 4).alias("c"), F.col("v.t0").alias("v0"), F.col("v.t1").alias("v1"))
+    return both.select("chip_id", "split", F.expr("i div 16").alias("band"), F.expr("cast(i % 16 div 4 as bigint)").alias("r"), (F.col("i") % 4).cast("long").alias("c"), F.col("v.t0").alias("v0"), F.col("v.t1").alias("v1"))
 
 
 def scene_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,3 +205,17 @@ def _ways(r):
     placed = listed.join(nodes, "node_id").groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
     closed = (F.element_at("p", 1)["x"] == F.element_at("p", -1)["x"]) & (F.element_at("p", 1)["y"] == F.element_at("p", -1)["y"]) & (F.size("p") >= 4)
     return placed.where(F.size("p") >= 2).select("way_id", F.when(closed, "polygon").otherwise("line").alias("kind"), F.size("p").alias("n_points"), F.element_at("p", 1)["x"].alias("first_x"))
+
+# --- burning polygons to pixels --------------------------------------------------------------------------------------
+_BURN = ", b AS (SELECT scene_id, r, c, bool_or(true) AS hit FROM g JOIN zones ON {tri} GROUP BY ALL)".format(tri=_TRI)
+
+
+def burn(zones, px):
+    """Pixels whose centre lies in some zone's triangle."""
+    return zone_pixels(zones, px).select("scene_id", "r", "c").distinct()
+
+
+query("rasterize_polygons", "zones px", _PIX.format(t="px") + _BURN + "SELECT scene_id, r, c, 1 AS v FROM b")(lambda z, px: burn(z, px).withColumn("v", F.lit(1)))
+query("burn_labels_priority", "zones px", _PIX.format(t="px") + _BURN + "SELECT px.scene_id, px.r, px.c, CASE WHEN hit THEN 1 WHEN pred_cls = 2 THEN 2 WHEN prob >= 0.8 THEN 3 ELSE 0 END AS label FROM px LEFT JOIN b USING (scene_id, r, c)")(
+    lambda z, px: px.join(burn(z, px).withColumn("hit", F.lit(True)), ["scene_id", "r", "c"], "left").select("scene_id", "r", "c", F.when(F.col("hit"), 1).when(F.col("pred_cls") == 2, 2).when(F.col("prob") >= 0.8, 3).otherwise(0).alias("label"))
+)
