@@ -119,10 +119,10 @@ def change_heat(px):
 query("change_heat", "chip_px", _HEAT + "SELECT chip_id, r, c, round(least(greatest((h - lo) / (hi - lo + 1e-6), 0), 1) * 255, 4) AS heat FROM h JOIN q USING (chip_id)")(change_heat)
 
 
-@query("score_chips", "chips")
-def score_chips(chips):
+@query("score_chips", "chip_px", "SELECT chip_id, r * 4 + c AS k, round(coalesce(nullif(avg(abs(v1 - v0)), 'NaN'::DOUBLE), 0), 6) AS prob FROM chip_px GROUP BY ALL")
+def score_chips(px):
     """A scorer that is made once per task and applied to chip pairs in Arrow batches; the default scorer is the mean
-    absolute band difference. Rows-only: any callable may take its place."""
+    absolute band difference, 0 on masked pixels. Any callable may take its place."""
     import numpy as np
     import pandas as pd
 
@@ -132,10 +132,13 @@ def score_chips(chips):
     def run(parts):
         scorer = make_scorer()
         for p in parts:
-            scored = [scorer(np.array(a), np.array(b)).round(6).tolist() for a, b in zip(p["t0"], p["t1"], strict=True)]
+            scored = [scorer(np.array(a, float), np.array(b, float)).tolist() for a, b in zip(p["t0"], p["t1"], strict=True)]
             yield pd.DataFrame({"chip_id": p["chip_id"], "prob": scored})
 
-    return chips.select("chip_id", "t0", "t1").mapInPandas(run, "chip_id long, prob array<double>")
+    cells = F.sort_array(F.collect_list(F.struct((F.col("band") * 16 + F.col("r") * 4 + F.col("c")).alias("i"), "v0", "v1")))
+    arrays = px.groupBy("chip_id").agg(cells.alias("p")).select("chip_id", F.col("p.v0").alias("t0"), F.col("p.v1").alias("t1"))
+    scored = arrays.mapInPandas(run, "chip_id long, prob array<double>")
+    return scored.select("chip_id", F.posexplode("prob").alias("k", "prob")).select("chip_id", F.col("k").cast("long").alias("k"), F.round("prob", 6).alias("prob"))
 
 
 _DIFF = ", d AS (SELECT chip_id, r, c, band, abs(v1 - v0) AS d FROM chip_px WHERE NOT isnan(v0) AND NOT isnan(v1))"
@@ -267,15 +270,15 @@ query("remove_small", "px", _CC + ", z AS (SELECT *, count(*) OVER (PARTITION BY
 query("polygonize", "px", _CC + "SELECT scene_id, label, count(*) * 100.0::DOUBLE AS area_m2, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, round(avg(c), 6) AS cx, round(avg(r), 6) AS cy FROM cc GROUP BY scene_id, label HAVING count(*) >= 3")(
     lambda px: CC.regions(_regions(px), SCENE).where("n >= 3").select("scene_id", "label", (F.col("n") * 100.0).alias("area_m2"), "r0", "r1", "c0", "c1", F.round("cc", 6).alias("cx"), F.round("cr", 6).alias("cy"))
 )
-_CC8 = _flood("SELECT scene_id, pred_cls AS cls, r, c FROM px WHERE pred_cls > 0 AND scene_id < 6", "scene_id, cls", "abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 AND (b.r, b.c) <> (a.r, a.c)")
+_CC8 = _flood("SELECT scene_id, pred_cls AS cls, r, c FROM px WHERE pred_cls > 0 AND prob >= 0.8", "scene_id, cls", "abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 AND (b.r, b.c) <> (a.r, a.c)")
 
 
 def _typed(px):
-    rows = px.where("pred_cls > 0").select("scene_id", F.col("pred_cls").alias("cls"), "r", "c")
+    rows = px.where("pred_cls > 0 AND prob >= 0.8").select("scene_id", F.col("pred_cls").alias("cls"), "r", "c")
     return CC.regions(CC.components(rows, ["scene_id", "cls"], 64, conn=8), ["scene_id", "cls"])
 
 
-query("polygonize_typed", "px")(lambda px: _typed(px).select("scene_id", "cls", "label", (F.col("n") * 100.0).alias("area_m2"), "r0", "r1", "c0", "c1"))
+query("polygonize_typed", "px", _CC8 + "SELECT scene_id, cls, label, count(*) * 100.0::DOUBLE AS area_m2, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM cc GROUP BY ALL")(lambda px: _typed(px).select("scene_id", "cls", "label", (F.col("n") * 100.0).alias("area_m2"), "r0", "r1", "c0", "c1"))
 #: Names of typed change classes (fixed values).
 CHANGE = {1: "building/impervious", 2: "road/linear", 3: "vegetation_loss"}
 query("typed_filter", "px", "SELECT scene_id, pred_cls AS cls, CASE pred_cls " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in CHANGE.items()) + " ELSE 'unknown' END AS name, count(*) * 100.0::DOUBLE AS area FROM px WHERE pred_cls <> 0 GROUP BY ALL HAVING count(*) >= 5")(
