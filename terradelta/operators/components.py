@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terradelta.checkpoints import cut
+from terradelta.operators.graph import stars
 
 NEIGHBOURS = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
 
@@ -38,22 +39,6 @@ def _label_tile(rows: pd.DataFrame, width: int, conn: int) -> np.ndarray:
         grid = low
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """(a, b): b is the least node that a reaches; alternating large-star and small-star steps."""
-    edges, before = cut(edges), None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = cut(small.select("e.a", "e.b").where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges
-        before = now
-
-
 def components(mask: DataFrame, keys: list[str], width: int, conn: int = 4, tile: int = 32) -> DataFrame:
     """keys, r, c, label of the pixels of a mask; mask has a row for each pixel that is set."""
     px = mask.select(*keys, F.col("r").cast("long"), F.col("c").cast("long"))
@@ -67,7 +52,7 @@ def components(mask: DataFrame, keys: list[str], width: int, conn: int = 4, tile
     met = border.join(moved, [*keys, "r", "c"]).where("(tr <> tr2 OR tc <> tc2) AND local <> other")
     node = lambda v: F.struct(*keys, F.col(v).alias("local"))
     links = met.select(F.greatest(node("local"), node("other")).alias("a"), F.least(node("local"), node("other")).alias("b")).distinct()
-    merged = _stars(links).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.local").alias("local"), F.col("b.local").alias("merged"))
+    merged = stars(links).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.local").alias("local"), F.col("b.local").alias("merged"))
     return local.join(merged, [*keys, "local"], "left").select(*keys, "r", "c", F.coalesce("merged", "local").alias("label"))
 
 
