@@ -15,14 +15,22 @@ ELEMENTS = {
 }
 
 
-def focal(px: DataFrame, keys: list[str], value: str, element: str, aggs: list[Column]) -> DataFrame:
-    """Aggregates of each pixel's neighbourhood. A pixel is sent to the pixels around it and partly aggregated before
-    the one shuffle; pixels that are not in the table, beyond an edge or missing, take no part and get no row."""
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ELEMENTS[element]]))
-    sent = px.select(*keys, "r", "c", F.col(value).alias("v"), steps.alias("s"))
+def focal(px: DataFrame, keys: list[str], value: str, element: str, aggs: list[Column], tile: int = 64) -> DataFrame:
+    """Aggregates of each pixel's neighbourhood.
+
+    Pixels are dealt by tile, those near a tile's border to the neighbouring tiles too, and only inside a tile is each
+    pixel listed under the pixels around it; so the one shuffle moves little more than the pixels themselves. Pixels
+    that are not in the table, beyond an edge or missing, take no part and get no row.
+    """
+    near = [F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ELEMENTS[element]]
+    place = lambda v, d: F.floor((F.col(v) - d) / tile)
+    tiles = F.array_distinct(F.array(*[F.struct(place("r", a).alias("tr"), place("c", b).alias("tc")) for a, b in ELEMENTS[element]]))
+    dealt = px.select(*keys, "r", "c", F.col(value).alias("v"), F.explode(tiles).alias("t")).select(*keys, "t.tr", "t.tc", "r", "c", "v").repartition(*keys, "tr", "tc")
+    sent = dealt.withColumn("s", F.explode(F.array(*near)))
     own = (F.col("s.dr") == 0) & (F.col("s.dc") == 0)
-    to = sent.select(*keys, (F.col("r") - F.col("s.dr")).alias("r"), (F.col("c") - F.col("s.dc")).alias("c"), "v", own.alias("own"))
-    return to.groupBy(*keys, "r", "c").agg(F.bool_or("own").alias("_own"), *aggs).where("_own").drop("_own")
+    to = sent.select(*keys, "tr", "tc", (F.col("r") - F.col("s.dr")).alias("r"), (F.col("c") - F.col("s.dc")).alias("c"), "v", own.alias("own"))
+    inside = to.where((place("r", 0) == F.col("tr")) & (place("c", 0) == F.col("tc")))
+    return inside.groupBy(*keys, "tr", "tc", "r", "c").agg(F.bool_or("own").alias("_own"), *aggs).where("_own").drop("_own", "tr", "tc")
 
 
 def dilate(px: DataFrame, keys: list[str], value: str = "v", element: str = "square3") -> DataFrame:

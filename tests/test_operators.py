@@ -108,3 +108,15 @@ def test_incomplete_triples_are_the_rest(spark):
     files = spark.createDataFrame([("s", "1", "A", "x"), ("s", "1", "B", "y"), ("s", "1", "label", "z"), ("s", "2", "A", "w")], "split string, stem string, tag string, path string")
     t = manifest.triples(files, "split", "stem")
     assert manifest.complete(t).count() == 1 and manifest.incomplete(t).count() == 1
+
+
+def test_focal_moves_pixels_once_and_crosses_tiles(spark):
+    px = spark.range(900).selectExpr("0L AS scene_id", "id div 30 AS r", "id % 30 AS c", "cast(id * 7 % 11 AS double) AS v")
+    df = raster.focal(px, ["scene_id"], "v", "square3", [F.sum("v").alias("v"), F.count("*").alias("n")], tile=7)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    grid = (np.arange(900) * 7 % 11).reshape(30, 30)
+    padded = np.pad(grid, 1)
+    want = sum(padded[1 + a : 31 + a, 1 + b : 31 + b] for a in (-1, 0, 1) for b in (-1, 0, 1))
+    got = {(x.r, x.c): (x.v, x.n) for x in df.collect()}
+    assert len(got) == 900 and all(got[r, c][0] == want[r, c] for r in range(30) for c in range(30))
+    assert got[0, 0][1] == 4 and got[15, 15][1] == 9
