@@ -111,7 +111,7 @@ def test_incomplete_triples_are_the_rest(spark):
 
 
 def test_focal_moves_pixels_once_and_crosses_tiles(spark):
-    px = spark.range(900).selectExpr("0L AS scene_id", "id div 30 AS r", "id % 30 AS c", "cast(id * 7 % 11 AS double) AS v")
+    px = spark.range(900).selectExpr("id div 900 AS scene_id", "id div 30 AS r", "id % 30 AS c", "cast(id * 7 % 11 AS double) AS v")
     df = raster.focal(px, ["scene_id"], "v", "square3", [F.sum("v").alias("v"), F.count("*").alias("n")], tile=7)
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     grid = (np.arange(900) * 7 % 11).reshape(30, 30)
