@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries a worker's cache holds before its older half is dropped.
-CACHE_ENTRIES = 400_000
+#: Entries a worker's cache holds before its older half is dropped; workers keep it between tasks, about 300 bytes each.
+CACHE_ENTRIES = 150_000
 #: Pieces longer than this many characters are encoded but not kept in a cache.
 CACHE_CHARS = 64
 
