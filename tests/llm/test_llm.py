@@ -381,6 +381,38 @@ def test_exchanged_labels_help():
     assert hit(quality.co_train(texts, meta, label)) > max(0.95, hit(quality.co_train(texts, meta, label, rounds=0)) - 0.01)
 
 
+def test_every_unlabelled_document_is_in_the_pool(spark):
+    texts = [f"word{i} is one of many" for i in range(3000)] + [None, ""]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)] + [(200, None, 0)], "doc_id long, quality int, toxic int")
+    pool = quality._Pool(quality.pool_rows(docs(spark, texts).repartition(3), labels))
+    models = [np.zeros(quality.WORDS + 1), np.arange(quality.METADATA) / 10]
+    assert len(pool) == 2902 and (pool.histograms(models).sum(1) == 2902).all()
+    low, high = 300, 500
+    pool.mark(models, [quality._cuts(h, low, high) for h in pool.histograms(models)])
+    got = pool.counts()  # the text view's outputs are all equal, so a hash chooses among them
+    assert abs(got[1, 0] - low) < 80 and abs(got[1, 1] - high) < 100 and abs(got[0, 0] - low) < 80 and abs(got[0, 1] - high) < 100
+    rows = pool.rows.toArrow().combine_chunks().to_batches()
+    weight = np.array([[0.1, 0.2], [0.3, 0.4]])
+    whole = [part.sums(models, weight) for b in rows for _, part in quality._parts(b)]
+    for view, (loss, g) in enumerate(pool.sums(models, weight)):
+        assert np.isclose(loss, sum(w[view][0] for w in whole)) and np.allclose(g, sum(w[view][1] for w in whole))
+    pool.close()
+
+
+def test_rare_texts_reach_the_exchange(spark):
+    """Words that only 20 documents of greatest hash have get weights, though none of those documents has a label."""
+    rng = random.Random(3)
+    good, bad = [f"good{i}" for i in range(20)], [f"BAD{i}" for i in range(20)]
+    late = {r.id for r in spark.range(100, 6000).orderBy(F.xxhash64("id").desc()).limit(20).collect()}
+    digits = " 1 2 3 4 5 6 7 8 9 0"
+    rare = ["RAREBAD " * 12 + digits * 4, "raregood " * 12]
+    df = docs(spark, [rare[i % 2] if i in late else " ".join(rng.choices(good if i % 2 else bad, k=12)) + digits * (i % 2 == 0) for i in range(6000)])
+    model = quality.train(df, spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int"))
+    held = [S.texts(pa.array([w])) for w in ("rarebad", "raregood")]
+    weight = [model.text[quality.text_view(data, at)[0][0]][0] for run in held for _, _, data, at in run]
+    assert weight[0] < 0 < weight[1]
+
+
 # --- 9: audio --------------------------------------------------------------------------------------------------------
 def test_resampling_keeps_a_tone():
     x = np.sin(np.arange(16000) * 2 * np.pi * 300 / 16000)
