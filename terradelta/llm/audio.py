@@ -11,13 +11,15 @@ tensor type. Frames are computed in blocks, so memory does not follow the length
 a fixed order, so equal sounds have equal features.
 
 In ``text_media``, a payload is the text's UTF-8 bytes, filled with bytes 255 up to a positive multiple of 576; null is
-empty text. Rows that repeat an id give a row each. Other columns are ignored, whatever their names.
+empty text. The sounds are written to a table in the shared folder; their features are computed from what is read back and
+written as Arrow streams of fixed-shape tensors with time spans, which are read in turn. Rows that repeat an id give a row each. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.llm.bpe import small
+from terradelta.llm.shared import shared_folder
 
 RATE, UP, DOWN = 16_000, 1, 4
 FRAME, HOP, MELS, SLOTS = 256, 128, 16, 8
@@ -196,6 +199,13 @@ def tensor_table(rows: list[dict]) -> pa.Table:
     return pa.table({"doc_id": pa.array([r["doc_id"] for r in rows], pa.int64()), "tensor": tensors, "slots": spans})
 
 
+def _stream(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 def tensors_ipc(found: DataFrame) -> DataFrame:
     """(content): the features as Arrow IPC streams whose tensor column has the fixed-shape tensor type, one per batch."""
 
@@ -203,10 +213,7 @@ def tensors_ipc(found: DataFrame) -> DataFrame:
         for b in batches:
             for part in small(b, 4096):
                 table = tensor_table([r for r in part.to_pylist() if r["tensor"] is not None])
-                out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, table.schema) as w:
-                    w.write_table(table)
-                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["content"])
+                yield pa.RecordBatch.from_arrays([pa.array([_stream(table)], pa.binary())], ["content"])
 
     return found.select("doc_id", "tensor", "slots").mapInArrow(run, "content binary")
 
@@ -214,22 +221,56 @@ def tensors_ipc(found: DataFrame) -> DataFrame:
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor array<float>"
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """Each text stored as a sound, read back, and its features, one row per row of the input."""
+_DIGESTS = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+
+
+def write_media(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes every text as a sound, (doc_id, n_bytes, media), and gives the table that was written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in small(b):
+                raw = [(x or "").encode("utf-8") for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def write_tensors(media: DataFrame, folder: str) -> DataFrame:
+    """Writes, for the table of ``write_media``, Arrow streams of tensors, slots, segments and digests; gives the table (content) that was written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _DIGEST.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float32())]
         for b in batches:
             for part in small(b):
-                rows = []
-                for text in part.column(1).to_pylist():
-                    raw = (text or "").encode("utf-8")
-                    media = wav(padded(raw))
-                    _, back = wav_samples(media)
-                    f = features(media)
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(f), f["tensor"].ravel()))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DIGEST)
+                rows, digests = [], []
+                for doc_id, n_bytes, x in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    _, back = wav_samples(x)
+                    f = features(x)
+                    spans = {k: [{"start": s, "end": e} for s, e in f[k]] for k in ("slots", "segments")}
+                    rows.append({"doc_id": doc_id, "tensor": f["tensor"].ravel(), **spans})
+                    digests.append((n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(x), hashlib.sha256(x).hexdigest(), feature_text(f)))
+                table = tensor_table(rows)
+                table = table.append_column("segments", pa.array([r["segments"] for r in rows], table.schema.field("slots").type))
+                for field, column in zip(_DIGESTS, zip(*digests, strict=True), strict=True):
+                    table = table.append_column(field, pa.array(column, field.type))
+                yield pa.RecordBatch.from_arrays([pa.array([_stream(table)], pa.binary())], ["content"])
+
+    media.select("doc_id", "n_bytes", "media").mapInArrow(run, "content binary").write.option("compression", "zstd").parquet(folder)
+    return media.sparkSession.read.parquet(folder)
+
+
+def text_media(docs: DataFrame) -> DataFrame:
+    """Each text stored as a sound, read back, and its features, stored as tensors and read back; one row per row of the input."""
+    folder = f"{shared_folder(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                for part in pa.ipc.open_stream(x.as_buffer()):
+                    flat = part.column("tensor").storage.flatten()
+                    size = SLOTS * MELS
+                    tensors = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * size, pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(k) for k in _DIGESTS.names), tensors], ["doc_id", *_DIGESTS.names, "tensor"])
+
+    return write_tensors(write_media(docs, f"{folder}/sounds"), f"{folder}/tensors").mapInArrow(run, _DIGEST)

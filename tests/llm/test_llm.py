@@ -427,6 +427,22 @@ def test_segments_by_hysteresis():
     assert audio.segments(e, 0.5, -0.5) == [(2, 5), (7, 9)] and audio.segments(np.zeros(5)) == []
 
 
+def test_sounds_and_tensors_are_tables(spark, tmp_path, monkeypatch):
+    texts = [None, "", "a", "é" * 5000, "x" * 576]
+    monkeypatch.setattr(audio, "shared_folder", lambda _: str(tmp_path))
+    got = {r.doc_id: r for r in audio.text_media(docs(spark, texts)).collect()}
+    (folder,) = tmp_path.iterdir()
+    sounds = spark.read.parquet(f"{folder}/sounds").collect()
+    assert {r.doc_id: bytes(r.media) for r in sounds} == {i: audio.wav(audio.padded((t or "").encode())) for i, t in enumerate(texts)}
+    for r in spark.read.parquet(f"{folder}/tensors").collect():
+        table = pa.ipc.open_stream(bytes(r.content)).read_all()
+        assert table.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), [audio.SLOTS, audio.MELS])
+        for row in table.drop_columns(["tensor"]).to_pylist():
+            f = audio.features(audio.wav(audio.padded((texts[row["doc_id"]] or "").encode())))
+            assert [(s["start"], s["end"]) for s in row["slots"]] == f["slots"] and [(s["start"], s["end"]) for s in row["segments"]] == f["segments"]
+            assert got[row["doc_id"]].feature == row["feature"] == audio.feature_text(f) and np.array_equal(got[row["doc_id"]].tensor, f["tensor"].ravel())
+
+
 def test_sound_is_stored_whole(spark):
     texts = [None, "", "a", "é" * 5000, "a", "x" * 576]
     got = audio.text_media(docs(spark, texts)).orderBy("doc_id").collect()
