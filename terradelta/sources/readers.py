@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 _ITEM = "struct<id:string,properties:struct<datetime:string,`eo:cloud_cover`:double>,assets:map<string,struct<href:string>>>"
 SCENES = f"search_metadata struct<start:string>, items array<struct<collection:string,source_endpoint:string,item:{_ITEM}>>, collection string, source_endpoint string, item {_ITEM}"
 OSM = "elements array<struct<type:string,id:bigint,lon:double,lat:double,nodes:array<bigint>,tags:map<string,string>>>"
+_RINGS = "array<array<struct<x:double,y:double>>>"
 HISTORY = "run string, history struct<epoch:array<bigint>,val_loss:array<double>,lr:array<double>>"
 
 
@@ -39,16 +40,21 @@ def read_scene_items(spark: SparkSession, path: str, multiline: bool = False) ->
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of FeatureCollections, one document a file or a line: props (JSON text), geom_type, ring (outer ring)."""
+    """Features of FeatureCollections, one document a file or a line: props (JSON text), geom_type, part, ring, holes.
+
+    A MultiPolygon gives a row for each of its parts, with their numbers from 0; other geometries give one row. ring is the
+    outer ring or the line, holes the rings inside it."""
     shape = "features array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>"
     raw = spark.read.text(path).select(F.from_json("value", shape).alias("d")).select(F.explode("d.features").alias("f"))
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    polygon = F.from_json(text, "array<array<array<double>>>")[0]
-    multi = F.from_json(text, "array<array<array<array<double>>>>")[0][0]
-    line = F.from_json(text, "array<array<double>>")
-    points = F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", multi).when(kind == "LineString", line)
-    ring = F.transform(points, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return raw.select(F.col("f.properties").alias("props"), kind.alias("geom_type"), ring.alias("ring"))
+    polygon = F.array(F.from_json(text, "array<array<array<double>>>"))
+    multi = F.from_json(text, "array<array<array<array<double>>>>")
+    line = F.array(F.array(F.from_json(text, "array<array<double>>")))
+    parts = F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", multi).when(kind == "LineString", line)
+    points = F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    rows = raw.select(F.col("f.properties").alias("props"), kind.alias("geom_type"), F.posexplode_outer(points).alias("part", "rings"))
+    ring, holes = F.get("rings", F.lit(0)), F.filter("rings", lambda _, i: i > 0)
+    return rows.select("props", "geom_type", F.coalesce("part", F.lit(0)).alias("part"), ring.alias("ring"), F.coalesce(holes, F.array().cast(_RINGS)).alias("holes"))
 
 
 def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

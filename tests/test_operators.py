@@ -1,5 +1,7 @@
 """Hand goldens and invariants."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +122,13 @@ def test_focal_moves_pixels_once_and_crosses_tiles(spark):
     got = {(x.r, x.c): (x.v, x.n) for x in df.collect()}
     assert len(got) == 900 and all(got[r, c][0] == want[r, c] for r in range(30) for c in range(30))
     assert got[0, 0][1] == 4 and got[15, 15][1] == 9
+
+
+def test_geojson_keeps_parts_and_holes(spark, tmp_path):
+    box = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    shapes = [("MultiPolygon", [[box(0, 9), box(1, 2), box(4, 5)], [box(20, 22)]]), ("Polygon", [box(0, 4), box(1, 3)]), ("LineString", [[0, 0], [3, 4]]), ("Point", [1, 2])]
+    features = [{"type": "Feature", "properties": {"n": n}, "geometry": {"type": kind, "coordinates": c}} for n, (kind, c) in enumerate(shapes)]
+    (tmp_path / "a.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    plain = lambda ring: ring and [[p.x, p.y] for p in ring]
+    got = [(json.loads(r.props)["n"], r.part, plain(r.ring), [plain(h) for h in r.holes]) for r in readers.read_geojson(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r[:2]) == [(0, 0, box(0, 9), [box(1, 2), box(4, 5)]), (0, 1, box(20, 22), []), (1, 0, box(0, 4), [box(1, 3)]), (2, 0, [[0, 0], [3, 4]], []), (3, 0, None, [])]
