@@ -37,6 +37,14 @@ def both_good(pairs: DataFrame, quality: DataFrame, least: float) -> DataFrame:
     return out.where(good("qa") & good("qb"))
 
 
+def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The first row with this key; an error if there is none."""
+    row = df.where(F.col(key) == value).limit(1)
+    if row.isEmpty():
+        raise ValueError(f"no row with {key} = {value}")
+    return row
+
+
 def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in order."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")

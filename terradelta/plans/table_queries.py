@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terradelta.checkpoints import shared_folder
 from terradelta.fixtures import bucket, split_of, split_sql, table
 from terradelta.functions import strings as S
 from terradelta.operators import manifest as MF
 from terradelta.operators import splits as SP
 from terradelta.plans.registry import query
+from terradelta.sinks import writers as W
+from terradelta.sources import readers as R
+
+
+def _new(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _listed(m):
+    """The manifest's rows whose names a text list has."""
+    path = _new(m.sparkSession, "list")
+    m.where(F.col("stem").cast("long") % 17 == 0).select("name").distinct().write.text(path)
+    return R.filter_by_list(m, path, "name")
+
+
+def _index(df, name, *columns):
+    """The table written as Parquet and read by its required columns."""
+    path = _new(df.sparkSession, name)
+    df.write.parquet(path)
+    return R.read_index(df.sparkSession, path, *columns)
+
+
+def _summary(q):
+    path = _new(q.sparkSession, "summary")
+    W.write_csv(q, path)
+    return R.read_summary_csv(q.sparkSession, path)
+
 
 # --- manifests -------------------------------------------------------------------------------------------------------
 _PIVOT = ", t AS (SELECT split, stem, min(path) FILTER (tag = 'A') AS A, min(path) FILTER (tag = 'B') AS B, min(path) FILTER (tag = 'label') AS label FROM manifest GROUP BY ALL)"
@@ -61,16 +91,16 @@ def _georef(m):
     return at.select("name", edge("x0", "x", 0, 1).alias("xmin"), edge("x0", "x", 64, 1).alias("xmax"), edge("y0", "y", 64, -1).alias("ymin"), edge("y0", "y", 0, -1).alias("ymax"))
 
 
-query("scan_split_list", "manifest", "SELECT name, path FROM manifest WHERE stem::BIGINT % 17 = 0")(lambda m: m.join(m.where(F.col("stem").cast("long") % 17 == 0).select("name").distinct(), "name", "left_semi").select("name", "path"))
+query("scan_split_list", "manifest", "SELECT name, path FROM manifest WHERE stem::BIGINT % 17 = 0")(lambda m: _listed(m).select("name", "path"))
 query("intersect_names", "manifest", "SELECT stem FROM manifest WHERE tag = 'A' INTERSECT SELECT stem FROM manifest WHERE tag = 'B' INTERSECT SELECT stem FROM manifest WHERE tag = 'label'")(lambda m: m.where("tag = 'A'").select("stem").intersect(m.where("tag = 'B'").select("stem")).intersect(m.where("tag = 'label'").select("stem")))
 query("union_tiles", "manifest quality", "SELECT name, path, NULL::DOUBLE AS valid_ratio FROM manifest WHERE tag = 'A' UNION ALL SELECT name, NULL, valid_ratio FROM quality")(lambda m, q: m.where("tag = 'A'").select("name", "path").unionByName(q.select("name", "valid_ratio"), allowMissingColumns=True))
 query("distinct_values", "px", "SELECT DISTINCT gt AS value FROM px ORDER BY value")(lambda px: px.select(F.col("gt").alias("value")).distinct().orderBy("value"))
 query("except_values", "cls_px", "SELECT label AS value FROM cls_px EXCEPT SELECT * FROM (VALUES (0), (1), (255)) ORDER BY value")(lambda px: px.select(F.col("label").alias("value")).distinct().exceptAll(px.sparkSession.sql("SELECT * FROM VALUES (0), (1), (255) AS t(value)")))
 query("topk_examples", "px", "SELECT scene_id, r, c, prob FROM px WHERE gt = 1 ORDER BY prob DESC, scene_id, r, c LIMIT 10")(lambda px: px.where("gt = 1").select("scene_id", "r", "c", "prob").orderBy(F.col("prob").desc(), "scene_id", "r", "c").limit(10))
 query("filter_split", "chips", "SELECT chip_id, split FROM chips WHERE split = 'val'")(lambda c: c.where("split = 'val'").select("chip_id", "split"))
-query("lookup_chip", "chips", "SELECT chip_id, split, round(t0[1], 6) AS first FROM chips WHERE chip_id = 7 LIMIT 1")(lambda c: c.where("chip_id = 7").limit(1).select("chip_id", "split", F.round(F.col("t0")[0], 6).alias("first")))
-query("scan_index", "chips", "SELECT chip_id, split, len(t0) AS n FROM chips")(lambda c: c.select("chip_id", "split", F.size("t0").cast("long").alias("n")))
-query("scan_summary_csv", "quality", "SELECT name, valid_ratio, finite_count FROM quality")(lambda q: q)
+query("lookup_chip", "chips", "SELECT chip_id, split, round(t0[1], 6) AS first FROM chips WHERE chip_id = 7 LIMIT 1")(lambda c: MF.lookup(c, "chip_id", 7).select("chip_id", "split", F.round(F.col("t0")[0], 6).alias("first")))
+query("scan_index", "chips", "SELECT chip_id, split, len(t0) AS n FROM chips")(lambda c: _index(c, "index", "chip_id", "split", "t0").select("chip_id", "split", F.size("t0").cast("long").alias("n")))
+query("scan_summary_csv", "quality", "SELECT name, valid_ratio, finite_count FROM quality")(_summary)
 query("chip_quarantine", "quality", "SELECT name, CASE WHEN valid_ratio < 0.3 OR finite_count = 0 THEN 'bad' ELSE 'good' END AS verdict FROM quality")(lambda q: q.select("name", F.when((F.col("valid_ratio") < 0.3) | (F.col("finite_count") == 0), "bad").otherwise("good").alias("verdict")))
 
 # --- strings ---------------------------------------------------------------------------------------------------------
@@ -147,7 +177,7 @@ def scene_pair(items):
 query("months_between_ym", "scene_items", "SELECT event_id, ((year(datetime) - 2023) * 12 + month(datetime) - 5)::BIGINT AS months FROM scene_items")(lambda i: i.select("event_id", ((F.year("datetime") - 2023) * 12 + F.month("datetime") - 5).cast("long").alias("months")))
 query("aoi_detections", "aoi detections", "SELECT d.id, d.aoi_id, a.name FROM detections d JOIN aoi a USING (aoi_id)")(lambda a, d: d.join(a.select("aoi_id", "name"), "aoi_id").select("id", "aoi_id", "name"))
 query("upsert_detections", "aoi detections", "SELECT DISTINCT id, aoi_id FROM detections WHERE aoi_id IN (SELECT aoi_id FROM aoi)")(lambda a, d: d.join(a.select("aoi_id"), "aoi_id", "left_semi").dropDuplicates(["id"]).select("id", "aoi_id"))
-query("scan_detections", "detections", "SELECT id, aoi_id, round(score, 4) AS score FROM detections")(lambda d: d.select("id", "aoi_id", F.round("score", 4).alias("score")))
+query("scan_detections", "detections", "SELECT id, aoi_id, round(score, 4) AS score FROM detections")(lambda d: _index(d, "detections", "id", "aoi_id", "score").select("id", "aoi_id", F.round("score", 4).alias("score")))
 
 # --- training history ------------------------------------------------------------------------------------------------
 _RUN = "PARTITION BY run ORDER BY epoch"

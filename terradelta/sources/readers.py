@@ -29,6 +29,12 @@ def read_index(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return require(spark.read.parquet(path), *columns).select(*columns)
 
 
+def read_summary_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Chip-quality summary by file name, from CSV with a header in any order of columns: name, valid_ratio, finite_count."""
+    raw = require(spark.read.csv(path, header=True), "name", "valid_ratio", "finite_count")
+    return raw.select("name", F.col("valid_ratio").cast("double"), F.col("finite_count").cast("long"))
+
+
 def read_scene_items(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Catalogue items of both layouts: documents that wrap a list of items, and bare items."""
     raw = spark.read.schema(SCENES).json(path, multiLine=multiline)

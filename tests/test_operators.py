@@ -132,3 +132,27 @@ def test_geojson_keeps_parts_and_holes(spark, tmp_path):
     plain = lambda ring: ring and [[p.x, p.y] for p in ring]
     got = [(json.loads(r.props)["n"], r.part, plain(r.ring), [plain(h) for h in r.holes]) for r in readers.read_geojson(spark, str(tmp_path)).collect()]
     assert sorted(got, key=lambda r: r[:2]) == [(0, 0, box(0, 9), [box(1, 2), box(4, 5)]), (0, 1, box(20, 22), []), (1, 0, box(0, 4), [box(1, 3)]), (2, 0, [[0, 0], [3, 4]], []), (3, 0, None, [])]
+
+
+def test_summary_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("finite_count,name,valid_ratio\n7,x_A.npy,0.5\n,y_A.npy,\n")
+    got = readers.read_summary_csv(spark, str(tmp_path / "a.csv"))
+    assert got.dtypes == [("name", "string"), ("valid_ratio", "double"), ("finite_count", "bigint")]
+    assert sorted(map(tuple, got.collect())) == [("x_A.npy", 0.5, 7), ("y_A.npy", None, None)]
+    (tmp_path / "b.csv").write_text("name,valid_ratio\nx,1\n")
+    with pytest.raises(ValueError, match="finite_count"):
+        readers.read_summary_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_lookup_of_a_missing_row(spark):
+    assert manifest.lookup(spark.range(9), "id", 7).collect()[0].id == 7
+    with pytest.raises(ValueError, match="id = 9"):
+        manifest.lookup(spark.range(9), "id", 9)
+
+
+def test_scans_read_files(spark):
+    import __spark_entry__ as entry
+
+    for name, folder in (("scan_summary_csv", "summary"), ("scan_index", "index"), ("scan_detections", "detections"), ("scan_split_list", "list")):
+        df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert df.count() > 0 and any(f"/{folder}-" in x for x in df.inputFiles()), name
