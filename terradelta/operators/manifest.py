@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terradelta.checkpoints import cut
+
 TAGS = ["A", "B", "label"]
 
 
@@ -22,10 +24,20 @@ def incomplete(pivoted: DataFrame) -> DataFrame:
     return pivoted.where(F.expr("A IS NULL OR B IS NULL OR label IS NULL"))
 
 
+def ranked(df: DataFrame, order: str, name: str, *part: str) -> DataFrame:
+    """(part, name, k): ranks from 1 within a part. Rows are ranked within range slices, and the sizes of the part's earlier
+    slices are added, so that no task sorts a whole part."""
+    rows = cut(df.select(*part, F.col(order).alias(name)).repartitionByRange(*part, name).withColumn("_s", F.spark_partition_id()))
+    inside = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*part, "_s").orderBy(name)))
+    sizes = rows.groupBy(*part, "_s").agg(F.count("*").alias("_c"))  # a row for each slice of a part
+    before = sizes.select(*[F.col(c).alias(f"_{c}") for c in part], F.col("_s").alias("_t"), (F.sum("_c").over(Window.partitionBy(*part).orderBy("_s")) - F.col("_c")).alias("_b"))
+    same = (F.col("_s") == F.col("_t")) & F.expr(" AND ".join(["true", *(f"{c} <=> _{c}" for c in part)]))
+    return inside.join(before, same).select(*part, name, (F.col("_r") + F.col("_b")).cast("int").alias("k"))
+
+
 def positional(one: DataFrame, two: DataFrame, order: str, *part: str) -> DataFrame:
     """Joins two lists by their rank in sorted order within a part; a list that is longer leaves rows without partner."""
-    ranked = lambda df, name: df.select(*part, F.col(order).alias(name), F.row_number().over(Window.partitionBy(*part).orderBy(order)).alias("k"))
-    return ranked(one, "a").join(ranked(two, "b"), [*part, "k"], "full_outer")
+    return ranked(one, order, "a", *part).join(ranked(two, order, "b", *part), [*part, "k"], "full_outer")
 
 
 def both_good(pairs: DataFrame, quality: DataFrame, least: float) -> DataFrame:

@@ -156,3 +156,14 @@ def test_scans_read_files(spark):
     for name, folder in (("scan_summary_csv", "summary"), ("scan_index", "index"), ("scan_detections", "detections"), ("scan_split_list", "list")):
         df = entry.queries()[name](spark, "/root/testdata/sf0.001")
         assert df.count() > 0 and any(f"/{folder}-" in x for x in df.inputFiles()), name
+
+
+def test_ranks_within_range_slices(spark):
+    df = spark.range(2000).selectExpr("if(id % 10 < 8, 'train', if(id % 10 = 8, 'val', NULL)) AS split", "lpad(cast(id * 7919 % 2003 AS string), 4, '0') AS path")
+    got = manifest.ranked(df, "path", "a", "split")
+    for split in ("train", "val", None):
+        own = [r for r in got.collect() if r.split == split]
+        want = sorted(r.path for r in df.collect() if r.split == split)
+        assert [r.a for r in sorted(own, key=lambda r: r.k)] == want and sorted(r.k for r in own) == list(range(1, len(want) + 1))
+    plan = got._jdf.queryExecution().toString()
+    assert "_s" in plan.split("Window [row_number()", 1)[1].split("\n")[0].split("windowspecdefinition", 1)[1].split(" ASC")[0]
