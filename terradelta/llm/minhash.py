@@ -4,16 +4,20 @@ SuperMinHash gives each shingle a random permutation of the signature's slots; t
 value j + r, so that its values are correlated ranks, which lowers the variance of the similarity estimate. Once each
 slot of a text holds a value below j, later steps cannot change it and the text stops; long texts stop after one step.
 
-Texts with equal shingle sets form one class by a digest of the set, so exact copies cost no pairs. Of each class one
-signature is cut into bands. A bucket (band, hash) compares its members with one of them, its hub, only; buckets choose
-hubs by a hash, so a group of near copies has many. Pairs are first held against the signatures (a pair six standard
-deviations below the threshold is left out), then against the full sets, and verified links are grouped. A link between
-two members of a bucket may still be missed if neither is the hub; so in buckets that then hold several components, the
-members of different components are compared as well, in blocks of at most ``BLOCK`` x ``BLOCK``: each member comes with
-its set, folded to 16 bits a shingle, a matrix product counts the common values of all pairs, and only pairs that the
-counts cannot rule out leave the task for verification. No pair of an unrelated bucket is ever a row. Buckets of more
-than ``WIDE`` members are split by further bands first. With b bands of r rows a link at similarity s is no candidate
-with probability (1 - s^r)^b: 7e-9 at 0.85 with 32 bands of 5, 3e-6 at 0.8.
+Texts with equal shingle sets form one class by a digest of the set, so exact copies cost no pairs. Classes are the nodes
+of all that follows. Each class's signature is cut into bands. A bucket (band, hash) compares its members with one of
+them, its hub, only; buckets choose hubs by a hash, so a group of near copies has many. Pairs are first held against the
+signatures (a pair six standard deviations below the threshold is left out), then against the full sets, and verified
+links are grouped. A link between two members of a bucket may still be missed if neither is the hub; so in buckets that
+then hold several components, the members of different components are compared as well: those outside the bucket's
+largest component with each other and with it, in blocks of about ``BLOCK`` x ``BLOCK``. Each member comes with its set,
+folded to 16 bits a shingle, a matrix product counts the common values of all pairs, and only pairs that the counts
+cannot rule out leave the task for verification. This holds for buckets of any size. No pair of an unrelated bucket is
+ever a row. With b bands of r rows a link at similarity s is no candidate with probability (1 - s^r)^b: 7e-9 at 0.85
+with 32 bands of 5, 3e-6 at 0.8.
+
+Keys that many rows share, such as the hub of a large group, a bucket, or the digest of a text with many copies, are
+salted (``salted_join``), so no join gathers them in one task.
 
 Null and empty texts and those without words have no shingles, link with nothing and stay alone. Rows with a null doc_id
 link with nothing, have a null component_id and are kept. Rows that repeat a doc_id are judged by their own texts. Other
@@ -33,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.llm import shingles as S
-from terradelta.llm.shared import by_ids, cut
+from terradelta.llm.shared import by_ids, cut, salted_join
 from terradelta.operators.graph import stars
 
 BANDS, ROWS = 32, 5
-#: Members of a bucket are compared in blocks of about so many; larger buckets than WIDE are split by further bands.
-BLOCK, WIDE, FURTHER = 512, 4096, 4
+#: Members of a bucket are compared in blocks of about so many.
+BLOCK = 256
 
 
 def superminhash(hashes: np.ndarray, at: np.ndarray, slots: int) -> np.ndarray:
@@ -81,7 +85,7 @@ def superminhash(hashes: np.ndarray, at: np.ndarray, slots: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, slots: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig): the set's size, a digest of it, and a byte for each slot of its signature."""
+    """(doc_id, text_hash, n_shingles, digest, sig): the set's size, a digest of it, and a byte for each slot of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,13 +96,25 @@ def signatures(docs: DataFrame, size: int, slots: int) -> DataFrame:
                 short = (S.mix(sig) >> np.uint64(56)).astype(np.uint8)
                 digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
                 raw = [x.tobytes() if k else None for x, k in zip(short, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+                own = [b.column(k).slice(lo, hi - lo) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, items): each text's sorted distinct shingles, 8 bytes each."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash): which row a text is from, also where a doc_id has several texts."""
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+
+
+def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of these classes, perhaps more than once."""
+    wanted = classes.select("id", "doc_id", "text_hash").join(ids, "id", "left_semi")
+    return by_ids(_keyed(docs), wanted, "inner", "doc_id", "text_hash").select("id", "text")
+
+
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, items) of (id, text): each text's sorted distinct shingles, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,7 +122,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = [x.tobytes() for x in S.distinct(*S.shingles(data, at, size))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, items binary")
+    return texts.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
@@ -119,12 +135,18 @@ def _likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
                 one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (2, 3))
                 yield b.select([0, 1]).filter(pa.array((one == two).sum(1) >= least))
 
-    named = lambda side: sigs.select(F.col("id").alias(side), F.col("sig").alias(f"{side}_sig"))
-    joined = pairs.join(named("b"), "b").join(named("a"), "a")
-    return joined.select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, sigs, "sig").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """(a, b, a_column, b_column): pairs with a column of both their rows of a table by id."""
+    named = lambda side: table.select(F.col("id").alias(side), F.col(column).alias(f"{side}_{column}"))
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    one = salted_join(pairs, named("b"), "b", "a")
+    return salted_join(one, named("a"), "a", "b", sizes).select("a", "b", f"a_{column}", f"b_{column}")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +161,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     good.append(100 * common >= percent * (len(one) + len(two) - common))
                 yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(shingle_sets(by_ids(docs.select("doc_id", "text"), ids, "left_semi"), size).dropDuplicates(["id"]))
-    named = lambda side: sets.select(F.col("id").alias(side), F.col("items").alias(f"{side}_items"))
-    joined = pairs.join(named("b"), "b").join(named("a"), "a")  # the hub's set comes last: it is not shuffled with its pairs
-    return joined.select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = cut(shingle_sets(_texts(docs, classes, ids), size))
+    return _with_both(pairs, sets, "items").mapInArrow(run, "a long, b long")
 
 
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,8 +197,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.union(roots).select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def folded_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, folded): the size of each text's shingle set, and the set folded to 16 bits a shingle."""
+def folded_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, n, folded) of (id, text): the size of each text's shingle set, and the set folded to 16 bits a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +207,7 @@ def folded_sets(docs: DataFrame, size: int) -> DataFrame:
                 raw = [np.unique((x >> np.uint64(48)).astype(np.uint16)).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(raw, pa.binary())], ["id", "n", "folded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, n long, folded binary")
+    return texts.mapInArrow(run, "id long, n long, folded binary").dropDuplicates(["id"])
 
 
 def _possible(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
@@ -221,22 +241,24 @@ def _possible(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
     return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def _cross_pairs(mixed: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+def _cross_pairs(mixed: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket that lie in different components and may be similar enough.
 
-    mixed: (bucket, id, component) of buckets with several components.
+    mixed: (bucket, id, component, members, major, outside) of buckets with several components; major is the bucket's
+    largest component and outside the number of members that are not in it. Members outside are dealt to blocks, and so
+    are those inside; each pair of blocks that has some outside is a cell.
     """
-    sizes = mixed.groupBy("bucket").agg(F.count("*").alias("members"))
-    sized = cut(mixed.join(sizes, "bucket"))
-    wide = sized.where(F.col("members") > WIDE)
-    again = _buckets(wide.join(sigs, "id"), FURTHER, rows, "component", outer="bucket", bands=bands)
-    again = again.join(again.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
-    every = sized.where(F.col("members") <= WIDE).select("bucket", "id", "component", "members").unionByName(again.select("bucket", "id", "component", "members"))
-    blocks = F.ceil(F.col("members") / BLOCK)
-    placed = every.withColumn("mine", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    keyed = placed.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), side.alias("side"), "id", "component")
-    sets = folded_sets(by_ids(docs.select("doc_id", "text"), mixed.select(F.col("id").alias("doc_id")).distinct(), "left_semi"), size).dropDuplicates(["id"])
+    out = F.col("component") != F.col("major")
+    outer, inner = F.ceil(F.col("outside") / BLOCK), F.ceil((F.col("members") - F.col("outside")) / BLOCK)
+    mine = F.pmod(F.xxhash64("id"), F.when(out, outer).otherwise(inner))
+    blocks = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+    among = F.transform(blocks(outer), lambda j: cell(0, F.least("mine", j), F.greatest("mine", j), F.when(F.col("mine") == j, 2).when(F.col("mine") < j, 0).otherwise(1)))
+    across = F.transform(blocks(inner), lambda j: cell(1, F.col("mine"), j, F.lit(1)))
+    within = F.transform(blocks(outer), lambda j: cell(1, j, F.col("mine"), F.lit(0)))
+    placed = mixed.withColumn("mine", mine).withColumn("cell", F.explode(F.when(out, F.concat(among, across)).otherwise(within)))
+    keyed = placed.select(F.xxhash64("bucket", "cell.kind", "cell.x", "cell.y").alias("key"), "cell.side", "id", "component")
+    sets = folded_sets(_texts(docs, classes, mixed.select("id").distinct()), size)
     names = ["id", "component", "side", "n", "folded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,38 +290,45 @@ def _cross_pairs(mixed: DataFrame, sigs: DataFrame, docs: DataFrame, size: int,
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _buckets(sigs: DataFrame, count: int, rows: int, *keep: str, outer: str | None = None, bands: int = 0) -> DataFrame:
-    """(bucket, id): a hash for each band of each signature; inside an outer bucket, of it and ``count`` bands from a
-    place that the outer bucket's hash picks."""
-    start = F.pmod(F.col(outer), F.lit(bands)).cast("int") if outer else F.lit(0)
-    place = (lambda i: (start + i) % bands) if outer else (lambda i: i)
-    hashed = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(*([F.col(outer)] if outer else []), i, F.substring(F.col("sig"), place(i) * rows + 1, F.lit(rows))))
-    return sigs.select(F.explode(hashed).alias("bucket"), "id", *keep)
+def _buckets(sigs: DataFrame, count: int, rows: int) -> DataFrame:
+    """(bucket, id): a hash for each band of each signature."""
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * rows + 1, F.lit(rows))))
+    return sigs.select(F.explode(hashed).alias("bucket"), "id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row: links are similarities of ``percent`` or more."""
+    """doc_id, text_hash, n_shingles, component_id, kept of each row: links are similarities of ``percent`` or more.
+
+    component_id is the least doc_id that a row's text reaches; text_hash is Spark's xxhash64 of the text.
+    """
     slots, share = bands * rows, percent / 100
     least = math.floor(slots * (share - 6 * math.sqrt(share * (1 - share) / slots)))
     signed = cut(signatures(docs, size, slots))
-    filled = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    sigs = cut(filled.join(classes, [filled["digest"] == classes["digest"], filled["doc_id"] == classes["id"]], "left_semi").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]))
+    usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    grouped = signed.where(usable).groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.any_value("sig").alias("sig"), F.count("*").alias("n"))
+    classes = cut(grouped.select("digest", "row.doc_id", "row.text_hash", "sig", "n", F.monotonically_increasing_id().alias("id")))
+    sigs = classes.select("id", "sig")
     banded = _buckets(sigs, bands, rows)
     hub = F.min_by("id", F.xxhash64("bucket", "id")).alias("hub")
-    hubs = banded.groupBy("bucket").agg(hub, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket", "hub")
-    shared = cut(banded.join(hubs, "bucket"))  # members of buckets with several
-    star = shared.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    links = cut(_verified(cut(_likely(star, sigs, least)), docs, size, percent))
+    hubs = cut(banded.groupBy("bucket").agg(hub, F.count("*").alias("n")).where("n > 1"))  # buckets with several members
+    shared = cut(salted_join(banded, hubs.select("bucket", "hub"), "bucket", "id", hubs.select("bucket", "n")))
+    star = cut(shared.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
+    links = cut(_verified(cut(_likely(star, sigs, least)), docs, classes, size, percent))
     found = components(links)
-    labelled = shared.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("bucket")
-    more = cut(_cross_pairs(labelled.join(several, "bucket", "left_semi"), sigs, docs, size, percent, bands, rows))
+    labelled = cut(shared.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    kinds = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
+    several = cut(kinds.agg(F.sum("n").alias("members"), F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0 AND members > 2"))
+    mixed = cut(salted_join(labelled, several, "bucket", "id", several.select("bucket", F.col("members").alias("n"))))
+    more = cut(_cross_pairs(mixed, docs, classes, size, percent))
     if not more.isEmpty():
-        more = cut(_verified(more, docs, size, percent))
+        more = cut(_verified(more, docs, classes, size, percent))
         if not more.isEmpty():
             found = components(links.union(more))
-    named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    known = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return known.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked = cut(found.join(classes.select("id", "doc_id"), "id"))
+    lows = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = salted_join(linked.select("id", "component"), lows, "component", "id").select("id", "component_id")
+    by_class = classes.join(named, "id", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ours = salted_join(signed.where(usable), by_class, "digest", "doc_id", classes.select("digest", "n"))
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    alone = signed.where(~usable).withColumn("component_id", F.col("doc_id"))
+    return ours.select(columns).unionByName(alone.select(columns)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -61,7 +61,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles are similar by 85 percent or more."""
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85).drop("text_hash")
 
 
 QUERIES = {

@@ -1,4 +1,4 @@
-"""Joins with ids, and cutting lineage in the folder that the cluster shares."""
+"""Joins with ids and with hot keys, and cutting lineage in the folder that the cluster shares."""
 
 from __future__ import annotations
 
@@ -7,13 +7,31 @@ from pyspark.sql import functions as F
 
 from terradelta.checkpoints import cut, shared_folder
 
-__all__ = ["by_ids", "cut", "shared_folder"]
+__all__ = ["by_ids", "cut", "salted_join", "shared_folder"]
 
 #: Up to so many ids (8 bytes each) are sent to tasks; more are joined by a shuffle.
 SENT_IDS = 1_000_000
+#: A key with more than one in so many of the rows is dealt to several tasks; there are at most so many such keys.
+SHARES = 1000
 
 
-def by_ids(df: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
-    """Semi or anti join with a table of distinct ids, without a shuffle of ``df`` while the ids are few (they are counted)."""
+def by_ids(df: DataFrame, ids: DataFrame, how: str, *columns: str) -> DataFrame:
+    """Join with a table of ids (``doc_id``, or these columns), without a shuffle of ``df`` while the ids are few (they are counted)."""
     ids = cut(ids)
-    return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, column, how)
+    return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, list(columns) or ["doc_id"], how)
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, sizes: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``big`` with ``small``, whose keys are unique, that deals hot keys to several tasks.
+
+    A key with more than one in ``SHARES`` of big's rows gets salts, one for each such share of the rows: big's rows take
+    one by a hash of ``spread``, and small's row is repeated under each. Hot keys are at most ``SHARES`` and their salts
+    at most twice as many, whatever the tables' sizes. sizes: (key, n) of big's rows, where they are known already.
+    """
+    sizes = big.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = cut(sizes.where(F.col("n") > max(1.0, total / SHARES)).select(key, F.ceil(F.col("n") * SHARES / max(1, total)).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts)).drop("_salts")
+    right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terradelta.llm import audio, bpe, decontaminate, language_id, line_dedup, minhash, quality, registry, token_counts, url_filter, warc
+from terradelta.llm import audio, bpe, decontaminate, language_id, line_dedup, minhash, quality, registry, shared, token_counts, url_filter, warc
 from terradelta.llm import shingles as S
 
 SF = "/root/testdata/sf0.001"
@@ -144,10 +144,9 @@ def brute_components(texts, size, percent):
     return [(len(sets[i]), root(i), root(i) == i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("size", "percent", "wide"), [(3, 85, 4096), (5, 80, 8)])
-def test_near_duplicates_are_all_pairs_components(spark, corpus, monkeypatch, size, percent, wide):
-    monkeypatch.setattr(minhash, "WIDE", wide)
-    monkeypatch.setattr(minhash, "BLOCK", 8 if wide == 8 else 512)
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 85, 512), (5, 80, 4)])
+def test_near_duplicates_are_all_pairs_components(spark, corpus, monkeypatch, size, percent, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     got = minhash.near_duplicates(docs(spark, corpus), size, percent).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id, r.kept) for r in got] == brute_components(corpus, size, percent)
 
@@ -160,6 +159,57 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_each_text_of_a_repeated_doc_id_is_judged(spark):
+    one, two, alone = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(5, one), (5, two), (3, one + " x"), (7, two + " x"), (7, alone), (2, "y " + one)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2, 2, True), (3, 2, False), (5, 2, False), (5, 5, True), (7, 5, False), (7, 7, True)]
+
+
+@pytest.mark.parametrize("edits", [2, 4])
+def test_a_large_group_near_the_threshold_loses_no_link(spark, monkeypatch, edits):
+    """One text in 1500 versions of which each differs in a few words: many pairs are just above or just below 85 %."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rng = random.Random(edits)
+    base = [f"w{i}" for i in range(140)]
+    texts = []
+    for _ in range(1500):
+        v = list(base)
+        for k in rng.sample(range(len(v)), edits):
+            v[k] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(v))
+    sets = [sorted({hash(s) for s in shingle_set(t, 3)}) for t in texts]
+    place = {h: i for i, h in enumerate(sorted({h for s in sets for h in s}))}
+    grid = np.zeros((len(texts), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        grid[i, [place[h] for h in s]] = 1
+    common, n = grid @ grid.T, grid.sum(1)
+    linked = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+    low, before = np.arange(len(texts)), None
+    while before is None or (low != before).any():
+        before, low = low, np.where(linked, low[None, :], len(texts)).min(1)
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 3, 85).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == low.tolist()
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark):
+    big = spark.range(20000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.range(19000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    got = shared.salted_join(big, small, "k", "id")
+    assert got.columns == ["k", "id", "v"] and got.count() == 10000 + 9500 and got.where("v <> 3 * k").isEmpty()
+    assert shared.salted_join(big.limit(0), small, "k", "id").count() == 0
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        parts = shared.salted_join(big, small, "k", "id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(r["count"] for r in parts) < 8000
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (20, 200, 2000):
