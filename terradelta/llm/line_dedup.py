@@ -5,13 +5,18 @@ than ``min_chars`` code points are left alone. *Postings* (key, doc_id) say whic
 (key, n_docs, keeper) count them and name the largest doc_id. A key held by ``min_docs`` documents or more loses its
 lines everywhere but in its keeper.
 
-The references are the truth; cuckoo filters, one per shard of the key space, answer cheaply that a key is not among
-those of interest, and unlike Bloom filters they forget keys again. A filter may err only towards "perhaps", and what it
-lets pass is joined with the references. Filters travel to the tasks only while all of them together stay under
-``FILTER_BYTES``; beyond, the exact join runs without them and gives the same rows.
+A ``LineStore`` keeps both as tables to which every change appends rows with its version, and one cuckoo filter for each
+shard of the key space. When documents come, the new keys are counted and dealt to their shards, where a task asks its
+shard's filter which of them may be known: only those are looked up in the references; all others are new for sure,
+are appended without a look-up, and enter the filter. When documents go, the counts of their keys are renewed, and keys
+that no document holds any more leave their filter, as cuckoo filters, unlike Bloom filters, can forget. The references
+are the truth: a filter errs only towards "perhaps". A shard is planned for ``capacity`` keys; when the store outgrows
+its shards, their number is doubled and the filters are built anew from the references. No filter leaves its shard's task.
 
 A key is kept as 16 bytes of BLAKE2b. No step gathers the holders of a key: counts and maxima are combined before the
-shuffle, and joins on keys are plain joins, whose hot keys Spark splits.
+shuffle, shards hold distinct keys only, and joins of postings with keys salt the hot ones. To drop lines, the keys held
+by enough documents are sent to the tasks while they are no more than ``SENT_KEYS`` (counted), so that no text is
+shuffled; beyond, each document's lost keys are joined to its text. Both give the same rows.
 
 Null or empty text is one empty line and loses nothing. Rows with a null doc_id neither count nor lose lines. Rows that
 repeat a doc_id are one document: a key counts once for it, and every such row loses the same keys. Other columns of the
@@ -32,13 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradelta.llm.bpe import small
-from terradelta.llm.shared import cut, shared_folder
+from terradelta.llm.shared import SENT_IDS, by_ids, cut, salted_join, shared_folder
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: The filters are sent to tasks only if they take no more than this together.
-FILTER_BYTES = 32 << 20
-#: Keys a shard's filter is planned for.
+#: Keys a shard's filter is planned for (about 1 MB).
 KEYS_PER_SHARD = 200_000
+#: Up to so many keys with their keepers (24 bytes each) are sent to tasks.
+SENT_KEYS = 1_000_000
+#: Batches that ``dedup_lines`` adds a table in.
+BATCHES = 2
+#: Versions of a table that are read together before they are merged.
+MOST_VERSIONS = 16
 
 _BLANK = " \t\n\v\f\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -143,6 +152,9 @@ class CuckooFilter:
                 at = np.flatnonzero(self.stash == self._stashed(np.array([p]), np.array([min(a, b)]))[0])
                 self.stash = np.delete(self.stash, at[:1])
 
+    def size(self) -> int:
+        return int(np.count_nonzero(self.slots)) + len(self.stash)
+
     def dump(self) -> bytes:
         np.savez(out := io.BytesIO(), slots=self.slots, stash=self.stash)
         return out.getvalue()
@@ -153,170 +165,255 @@ class CuckooFilter:
         return cls(0, got["slots"], got["stash"])
 
 
-def shard_of(keys, shards: int) -> np.ndarray:
-    return (_words(keys)[:, 1] % np.uint64(shards)).astype(np.int32)
+def _by_shard(keys: DataFrame, filters: DataFrame, shards: int, step, out: str) -> DataFrame:
+    """``step(shard, filter or None, keys)`` for each shard, in a task of its own. keys: (key, ...), each key once."""
 
+    def run(key: tuple, own: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        return step(key[0], CuckooFilter.load(stored["filter"].iloc[0]) if len(stored) else None, own)
 
-def build_filters(keys: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter) over a table of distinct keys."""
+    dealt = keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, out)
 
-    def tag(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.assign(shard=shard_of(p["key"], shards))
 
-    def build(p: pd.DataFrame) -> pd.DataFrame:
-        f = CuckooFilter(len(p))
-        f.add(list(p["key"]))
-        return pd.DataFrame({"shard": [p["shard"].iloc[0]], "filter": [f.dump()]})
+_FILTER = "shard int, filter binary, n_keys long"
 
-    return keys.select("key").mapInPandas(tag, "key binary, shard int").groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
+def _changed(keys: DataFrame, filters: DataFrame, shards: int, capacity: int, add: bool) -> DataFrame:
+    """The filters with these keys added, or removed. filters: (shard, filter, n_keys)."""
 
-def shards_for(n_keys: int) -> int:
-    return max(1, -(-n_keys // KEYS_PER_SHARD))
+    def step(shard: int, f: CuckooFilter | None, own: pd.DataFrame) -> pd.DataFrame:
+        f = f or CuckooFilter(capacity)
+        if len(own):
+            (f.add if add else f.remove)(list(own["key"]))
+        return pd.DataFrame({"shard": [shard], "filter": [f.dump()], "n_keys": [f.size()]})
 
+    return _by_shard(keys.select("key"), filters, shards, step, _FILTER)
 
-def load_filters(filters: DataFrame, limit: int = FILTER_BYTES):
-    """The filters for use in tasks, or None if they take more than the limit."""
-    size = filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-    return None if size > limit else {r["shard"]: r["filter"] for r in filters.toLocalIterator()}
 
+def _probed(counted: DataFrame, filters: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """Of each shard: its keys, with ``perhaps`` where its filter may hold them, and a row with the filter after those that
+    it surely did not hold were added."""
 
-def probe(posted: DataFrame, filters: dict[int, bytes] | None, shards: int, keep: bool = True) -> DataFrame:
-    """The postings whose key a filter may hold (``keep``), or surely does not hold (not ``keep``)."""
-    if filters is None:
-        return posted if keep else posted.limit(0)
-    sent = posted.sparkSession.sparkContext.broadcast(filters)
+    def step(shard: int, f: CuckooFilter | None, own: pd.DataFrame) -> pd.DataFrame:
+        f = f or CuckooFilter(capacity)
+        keys = list(own["key"])
+        perhaps = f.contains(keys) if keys else np.zeros(0, bool)
+        if not perhaps.all():
+            f.add([k for k, p in zip(keys, perhaps, strict=True) if not p])
+        after = pd.DataFrame({"shard": [shard], "filter": [f.dump()], "n_keys": [f.size()]})
+        return pd.concat([own[["key", "n_docs", "keeper"]].assign(shard=shard, perhaps=perhaps), after])[["key", "n_docs", "keeper", "perhaps", *after.columns]].astype({"n_docs": "Int64", "keeper": "Int64", "perhaps": "boolean", "n_keys": "Int64"})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = {k: CuckooFilter.load(v) for k, v in sent.value.items()}
-        for b in batches:
-            keys = b.column("key").to_pylist()
-            hit = np.zeros(len(keys), bool)
-            if keys:
-                shard = shard_of(keys, shards)
-                for k in np.unique(shard):
-                    if int(k) in loaded:
-                        at = np.flatnonzero(shard == k)
-                        hit[at] = loaded[int(k)].contains([keys[i] for i in at])
-            yield b.filter(pa.array(hit if keep else ~hit))
+    return _by_shard(counted, filters, shards, step, f"key binary, n_docs long, keeper long, perhaps boolean, {_FILTER}")
 
-    return posted.mapInArrow(run, posted.schema)
 
+def _of_keys(posted: DataFrame, keys: DataFrame) -> DataFrame:
+    """The postings of these distinct keys."""
+    keys = cut(keys.select("key"))
+    return posted.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= SENT_IDS else salted_join(posted, keys, "key", "doc_id")
 
-def dropped_keys(posted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, keys) that each document loses.
 
-    The first count may count a repeated row twice, so it only says which keys may matter; their shard filters pick the
-    postings to look at, and exact counts of distinct documents decide.
-    """
-    busy = cut(references(posted).where(F.col("n_docs") >= min_docs))
-    shards = shards_for(busy.count())
-    filters = load_filters(cut(build_filters(busy, shards)))
-    held = cut(probe(posted, filters, shards).dropDuplicates(["key", "doc_id"]))
-    exact = references(held).where(F.col("n_docs") >= min_docs)
-    lost = held.join(exact, "key").where(F.col("doc_id") != F.col("keeper"))
-    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+_DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
 
-def apply_drops(docs: DataFrame, drops: DataFrame, with_text: bool = False, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Each row without the lines whose key its document loses: doc_id, n_lines, n_dropped, kept_sha256 and, if asked
-    for, the row's other columns with its new text."""
+def _drop(docs: DataFrame, stays, with_text: bool) -> DataFrame:
+    """Each row without the lines that ``stays`` (doc_ids, keys, each line's row, the batch) says go: doc_id, n_lines,
+    n_dropped, kept_sha256, or with text the row's own columns with its new text. A column ``_gone`` does not stay."""
 
-    def kept(text: str | None, keys: list[bytes] | None) -> tuple[str, int, int]:
-        lines = (text or "").split("\n")
-        gone = set(keys or ())
-        left = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
-        return "\n".join(left), len(lines), len(lines) - len(left)
+    def lines_of(part: pa.RecordBatch, min_chars: int = MIN_CHARS) -> Iterator[tuple[list[str], np.ndarray]]:
+        texts = [(t or "").split("\n") for t in part.column("text").to_pylist()]
+        rows = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+        keys = [line_key(x, min_chars) for own in texts for x in own]
+        keep = stays(part, keys, rows)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        for own, lo in zip(texts, at.tolist(), strict=False):
+            yield own, keep[lo : lo + len(own)]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in small(b, 1024):
-                rows = [kept(t, k) for t, k in zip(part.column("text").to_pylist(), part.column("keys").to_pylist(), strict=True)]
-                sha = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t, _, _ in rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([d for _, _, d in rows], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+            for part in small(b):
+                n, dropped, sha = [], [], []
+                for own, keep in lines_of(part):
+                    left = own if keep.all() else [x for x, k in zip(own, keep, strict=True) if k]
+                    n.append(len(own))
+                    dropped.append(len(own) - len(left))
+                    sha.append(hashlib.sha256("\n".join(left).encode("utf-8")).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in small(b, 1024):
-                at = part.schema.get_field_index("text")
-                texts = [t if not k else kept(t, k)[0] for t, k in zip(part.column("text").to_pylist(), part.column("keys").to_pylist(), strict=True)]
-                columns = [pa.array(texts, part.schema.field(at).type) if i == at else c for i, c in enumerate(part.columns)]
-                names = part.schema.names
-                yield pa.RecordBatch.from_arrays([c for c, n in zip(columns, names, strict=True) if n != "keys"], [n for n in names if n != "keys"])
+            for part in small(b):
+                texts = part.column("text").to_pylist()
+                for i, (own, keep) in enumerate(lines_of(part)):
+                    if not keep.all():
+                        texts[i] = "\n".join([x for x, k in zip(own, keep, strict=True) if k])
+                names = [n for n in part.schema.names if n != "_gone"]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, part.schema.field(n).type) if n == "text" else part.column(n) for n in names], names)
 
     if with_text:
-        joined = docs.drop("keys").join(drops, "doc_id", "left").select(*[c for c in docs.columns if c != "keys"], "keys")
-        return joined.mapInArrow(rewrite, docs.drop("keys").schema)
-    return docs.select("doc_id", "text").join(drops, "doc_id", "left").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+        return docs.mapInArrow(rewrite, docs.drop("_gone").schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *[c for c in docs.columns if c == "_gone"]).mapInArrow(digest, _DIGEST)
+
+
+def _drop_sent(docs: DataFrame, busy: DataFrame, with_text: bool) -> DataFrame:
+    """busy: (key, keeper), at most ``SENT_KEYS`` rows."""
+    rows = sorted((bytes(r["key"]), r["keeper"]) for r in busy.toLocalIterator())
+    sent = docs.sparkSession.sparkContext.broadcast((np.array([k for k, _ in rows], "S16"), np.array([x for _, x in rows], np.int64)))
+
+    def stays(part: pa.RecordBatch, keys: list[bytes | None], rows: np.ndarray) -> np.ndarray:
+        known, keeper = sent.value
+        keep = np.ones(len(keys), bool)
+        has = np.flatnonzero([k is not None for k in keys])
+        if len(has) and len(known):
+            mine = np.array([keys[i] for i in has], "S16")
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            ids = part.column("doc_id").cast(pa.int64())
+            own = ids.fill_null(0).to_numpy(zero_copy_only=False)[rows[has]]
+            keep[has] = (known[at] != mine) | (keeper[at] == own) | ids.is_null().to_numpy(zero_copy_only=False)[rows[has]]
+        return keep
+
+    return _drop(docs, stays, with_text)
+
+
+def _drop_joined(docs: DataFrame, lost: DataFrame, with_text: bool) -> DataFrame:
+    """lost: (doc_id, _gone), the keys that a document loses; no more than its lines."""
 
+    def stays(part: pa.RecordBatch, keys: list[bytes | None], rows: np.ndarray) -> np.ndarray:
+        gone = [set(x or ()) for x in part.column("_gone").to_pylist()]
+        return np.array([k is None or k not in gone[r] for k, r in zip(keys, rows.tolist(), strict=True)], bool)
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, with_text: bool = False) -> DataFrame:
-    """Drops repeated lines of one table of documents; see ``LineStore`` for documents that come and go."""
-    return apply_drops(docs, dropped_keys(cut(postings(docs)), min_docs), with_text)
+    plain = docs.drop("_gone")
+    return _drop(plain.join(lost, "doc_id", "left").select(*plain.columns, "_gone"), stays, with_text)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, with_text: bool = False, batches: int = BATCHES) -> DataFrame:
+    """Drops repeated lines of one table of documents, which a store takes in batches."""
+    store = LineStore(docs.sparkSession)
+    posted = cut(postings(docs))
+    for k in range(batches):
+        store.add_postings(posted.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    return store.apply(docs, min_docs, with_text)
 
 
 class LineStore:
     """Line dedup over documents that are added and removed; every step can be undone by its opposite.
 
-    Tables in ``folder``, a new version of each per change: postings, references and the shards' filters of all keys
-    with a reference. Adding probes the filters, so that only keys perhaps known are joined with the references; a key
-    whose last document goes leaves both the references and its filter.
+    Tables in ``folder``: postings, removed documents, references and filters, as rows with the version of the change that
+    wrote them, and a state that is written last, so that a change that fails part-way has not happened.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, shards: int = 16):
-        self.spark, self.shards = spark, shards
-        self.folder = folder or f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-        self.version = 0
-        self.posted = spark.createDataFrame([], "key binary, doc_id long")
-        self.refs = spark.createDataFrame([], "key binary, n_docs long, keeper long")
-        self.filters = spark.createDataFrame([], "shard int, filter binary")
+    TABLES = {"postings": "key binary, doc_id long, version long", "removed": "doc_id long, version long", "references": "key binary, n_docs long, keeper long, version long", "filters": f"{_FILTER}, version long"}
 
-    def _save(self, **tables: DataFrame) -> None:
-        self.version += 1
-        for name, df in tables.items():
-            df.write.parquet(f"{self.folder}/{name}/{self.version}")
-        for name in tables:
-            setattr(self, name, self.spark.read.parquet(f"{self.folder}/{name}/{self.version}"))
+    def __init__(self, spark: SparkSession, folder: str | None = None, capacity: int = KEYS_PER_SHARD):
+        self.spark, self.capacity = spark, capacity
+        self.folder = folder or f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+        self.version, self.shards = 0, 1
+        self.paths: dict[str, list[str]] = {t: [] for t in self.TABLES}
 
-    def _edited(self, keys: DataFrame, add: bool) -> DataFrame:
-        """The filters with these keys added or removed, each shard in its own task."""
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LineStore:
+        """The store in a folder, as its last whole change left it."""
+        row = spark.read.parquet(f"{folder}/state/*").orderBy(F.desc("version")).first()
+        store = cls(spark, folder, row["capacity"])
+        store.version, store.shards, store.paths = row["version"], row["shards"], {t: list(row["paths"][t]) for t in cls.TABLES}
+        return store
+
+    def _rows(self, table: str) -> DataFrame:
+        paths = self.paths[table]
+        return self.spark.read.schema(self.TABLES[table]).parquet(*paths) if paths else self.spark.createDataFrame([], self.TABLES[table])
+
+    def _append(self, table: str, rows: DataFrame) -> None:
+        path = f"{self.folder}/{table}/{self.version}-{uuid.uuid4().hex[:8]}"
+        rows.withColumn("version", F.lit(self.version).cast("long")).select([c.split()[0] for c in self.TABLES[table].split(", ")]).write.parquet(path)
+        self.paths[table] = [*self.paths[table], path]
+
+    def _commit(self) -> None:
+        if max(len(p) for p in self.paths.values()) > MOST_VERSIONS:
+            self._merge()
+        state = self.spark.range(1).select(F.lit(self.version).cast("long").alias("version"), F.lit(self.shards).alias("shards"), F.lit(self.capacity).alias("capacity"), F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(p) for p in x]).cast("array<string>") for t in self.paths.items() for x in t]).alias("paths"))
+        state.coalesce(1).write.parquet(f"{self.folder}/state/{self.version}-{uuid.uuid4().hex[:8]}")
+
+    def _merge(self) -> None:
+        """One version of each table; older files stay for those who still read them."""
+        now = {"postings": self.postings(), "references": self.references(), "filters": self.filters()}
+        self.paths |= {t: [] for t in self.TABLES}
+        for table, rows in now.items():
+            self._append(table, rows)
+
+    def postings(self) -> DataFrame:
+        """(key, doc_id) of the documents that the store holds."""
+        rows = self._rows("postings")
+        if not self.paths["removed"]:
+            return rows.select("key", "doc_id")
+        last = self._rows("removed").groupBy("doc_id").agg(F.max("version").alias("gone"))
+        return rows.join(last, "doc_id", "left").where("gone IS NULL OR version > gone").select("key", "doc_id")
+
+    def references(self, keys: DataFrame | None = None) -> DataFrame:
+        """(key, n_docs, keeper) of all keys, or of these, that some document holds."""
+        rows = self._rows("references")
+        if keys is not None:
+            rows = by_ids(rows, keys.select("key"), "left_semi", "key")
+        if len(self.paths["references"]) > 1:
+            rows = rows.groupBy("key").agg(F.max_by(F.struct("n_docs", "keeper"), "version").alias("last")).select("key", "last.*")
+        return rows.where("n_docs > 0").select("key", "n_docs", "keeper")
+
+    def filters(self) -> DataFrame:
+        """(shard, filter, n_keys)."""
+        return self._rows("filters").groupBy("shard").agg(F.max_by(F.struct("filter", "n_keys"), "version").alias("last")).select("shard", "last.*")
+
+    def _make_room(self, more: int) -> None:
+        """Doubles the shards until each has room for the keys that may come; then the filters are built anew."""
+        total = (self._rows("filters").groupBy("shard").agg(F.max_by("n_keys", "version").alias("n")).agg(F.sum("n")).first()[0] or 0) + more
         shards = self.shards
-
-        def tag(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                yield p.assign(shard=shard_of(p["key"], shards))
-
-        def edit(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            f = CuckooFilter.load(old["filter"].iloc[0]) if len(old) else CuckooFilter(KEYS_PER_SHARD)
-            if len(new):
-                (f.add if add else f.remove)(list(new["key"]))
-            return pd.DataFrame({"shard": [(old if len(old) else new)["shard"].iloc[0]], "filter": [f.dump()]})
-
-        tagged = keys.select("key").mapInPandas(tag, "key binary, shard int")
-        return self.filters.groupBy("shard").cogroup(tagged.groupBy("shard")).applyInPandas(edit, "shard int, filter binary")
+        while shards * self.capacity < total:
+            shards *= 2
+        if shards > self.shards:
+            self.shards, known = shards, self.paths["references"]
+            self.paths["filters"] = []
+            if known:
+                self._append("filters", _changed(self.references(), self.filters(), shards, self.capacity, True))
 
     def add(self, docs: DataFrame) -> None:
         """Documents whose doc_id the store already holds are not added again."""
-        new = cut(postings(docs).dropDuplicates(["key", "doc_id"]).join(self.posted.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "doc_id"))
-        counted = cut(references(new))
-        filters = load_filters(self.filters)
-        fresh = probe(counted, filters, self.shards, keep=False)
-        known = probe(counted, filters, self.shards).select("key", F.col("n_docs").alias("more"), F.col("keeper").alias("other"))
-        merged = self.refs.join(known, "key", "full_outer").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("keeper", "other").alias("keeper"))
-        added = cut(counted.join(self.refs.select("key"), "key", "left_anti"))
-        self._save(posted=self.posted.unionByName(new), refs=merged.unionByName(fresh), filters=self._edited(added, True))
+        self.add_postings(cut(postings(docs)))
+
+    def add_postings(self, posted: DataFrame) -> None:
+        """posted: (key, doc_id) of documents, repeats allowed."""
+        self.version += 1
+        new = posted.dropDuplicates(["key", "doc_id"])
+        if self.paths["postings"]:
+            held = by_ids(self.postings(), posted.select("doc_id").distinct(), "left_semi").select("doc_id").distinct()
+            new = by_ids(new, held, "left_anti")
+        self._append("postings", new)
+        counted = cut(references(self.spark.read.parquet(self.paths["postings"][-1])))
+        self._make_room(counted.count())
+        probed = cut(_probed(counted, self.filters(), self.shards, self.capacity))
+        perhaps = probed.where("perhaps").select("key", "n_docs", "keeper")
+        fresh = probed.where("NOT perhaps").select("key", "n_docs", "keeper")
+        after = probed.where("filter IS NOT NULL").select("shard", "filter", "n_keys")
+        known = self.references(perhaps).select("key", F.col("n_docs").alias("before"), F.col("keeper").alias("last"))
+        merged = cut(perhaps.join(known, "key", "left").select("key", (F.col("n_docs") + F.coalesce("before", F.lit(0))).alias("n_docs"), F.greatest("keeper", "last").alias("keeper"), F.col("before").isNull().alias("new")))
+        mistaken = merged.where("new")  # the filter was wrong: they are new and must enter it too
+        self._append("references", fresh.unionByName(merged.drop("new")))
+        self._append("filters", after if mistaken.isEmpty() else _changed(mistaken, after, self.shards, self.capacity, True))
+        self._commit()
 
     def remove(self, doc_ids: DataFrame) -> None:
-        gone = cut(self.posted.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("key", "doc_id"))
-        touched = gone.select("key").distinct()
-        left = cut(self.posted.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "doc_id"))
-        renewed = references(left.join(touched, "key", "left_semi"))
-        emptied = cut(touched.join(left.select("key"), "key", "left_anti"))
-        self._save(posted=left, refs=self.refs.join(touched, "key", "left_anti").unionByName(renewed), filters=self._edited(emptied, False))
+        """Takes documents out; ids that the store does not hold are ignored."""
+        gone = cut(by_ids(self.postings(), doc_ids.select(F.col("doc_id").cast("long")).distinct(), "left_semi"))
+        self.version += 1
+        self._append("removed", gone.select("doc_id").distinct())
+        touched = cut(gone.select("key").distinct())
+        renewed = cut(touched.join(references(_of_keys(self.postings(), touched)), "key", "left").select("key", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "keeper"))
+        self._append("references", renewed)
+        self._append("filters", _changed(renewed.where("n_docs = 0"), self.filters(), self.shards, self.capacity, False))
+        self._commit()
 
     def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS, with_text: bool = False) -> DataFrame:
-        """The store's present counts applied to documents that it holds."""
-        exact = self.refs.where(F.col("n_docs") >= min_docs).select("key", "keeper")
-        lost = self.posted.join(exact, "key").where(F.col("doc_id") != F.col("keeper"))
-        return apply_drops(docs, lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), with_text)
+        """The store's present counts applied to documents that it holds; a document that it does not hold loses what it
+        would lose if a larger doc_id had the key. With text, the row's own columns stay."""
+        busy = cut(self.references().where(F.col("n_docs") >= min_docs))
+        if busy.count() <= SENT_KEYS:
+            return _drop_sent(docs, busy.select("key", "keeper"), with_text)
+        held = salted_join(self.postings(), busy.select("key", "keeper"), "key", "doc_id", busy.select("key", F.col("n_docs").alias("n")))
+        lost = held.where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_list("key").alias("_gone"))
+        return _drop_joined(docs, lost, with_text)

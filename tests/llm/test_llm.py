@@ -271,29 +271,56 @@ def collected(df):
     return sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 0])
-def test_lines_of_three_documents_stay_once(spark, monkeypatch, limit):
-    monkeypatch.setattr(line_dedup.load_filters, "__defaults__", (limit,))
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_lines_of_three_documents_stay_once(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "SENT_KEYS", sent)
     rows = line_rows()
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keys", F.lit("x"))
-    assert collected(line_dedup.dedup_lines(df)) == brute_lines(rows)
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").withColumn("_gone", F.lit("x")).withColumn("key", F.lit(1)).repartition(3)
+    want = brute_lines(rows)
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup_lines(df).collect()]
+    assert sorted(x for x in got if x[0] is not None) == want and [x[2] for x in got if x[0] is None] == [0]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    texts = line_dedup.dedup_lines(df.drop("_gone"), with_text=True)
+    assert texts.columns == ["doc_id", "text", "key"]
+    assert sorted((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in texts.collect() if r.doc_id is not None) == sorted((x[0], x[3]) for x in want)
+
 
+def test_very_long_texts_lose_lines(spark):
+    line = "a line that stands in every one of these documents"
+    rows = [(i, "\n".join([line, *(f"line {k} of document {i} stands alone" for k in range(20000)), line, "x" * 300_000])) for i in range(3)]
+    assert collected(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_lines(rows)
 
-def test_line_store_is_reversible(spark):
+
+@pytest.mark.parametrize("most", [16, 2])
+def test_line_store_is_reversible(spark, monkeypatch, most):
+    """Shards for four keys each, so that the store is resharded; with two versions, its tables are merged on the way."""
+    monkeypatch.setattr(line_dedup, "MOST_VERSIONS", most)
     rows = [r for r in line_rows() if r[0] != 5]
-    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
-    store = line_dedup.LineStore(spark, shards=3)
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string").coalesce(1)
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "doc_id long").coalesce(1)
+    extra = [(200 + k, f"a line that only document {k // 2} and its twin have") for k in range(40)]
+    store = line_dedup.LineStore(spark, capacity=4)
     store.add(frame(rows[:30]))
+    first = store.shards
     store.add(frame(rows[30:]))
+    before = sorted((bytes(r.key), r.n_docs, r.keeper) for r in store.references().collect())
     assert collected(store.apply(frame(rows))) == brute_lines(rows)
+    store.add(frame(extra + rows[:3]))  # the last are there already
+    assert store.shards > first >= 1 and store.shards * store.capacity >= store.references().count()
+    store = line_dedup.LineStore.open(spark, store.folder)
+    assert collected(store.apply(frame(rows + extra))) == brute_lines(rows + extra)
+    store.remove(ids([i for i, _ in extra] + [999]))
+    assert sorted((bytes(r.key), r.n_docs, r.keeper) for r in store.references().collect()) == before
     gone = {3, 8, 59, 61}
-    store.remove(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+    store.remove(ids(gone))
     left = [r for r in rows if r[0] not in gone]
     assert collected(store.apply(frame(left))) == brute_lines(left)
-    known = [bytes(r.key) for r in store.refs.collect()]
-    filters = {r.shard: line_dedup.CuckooFilter.load(r.filter) for r in store.filters.collect()}
-    assert all(filters[s].contains([k])[0] for k, s in zip(known, line_dedup.shard_of(known, 3), strict=True))
+    store.add(frame([r for r in rows if r[0] in gone]))
+    assert collected(store.apply(frame(rows))) == brute_lines(rows)
+    assert sorted((bytes(r.key), r.n_docs, r.keeper) for r in store.references().collect()) == before
+    known = store.references().select("key", F.pmod(F.xxhash64("key"), F.lit(store.shards)).alias("shard")).collect()
+    filters = {r.shard: line_dedup.CuckooFilter.load(r.filter) for r in store.filters().collect()}
+    assert all(filters[r.shard].contains([bytes(r.key)])[0] for r in known) and sum(f.size() for f in filters.values()) == len(known)
 
 
 def test_cuckoo_filter_loses_nothing_and_forgets():
