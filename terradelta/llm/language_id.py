@@ -1,23 +1,24 @@
 """Language identification by a bidirectional GRU over bytes, trained here in numpy.
 
-A text's words (runs of letters, lower case) are read byte by byte in both directions, in pieces of at most ``SPAN``
-bytes; the network labels every byte position with language probabilities, and a document's probabilities are the mean
-over all positions of its whole text. As the network starts anew in each word, a word's labels never change, so each
-worker keeps the sums of recent words and runs the network on new ones only, many words side by side.
-
-Training is backpropagation through time with Adam on the driver, on a bounded sample: at most ``SAMPLE_DOCS`` training
-documents for each language, chosen by a hash of the doc_id, and ``SAMPLE_WORDS`` words of each. Only the words and
-their documents' language are seen; a prediction sees only the text.
+A text's UTF-8 bytes (A-Z as lower case) are read in both directions; the network labels every byte position, blanks,
+digits and signs included, with language probabilities, and a document's probabilities are the mean over all positions of
+its whole text. A text is read in spans of ``SPAN`` bytes side by side. Each span starts ``CONTEXT`` bytes before its first
+position and ends as far after its last, so the states of both directions reach every labelled position having read what
+is around it, across words, lines and spans; positions of the overlap are labelled once, in their own span. Spans are
+sorted by length, so that each step works on those rows only that still have bytes. Gates are piecewise linear sigmoids.
+
+Training is backpropagation through time with Adam on the driver, on a bounded sample of labelled documents: at most
+``SAMPLE_DOCS`` for each language, chosen by a hash of the doc_id. Their whole texts are used: windows of ``WINDOW`` bytes
+are drawn evenly over all of a language's bytes, and languages evenly. Only texts and their languages are seen; a
+prediction sees only the text. The languages, one row each, are known to the driver, as they are the network's outputs.
 
 Null and empty texts and those without a letter are ``und`` with score 0. Documents with null lang are predicted but not
-learned from; so are rows with a null doc_id. With no training document at all, all are ``und``. Rows that repeat a
-doc_id give a row each. Other columns are ignored, whatever their names.
+learned from; so are rows with a null doc_id. With no training document at all, all are ``und``, and ``accept`` has no
+ground to reject any. Rows that repeat a doc_id give a row each. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,30 +28,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terradelta.llm.bpe import small
+from terradelta.llm.shared import cut
 
-SAMPLE_DOCS, SAMPLE_WORDS = 500, 40
-SPAN, HIDDEN, STEPS, BATCH = 24, 16, 350, 512
-CACHE_WORDS = 400_000
+SAMPLE_DOCS = 500
+SPAN, CONTEXT, ROWS = 232, 24, 2048
+HIDDEN, STEPS, BATCH, WINDOW = 12, 150, 192, 64
 UNKNOWN = "und"
-#: Documents below this score are not of any learned language; see ``reject``.
-LEAST_SCORE = 0.4
-
-_words = re.compile(r"[^\W\d_]+").findall
-
+#: Documents below this score are not of any learned language; see ``accept``.
+LEAST_SCORE = 0.3
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text; none if it has no letter."""
-    found = _words((text or "").lower())
-    return found if any(w.isalpha() or any(map(str.isalpha, w)) for w in found) else []
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
 
-def pieces(word: str) -> list[bytes]:
-    raw = word.encode("utf-8")
-    return [raw] if len(raw) <= SPAN else [raw[i : i + SPAN] for i in range(0, len(raw), SPAN)]
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _gate(x: np.ndarray) -> np.ndarray:
+    return np.clip(0.2 * x + 0.5, 0, 1)
 
 
 class ByteGru:
@@ -67,11 +63,11 @@ class ByteGru:
     def _layer(self, way: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         """States after each position, [time, row, hidden]. keep: gets what the way back needs."""
         wx, wh, n = self.p[f"x{way}"], self.p[f"h{way}"], self.hidden
-        h = np.zeros((x.shape[1], n), np.float32)
-        out = np.zeros((*x.shape, n), np.float32)
+        h = np.zeros((x.shape[1], n), wx.dtype)
+        out = np.zeros((*x.shape, n), wx.dtype)
         for t in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
             a, b = wx[x[t]], h @ wh
-            gates = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
+            gates = _gate(a[:, : 2 * n] + b[:, : 2 * n])
             z, r = gates[:, :n], gates[:, n:]
             new = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
             after = np.where(mask[t][:, None], z * h + (1 - z) * new, h)
@@ -85,9 +81,7 @@ class ByteGru:
         states = np.concatenate([self._layer(w, x, mask, None if keep is None else keep.setdefault(w, [])) for w in "fb"], 2)
         if keep is not None:
             keep["states"] = states
-        a = states @ self.p["out"] + self.p["bias"]
-        a = np.exp(a - a.max(2, keepdims=True))
-        return a / a.sum(2, keepdims=True)
+        return _softmax(states @ self.p["out"] + self.p["bias"])
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy over positions, by backpropagation through time. y: a language for each row."""
@@ -95,31 +89,50 @@ class ByteGru:
         d = self.positions(x, mask, keep)
         d[:, np.arange(len(y)), y] -= 1
         d *= (mask / mask.sum())[:, :, None]
-        g = {"out": np.einsum("tbi,tbj->ij", keep["states"], d), "bias": d.sum((0, 1))}
+        g = {"out": np.tensordot(keep["states"], d, ([0, 1], [0, 1])), "bias": d.sum((0, 1))}
         above, n = d @ self.p["out"].T, self.hidden
         for k, way in enumerate("fb"):
             wh = self.p[f"h{way}"]
             gx, gh = np.zeros_like(self.p[f"x{way}"]), np.zeros_like(wh)
-            carry = np.zeros((x.shape[1], n), np.float32)
+            seen, each = [], []
+            carry = np.zeros((x.shape[1], n), wh.dtype)
+            slope = lambda q: 0.2 * ((q > 0) & (q < 1))
             for t, h, z, r, new, inner in reversed(keep[way]):
                 total = carry + above[t][:, k * n : (k + 1) * n]
                 dh = np.where(mask[t][:, None], total, 0)
                 dn = dh * (1 - z) * (1 - new * new)
-                da = np.concatenate([dh * (h - new) * z * (1 - z), dn * inner * r * (1 - r), dn], 1)
+                da = np.concatenate([dh * (h - new) * slope(z), dn * inner * slope(r), dn], 1)
                 db = np.concatenate([da[:, : 2 * n], dn * r], 1)
-                np.add.at(gx, x[t], da)
+                seen.append(x[t])
+                each.append(da)
                 gh += h.T @ db
                 carry = np.where(mask[t][:, None], dh * z + db @ wh.T, total)
+            seen = np.concatenate(seen)
+            order = np.argsort(seen, kind="stable")
+            values, first = np.unique(seen[order], return_index=True)
+            gx[values] = np.add.reduceat(np.concatenate(each)[order], first, 0)
             g |= {f"x{way}": gx, f"h{way}": gh}
         return g
 
-    def fit(self, rows: list[tuple[bytes, int]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11) -> ByteGru:
+    def fit(self, texts: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11) -> ByteGru:
+        """texts: of each language. A window is drawn by its place among all bytes of its language."""
         rng = np.random.default_rng(seed)
+        runs = [np.frombuffer(b"".join(own), np.uint8) for own in texts]
+        ends = [np.cumsum([len(t) for t in own]) for own in texts]
+        usable = np.array([k for k, run in enumerate(runs) if len(run)])
+        if not len(usable):
+            return self
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for step in range(1, steps + 1):
-            picked = [rows[i] for i in rng.integers(0, len(rows), batch)]
-            g = self.gradients(*padded([r for r, _ in picked]), np.array([y for _, y in picked]))
+            y = usable[rng.integers(0, len(usable), batch)]
+            windows = []
+            for k in y:
+                at = int(rng.integers(0, len(runs[k])))
+                doc = int(np.searchsorted(ends[k], at, "right"))
+                lo = max(int(ends[k][doc - 1]) if doc else 0, at - WINDOW // 2)
+                windows.append(runs[k][lo : min(int(ends[k][doc]), lo + WINDOW)])
+            g = self.gradients(*padded(windows), y)
             now = rate * (1 - step / (steps + 1))
             for k in self.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -127,25 +140,83 @@ class ByteGru:
                 self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return self
 
-    def sums(self, words: list[str]) -> np.ndarray:
-        """For each word: its positions' probabilities summed, and their number."""
-        cut = [(p, i) for i, w in enumerate(words) for p in pieces(w)]
-        cut.sort(key=lambda x: len(x[0]))
-        out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        for at in range(0, len(cut), 2048):
-            part = cut[at : at + 2048]
-            x, mask = padded([p for p, _ in part])
-            probs = (self.positions(x, mask) * mask[:, :, None]).sum(0)
-            np.add.at(out, [i for _, i in part], np.concatenate([probs, mask.sum(0)[:, None]], 1))
-        return out
+    def _parts(self, way: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """A layer's weights for each gate apart, with the gates' slope and middle taken in, and its share of the output."""
+        n, k = self.hidden, "fb".index(way)
+        x, h = np.split(self.p[f"x{way}"][_FOLD], 3, 1), np.split(self.p[f"h{way}"], 3, 1)
+        scale = [np.float32(0.2), np.float32(0.2), np.float32(1)]
+        xs = [np.ascontiguousarray(a * s + (np.float32(0.5) if i < 2 else 0), np.float32) for i, (a, s) in enumerate(zip(x, scale, strict=True))]
+        return xs, [np.ascontiguousarray(a * s, np.float32) for a, s in zip(h, scale, strict=True)], np.ascontiguousarray(self.p["out"][k * n : (k + 1) * n], np.float32)
+
+    def _outputs(self, way: str, x: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """A layer's share of the outputs of each step's active rows (the first ones), step by step."""
+        xs, hs, out = self._parts(way)
+        n = self.hidden
+        h, (a, b, c, d) = np.zeros((x.shape[1], n), np.float32), (np.empty((x.shape[1], n), np.float32) for _ in range(4))
+        found = np.empty((int(active.sum()), len(self.languages)), np.float32)
+        at = 0
+        for t, rows in enumerate(active.tolist()):
+            i, now, z, r, inner, read = x[t, :rows], h[:rows], a[:rows], b[:rows], c[:rows], d[:rows]
+            for gate, wx, wh in ((z, xs[0], hs[0]), (r, xs[1], hs[1])):
+                np.matmul(now, wh, out=gate)
+                gate += np.take(wx, i, 0, read, "clip")
+                np.clip(gate, 0, 1, out=gate)
+            np.matmul(now, hs[2], out=inner)
+            inner *= r
+            inner += np.take(xs[2], i, 0, read, "clip")
+            np.tanh(inner, out=inner)
+            now -= inner
+            now *= z
+            now += inner
+            np.matmul(now, out, out=found[at : at + rows])
+            at += rows
+        return found
+
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text: the probabilities summed over all its positions, [text, language]."""
+        total = np.zeros((len(texts), len(self.languages)))
+        spans = [(k, i) for k, t in enumerate(texts) for i in range(0, len(t), SPAN)]
+        for lo in range(0, len(spans), ROWS):
+            some = spans[lo : lo + ROWS]
+            cut_out = [texts[k][max(0, i - CONTEXT) : i + SPAN + CONTEXT] for k, i in some]
+            order = sorted(range(len(some)), key=lambda j: -len(cut_out[j]))
+            size = np.array([len(cut_out[j]) for j in order])
+            doc = np.array([some[j][0] for j in order])
+            skip = np.array([min(some[j][1], CONTEXT) for j in order])  # positions before the span's own
+            own = np.array([min(SPAN, len(texts[some[j][0]]) - some[j][1]) for j in order])
+            steps = np.arange(size[0])[:, None]
+            active = (steps < size).sum(1)
+            first = np.concatenate([[0], np.cumsum(size)])[:-1]
+            data = np.frombuffer(b"".join([cut_out[j] for j in order]), np.uint8)
+            ahead = data[np.minimum(first + steps, len(data) - 1)]
+            back = data[np.maximum(first + size - 1 - steps, 0)]
+            start = np.concatenate([[0], np.cumsum(active)])  # of each step's outputs
+            row = np.repeat(np.arange(len(size)), own)
+            begin = np.concatenate([[0], np.cumsum(own)])[:-1]
+            t = np.arange(len(row)) - begin[row] + skip[row]
+            z = self._outputs("f", ahead.astype(np.intp), active)[start[t] + row]
+            z += self._outputs("b", back.astype(np.intp), active)[start[size[row] - 1 - t] + row]
+            z += self.p["bias"]
+            np.add.at(total, doc, np.add.reduceat(_softmax(z), begin, 0, dtype=np.float64))
+        return total
 
+    def read(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        raw = [t.encode("utf-8") if has_letter(t) else b"" for t in texts]
+        return [(self.languages[int(p.argmax())], min(1.0, round(float(p.max()) / len(r), 6))) if r else (UNKNOWN, 0.0) for p, r in zip(self.sums(raw), raw, strict=True)]
 
-def padded(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and mask, [time, row]."""
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(np.clip(z, -40, 40))
+    return z / (z @ np.ones((z.shape[-1], 1), z.dtype))
+
+
+def padded(raw: list) -> tuple[np.ndarray, np.ndarray]:
+    """Folded bytes and mask, [time, row]."""
     n = np.array([len(r) for r in raw])
     mask = np.arange(n.max()) < n[:, None]
     x = np.zeros(mask.shape, np.int64)
-    x[mask] = np.frombuffer(b"".join(raw), np.uint8)
+    x[mask] = _FOLD[np.concatenate([np.frombuffer(r, np.uint8) for r in raw])]
     return np.ascontiguousarray(x.T), np.ascontiguousarray(mask.T)
 
 
@@ -154,62 +225,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> ByteGru | None:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteGru | None:
     """The network, from the labelled documents outside the held-out fold; None if there are none."""
-    labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("i"), "lang", "text")
+    counts = cut(labelled.groupBy("lang").count())
+    names = sorted(r["lang"] for r in counts.select("lang").collect())  # a row for each language
+    if not names:
         return None
     space = 1 << 30
-    chance = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(space, int(space * 1.5 * sample_docs / n) + 1))])
-    order = F.xxhash64("doc_id")
-    some = labelled.where(F.pmod(order, F.lit(space)) < chance[F.col("lang")]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "text"))).where(F.col("k") <= sample_docs)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, chosen = [], []
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = words_of(text)
-                rng = np.random.default_rng(zlib.crc32((text or "").encode("utf-8")))
-                own = [own[i] for i in rng.integers(0, len(own), sample_words)] if own else []
-                langs += [lang] * len(own)
-                chosen += own
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chosen, pa.string())], ["lang", "word"])
-
-    rows = sorted((r["lang"], r["word"]) for r in some.select("lang", "text").mapInArrow(pick, "lang string, word string").toLocalIterator())
-    names = sorted(counts)
-    index = {k: i for i, k in enumerate(names)}
-    data = [(p, index[lang]) for lang, word in rows for p in pieces(word)]
-    return ByteGru(names).fit(data) if data else None
-
-
-class _Reader:
-    """Predicts texts with a cache of words."""
-
-    def __init__(self, model: ByteGru):
-        self.model, self.rows = model, {}
-        self.table = np.zeros((CACHE_WORDS + 1, len(model.languages) + 1), np.float32)
-
-    def read(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        cut = [words_of(t) for t in texts]
-        new = list({w for own in cut for w in own if w not in self.rows})
-        if len(self.rows) + len(new) > CACHE_WORDS:
-            self.rows, new = {}, list({w for own in cut for w in own})
-        if len(self.rows) + len(new) >= len(self.table):
-            self.table = np.zeros((len(new) + 1, self.table.shape[1]), np.float32)
-        if new:
-            at = len(self.rows)
-            self.table[at : at + len(new)] = self.model.sums(new)
-            self.rows.update(zip(new, range(at, at + len(new)), strict=True))
-        out = []
-        for own in cut:
-            if own:
-                total = self.table[np.fromiter(map(self.rows.__getitem__, own), np.int64, len(own))].sum(0, dtype=np.float64)
-                best = int(total[:-1].argmax())
-                out.append((self.model.languages[best], float(min(1.0, total[best] / total[-1]))))
-            else:
-                out.append((UNKNOWN, 0.0))
-        return out
+    order = F.xxhash64("i")
+    chance = F.least(F.lit(float(space)), space * 1.5 * sample_docs / F.col("count") + 1)
+    likely = labelled.join(F.broadcast(counts), "lang").where(F.pmod(order, F.lit(space)) < chance)
+    some = likely.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "text"))).where(F.col("k") <= sample_docs)
+    texts: dict[str, list[bytes]] = {k: [] for k in names}
+    for r in sorted(some.select("lang", "k", "text").toLocalIterator(), key=lambda r: (r["lang"], r["k"])):
+        if has_letter(r["text"]):
+            texts[r["lang"]].append(r["text"].encode("utf-8"))
+    return ByteGru(names).fit([texts[k] for k in names]) if any(texts.values()) else None
 
 
 def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
@@ -219,10 +251,10 @@ def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(sent.value)
+        model = sent.value
         for b in batches:
-            for part in small(b):
-                rows = reader.read(part.column(1).to_pylist())
+            for part in small(b, 1024):
+                rows = model.read(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -234,16 +266,17 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: ByteGru | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose text is in a learned language: not ``und`` and of at least this score. All columns stay."""
+    """The rows whose text is in a learned language: not ``und`` and of at least this score. All columns stay. Without a
+    model all rows stay."""
     if model is None:
-        return docs.limit(0)
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(sent.value)
+        model = sent.value
         for b in batches:
-            for part in small(b):
-                rows = reader.read(part.column("text").to_pylist())
+            for part in small(b, 1024):
+                rows = model.read(part.column("text").to_pylist())
                 yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in rows], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
