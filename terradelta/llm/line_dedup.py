@@ -290,7 +290,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, with_text: bool = Fal
     store = LineStore(docs.sparkSession)
     posted = cut(postings(docs))
     for k in range(batches):
-        store.add_postings(posted.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        store.add_postings(posted.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), unseen=True)
     return store.apply(docs, min_docs, with_text)
 
 
@@ -376,11 +376,11 @@ class LineStore:
         """Documents whose doc_id the store already holds are not added again."""
         self.add_postings(cut(postings(docs)))
 
-    def add_postings(self, posted: DataFrame) -> None:
-        """posted: (key, doc_id) of documents, repeats allowed."""
+    def add_postings(self, posted: DataFrame, unseen: bool = False) -> None:
+        """posted: (key, doc_id) of documents, repeats allowed. unseen: the store is known to hold none of these documents."""
         self.version += 1
         new = posted.dropDuplicates(["key", "doc_id"])
-        if self.paths["postings"]:
+        if self.paths["postings"] and not unseen:
             held = by_ids(self.postings(), posted.select("doc_id").distinct(), "left_semi").select("doc_id").distinct()
             new = by_ids(new, held, "left_anti")
         self._append("postings", new)
