@@ -7,8 +7,9 @@ energy rises above the high mark and closes when it falls below the low mark, bo
 
 The mel frames of a whole sound are pooled over time into ``SLOTS`` equal spans, which gives a tensor of a fixed shape,
 [SLOTS, MELS], whatever the length; ``tensor_table`` writes tensors with their time spans under Arrow's fixed-shape
-tensor type. Frames are computed in blocks, so memory does not follow the length. Each sound is computed by itself in
-a fixed order, so equal sounds have equal features.
+tensor type. Samples are resampled and framed in blocks of ``BLOCK_FRAMES`` frames; of a sound's frames only their
+energies are kept, 8 bytes each, so a long sound takes little more memory than its own bytes. Each sound is computed by
+itself in a fixed order, so equal sounds have equal features.
 
 In ``text_media``, a payload is the text's UTF-8 bytes, filled with bytes 255 up to a positive multiple of 576; null is
 empty text. The sounds are written to a table in the shared folder; their features are computed from what is read back and
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from terradelta.llm.bpe import small
 from terradelta.llm.shared import shared_folder
 
-RATE, UP, DOWN = 16_000, 1, 4
+RATE, UP, DOWN = 16_000, 3, 8
 FRAME, HOP, MELS, SLOTS = 256, 128, 16, 8
 TAPS = 8
 BLOCK_FRAMES = 2048
@@ -82,17 +83,28 @@ def _phases(up: int, down: int) -> np.ndarray:
     return taps / taps.sum(1, keepdims=True)
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Polyphase resampling by up / down; silence is assumed outside."""
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, first: int = 0, count: int | None = None, silence: float = 0.0) -> np.ndarray:
+    """``count`` samples from ``first`` on of x resampled by up / down; outside x there is silence. x may be of any number
+    type. Outputs of one phase are ``up`` apart and their inputs ``down`` apart, so each phase is one product of strided
+    windows with its taps."""
     taps = _phases(up, down)
     n = taps.shape[1]
-    count = -(-len(x) * up // down)
-    room = np.concatenate([np.zeros(n // 2), x, np.zeros(n + down)])
-    windows = np.lib.stride_tricks.sliding_window_view(room, n)
-    if up == 1:
-        return windows[::down][:count] @ taps[0]
-    at = np.arange(count) * down
-    return np.einsum("ij,ij->i", windows[at // up], taps[at % up])
+    whole = -(-len(x) * up // down)
+    count = whole - first if count is None else count
+    lo = first * down // up - n // 2
+    hi = (first + count - 1) * down // up + n - n // 2
+    room = np.full(max(0, hi - lo), silence)
+    a, b = max(lo, 0), min(hi, len(x))
+    if b > a:
+        room[a - lo : b - lo] = x[a:b]
+    room -= silence
+    out = np.empty(count)
+    for k in range(min(up, count)):
+        at = (first + k) * down
+        windows = np.lib.stride_tricks.sliding_window_view(room[at // up - n // 2 - lo :], n)[::down]
+        mine = out[k::up]
+        mine[:] = windows[: len(mine)] @ taps[at % up]
+    return out
 
 
 @cache
@@ -111,15 +123,24 @@ def _window() -> np.ndarray:
     return np.hanning(FRAME)
 
 
-def log_mel(x: np.ndarray, rate: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of log-mel frames and of their log energies; the last frame is filled with silence."""
-    frames = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    x = np.concatenate([x, np.zeros((frames - 1) * HOP + FRAME - len(x))])
-    windows = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+def log_mel(samples: np.ndarray, up: int = UP, down: int = DOWN, rate: float = RATE, silence: float = 0.0, scale: float = 1.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of log-mel frames and of their log energies, of samples that are resampled block by block; the last frame is
+    filled with silence."""
+    length = -(-len(samples) * up // down)
+    frames = frame_count(length)
+    filters = _filters(rate * up / down)
     for at in range(0, frames, BLOCK_FRAMES):
-        power = np.fft.rfft(windows[at : at + BLOCK_FRAMES] * _window())
+        n = min(BLOCK_FRAMES, frames - at)
+        first = at * HOP
+        x = resample(samples, up, down, first, (n - 1) * HOP + FRAME, silence) * scale
+        x[max(0, length - first) :] = 0
+        power = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _window())
         power = power.real**2 + power.imag**2
-        yield np.log(power @ _filters(rate) + 1e-6), np.log(power.mean(1) + 1e-6)
+        yield np.log(power @ filters + 1e-6), np.log(power.mean(1) + 1e-6)
+
+
+def frame_count(length: int) -> int:
+    return max(1, -(-(length - FRAME) // HOP) + 1)
 
 
 def segments(energy: np.ndarray, high: float = HIGH, low: float = LOW) -> list[tuple[int, int]]:
@@ -137,22 +158,25 @@ def segments(energy: np.ndarray, high: float = HIGH, low: float = LOW) -> list[t
 
 def features(media: bytes) -> dict:
     """tensor [SLOTS, MELS] float32, spans of its slots and segments, all times in seconds."""
-    rate, samples = wav_samples(media)
-    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
-    new = rate * UP / DOWN
-    blocks = list(log_mel(resample(x), new))
-    mel = np.concatenate([m for m, _ in blocks])
-    energy = np.concatenate([e for _, e in blocks])
-    edge = np.arange(SLOTS + 1) * len(mel) // SLOTS
-    first = np.minimum(edge[:-1], len(mel) - 1)
-    total = np.add.reduceat(mel, first, 0) / np.maximum(1, np.diff(np.append(first, len(mel))))[:, None]
-    tensor = np.round(total, 2).astype(np.float32)  # the same whatever order a library adds in
-    second = HOP / new
+    rate, raw = wav_samples(media)
+    samples = np.frombuffer(raw, np.uint8)
+    frames = frame_count(-(-len(samples) * UP // DOWN))
+    edge = np.arange(SLOTS + 1) * frames // SLOTS
+    first = np.minimum(edge[:-1], frames - 1)
+    last = np.maximum(edge[1:], first + 1)
+    total, energy, at = np.zeros((SLOTS, MELS)), np.empty(frames), 0
+    for mel, e in log_mel(samples, rate=rate, silence=128.0, scale=1 / 128):
+        energy[at : at + len(e)] = e
+        for k in np.flatnonzero((first < at + len(e)) & (last > at)):
+            total[k] += mel[max(0, first[k] - at) : last[k] - at].sum(0)
+        at += len(e)
+    tensor = np.round(total / (last - first)[:, None], 2).astype(np.float32)  # the same whatever order a library adds in
+    second = HOP / (rate * UP / DOWN)
     return {
         "tensor": tensor,
-        "slots": [(float(a * second), float(max(b, a + 1) * second)) for a, b in zip(first.tolist(), edge[1:].tolist(), strict=True)],
+        "slots": [(float(a * second), float(b * second)) for a, b in zip(first.tolist(), last.tolist(), strict=True)],
         "segments": [(a * second, b * second) for a, b in segments(energy)],
-        "frames": len(mel),
+        "frames": frames,
     }
 
 
@@ -218,9 +242,7 @@ def tensors_ipc(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "tensor", "slots").mapInArrow(run, "content binary")
 
 
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor array<float>"
-
-
+_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor array<float>, slots array<struct<start:double,end:double>>, segments array<struct<start:double,end:double>>"
 _DIGESTS = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
@@ -271,6 +293,6 @@ def text_media(docs: DataFrame) -> DataFrame:
                     flat = part.column("tensor").storage.flatten()
                     size = SLOTS * MELS
                     tensors = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * size, pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(k) for k in _DIGESTS.names), tensors], ["doc_id", *_DIGESTS.names, "tensor"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(k) for k in _DIGESTS.names), tensors, part.column("slots"), part.column("segments")], ["doc_id", *_DIGESTS.names, "tensor", "slots", "segments"])
 
     return write_tensors(write_media(docs, f"{folder}/sounds"), f"{folder}/tensors").mapInArrow(run, _DIGEST)
