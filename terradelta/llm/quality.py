@@ -1,8 +1,9 @@
 """Quality classification by co-training of a text view and a page-metadata view.
 
-Two logistic models see different things: the text model hashed words, the metadata model a few figures of the document
-(length, lines, shares of capitals, digits and signs, repeated lines, its source). Both first learn from the labelled
-documents alone. Then, for ``ROUNDS`` rounds, each model labels the unlabelled documents that it is most sure of, and
+Two logistic models see different things: the text model hashed words and how often they repeat at once, the metadata model what is said about the page and
+how it is laid out: its source and declared language (hashed by CRC-32), its declared length in characters, and figures
+of its layout (bytes, lines, bytes a word, shares of capitals, digits and signs), but no word.
+Both first learn from the labelled documents alone. Then, for ``ROUNDS`` rounds, each model labels the unlabelled documents that it is most sure of, and
 these pseudo-labels join the *other* model's training set. At the end each view is calibrated on labelled documents kept
 out of training (a Platt fit), and a document's score is the mean of both calibrated log-odds, as a probability of good
 quality.
@@ -16,19 +17,20 @@ class together no more than its labels, so that labels keep their say in a pool
 
 Null and empty texts have no words and the metadata of an empty page; they are scored like any other. Labels with a null
 quality or a doc_id that no document has are not used; of several labels for one doc_id the lowest counts. Rows that
-repeat a doc_id give a row each; in the pool too. Without labels of both kinds every score is 0.5. Columns other than doc_id, text and
-source are ignored, whatever their names.
+repeat a doc_id give a row each; in the pool too. Without labels of both kinds every score is 0.5. Where a
+table has no column source, lang or n_chars, it counts as null. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.llm import shingles as S
@@ -40,7 +42,7 @@ STEPS, TOLERANCE, DECAY = 15, 1e-4, 1e-5
 BINS, REACH = 1 << 14, 16.0
 #: Words of documents that a task works on at a time, and sums that a pass sends to the driver at least.
 PART_WORDS, SUMS = 1 << 20, 64
-WORDS, SOURCES = 1 << 14, 16
+WORDS, SOURCES, LANGUAGES = 1 << 14, 64, 16
 KEEP = 0.5
 
 _CLASS = np.zeros((6, 256), bool)
@@ -53,23 +55,32 @@ _CLASS[5] = ~(_CLASS[:4].any(0)) & (np.arange(256) < 128)
 _KIND = np.full(256, 6, np.uint8)
 for _k in (0, 1, 2, 3, 5):
     _KIND[_CLASS[_k]] = _k
-METADATA = 10 + SOURCES
+FIGURES = 12
+METADATA = FIGURES + SOURCES + LANGUAGES
 
 
 def text_view(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text: its buckets of hashed words and their weights, log-damped and of length 1."""
+    """Of each text: its buckets of hashed words and their weights, log-damped and of length 1; and in bucket 0, the share
+    of its words that one of the three words before them equals."""
     h, w = S.words(data, at)
-    bucket = (h >> np.uint64(40)).astype(np.int64) & (WORDS - 1)
+    bucket = (h >> np.uint64(40)).astype(np.int64) % (WORDS - 1) + 1
+    again = np.zeros(len(h), bool)
+    place = np.arange(len(h)) - np.repeat(w[:-1], np.diff(w))
+    for back in (1, 2, 3):
+        again[back:] |= (h[back:] == h[:-back]) & (place[back:] >= back)
     out = []
     for a, b in zip(w[:-1].tolist(), w[1:].tolist(), strict=True):
         own, n = np.unique(bucket[a:b], return_counts=True)
         weight = np.log1p(n)
-        out.append((own, weight / max(1e-9, float(np.sqrt((weight**2).sum())))))
+        weight /= max(1e-9, float(np.sqrt((weight**2).sum())))
+        if repeats := int(np.count_nonzero(again[a:b])):
+            own, weight = np.append(0, own), np.append(repeats / (b - a), weight)
+        out.append((own, weight))
     return out
 
 
-def metadata_view(data: np.ndarray, at: np.ndarray, sources: list[str | None]) -> np.ndarray:
-    """Of each text: figures of its size and make-up, and its source's bucket."""
+def metadata_view(data: np.ndarray, at: np.ndarray, sources: list[str | None], langs: list[str | None], lengths: list[int | None]) -> np.ndarray:
+    """Of each text: figures of its layout, its declared length, and the buckets of its source and language."""
     n = np.diff(at)
     kind = _KIND[data]
     doc = np.repeat(np.arange(len(n)), n)
@@ -81,11 +92,16 @@ def metadata_view(data: np.ndarray, at: np.ndarray, sources: list[str | None]) -
     out[:, 0] = np.log1p(n) / 10
     out[:, 1:7] = share[:, [0, 1, 2, 3, 5, 6]]
     out[:, 7] = np.log1p(lines) / 10
-    out[:, 8] = n / np.maximum(1, words) / 10
+    out[:, 8] = np.minimum(n / np.maximum(1, words), 1000) / 10
     out[:, 9] = 1
-    for i, s in enumerate(sources):
-        if s is not None:
-            out[i, 10 + sum(s.encode("utf-8")) % SOURCES] = 1
+    for i, (source, lang, length) in enumerate(zip(sources, langs, lengths, strict=True)):
+        if length is not None:
+            out[i, 10] = np.log1p(max(0, length)) / 10
+            out[i, 11] = 1
+        if source is not None:
+            out[i, FIGURES + zlib.crc32(source.encode("utf-8")) % SOURCES] = 1
+        if lang is not None:
+            out[i, FIGURES + SOURCES + zlib.crc32(lang.encode("utf-8")) % LANGUAGES] = 1
     return out
 
 
@@ -391,9 +407,15 @@ def co_train(texts: list, meta: np.ndarray, label: np.ndarray, rounds: int = ROU
 
 
 def _views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list, np.ndarray]]:
-    """Rows and both views of a batch with the columns doc_id, text, source."""
+    """Rows and both views of a batch whose first columns are those of ``_page``."""
     for lo, hi, data, at in S.texts(batch.column(1)):
-        yield lo, hi, text_view(data, at), metadata_view(data, at, batch.column(2).slice(lo, hi - lo).to_pylist())
+        yield lo, hi, text_view(data, at), metadata_view(data, at, *(batch.column(k).slice(lo, hi - lo).to_pylist() for k in (2, 3, 4)))
+
+
+def _page(docs: DataFrame) -> list[Column]:
+    """doc_id, text, source, lang, n_chars; null where the table lacks one of the last three."""
+    declared = {"source": "string", "lang": "string", "n_chars": "long"}
+    return [F.col("doc_id").cast("long"), F.col("text"), *((F.col(c) if c in docs.columns else F.lit(None)).try_cast(kind).alias(c) for c, kind in declared.items())]
 
 
 def _sample(docs: DataFrame, n: int) -> DataFrame:
@@ -410,11 +432,11 @@ def pool_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 cells = ([c.astype("<u2") for c, _ in texts], [v.astype("<f4") for _, v in texts], meta.astype("<f4"))
                 none = pa.array(np.full(hi - lo, -1), pa.int8())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(3).slice(lo, hi - lo), *(pa.array([x.tobytes() for x in column], pa.binary()) for column in cells), none, none],
+                    [b.column(0).slice(lo, hi - lo), b.column(5).slice(lo, hi - lo), *(pa.array([x.tobytes() for x in column], pa.binary()) for column in cells), none, none],
                     ["doc_id", "chance", "words", "weights", "meta", "text_given", "meta_given"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).cast("int").alias("chance"))
+    rows = docs.select(*_page(docs), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).cast("int").alias("chance"))
     return by_ids(rows.mapInArrow(views, f"doc_id long, {_Pool.COLUMNS}"), _valid(labels).select("doc_id"), "left_anti").drop("doc_id")
 
 
@@ -425,18 +447,18 @@ def _valid(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, labelled: int = SAMPLE_LABELLED) -> CoTrained | None:
     chosen = _sample(docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(_valid(labels), "doc_id"), labelled)
     # The chosen ids are bounded by the sample size.
-    some = docs.select("doc_id", "text", "source").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    some = docs.select(*_page(docs)).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, texts, meta in _views(b):
-                y = b.column(3).slice(lo, hi - lo).cast(pa.int32())
+                y = b.column(5).slice(lo, hi - lo).cast(pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), y, *(pa.array([x.tobytes() for x in column], pa.binary()) for column in ([c.astype("<i4") for c, _ in texts], [v.astype("<f4") for _, v in texts], meta))],
                     ["doc_id", "y", "words", "weights", "meta"],
                 )
 
-    rows = some.select("doc_id", "text", "source", "y").mapInArrow(views, "doc_id long, y int, words binary, weights binary, meta binary").toLocalIterator()
+    rows = some.select("doc_id", "text", "source", "lang", "n_chars", "y").mapInArrow(views, "doc_id long, y int, words binary, weights binary, meta binary").toLocalIterator()
     rows = sorted(rows, key=lambda r: r["doc_id"])
     if len({r["y"] for r in rows}) < 2:
         return None
@@ -461,7 +483,7 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
                 s = sent.value.score(texts, meta)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s, pa.float64()), pa.array(s >= KEEP)], ["doc_id", "quality_score", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string")).mapInArrow(run, "doc_id long, quality_score double, keep boolean")
+    return docs.select(*_page(docs)).mapInArrow(run, "doc_id long, quality_score double, keep boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -455,7 +455,7 @@ def test_quality_held_out(spark):
     got = quality.score(d, model).join(labels.where("doc_id % 4 = 1"), "doc_id").collect()
     good = [r.keep for r in got if r.quality == 1]
     bad = [not r.keep for r in got if r.quality == 0]
-    assert np.mean(good) > 0.95 and np.mean(bad) > 0.4
+    assert np.mean(good) > 0.95 and np.mean(bad) >= 0.8
 
 
 def test_quality_of_odd_rows(spark):
@@ -467,16 +467,51 @@ def test_quality_of_odd_rows(spark):
     assert quality.classify(df.limit(0), labels).count() == 0
 
 
-def test_exchanged_labels_help():
+@pytest.mark.parametrize(("words_a_class", "least", "gain"), [(40, 0.95, -0.01), (400, 0.93, 0.03)])
+def test_exchanged_labels_help(words_a_class, least, gain):
+    """With 400 words a class, 24 labels show few of them; the metadata view's pseudo-labels teach the text view others."""
     rng = np.random.default_rng(1)
-    y = rng.integers(0, 2, 600)
-    texts = [(np.unique(rng.integers(0, 40, 6) + 40 * k), np.ones(6)) for k in y]
-    texts = [(c, np.ones(len(c)) / 3) for c, _ in texts]
-    meta = np.zeros((600, quality.METADATA))
-    meta[:, 0], meta[:, 9] = y + rng.normal(0, 0.4, 600), 1
-    label = np.where(np.arange(600) < 24, y, -1)
+    y = rng.integers(0, 2, 1500)
+    texts = [np.unique(rng.integers(0, words_a_class, 6) + words_a_class * k) for k in y]
+    texts = [(c, np.ones(len(c)) / 2.4) for c in texts]
+    meta = np.zeros((1500, quality.METADATA))
+    meta[:, 0], meta[:, 9] = y + rng.normal(0, 0.4, 1500), 1
+    label = np.where(np.arange(1500) < 24, y, -1)
     hit = lambda m: ((m.score(texts, meta) >= 0.5) == y)[24:].mean()
-    assert hit(quality.co_train(texts, meta, label)) > max(0.95, hit(quality.co_train(texts, meta, label, rounds=0)) - 0.01)
+    assert hit(quality.co_train(texts, meta, label)) > max(least, hit(quality.co_train(texts, meta, label, rounds=0)) + gain)
+
+
+def test_the_exchange_against_brute_force(spark):
+    """Each view's least and greatest outputs, over the whole pool sorted, become labels of the other view; in the bin at
+    a cut, and only there, a hash chooses."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(0, 30))) for _ in range(900)]
+    pool = quality._Pool(quality.pool_rows(docs(spark, texts).repartition(5), spark.createDataFrame([], "doc_id long, quality int")))
+    gen = np.random.default_rng(2)
+    models = [gen.normal(0, 1, quality.WORDS + 1), gen.normal(0, 3, quality.METADATA)]
+    low, high = 90, 180
+    pool.mark(models, [quality._cuts(h, low, high) for h in pool.histograms(models)])
+    parts = [part for b in pool.rows.toArrow().combine_chunks().to_batches() for _, part in quality._parts(b)]
+    for view in (0, 1):
+        z = np.concatenate([p.outputs(models)[view] for p in parts])
+        given = np.concatenate([p.given[1 - view] for p in parts])
+        bins, order = quality._bins(z), np.argsort(z)
+        for wanted, y, first in ((low, 0, order), (high, 1, order[::-1])):
+            at = bins[first[wanted - 1]]
+            surely = (bins < at) if y == 0 else (bins > at)
+            assert (given[surely] == y).all() and set(bins[(given == y) & ~surely]) <= {at}
+            assert abs((given == y).sum() - wanted) <= (bins == at).sum()
+    pool.close()
+
+
+def test_quality_of_long_and_repeated_texts(spark):
+    long = "word " * 400_000
+    df = spark.createDataFrame([(0, "good text"), (1, "BAD!! BAD!!"), (2, long), (2, long), (None, "good text"), (3, "good text"), (4, "good text")], "doc_id long, text string")
+    got = quality.classify(df, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.doc_id].add(r.quality_score)
+    assert len(got) == 7 and len(by[2]) == 1 and by[3] == by[4] == by[None]
 
 
 def test_every_unlabelled_document_is_in_the_pool(spark):
@@ -514,7 +549,7 @@ def test_rare_texts_reach_the_exchange(spark):
 # --- 9: audio --------------------------------------------------------------------------------------------------------
 def test_resampling_keeps_a_tone():
     x = np.sin(np.arange(16000) * 2 * np.pi * 300 / 16000)
-    for up, down in ((1, 4), (3, 2), (2, 3)):
+    for up, down in ((1, 4), (3, 2), (2, 3), (3, 8)):
         y = audio.resample(x, up, down)
         t = np.arange(len(y)) * down / up
         assert np.abs(y - np.sin(t * 2 * np.pi * 300 / 16000))[100:-100].max() < 0.02
@@ -550,10 +585,30 @@ def test_sound_is_stored_whole(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and len(r.tensor) == audio.SLOTS * audio.MELS
     assert got[2].feature == got[4].feature and got[0].feature == got[1].feature != got[3].feature
+    assert all(len(r.slots) == audio.SLOTS and r.slots[0].start == 0 for r in got)
     with pytest.raises(ValueError):
         audio.wav_samples(b"RIFFxxxxAVI ")
 
 
+def test_a_long_sound_is_read_in_blocks(spark, monkeypatch):
+    raw = np.random.default_rng(3).integers(0, 256, 90_000, dtype=np.uint8).tobytes()
+    media = audio.wav(audio.padded(raw))
+    whole = audio.features(media)
+    monkeypatch.setattr(audio, "BLOCK_FRAMES", 7)
+    assert np.array_equal(audio.features(media)["tensor"], whole["tensor"]) and audio.features(media)["segments"] == whole["segments"]
+    x = np.frombuffer(audio.padded(raw), np.uint8)
+    plain = audio.resample((x - 128.0) / 128)
+    frames = [np.concatenate([plain, np.zeros(audio.FRAME)])[k * audio.HOP :][: audio.FRAME] * np.hanning(audio.FRAME) for k in range(whole["frames"])]
+    mel = np.log(np.abs(np.fft.rfft(frames)) ** 2 @ audio._filters(audio.RATE * audio.UP / audio.DOWN) + 1e-6)
+    edge = np.arange(audio.SLOTS + 1) * len(mel) // audio.SLOTS
+    assert np.allclose([mel[a:b].mean(0) for a, b in zip(edge[:-1], edge[1:], strict=True)], whole["tensor"], atol=0.011)
+    monkeypatch.undo()
+    rows = [(1, "y" * 3_000_000), (1, "y" * 3_000_000), (None, "z")]
+    got = audio.text_media(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3 and len({r.feature for r in got if r.doc_id}) == 1
+    assert audio.text_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_tensors_have_a_fixed_shape(spark):
     media = audio.media_of(docs(spark, ["a" * 3000, None]).select("doc_id", F.col("text").cast("binary").alias("payload")))
     found = audio.audio_features(media)
