@@ -4,7 +4,8 @@ A rule (host, path, verdict) fits a URL whose host is the rule's or below it and
 the host's labels reversed, a host and a path make the canonical key ``com,example,/en/...``; under a given rule host,
 the URLs that a rule fits are those whose key starts with the rule's key, which is one interval of the sorted keys:
 from the key itself up to the key followed by byte 255, which UTF-8 never holds. As a rule also fits subdomains, a URL
-has one probe key for each suffix of its host, the host itself included.
+has one probe key for each suffix of its host that has as many labels as some rule's host; so a host of thousands of
+labels costs no more than its rules do.
 
 Intervals of prefixes are nested or apart. The sweep over the sorted keys meets an event where a rule opens, which makes
 it the innermost active rule, and one where it closes, which makes its enclosing rule active again: the parent that each
@@ -82,11 +83,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_c
     """page_id, host, path, rule, verdict of every page."""
     seen = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labels = F.reverse(F.split("host", r"\."))
+    # The label counts of the rules' hosts, a number each: other suffixes fit no rule.
+    counts = sorted(r[0] for r in rules.where(F.col("host").isNotNull()).select(F.size(F.split("host", r"\."))).distinct().collect())
+    lengths = F.filter(F.array(*[F.lit(n) for n in counts]).cast("array<int>"), lambda n: n <= F.size("labels"))
     # Rows may repeat; a probe carries its page's columns, and equal pages are judged once and counted.
     counted = seen.groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
     probes = (
         counted.withColumn("labels", labels)
-        .withColumn("n", F.explode(F.sequence(F.lit(1), F.size("labels"))))
+        .withColumn("n", F.explode(F.when(F.size(lengths) > 0, lengths).otherwise(F.array(F.size("labels")))))
         .select(_key(F.slice("labels", F.lit(1), F.col("n")), F.col("path")).alias("key"), F.lit(2).alias("kind"), F.lit(0).alias("rank"), F.lit(None).cast("struct<active:struct<size:int,host_size:int,rule:string,verdict:string>>").alias("event"), "page_id", "host", "path", "copies")
     )
     both = probes.unionByName(_events(rules), allowMissingColumns=True)
