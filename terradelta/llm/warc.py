@@ -8,7 +8,8 @@ store that Spark can write holds them. A segment is dealt to an archive apart fr
 
 Reading parses every archive, groups continuations with the record they name, orders them by segment number, checks that
 none is missing and that their length is the total, and only then decodes the chunked body, whose SHA-1 must be the one
-in the header. Whole records need no grouping; only segments are shuffled, by their record's id.
+in the header. Whole records need no grouping; only segments are shuffled, by their record's id. What is broken stops the
+job, or, with ``quarantine``, is kept as a row with an error and no content.
 
 Payloads of ``MIN_REVISIT`` bytes or more that are equal are kept once: the largest page_id has the response, the others
 are revisits without a body that name it. The reader finds a revisit's length and digest through the record it names.
@@ -191,58 +192,80 @@ def read_records(files: DataFrame) -> DataFrame:
     return files.select("content").mapInArrow(run, _HEAD)
 
 
-def reassemble(records: DataFrame) -> DataFrame:
-    """Records whole again: (record_id, page_id, url, kind, refers_to, digest, block).
+def reassemble(records: DataFrame, quarantine: bool = False) -> DataFrame:
+    """Records whole again: (record_id, page_id, url, kind, refers_to, digest, block[, error]).
 
     Segments are grouped by origin and ordered by number. A record whose segments are not 1 to n, or whose length is not
-    the total in its last segment, raises an error.
+    the total in its last segment, raises an error; with ``quarantine`` its row has an error and a null block instead.
     """
     keep = ["record_id", "page_id", "url", "kind", "refers_to", "digest"]
-    whole = records.where(F.col("segment").isNull()).select(*keep, "block")
+    whole = records.where(F.col("segment").isNull()).select(*keep, "block", *([F.lit(None).cast("string").alias("error")] if quarantine else []))
     parts = records.where(F.col("segment").isNotNull()).withColumn("origin", F.coalesce("origin", "record_id"))
+    names, schema = whole.columns, whole.schema
     first = F.col("segment") == 1
     grouped = parts.groupBy("origin").agg(
         *[F.max(F.when(first, F.col(c))).alias(c) for c in keep],
         F.max("total").alias("total"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
-    block = F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), "")
-    checked = grouped.withColumn("block", F.unhex(block))
-    good = F.coalesce(in_order & (F.length("block") == F.col("total")), F.lit(False))
-    failed = F.raise_error(F.concat(F.lit("segments missing or too short in record "), F.col("origin"))).cast("binary")
-    return whole.unionByName(checked.select(*keep, F.when(good, F.col("block")).otherwise(failed).alias("block")))
 
-
-def payloads(records: DataFrame, with_payload: bool = True) -> DataFrame:
-    """(record_id, page_id, url, kind, refers_to, digest, payload_bytes[, payload]) of whole records.
-
-    A response's body is decoded from its framing and must have the digest of its header. A revisit has no body.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a record at a time
+                row = b.slice(i, 1)
+                own = row.column("parts").flatten()
+                numbers, pieces = own.field("segment").to_pylist(), own.field("block").to_pylist()
+                total, size = row.column("total")[0].as_py(), sum(map(len, pieces))
+                error = None
+                if numbers != list(range(1, len(numbers) + 1)) or size != total:
+                    error = f"segments missing or too short in record {row.column('origin')[0]}: {len(numbers)} segments of {size} bytes, {total} expected"
+                    if not quarantine:
+                        raise ValueError(error)
+                block = [None if error else b"".join(pieces)]
+                named = pa.array([row.column("origin")[0].as_py()], pa.string()) if error else row.column("record_id")
+                yield pa.RecordBatch.from_arrays([named, *(row.column(c) for c in keep[1:]), pa.array(block, pa.binary()), *([pa.array([error], pa.string())] if quarantine else [])], names)
+
+    return whole.unionByName(grouped.select("origin", *keep, "total", "parts").mapInArrow(run, schema))
+
+
+def payloads(records: DataFrame, with_payload: bool = True, quarantine: bool = False) -> DataFrame:
+    """(record_id, page_id, url, kind, refers_to, digest, payload_bytes[, payload][, error]) of whole records.
+
+    A response's body is decoded from its framing and must have the digest of its header. A revisit has no body. With
+    ``quarantine``, a record that cannot be decoded, or that came with an error, has that error and no payload.
     """
     out = "record_id string, page_id long, url string, kind string, refers_to string, digest string, payload_bytes long"
+    out += ", payload binary" * with_payload + ", error string" * quarantine
+
+    def body_of(digest: str | None, raw: bytes) -> bytes:
+        head, _, body = raw.partition(b"\r\n\r\n")
+        if b"transfer-encoding: chunked" in head.lower():
+            body = unchunked(body)
+        if hashlib.sha1(body).hexdigest() != digest:
+            raise ValueError("a payload does not have its header's digest")
+        return body
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, bodies = [], []
-            for kind, digest, raw in zip(b.column("kind").to_pylist(), b.column("digest").to_pylist(), b.column("block"), strict=True):
-                head, _, body = raw.as_py().partition(b"\r\n\r\n")
-                if kind == "revisit":
-                    sizes.append(None)
-                    bodies.append(None)
-                    continue
-                if b"transfer-encoding: chunked" in head.lower():
-                    body = unchunked(body)
-                if hashlib.sha1(body).hexdigest() != digest:
-                    raise ValueError("a payload does not have its header's digest")
-                sizes.append(len(body))
+            sizes, bodies, errors = [], [], []
+            known = b.column("error").to_pylist() if "error" in b.schema.names else [None] * b.num_rows
+            for kind, digest, raw, error in zip(b.column("kind").to_pylist(), b.column("digest").to_pylist(), b.column("block"), known, strict=True):
+                body = None
+                if kind != "revisit" and not error:
+                    try:
+                        body = body_of(digest, raw.as_py())
+                    except ValueError as e:
+                        if not quarantine:
+                            raise
+                        error = str(e)
+                sizes.append(None if body is None else len(body))
                 bodies.append(body if with_payload else None)
+                errors.append(error)
             columns = [b.column(c) for c in ("record_id", "page_id", "url", "kind", "refers_to", "digest")] + [pa.array(sizes, pa.int64())]
-            names = ["record_id", "page_id", "url", "kind", "refers_to", "digest", "payload_bytes"]
-            if with_payload:
-                columns, names = [*columns, pa.array(bodies, pa.binary())], [*names, "payload"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns += [pa.array(bodies, pa.binary())] * with_payload + [pa.array(errors, pa.string())] * quarantine
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in out.split(", ")])
 
-    return records.mapInArrow(run, out + (", payload binary" if with_payload else ""))
+    return records.mapInArrow(run, out)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
