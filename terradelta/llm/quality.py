@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.llm import shingles as S
-from terradelta.llm.shared import by_ids, shared_folder
+from terradelta.llm.shared import by_ids, remove, shared_folder
 
 SAMPLE_LABELLED = 2000
 ROUNDS, EXCHANGE = 4, 0.1
@@ -248,16 +248,12 @@ class _Pool:
 
     def _store(self, rows: DataFrame) -> None:
         rows.write.option("compression", "zstd").parquet(f"{self.folder}/{self.k}")
-        self._remove(f"{self.folder}/{self.k - 1}")
+        remove(self.spark, f"{self.folder}/{self.k - 1}")
         self.rows = self.spark.read.parquet(f"{self.folder}/{self.k}")
         self.k += 1
 
-    def _remove(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     def close(self) -> None:
-        self._remove(self.folder)
+        remove(self.spark, self.folder)
 
     def __len__(self) -> int:
         return self.size

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terradelta.checkpoints import cut, shared_folder
+from terradelta.checkpoints import cut, remove, shared_folder
 
-__all__ = ["by_ids", "cut", "salted_join", "shared_folder"]
+__all__ = ["by_ids", "cut", "remove", "salted_join", "shared_folder", "without"]
 
 #: Up to so many ids (8 bytes each) are sent to tasks; more are joined by a shuffle.
 SENT_IDS = 1_000_000
@@ -21,6 +21,13 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str, *columns: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, list(columns) or ["doc_id"], how)
 
 
+def without(df: DataFrame, gone: DataFrame, *key: Column) -> DataFrame:
+    """The rows of ``df`` whose key, columns of ``df``, no row of ``gone`` has; whatever the columns' names are."""
+    gone = cut(gone.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(gone.columns)]).alias("_gone")).distinct())
+    own = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)])
+    return df.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, own == gone["_gone"], "left_anti")
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, sizes: DataFrame | None = None) -> DataFrame:
     """Inner join of ``big`` with ``small``, whose keys are unique, that deals hot keys to several tasks.
 

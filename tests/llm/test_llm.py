@@ -357,6 +357,15 @@ def test_url_rules_against_brute_force(spark):
     assert url_filter.filter_urls(df.limit(0), spark.sql(url_filter.RULES)).count() == 0
 
 
+def test_url_rules_that_tie_and_hosts_of_many_labels(spark):
+    rules = spark.createDataFrame([("a.com", "/x", "allow"), ("A.com", "/x", "block"), (None, "/", "block"), ("b.com", None, "block"), ("com", "", "allow")], "host string, path string, verdict string")
+    deep = "http://" + "w." * 5000 + "a.com/x" + "y" * 20000
+    pages = spark.createDataFrame([(1, "http://a.com/x1"), (1, "http://a.com/x1"), (2, "http://b.com"), (3, "http://com/x"), (4, deep), (5, "http://net/"), (None, None)], "page_id long, url string").withColumn("host", F.lit("z")).withColumn("labels", F.lit(1))
+    got = sorted((r.page_id or 0, r.rule or "", r.verdict) for r in url_filter.filter_urls(pages, rules).collect())
+    assert got == [(0, "", "allow"), (1, "a.com/x", "block"), (1, "a.com/x", "block"), (2, "b.com", "block"), (3, "com", "allow"), (4, "a.com/x", "block"), (5, "", "allow")]
+    assert url_filter.filter_urls(pages, rules.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == 7
+
+
 # --- 4: languages ----------------------------------------------------------------------------------------------------
 def test_gru_gradients():
     m = language_id.ByteGru(["a", "b", "c"], hidden=3)
@@ -438,6 +447,20 @@ def test_warc_payloads_come_back_from_segments(spark):
     lost = read.where("NOT coalesce(segment = 2, false)")
     with pytest.raises(Exception, match="segments missing"):
         warc.reassemble(lost).collect()
+    sick = lost.withColumn("block", F.expr("CASE WHEN segment IS NULL AND page_id % 5 = 0 AND kind = 'response' THEN substring(block, 1, length(block) - 9) ELSE block END"))
+    got = warc.payloads(warc.reassemble(sick, quarantine=True), quarantine=True)
+    wrong = {r.record_id: r.error for r in got.where("error IS NOT NULL").collect()}
+    assert any("segments missing" in e for e in wrong.values()) and not all("segments missing" in e for e in wrong.values())
+    good = {r.page_id: bytes(r.payload).decode() for r in got.where("kind = 'response' AND error IS NULL").collect()}
+    assert good == {k: html[k] for k in good} and len(good) + len(wrong) == len(back)
+
+
+def test_a_record_of_many_segments(spark):
+    html = "".join(f"<p>{i}</p>" for i in range(400_000))
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", html)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    digest = hashlib.sha1(html.encode()).hexdigest()
+    assert got == [(1, len(html), digest, "revisit", 2), (2, len(html), digest, "response", None)]
 
 
 def test_chunked_framing():
