@@ -122,7 +122,11 @@ def test_an_edit_touches_few_pretokens(reference_encoding):
 
 def test_edited_counts_of_odd_rows(spark):
     df = docs(spark, [None, "", "ab cd"]).select("doc_id", "text", F.expr("CASE WHEN doc_id = 2 THEN array(named_struct('start', 2L, 'end', 99L, 'text', cast(NULL AS string))) END AS edits"))
+    df = df.withColumn("n_tokens", F.lit("x")).withColumn("tree", F.lit(1))
     assert [(r.n_tokens > 0, r.n_tokens_edited > 0) for r in token_counts.edited_counts(df).orderBy("doc_id").collect()] == [(False, False), (False, False), (True, True)]
+    assert token_counts.edited_counts(df.limit(0)).count() == 0
+    twice = token_counts.edited_counts(df.union(df)).where("doc_id = 2").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
 
 
 # --- 6: near duplicates ----------------------------------------------------------------------------------------------
@@ -159,6 +163,13 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    base = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-3000])), (3, " ".join(base[:20_000])), (4, "same " * 100_000), (5, "same " * 90_000)]
+    got = minhash.near_duplicates(docs(spark, [None]).limit(0).select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")), 3, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(1, 59_998, 1), (2, 56_998, 1), (3, 19_998, 3), (4, 1, 4), (5, 1, 4)]
+
+
 def test_each_text_of_a_repeated_doc_id_is_judged(spark):
     one, two, alone = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
     rows = [(5, one), (5, two), (3, one + " x"), (7, two + " x"), (7, alone), (2, "y " + one)]
@@ -240,6 +251,15 @@ def test_containment_is_exact_both_ways(spark, corpus, limit):
     assert got == want and len(want) > 20
 
 
+def test_containment_in_very_long_and_repeated_rows(spark):
+    item = "the quick brown fox jumps over the lazy dog again"
+    long = "filler words without end " * 100_000
+    df = docs(spark, [long + item + " " + long, item, item, None]).union(docs(spark, [item], first=1))
+    items = spark.createDataFrame([(1, item), (1, item), (2, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_common) for r in decontaminate.contained(df, items).collect()) == [(0, 1, 6), (1, 1, 6), (2, 1, 6)]
+    assert decontaminate.contained(df.limit(0), items).count() == 0 == decontaminate.contained(df, items.limit(0)).count()
+
+
 def test_sketches_leave_room_for_misses():
     for n in range(1, 500):
         assert decontaminate.sketch_size(n, 0.8) > n - -(-n * 4 // 5)
@@ -670,5 +690,38 @@ def test_pipeline_against_its_parts(spark):
     assert got == {i: hashlib.sha256(texts[i].encode()).hexdigest() for i in alone - leaks}
 
 
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    """Rows that repeat a doc_id are judged by their own texts; clashing columns, nulls and empty tables pass through."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one, two, three = (" ".join(f"{c}{i}" for i in range(50)) for c in "pqr")
+    leak = "zero one two three four five six seven eight nine"
+    long = " ".join(f"w{i}" for i in range(60_000))
+    texts = [(1, one), (2, one), (2, two), (3, two), (4, leak), (4, three), (5, None), (6, ""), (None, one), (7, long), (8, long + " x"), (9, three), (9, three)]
+    df = spark.createDataFrame([(i, t, "en", len(t or ""), 7, 8) for i, t in texts], "doc_id long, text string, lang string, n_chars long, key long, text_hash long").withColumn("_gone_id", F.lit(1)).repartition(3)
+    rows = lambda d: sorted(((r.doc_id or 0, (r.text or "")[:9]) for r in d.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near-dedup"](spark, df, str(tmp_path))
+    assert near.columns == df.columns
+    assert rows(near) == sorted((i or 0, (t or "")[:9]) for i, t in [(1, one), (2, two), (4, leak), (4, three), (5, None), (6, ""), (None, one), (7, long)])
+    clean = stages["decontamination"](spark, df, str(tmp_path))
+    assert clean.columns == df.columns and rows(clean) == sorted((i or 0, (t or "")[:9]) for i, t in texts if t != leak)
+    lines = stages["line dedup"](spark, df, str(tmp_path))
+    assert lines.columns == df.columns and lines.count() == len(texts) and lines.where("text IS NULL").count() == 1
+    assert stages["language ID"](spark, df, str(tmp_path)).columns == df.columns
+    assert stages["language ID"](spark, df.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).count() == len(texts)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES} == set(range(1, 11))
