@@ -1,12 +1,15 @@
 """Connected regions of pixel masks.
 
-A tile's pixels are labelled together in numpy; regions that touch across tile borders are then merged by star
-contraction over border labels only, whose number grows with tile edges, not with pixels. Labels are the smallest
+A tile's pixels are labelled together in numpy; regions that touch across tile borders are then merged over border labels
+only, whose number grows with tile edges, not with pixels: first by union-find among the links of a block of tiles, then by
+star contraction of what is left, which takes one round where no region leaves its block. Labels are the smallest
 r * width + c of the region.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,6 +42,36 @@ def _label_tile(rows: pd.DataFrame, width: int, conn: int) -> np.ndarray:
         grid = low
 
 
+#: Tile rows whose links are contracted together; their number is bounded by the scene's width.
+BLOCK_TILES = 8
+
+
+def _forest(names: list[str]):
+    """Union-find over a partition's links (keys, x, y): for each label, the least that it reaches here."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[tuple, tuple] = {}
+
+        def root(v: tuple) -> tuple:
+            top = v
+            while up.setdefault(top, top) != top:
+                top = up[top]
+            while up[v] != top:
+                up[v], v = top, up[v]
+            return top
+
+        for p in parts:
+            keys = list(zip(*[p[k] for k in names], strict=True))
+            for key, x, y in zip(keys, p["x"].tolist(), p["y"].tolist(), strict=True):
+                a, b = root((key, x)), root((key, y))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        found = [(*v[0], v[1], root(v)[1]) for v in up if root(v) != v]
+        yield pd.DataFrame(found, columns=[*names, "x", "y"])
+
+    return run
+
+
 def components(mask: DataFrame, keys: list[str], width: int, conn: int = 4, tile: int = 32) -> DataFrame:
     """keys, r, c, label of the pixels of a mask; mask has a row for each pixel that is set."""
     px = mask.select(*keys, F.col("r").cast("long"), F.col("c").cast("long"))
@@ -50,8 +83,11 @@ def components(mask: DataFrame, keys: list[str], width: int, conn: int = 4, tile
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in NEIGHBOURS[conn]]))
     moved = border.withColumn("s", steps).select(*keys, (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"), F.col("local").alias("other"), F.col("tr").alias("tr2"), F.col("tc").alias("tc2"))
     met = border.join(moved, [*keys, "r", "c"]).where("(tr <> tr2 OR tc <> tc2) AND local <> other")
+    pairs = met.select(*keys, F.greatest("local", "other").alias("x"), F.least("local", "other").alias("y")).distinct()
+    block = F.floor(F.col("y") / (width * tile * BLOCK_TILES))
+    near = pairs.repartition(*keys, block).mapInPandas(_forest(keys), pairs.schema)
     node = lambda v: F.struct(*keys, F.col(v).alias("local"))
-    links = met.select(F.greatest(node("local"), node("other")).alias("a"), F.least(node("local"), node("other")).alias("b")).distinct()
+    links = near.select(node("x").alias("a"), node("y").alias("b"))
     merged = stars(links).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.local").alias("local"), F.col("b.local").alias("merged"))
     return local.join(merged, [*keys, "local"], "left").select(*keys, "r", "c", F.coalesce("merged", "local").alias("label"))
 

@@ -14,7 +14,9 @@ def stars(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until the links stop changing, in a number of rounds that grows with the
     logarithm of the largest component. Minima are combined before the shuffle; a round's links are checkpointed.
     """
-    edges, before = cut(edges), None
+    signature = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges = cut(edges)
+    before = signature(edges)  # links that are stars already take one round
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -22,7 +24,7 @@ def stars(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = cut(small.select("e.a", "e.b").where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = signature(edges)
         if now == before:
             return edges
         before = now
