@@ -56,6 +56,18 @@ def repair(ring: Column) -> Column:
     return F.when((F.size(ring) >= 3) & (F.size(closed) >= 4), F.when(signed_area(closed) < 0, F.reverse(closed)).otherwise(closed))
 
 
+def ring_length(ring: Column) -> Column:
+    """Length of a closed ring or a line."""
+    return _sum(_edges(ring), lambda e: F.sqrt(F.pow(e["bx"] - e["ax"], F.lit(2.0)) + F.pow(e["by"] - e["ay"], F.lit(2.0))))
+
+
+def in_ring(ring: Column, x: Column, y: Column) -> Column:
+    """A point lies inside a closed ring: a ray to the right crosses its edges an odd number of times."""
+    crosses = lambda e: (e["ay"] > y) != (e["by"] > y)
+    right = lambda e: x < (e["bx"] - e["ax"]) * (y - e["ay"]) / F.when(e["by"] == e["ay"], 1.0).otherwise(e["by"] - e["ay"]) + e["ax"]
+    return F.size(F.filter(_edges(ring), lambda e: crosses(e) & right(e))) % 2 == 1
+
+
 def boxes_meet(a: str, b: str) -> Column:
     """Closed boxes of two aliases intersect."""
     c = lambda t, n: F.col(f"{t}.{n}")

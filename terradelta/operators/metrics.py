@@ -94,10 +94,31 @@ def soft_scores(smooth: float = 0.0, eps: float = 1e-7, alpha: float = 0.3, beta
     return [F.round(1 - x, 6).alias(n) for x, n in ((dice, "dice_loss"), (jaccard, "jaccard_loss"), (tversky, "tversky_loss"))]
 
 
-def focal(p: Column, g: Column, gamma: float = 2.0, alpha: float = 0.25, floor: float = 1e-9) -> Column:
+def focal_term(p: Column, g: Column, gamma: float = 2.0, reduced: float | None = None, floor: float = 1e-9) -> Column:
+    """How much a pixel counts in the focal error; with ``reduced``, all pixels below that confidence count 1."""
+    pt = F.greatest(F.when(g == 1, p).otherwise(1 - p), F.lit(floor))
+    if reduced is None:
+        return F.pow(1 - pt, F.lit(gamma))
+    return F.when(pt < reduced, 1.0).otherwise(F.pow((1 - pt) / reduced, F.lit(gamma)))
+
+
+def focal(p: Column, g: Column, gamma: float = 2.0, alpha: float | None = 0.25, floor: float = 1e-9, reduced: float | None = None) -> Column:
     """Focal error of one pixel."""
     pt = F.greatest(F.when(g == 1, p).otherwise(1 - p), F.lit(floor))
-    return -F.when(g == 1, alpha).otherwise(1 - alpha) * F.pow(1 - pt, F.lit(gamma)) * F.log(pt)
+    weight = F.lit(1.0) if alpha is None else F.when(g == 1, alpha).otherwise(1 - alpha)
+    return -weight * focal_term(p, g, gamma, reduced, floor) * F.log(pt)
+
+
+def normalized_focal(p: Column, g: Column, eps: float = 1e-6, **options) -> Column:
+    """Aggregate: the focal errors' mean over the sum of the pixels' terms."""
+    terms = {k: v for k, v in options.items() if k != "alpha"}
+    return F.avg(focal(p, g, **options)) / F.greatest(F.sum(focal_term(p, g, **terms)), F.lit(eps))
+
+
+def dice_focal(p: Column, g: Column, weight: float = 1.0, **options) -> Column:
+    """Aggregate: soft Dice loss plus the mean focal error."""
+    dice = 1 - 2 * F.sum(p * g) / F.greatest(F.sum(p) + F.sum(g), F.lit(1e-7))
+    return dice + weight * F.avg(focal(p, g, **options))
 
 
 def smoothed_bce(p: Column, g: Column, smooth: float = 0.1, floor: float = 1e-7) -> Column:
@@ -107,15 +128,20 @@ def smoothed_bce(p: Column, g: Column, smooth: float = 0.1, floor: float = 1e-7)
     return -(y * F.log(q) + (1 - y) * F.log(1 - q))
 
 
-def lovasz(px: DataFrame, p: str, g: str, chip: str, *order: str) -> DataFrame:
-    """Lovász hinge-free error per chip: errors in descending order times the gradient of the Jaccard index."""
-    err = F.abs(F.col(g) - F.col(p))
-    rows = px.withColumn("err", err)
-    w = Window.partitionBy(chip).orderBy(F.col("err").desc(), *order)
-    total = F.sum(g).over(Window.partitionBy(chip))
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inter = total - F.sum(g).over(run)
-    union = total + F.sum(1 - F.col(g)).over(run)
-    jac = rows.withColumn("jac", 1 - F.when(union == 0, 0.0).otherwise(inter / union))
-    grad = F.col("jac") - F.coalesce(F.lag("jac").over(w), F.lit(0.0))
-    return jac.withColumn("part", F.col("err") * grad).groupBy(chip).agg(F.round(F.sum("part"), 6).alias("lovasz"))
+def lovasz(px: DataFrame, error: Column, positive: Column, *keys: str, steps: int = 1_000_000) -> DataFrame:
+    """keys, lovasz, present: errors in descending order times the gradient of the Jaccard index, and whether a pixel is
+    positive; negative errors count 0.
+
+    Pixels of equal error give the same sum in any order, so they are counted, after rounding errors to 1 / ``steps``, and
+    only the counts of a key are ordered: no task sorts a scene's pixels. Rounding changes a score by half a step at most, as
+    the gradient is not negative and adds up to 1 at most.
+    """
+    step = F.round(error * steps).cast("long").alias("step")
+    counts = px.groupBy(*keys, step).agg(n_if(positive).alias("pos"), n_if(~positive).alias("neg"))
+    w = Window.partitionBy(*keys).orderBy(F.col("step").desc())
+    run, whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys)
+    total = F.sum("pos").over(whole)
+    union = total + F.sum("neg").over(run)
+    jac = counts.withColumn("total", total).withColumn("jac", 1 - F.when(union == 0, 0.0).otherwise((total - F.sum("pos").over(run)) / union))
+    part = F.greatest(F.col("step"), F.lit(0)) / steps * (F.col("jac") - F.coalesce(F.lag("jac").over(w), F.lit(0.0)))
+    return jac.withColumn("part", part).groupBy(*keys).agg(F.sum("part").alias("lovasz"), (F.max("total") > 0).alias("present"))

@@ -1,8 +1,11 @@
-"""Spatial joins by grid cells.
-
-Each box is listed under the cells it covers; equal cells join by hash, and a pair counts only in the cell of the lower
-left corner of the two boxes' common part, so that no pair appears twice and none needs a distinct. Cells hold what lies
-near, so the join spreads with the data; Spark splits crowded cells (AQE skew join). No join is a cross join.
+"""Spatial joins by grid cells of several sizes.
+
+A box has a level, the least at which a cell is as long as the box; so at its own level or a coarser one it covers four
+cells at most, however large it is. Boxes are listed under their cells at each level that is some box's, from their own on;
+equal cells of the coarser of two boxes' levels join by hash, and a pair counts only in the cell of the lower left corner of
+the boxes' common part, so that no pair appears twice and none needs a distinct. Cells hold what lies near, so the join
+spreads with the data; Spark splits crowded cells (AQE skew join). No join is a cross join; the levels, a few dozen numbers
+at most, are known to the driver.
 """
 
 from __future__ import annotations
@@ -13,29 +16,36 @@ from pyspark.sql import functions as F
 CELL = 1000.0
 
 
-def _celled(df: DataFrame, cell: float, buffer: float = 0.0) -> DataFrame:
-    lo = lambda c: F.floor((F.col(c) - buffer) / cell)
-    hi = lambda c: F.floor((F.col(c) + buffer) / cell)
-    return df.withColumn("cx", F.explode(F.sequence(lo("xmin"), hi("xmax")))).withColumn("cy", F.explode(F.sequence(lo("ymin"), hi("ymax"))))
+def _level(cell: float, buffer: float = 0.0) -> Column:
+    longest = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) + 2 * buffer
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(longest, F.lit(1e-9)) / cell))).cast("int")
+
+
+def _celled(df: DataFrame, levels: list[int], cell: float, buffer: float = 0.0) -> DataFrame:
+    """The boxes under (level, cx, cy), with their own level as _own."""
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    lo = lambda c: F.floor((F.col(c) - buffer) / size)
+    hi = lambda c: F.floor((F.col(c) + buffer) / size)
+    every = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+    each = df.withColumn("_own", _level(cell, buffer)).withColumn("level", F.explode(F.filter(every, lambda x: x >= F.col("_own"))))
+    return each.withColumn("cx", F.explode(F.sequence(lo("xmin"), hi("xmax")))).withColumn("cy", F.explode(F.sequence(lo("ymin"), hi("ymax"))))
 
 
 def box_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float = CELL, buffer: float = 0.0, exact: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """(left_id, right_id, ...) of intersecting closed boxes; ``buffer`` widens the left boxes; ``exact``: a further
-    condition on the left box's columns and ``more`` columns of the right."""
-    a = _celled(left, cell, buffer)
-    b = _right(right, right_id, more, cell)
-    corner = lambda lo: F.floor(F.greatest(F.col(lo) - buffer, F.col(f"r_{lo}")) / cell)
+    condition on the left box's columns and ``more`` columns of the right. cell: the finest cells' length."""
+    names = ("xmin", "ymin", "xmax", "ymax")
+    levels = sorted(r[0] for r in left.select(_level(cell, buffer).alias("x")).union(right.select(_level(cell).alias("x"))).distinct().collect() if r[0] is not None)
+    a = _celled(left, levels, cell, buffer)
+    b = _celled(right.select(right_id, *more, *names), levels, cell).select(right_id, *more, *[F.col(c).alias(f"r_{c}") for c in names], F.col("_own").alias("_r_own"), "level", "cx", "cy")
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    corner = lambda lo: F.floor(F.greatest(F.col(lo) - buffer, F.col(f"r_{lo}")) / size)
     meet = (F.col("xmin") - buffer <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("xmax") + buffer) & (F.col("ymin") - buffer <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("ymax") + buffer)
-    pairs = a.join(b, ["cx", "cy"]).where(meet & (corner("xmin") == F.col("cx")) & (corner("ymin") == F.col("cy")))
+    once = (F.col("level") == F.greatest("_own", "_r_own")) & (corner("xmin") == F.col("cx")) & (corner("ymin") == F.col("cy"))
+    pairs = a.join(b, ["level", "cx", "cy"]).where(meet & once).drop("_own", "_r_own", "level")
     return pairs.where(exact) if exact else pairs
 
 
-def _right(right: DataFrame, right_id: str, more: tuple[str, ...], cell: float) -> DataFrame:
-    names = ("xmin", "ymin", "xmax", "ymax")
-    celled = _celled(right.select(right_id, *more, *names), cell)
-    return celled.select(right_id, *more, *[F.col(c).alias(f"r_{c}") for c in names], "cx", "cy")
-
-
 def flag(left: DataFrame, pairs: DataFrame, left_id: str, name: str) -> DataFrame:
     """The left rows with a boolean: has a pair."""
     return left.join(pairs.select(left_id, F.lit(True).alias(name)).distinct(), left_id, "left").withColumn(name, F.coalesce(name, F.lit(False)))
@@ -46,10 +56,24 @@ def count(left: DataFrame, pairs: DataFrame, left_id: str, name: str) -> DataFra
     return left.join(n, left_id, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def cover(polygons: DataFrame, key: str, x0: Column, y0: Column, res: float, inside: str) -> DataFrame:
-    """Cells (key, col, row) of a grid whose centres satisfy ``inside``, a condition on x, y and the polygon's columns."""
-    first = lambda lo, o: F.ceil((F.col(lo) - o) / res - 0.5)
-    last = lambda hi, o: F.floor((F.col(hi) - o) / res - 0.5)
-    spans = polygons.withColumn("c0", first("xmin", x0)).withColumn("c1", last("xmax", x0)).withColumn("r0", first("ymin", y0)).withColumn("r1", last("ymax", y0)).where("c1 >= c0 AND r1 >= r0")
-    cells = spans.withColumn("col", F.explode(F.sequence("c0", "c1"))).withColumn("row", F.explode(F.sequence("r0", "r1")))
-    return cells.withColumn("x", x0 + (F.col("col") + 0.5) * res).withColumn("y", y0 + (F.col("row") + 0.5) * res).where(inside)
+def inside(points: DataFrame, polygons: DataFrame, x: Column, y: Column, within: str, tile: float) -> DataFrame:
+    """Points with the polygons they lie in: polygons are listed under the square tiles that their boxes cover, points under
+    the one they lie in, and ``within``, a condition on x, y and a polygon's columns, is tested for those that meet there.
+    So a polygon is sent once to each tile, however many points it holds."""
+    at = points.withColumn("x", x).withColumn("y", y).withColumn("cx", F.floor(F.col("x") / tile)).withColumn("cy", F.floor(F.col("y") / tile))
+    side = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
+    listed = polygons.withColumn("cx", side("xmin", "xmax")).withColumn("cy", side("ymin", "ymax"))
+    return at.join(listed, ["cx", "cy"]).where(within).drop("cx", "cy")
+
+
+def footprints(px: DataFrame, keys: list[str], x0: Column, y1: Column, res: float, crs: str, lon: str, lat: str) -> DataFrame:
+    """keys, crs, the box of each scene's pixels, and the WGS84 box of that box's corners; x0 and y1 are the left and upper
+    edge of pixel (0, 0), lon and lat expression texts over x and y. An error if there is no scene."""
+    ends = px.groupBy(*keys).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    if ends.isEmpty():
+        raise ValueError("no raster found")
+    box = ends.select(*keys, F.lit(crs).alias("crs"), (x0 + F.col("c0") * res).alias("xmin"), (y1 - (F.col("r1") + 1) * res).alias("ymin"), (x0 + (F.col("c1") + 1) * res).alias("xmax"), (y1 - F.col("r0") * res).alias("ymax"))
+    corners = F.explode(F.array(*[F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a in ("xmin", "xmax") for b in ("ymin", "ymax")])).alias("p")
+    own = [*keys, "crs", "xmin", "ymin", "xmax", "ymax"]
+    at = box.select(*own, corners).select(*own, "p.x", "p.y").select(*own, F.expr(lon).alias("lon"), F.expr(lat).alias("lat"))
+    return at.groupBy(*own).agg(F.min("lon").alias("lon0"), F.min("lat").alias("lat0"), F.max("lon").alias("lon1"), F.max("lat").alias("lat1"))

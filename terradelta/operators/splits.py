@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terradelta.checkpoints import cut
+
 
 def shuffle_key(key: Column, seed: str = "42") -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), key.cast("string")).cast("binary"))
@@ -44,3 +46,23 @@ def stratified(df: DataFrame, key: str, positive: Column, n: int, seed: str = "4
     order = Window.partitionBy(positive, train).orderBy(shuffle_key(F.col(key), seed), key)
     picked = df.where(train).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).select(key, F.lit(True).alias("_p"))
     return df.join(picked, key, "left").withColumn("split", F.when(F.col("_p"), "val").otherwise(F.col("split"))).drop("_p")
+
+
+def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: str = "42") -> DataFrame:
+    """draw, key, weight of n seeded draws with replacement, each row as likely as its weight.
+
+    Rows are summed within range slices of the key, and a draw finds its slice from the slices' sums, one row of as many
+    numbers as there are slices; then it is compared with the rows of that slice only.
+    """
+    rows = cut(df.select(key, weight).repartitionByRange(key).withColumn("_s", F.spark_partition_id()))
+    inside = rows.withColumn("_hi", F.sum(weight).over(Window.partitionBy("_s").orderBy(key)))
+    sums = sorted(rows.groupBy("_s").agg(F.sum(weight)).collect())  # a row for each slice
+    ends = [0.0]
+    for _, w in sums:
+        ends.append(ends[-1] + float(w))
+    number = lambda x: F.array(*[F.lit(v) for v in x])
+    k = F.size(F.filter(number(ends[1:]), lambda end: end <= F.col("_u") * ends[-1])) + 1
+    drawn = df.sparkSession.range(n if sums else 0).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("_u"))
+    placed = drawn.select("draw", F.element_at(number([s for s, _ in sums] or [0]), k).alias("_s"), (F.col("_u") * ends[-1] - F.element_at(number(ends), k)).alias("_at"))
+    found = inside.join(placed, "_s").where((F.col("_at") >= F.col("_hi") - F.col(weight)) & (F.col("_at") < F.col("_hi")))
+    return found.select("draw", key, weight)

@@ -81,15 +81,18 @@ def scan_chip_arrays(c):
     return back.select("chip_id", F.aggregate("shape", F.lit(1), lambda a, x: a * x).alias("n"), "dtype", F.round(total, 4).alias("total"))
 
 
-@query("scan_images", "cls_px", ", g AS (SELECT scene_id, r * 64 + c AS k, pred FROM cls_px) SELECT 'scene_' || scene_id AS origin, 3 AS channels, count(*) AS n, round(sum(pred * 60 / 255.0::DOUBLE), 2) AS red FROM g GROUP BY scene_id")
+@query("scan_images", "cls_px", ", g AS (SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY r, c) - 1 AS k, pred FROM cls_px) SELECT 'scene_' || scene_id AS origin, 3 AS channels, count(*) AS n, round(sum(pred * 60 / 255.0::DOUBLE), 2) AS red, round(sum(pred * 60 / 255.0::DOUBLE * (k % 11)), 2) AS placed FROM g GROUP BY scene_id")
 def scan_images(px):
-    """Rows of Spark's image schema (blue, green, red bytes), one image of a row of pixels per scene, to RGB arrays."""
-    pixel = F.unhex(F.concat(F.lit("0001"), F.lpad(F.hex(F.col("pred") * 60), 2, "0")))
-    rows = px.groupBy("scene_id").agg(F.count("*").cast("int").alias("width"), F.unhex(F.array_join(F.collect_list(F.hex(pixel)), "")).alias("data"))
-    image = F.struct(F.concat(F.lit("scene_"), F.col("scene_id").cast("string")).alias("origin"), F.lit(1).alias("height"), "width", F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), "data")
+    """Rows of Spark's image schema (blue, green, red bytes), one image of a row of pixels in their order per scene, to RGB
+    arrays. An image is one value of its row."""
+    pixel = F.concat(F.lit("0001"), F.lpad(F.hex(F.col("pred") * 60), 2, "0"))
+    rows = px.groupBy("scene_id").agg(F.count("*").cast("int").alias("width"), F.array_sort(F.collect_list(F.struct("r", "c", pixel.alias("x")))).alias("p"))
+    data = F.unhex(F.array_join(F.transform("p", lambda x: x["x"]), "")).alias("data")
+    image = F.struct(F.concat(F.lit("scene_"), F.col("scene_id").cast("string")).alias("origin"), F.lit(1).alias("height"), "width", F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data)
     arrays = R.rgb_arrays(rows.select(image.alias("image")))
-    red = F.aggregate(F.filter("values", lambda x, i: i % 3 == 0), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return arrays.select("origin", "channels", F.col("width").cast("long").alias("n"), F.round(red, 2).alias("red"))
+    total = lambda weight: F.aggregate(F.transform("reds", weight), F.lit(0.0), lambda a, x: a + x)
+    reds = arrays.withColumn("reds", F.filter("values", lambda x, i: i % 3 == 0))
+    return reds.select("origin", "channels", F.col("width").cast("long").alias("n"), F.round(total(lambda x: x.cast("double")), 2).alias("red"), F.round(total(lambda x, i: x.cast("double") * (i % 11)), 2).alias("placed"))
 
 
 # --- sinks -----------------------------------------------------------------------------------------------------------

@@ -127,9 +127,21 @@ query("prob_stats", "px", "SELECT scene_id, min(prob) AS lo, max(prob) AS hi, ro
     lambda px: px.groupBy("scene_id").agg(F.min("prob").alias("lo"), F.max("prob").alias("hi"), F.round(F.avg("prob"), 6).alias("mean"), F.round(F.percentile("prob", 0.5), 6).alias("median"), *[M.n_if(F.col("prob") > t / 100).alias(f"n{t}") for t in (20, 30, 50)], F.round(F.avg((F.col("prob") > 0.5).cast("int")), 6).alias("share"))
 )
 query("prob_stats_global", "px", "SELECT count(*) AS n, min(prob) AS lo, max(prob) AS hi, round(avg(prob), 6) AS mean, round(stddev_samp(prob), 6) AS std, round(quantile_cont(prob, 0.25), 6) AS q25, round(quantile_cont(prob, 0.5), 6) AS q50, round(quantile_cont(prob, 0.75), 6) AS q75, round(100 * avg((prob > 0.5)::INT), 6) AS pct50 FROM px")(
-    lambda px: px.agg(F.count("*").alias("n"), F.min("prob").alias("lo"), F.max("prob").alias("hi"), F.round(F.avg("prob"), 6).alias("mean"), F.round(F.stddev_samp("prob"), 6).alias("std"), *[F.round(F.percentile("prob", q / 100), 6).alias(f"q{q}") for q in (25, 50, 75)], F.round(100 * F.avg((F.col("prob") > 0.5).cast("int")), 6).alias("pct50"))
+    lambda px: global_stats(px)
 )
 
+def global_stats(px, value="prob", quantiles=(25, 50, 75)):
+    """Figures over all pixels: values are counted first, to six decimals, so that quantiles need the counts only, of which
+    a value in [0, 1] has a million at most."""
+    counts = px.groupBy(F.round(value, 6).alias("v")).agg(F.count("*").alias("k"))
+    v, k = F.col("v"), F.col("k")
+    mean = F.sum(v * k) / F.sum(k)
+    deviation = F.sqrt((F.sum(v * v * k) - F.sum(v * k) * mean) / (F.sum(k) - 1))
+    at = F.percentile("v", F.array(*[F.lit(q / 100) for q in quantiles]), k)
+    one = counts.agg(F.sum("k").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(mean, 6).alias("mean"), F.round(deviation, 6).alias("std"), at.alias("q"), F.round(100 * F.sum(F.when(v > 0.5, k).otherwise(0)) / F.sum(k), 6).alias("pct50"))
+    return one.select("n", "lo", "hi", "mean", "std", *[F.round(F.get("q", F.lit(i)), 6).alias(f"q{q}") for i, q in enumerate(quantiles)], "pct50")
+
+
 query("split_counts", "chips", "SELECT split, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM chips GROUP BY split")(lambda chips: chips.groupBy("split").agg(F.count("*").alias("n")).withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6)))
 query("dup_rows", "scene_items", "SELECT coalesce(sum(n - 1), 0)::BIGINT AS n_duplicates FROM (SELECT count(*) AS n FROM scene_items GROUP BY id, collection, source_endpoint)")(lambda items: items.groupBy("id", "collection", "source_endpoint").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates")))
 
@@ -176,12 +188,29 @@ query("soft_scores", "px", _VALID + ", s AS (SELECT scene_id, sum(p * g) AS i, s
 query("masked_error", "px", "SELECT scene_id, round(sum(CASE WHEN gt <> 255 THEN (prob - gt) * (prob - gt) ELSE 0 END) / greatest(count(*) FILTER (gt <> 255), 1), 6) AS mse, round(sum(CASE WHEN gt <> 255 THEN abs(prob - gt) ELSE 0 END) / greatest(count(*) FILTER (gt <> 255), 1), 6) AS l1 FROM px GROUP BY scene_id")(
     lambda px: px.groupBy("scene_id").agg(*[F.round(F.sum(F.when(gt() != 255, e).otherwise(0.0)) / F.greatest(M.n_if(gt() != 255), F.lit(1)), 6).alias(n) for e, n in (((F.col("prob") - gt()) * (F.col("prob") - gt()), "mse"), (F.abs(F.col("prob") - gt()), "l1"))])
 )
-query("focal_score", "px", _VALID + "SELECT scene_id, round(avg(-(CASE WHEN g = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * pow(1 - greatest(CASE WHEN g = 1 THEN p ELSE 1 - p END, 1e-9), 2) * ln(greatest(CASE WHEN g = 1 THEN p ELSE 1 - p END, 1e-9))), 5) AS focal FROM v GROUP BY scene_id")(lambda px: _valid(px).groupBy("scene_id").agg(F.round(F.avg(M.focal(p(), g())), 5).alias("focal")))
+_FOCAL = """, t AS (SELECT scene_id, p, g, greatest(CASE WHEN g = 1 THEN p ELSE 1 - p END, 1e-9) AS pt, CASE WHEN g = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS a FROM v)
+SELECT scene_id, round(avg(-a * pow(1 - pt, 2) * ln(pt)), 5) AS focal, round(avg(-a * CASE WHEN pt < 0.5 THEN 1 ELSE pow((1 - pt) / 0.5, 2) END * ln(pt)), 5) AS reduced,
+round(avg(-a * pow(1 - pt, 2) * ln(pt)) / greatest(sum(pow(1 - pt, 2)), 1e-6), 7) AS normalized, round(1 - 2 * sum(p * g) / greatest(sum(p) + sum(g), 1e-7) + avg(-a * pow(1 - pt, 2) * ln(pt)), 5) AS dice_focal FROM t GROUP BY scene_id"""
+query("focal_score", "px", _VALID + _FOCAL)(
+    lambda px: _valid(px).groupBy("scene_id").agg(F.round(F.avg(M.focal(p(), g())), 5).alias("focal"), F.round(F.avg(M.focal(p(), g(), reduced=0.5)), 5).alias("reduced"), F.round(M.normalized_focal(p(), g()), 7).alias("normalized"), F.round(M.dice_focal(p(), g()), 5).alias("dice_focal"))
+)
 query("smoothed_bce", "px", _VALID + ", y AS (SELECT scene_id, g * 0.9::DOUBLE + 0.05::DOUBLE AS y, least(greatest(p, 1e-7), 1 - 1e-7::DOUBLE) AS q FROM v) SELECT scene_id, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 5) AS bce FROM y GROUP BY scene_id")(lambda px: _valid(px).groupBy("scene_id").agg(F.round(F.avg(M.smoothed_bce(p(), g())), 5).alias("bce")))
 query("contrastive_score", "px", _VALID + "SELECT round(sum(CASE WHEN g = 0 THEN p * p ELSE 0 END) / (count(*) FILTER (g = 0) + 1e-9::DOUBLE) + sum(CASE WHEN g = 1 THEN pow(greatest(2 - p, 0), 2) ELSE 0 END) / (count(*) FILTER (g = 1) + 1e-9::DOUBLE), 6) AS contrastive FROM v")(
     lambda px: _valid(px).agg(F.round(F.sum(F.when(g() == 0, p() * p()).otherwise(0.0)) / (M.n_if(g() == 0) + 1e-9) + F.sum(F.when(g() == 1, F.pow(F.greatest(2 - p(), F.lit(0.0)), F.lit(2.0))).otherwise(0.0)) / (M.n_if(g() == 1) + 1e-9), 6).alias("contrastive"))
 )
-query("lovasz_score", "px", _VALID + """, e AS (SELECT *, abs(g - p) AS err FROM v), w AS (SELECT *, sum(g) OVER (PARTITION BY scene_id) AS t, sum(g) OVER o AS cg, sum(1 - g) OVER o AS cn FROM e WINDOW o AS (PARTITION BY scene_id ORDER BY err DESC, r, c ROWS UNBOUNDED PRECEDING)),
-j AS (SELECT *, 1 - CASE WHEN t + cn = 0 THEN 0 ELSE (t - cg) / (t + cn) END AS jac FROM w) SELECT scene_id, round(sum(d), 6) AS lovasz FROM (SELECT scene_id, err * (jac - coalesce(lag(jac) OVER (PARTITION BY scene_id ORDER BY err DESC, r, c), 0)) AS d FROM j) GROUP BY scene_id""")(
-    lambda px: M.lovasz(_valid(px), "p", "g", "scene_id", "r", "c")
-)
+_LOVASZ = """, e AS (SELECT scene_id, 'flat' AS form, abs(g - p) AS err, g, r, c FROM v UNION ALL SELECT scene_id, 'hinge', 1 - (4 * p - 2) * (2 * g - 1), g, r, c FROM v
+UNION ALL SELECT scene_id, 'soft0', abs((1 - g) - (1 - p)), 1 - g, r, c FROM v UNION ALL SELECT scene_id, 'soft1', abs(g - p), g, r, c FROM v),
+w AS (SELECT *, sum(g) OVER (PARTITION BY scene_id, form) AS t, sum(g) OVER o AS cg, sum(1 - g) OVER o AS cn FROM e WINDOW o AS (PARTITION BY scene_id, form ORDER BY err DESC, r, c ROWS UNBOUNDED PRECEDING)),
+j AS (SELECT *, 1 - CASE WHEN t + cn = 0 THEN 0 ELSE (t - cg) / (t + cn) END AS jac FROM w),
+l AS (SELECT scene_id, form, max(t) > 0 AS present, sum(d) AS x FROM (SELECT scene_id, form, t, greatest(err, 0) * (jac - coalesce(lag(jac) OVER (PARTITION BY scene_id, form ORDER BY err DESC, r, c), 0)) AS d FROM j) GROUP BY scene_id, form)
+SELECT scene_id, round(max(x) FILTER (form = 'flat'), 6) AS lovasz, round(max(x) FILTER (form = 'hinge'), 6) AS hinge, round(avg(x) FILTER (form IN ('soft0', 'soft1') AND present), 6) AS softmax FROM l GROUP BY scene_id"""
+
+
+@query("lovasz_score", "px", _VALID + _LOVASZ)
+def lovasz_score(px):
+    """The score of the probability, the hinge form of its logit, and the softmax form: the mean over the classes present."""
+    forms = {"flat": (F.abs(g() - p()), g()), "hinge": (1 - (4 * p() - 2) * (2 * g() - 1), g()), "soft0": (F.abs((1 - g()) - (1 - p())), 1 - g()), "soft1": (F.abs(g() - p()), g())}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), e.alias("error"), (fg == 1).alias("positive")) for k, (e, fg) in forms.items()])).alias("f")
+    scored = M.lovasz(_valid(px).select("scene_id", each).select("scene_id", "f.*"), F.col("error"), F.col("positive"), "scene_id", "form")
+    form, x = F.col("form"), F.col("lovasz")
+    return scored.groupBy("scene_id").agg(F.round(F.max(F.when(form == "flat", x)), 6).alias("lovasz"), F.round(F.max(F.when(form == "hinge", x)), 6).alias("hinge"), F.round(F.avg(F.when(form.startswith("soft") & F.col("present"), x)), 6).alias("softmax"))

@@ -7,9 +7,10 @@ Scenes lie on a 100 km square: scene s has its lower left corner at ((s % 10) *
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terradelta.functions import geometry as G
+from terradelta.operators import components as CC
+from terradelta.operators import scenes as SC
 from terradelta.operators import spatial as SJ
 from terradelta.plans.registry import query
 
@@ -36,7 +37,11 @@ query("sj_clip", "alerts zones", f"SELECT alert_id, zone_id, greatest(a.xmin, b.
 )
 query("aoi_scene_join", "aoi alerts", f"SELECT a.aoi_id, b.alert_id AS scene FROM aoi a JOIN alerts b ON {_MEET}")(lambda a, s: SJ.box_pairs(s, a, "alert_id", "aoi_id", cell=20000.0).select("aoi_id", F.col("alert_id").alias("scene")))
 
-_CATALOG = ", rc AS (SELECT scene_id, (scene_id % 10) * 10000.0::DOUBLE + min(c) * 100 AS xmin, (scene_id // 10 % 10) * 10000.0::DOUBLE + (63 - max(r)) * 100 AS ymin, (scene_id % 10) * 10000.0::DOUBLE + (max(c) + 1) * 100 AS xmax, (scene_id // 10 % 10) * 10000.0::DOUBLE + (64 - min(r)) * 100 AS ymax FROM px GROUP BY scene_id)"
+#: Where the square lies in UTM zone 43 north, for footprints in WGS84.
+EAST, NORTH, CRS = 300000.0, 2000000.0, "EPSG:32643"
+LON0, LAT0 = G.to_wgs84(f"({EAST}D + x)", f"({NORTH}D + y)", "32643")
+_BOXES = ", rc AS (SELECT scene_id, (scene_id % 10) * 10000.0::DOUBLE + min(c) * 100 AS xmin, (scene_id // 10 % 10) * 10000.0::DOUBLE + (63 - max(r)) * 100 AS ymin, (scene_id % 10) * 10000.0::DOUBLE + (max(c) + 1) * 100 AS xmax, (scene_id // 10 % 10) * 10000.0::DOUBLE + (64 - min(r)) * 100 AS ymax FROM px GROUP BY scene_id)"
+_CATALOG = _BOXES + f", co AS (SELECT scene_id, x, y FROM (SELECT scene_id, unnest([xmin, xmax]) AS x, ymin, ymax FROM rc), LATERAL (SELECT unnest([ymin, ymax]) AS y)), ll AS (SELECT scene_id, {LON0} AS lon, {LAT0} AS lat FROM co)".replace("0D + ", "0::DOUBLE + ")
 
 
 def _origin():
@@ -45,24 +50,25 @@ def _origin():
 
 
 def raster_catalog(px):
-    """Footprint of each scene's pixels; a scene without pixels has no row."""
+    """Footprint of each scene's pixels, its crs and its box in WGS84; an error if there is no scene at all."""
     x, y = _origin()
-    ends = px.groupBy("scene_id").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    return ends.select("scene_id", (x + F.col("c0") * 100).alias("xmin"), (y + (63 - F.col("r1")) * 100).alias("ymin"), (x + (F.col("c1") + 1) * 100).alias("xmax"), (y + (64 - F.col("r0")) * 100).alias("ymax"))
+    return SJ.footprints(px, ["scene_id"], x, y + 6400, 100.0, CRS, LON0, LAT0)
 
 
-query("raster_catalog", "px", _CATALOG + "SELECT * FROM rc")(raster_catalog)
-query("sj_raster_footprint", "zones px", _CATALOG + f"SELECT zone_id, scene_id FROM zones a JOIN rc b ON {_MEET}")(lambda z, px: SJ.box_pairs(z, raster_catalog(px), "zone_id", "scene_id", cell=5000.0).select("zone_id", "scene_id"))
+query("raster_catalog", "px", _CATALOG + f"SELECT rc.*, '{CRS}' AS crs, w.* EXCLUDE (scene_id) FROM rc JOIN (SELECT scene_id, round(min(lon), 6) AS lon0, round(min(lat), 6) AS lat0, round(max(lon), 6) AS lon1, round(max(lat), 6) AS lat1 FROM ll GROUP BY scene_id) w USING (scene_id)")(
+    lambda px: raster_catalog(px).select("scene_id", "crs", "xmin", "ymin", "xmax", "ymax", *[F.round(c, 6).alias(c) for c in ("lon0", "lat0", "lon1", "lat1")])
+)
+query("sj_raster_footprint", "zones px", _BOXES + f"SELECT zone_id, scene_id FROM zones a JOIN rc b ON {_MEET}")(lambda z, px: SJ.box_pairs(z, raster_catalog(px), "zone_id", "scene_id", cell=5000.0).select("zone_id", "scene_id"))
 
-# Pixels of each zone's triangle: zone cells of the 100 m grid join pixels by global grid position.
+# Pixels of each zone's triangle: zones and pixels meet in tiles of 16 x 16 pixels.
 _TRI = G.in_triangle("x", "y")
 _PIX = ", g AS (SELECT *, (scene_id % 10) * 10000 + c * 100 + 50.0::DOUBLE AS x, (scene_id // 10 % 10) * 10000 + (63 - r) * 100 + 50.0::DOUBLE AS y FROM {t})"
 
 
 def zone_pixels(zones, px):
-    cells = SJ.cover(zones, "zone_id", F.lit(0.0), F.lit(0.0), 100.0, _TRI).select("zone_id", "col", "row")
-    at = px.withColumn("col", F.col("scene_id") % 10 * 100 + F.col("c")).withColumn("row", F.expr("scene_id div 10 % 10") * 100 + 63 - F.col("r"))
-    return cells.join(at, ["col", "row"])
+    x = F.col("scene_id") % 10 * 10000 + F.col("c") * 100 + 50.0
+    y = F.expr("scene_id div 10 % 10") * 10000 + (63 - F.col("r")) * 100 + 50.0
+    return SJ.inside(px, zones, x, y, _TRI, 1600.0)
 
 
 _ZM = _PIX.format(t="px") + f", m AS (SELECT zone_id, scene_id, avg(prob) AS m FROM zones JOIN g ON {_TRI} GROUP BY ALL), zm AS (SELECT zone_id, avg(m) AS mean_prob, count(*) AS hits FROM m GROUP BY zone_id)"
@@ -116,6 +122,7 @@ def dominant(zones, cover):
 
 
 query("dominant_class", "zones land_cover", _DOM + "SELECT * FROM d")(dominant)
+#: Rule cut-offs (fixed values), in order.
 _RULES = [("f_built >= 0.30", "built"), ("f_water + f_wet >= 0.30", "water"), ("f_veg >= 0.40", "vegetation"), ("f_agri >= 0.40", "agriculture"), ("f_bare >= 0.40", "bare")]
 _CHAIN = "CASE " + " ".join(f"WHEN {c} THEN '{n}_change'" for c, n in _RULES) + " ELSE coalesce(name, 'unknown') END"
 _CT = _DOM + f", ct AS (SELECT f.zone_id, CASE WHEN EXISTS (SELECT 1 FROM buildings b WHERE a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax) THEN 'building_change' ELSE {_CHAIN} END AS change_type FROM f JOIN zones a USING (zone_id) LEFT JOIN d USING (zone_id))"
@@ -167,9 +174,19 @@ query("geom_repair", "zones", "SELECT zone_id, w * h AS area, 5 AS corners FROM
 )
 query("feature_clean", "zones", "SELECT zone_id, 4326 AS srid, xmin FROM zones WHERE zone_id % 6 <> 0")(lambda z: z.select("zone_id", F.when(F.col("zone_id") % 6 != 0, _ring()).alias("g"), F.when(F.col("zone_id") % 2 == 0, 4326).alias("srid"), "xmin").where(F.col("g").isNotNull() & (F.size("g") > 0)).select("zone_id", F.coalesce("srid", F.lit(4326)).alias("srid"), "xmin"))
 query("aoi_validate", "aoi", "SELECT aoi_id, aoi_id % 7 <> 0 AS good FROM aoi")(lambda a: a.withColumn("xmax", F.when(F.col("aoi_id") % 7 == 0, F.col("xmin")).otherwise(F.col("xmax"))).select("aoi_id", ((F.col("xmin") < F.col("xmax")) & (F.col("ymin") < F.col("ymax"))).alias("good")))
-query("geom_union", "zones", ", c AS (SELECT DISTINCT gx, gy FROM (SELECT unnest(range(floor(xmin / 1000)::BIGINT, floor((xmax - 1) / 1000)::BIGINT + 1)) AS gx, ymin, ymax FROM zones), LATERAL (SELECT unnest(range(floor(ymin / 1000)::BIGINT, floor((ymax - 1) / 1000)::BIGINT + 1)) AS gy)) SELECT count(*) AS cells, min(gx) AS x0, max(gx) AS x1, min(gy) AS y0, max(gy) AS y1 FROM c")(
-    lambda z: z.select(F.explode(F.sequence(F.floor(F.col("xmin") / 1000), F.floor((F.col("xmax") - 1) / 1000))).alias("gx"), "ymin", "ymax").withColumn("gy", F.explode(F.sequence(F.floor(F.col("ymin") / 1000), F.floor((F.col("ymax") - 1) / 1000)))).select("gx", "gy").distinct().agg(F.count("*").alias("cells"), F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1"))
-)
+_CELLS = "SELECT DISTINCT 0 AS k, gy AS r, gx AS c FROM (SELECT unnest(range(floor(xmin / 1000)::BIGINT, floor((xmax - 1) / 1000)::BIGINT + 1)) AS gx, ymin, ymax FROM zones), LATERAL (SELECT unnest(range(floor(ymin / 1000)::BIGINT, floor((ymax - 1) / 1000)::BIGINT + 1)) AS gy)"
+query("geom_union", "zones", f""", m AS ({_CELLS}), e AS (SELECT a.r * 128 + a.c AS s, b.r * 128 + b.c AS t FROM m a JOIN (SELECT m.*, dr, dc FROM m, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS v(dr, dc)) b ON b.r + b.dr = a.r AND b.c + b.dc = a.c),
+f AS (SELECT r * 128 + c AS s, r * 128 + c AS t FROM m UNION SELECT f.s, e.t FROM f JOIN e ON e.s = f.t), cc AS (SELECT s // 128 AS r, s % 128 AS c, min(t) AS label FROM f GROUP BY s)
+SELECT label, count(*) AS cells, min(c) AS x0, max(c) AS x1, min(r) AS y0, max(r) AS y1 FROM cc GROUP BY label""")(lambda z: geom_union(z))
+
+
+def geom_union(z, cell=1000):
+    """The zones' union on a grid of 1 km: cells that touch along a side become one part."""
+    side = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell)))
+    cells = z.withColumn("c", side("xmin", "xmax")).withColumn("r", side("ymin", "ymax")).select(F.lit(0).alias("k"), "r", "c").distinct()
+    return CC.regions(CC.components(cells, ["k"], 128), ["k"]).select("label", F.col("n").alias("cells"), F.col("c0").alias("x0"), F.col("c1").alias("x1"), F.col("r0").alias("y0"), F.col("r1").alias("y1"))
+
+
 # --- coordinates -----------------------------------------------------------------------------------------------------
 _LL = "SELECT alert_id, 72.0::DOUBLE + xmin / 200000 AS lon, 18.0::DOUBLE + ymin / 200000 AS lat FROM alerts"
 _LLS = "SELECT alert_id, 72.0D + xmin / 200000 AS lon, 18.0D + ymin / 200000 AS lat FROM {a}"
@@ -200,11 +217,8 @@ def _ways(r):
     corners = F.array(*[F.struct(F.lit(k).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")) for k, x, y in ((0, "x1", "y1"), (1, "x2", "y2"), (2, "x2", "y1"))])
     nodes = r.select("road_id", F.explode(corners).alias("n")).select((F.col("road_id") * 10 + F.col("n.k")).alias("node_id"), "n.x", "n.y")
     k = F.col("road_id") * 10
-    refs = F.when(F.col("road_id") % 3 == 0, F.array(k, k + 1, k + 2, k)).otherwise(F.array(k, k + 1))
-    listed = r.select(F.col("road_id").alias("way_id"), F.posexplode(refs).alias("pos", "node_id"))
-    placed = listed.join(nodes, "node_id").groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
-    closed = (F.element_at("p", 1)["x"] == F.element_at("p", -1)["x"]) & (F.element_at("p", 1)["y"] == F.element_at("p", -1)["y"]) & (F.size("p") >= 4)
-    return placed.where(F.size("p") >= 2).select("way_id", F.when(closed, "polygon").otherwise("line").alias("kind"), F.size("p").alias("n_points"), F.element_at("p", 1)["x"].alias("first_x"))
+    ways = r.select(F.col("road_id").alias("way_id"), F.when(F.col("road_id") % 3 == 0, F.array(k, k + 1, k + 2, k)).otherwise(F.array(k, k + 1)).alias("nodes"))
+    return SC.osm_ways(nodes, ways).select("way_id", "kind", F.size("points").alias("n_points"), F.element_at("points", 1)["x"].alias("first_x"))
 
 # --- burning polygons to pixels --------------------------------------------------------------------------------------
 _BURN = ", b AS (SELECT scene_id, r, c, bool_or(true) AS hit FROM g JOIN zones ON {tri} GROUP BY ALL)".format(tri=_TRI)

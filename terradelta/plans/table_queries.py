@@ -11,6 +11,7 @@ from terradelta.checkpoints import shared_folder
 from terradelta.fixtures import bucket, split_of, split_sql, table
 from terradelta.functions import strings as S
 from terradelta.operators import manifest as MF
+from terradelta.operators import scenes as SC
 from terradelta.operators import splits as SP
 from terradelta.plans.registry import query
 from terradelta.sinks import writers as W
@@ -101,7 +102,16 @@ query("filter_split", "chips", "SELECT chip_id, split FROM chips WHERE split = '
 query("lookup_chip", "chips", "SELECT chip_id, split, round(t0[1], 6) AS first FROM chips WHERE chip_id = 7 LIMIT 1")(lambda c: MF.lookup(c, "chip_id", 7).select("chip_id", "split", F.round(F.col("t0")[0], 6).alias("first")))
 query("scan_index", "chips", "SELECT chip_id, split, len(t0) AS n FROM chips")(lambda c: _index(c, "index", "chip_id", "split", "t0").select("chip_id", "split", F.size("t0").cast("long").alias("n")))
 query("scan_summary_csv", "quality", "SELECT name, valid_ratio, finite_count FROM quality")(_summary)
-query("chip_quarantine", "quality", "SELECT name, CASE WHEN valid_ratio < 0.3 OR finite_count = 0 THEN 'bad' ELSE 'good' END AS verdict FROM quality")(lambda q: q.select("name", F.when((F.col("valid_ratio") < 0.3) | (F.col("finite_count") == 0), "bad").otherwise("good").alias("verdict")))
+query("chip_quarantine", "quality", "SELECT name, valid_ratio, CASE WHEN valid_ratio < 0.5 OR finite_count = 0 THEN 'bad' ELSE 'good' END AS verdict FROM quality")(lambda q: _quarantine(q))
+
+
+def _quarantine(q):
+    """Good and bad files in a table each, by the summary."""
+    good, bad = _new(q.sparkSession, "good"), _new(q.sparkSession, "bad")
+    W.quarantine(q, (F.col("valid_ratio") < 0.5) | (F.col("finite_count") == 0), good, bad)
+    both = [R.read_index(q.sparkSession, path, "name", "valid_ratio").withColumn("verdict", F.lit(v)) for path, v in ((good, "good"), (bad, "bad"))]
+    return both[0].unionByName(both[1])
+
 
 # --- strings ---------------------------------------------------------------------------------------------------------
 query("str_prefix", "manifest", "SELECT path, regexp_replace(stem || '_' || tag, '_(A|B|OUT|LABEL|label|mask)$', '') AS prefix FROM manifest")(lambda m: m.select("path", S.prefix(S.stem(F.col("path"))).alias("prefix")))
@@ -134,13 +144,9 @@ query("group_move_first", "px", ", m AS (SELECT min(scene_id) AS s FROM px) SELE
 
 @query("oversample_weights", "px", ", w AS (SELECT scene_id, CASE WHEN bool_or(gt = 1 AND prob >= 1.0) THEN 3 ELSE 1 END AS w FROM px GROUP BY scene_id), c AS (SELECT *, sum(w) OVER (ORDER BY scene_id) - w AS lo, sum(w) OVER (ORDER BY scene_id) AS hi, sum(w) OVER () AS t FROM w), d AS (SELECT i AS draw, ('0x' || substr(md5('42:' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM range(100) r(i)) SELECT draw, scene_id, w FROM d JOIN c ON u * t >= lo AND u * t < hi")
 def oversample_weights(px):
-    """A hundred seeded draws with replacement, each scene weighted; scenes are few, pixels are not."""
+    """A hundred seeded draws with replacement, each scene weighted."""
     w = px.groupBy("scene_id").agg(F.when(F.bool_or((F.col("gt") == 1) & (F.col("prob") >= 1.0)), 3).otherwise(1).alias("w"))
-    hi = F.sum("w").over(Window.orderBy("scene_id"))
-    ranges = w.select("scene_id", "w", (hi - F.col("w")).alias("lo"), hi.alias("hi"), F.sum("w").over(Window.partitionBy()).alias("t"))
-    draws = px.sparkSession.range(100).select(F.col("id").alias("draw"), SP.uniform(F.col("id")).alias("u"))
-    at = F.col("u") * F.col("t")
-    return ranges.join(F.broadcast(draws), (at >= F.col("lo")) & (at < F.col("hi"))).select("draw", "scene_id", "w")
+    return SP.weighted_draws(w, "scene_id", "w", 100)
 
 
 query("shuffle_rows", "manifest", f"SELECT stem FROM (SELECT DISTINCT stem FROM manifest) ORDER BY {_KEY}, stem LIMIT 100")(lambda m: m.select("stem").distinct().orderBy(SP.shuffle_key(F.col("stem")), "stem").limit(100))
@@ -165,18 +171,23 @@ query("asset_lowercase", "scene_items", "SELECT event_id, 's3://' || lower(colle
 n AS (SELECT s.*, t.which, row_number() OVER (PARTITION BY aoi_id, which ORDER BY cloud, abs(date_diff('day', target, CAST(datetime AS DATE))), id, event_id) AS k FROM scene_items s JOIN t ON CAST(datetime AS DATE) BETWEEN target - 7 AND target + 7 WHERE cloud < 30)
 SELECT a.aoi_id, a.event_id AS t0_event, b.event_id AS t1_event FROM n a JOIN n b ON a.aoi_id = b.aoi_id WHERE a.which = 't0' AND b.which = 't1' AND a.k = 1 AND b.k = 1""")
 def scene_pair(items):
-    """Least-cloud scene of each AOI within seven days of two dates; both dates' winners in one grouped pass."""
-    day, clear = F.to_date("datetime"), items.where("cloud < 30")
-    targets = F.array(*[F.struct(F.lit(w).alias("which"), F.to_date(F.lit(d)).alias("target")) for w, d in (("t0", "2024-01-08"), ("t1", "2024-01-23"))])
-    near = clear.withColumn("t", F.explode(targets)).where(F.abs(F.datediff(day, F.col("t.target"))) <= 7)
-    best = F.min(F.struct("cloud", F.abs(F.datediff(day, F.col("t.target"))), "id", "event_id"))["event_id"]
-    wide = near.groupBy("aoi_id").pivot("t.which", ["t0", "t1"]).agg(best)
-    return wide.dropna().select("aoi_id", F.col("t0").alias("t0_event"), F.col("t1").alias("t1_event"))
+    return SC.pair(items, {"t0": "2024-01-08", "t1": "2024-01-23"}).select("aoi_id", F.col("t0").alias("t0_event"), F.col("t1").alias("t1_event"))
 
 
-query("months_between_ym", "scene_items", "SELECT event_id, ((year(datetime) - 2023) * 12 + month(datetime) - 5)::BIGINT AS months FROM scene_items")(lambda i: i.select("event_id", ((F.year("datetime") - 2023) * 12 + F.month("datetime") - 5).cast("long").alias("months")))
+query("months_between_ym", "scene_items", "SELECT event_id, ((year(datetime) - 2023) * 12 + month(datetime) - 5)::BIGINT AS months FROM scene_items")(lambda i: i.select("event_id", SC.months_apart(F.lit("2023-05-01").cast("date"), "datetime").cast("long").alias("months")))
 query("aoi_detections", "aoi detections", "SELECT d.id, d.aoi_id, a.name FROM detections d JOIN aoi a USING (aoi_id)")(lambda a, d: d.join(a.select("aoi_id", "name"), "aoi_id").select("id", "aoi_id", "name"))
-query("upsert_detections", "aoi detections", "SELECT DISTINCT id, aoi_id FROM detections WHERE aoi_id IN (SELECT aoi_id FROM aoi)")(lambda a, d: d.join(a.select("aoi_id"), "aoi_id", "left_semi").dropDuplicates(["id"]).select("id", "aoi_id"))
+query("upsert_detections", "aoi detections", "SELECT DISTINCT id, aoi_id, round(score, 4) AS score FROM detections WHERE aoi_id IN (SELECT aoi_id FROM aoi)")(lambda a, d: _upserted(a, d))
+
+
+def _upserted(a, d):
+    """Detections of known AOIs appended to a table in two overlapping batches; an id that it holds is not added again."""
+    path = _new(d.sparkSession, "detections")
+    known = d.join(a.select("aoi_id"), "aoi_id", "left_semi").select("id", "aoi_id", "score")
+    for batch in (known.where("id % 3 <> 0"), known.where("id % 3 <> 1")):
+        W.append_new(batch, path, "id")
+    return R.read_index(d.sparkSession, path, "id", "aoi_id", "score").withColumn("score", F.round("score", 4))
+
+
 query("scan_detections", "detections", "SELECT id, aoi_id, round(score, 4) AS score FROM detections")(lambda d: _index(d, "detections", "id", "aoi_id", "score").select("id", "aoi_id", F.round("score", 4).alias("score")))
 
 # --- training history ------------------------------------------------------------------------------------------------

@@ -46,3 +46,21 @@ def write_raster(px: DataFrame, path: str, value: str, tile: int = 32) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def append_new(df: DataFrame, path: str, key: str) -> None:
+    """Appends the rows whose key the table does not hold; of rows that repeat a key one is taken. The first call makes the
+    table; ``df`` must not read it."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = df.dropDuplicates([key])
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        new = new.join(spark.read.parquet(path).select(key), key, "left_anti").select(df.columns)
+    new.write.mode("append").parquet(path)
+
+
+def quarantine(df: DataFrame, bad: Column, good_path: str, bad_path: str) -> None:
+    """Writes the bad rows (a null condition is good) to one table and all others to another."""
+    is_bad = F.coalesce(bad, F.lit(False))
+    df.where(is_bad).write.mode("overwrite").parquet(bad_path)
+    df.where(~is_bad).write.mode("overwrite").parquet(good_path)

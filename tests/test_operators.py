@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from terradelta.functions import geometry as G
 from terradelta.operators import components as CC
-from terradelta.operators import manifest, raster, spatial, splits
+from terradelta.operators import manifest, metrics, outlines, raster, spatial, splits
+from terradelta.sinks import writers
 from terradelta.sources import readers
 
 
@@ -167,3 +168,152 @@ def test_ranks_within_range_slices(spark):
         assert [r.a for r in sorted(own, key=lambda r: r.k)] == want and sorted(r.k for r in own) == list(range(1, len(want) + 1))
     plan = got._jdf.queryExecution().toString()
     assert "_s" in plan.split("Window [row_number()", 1)[1].split("\n")[0].split("windowspecdefinition", 1)[1].split(" ASC")[0]
+
+
+def ring_area(ring):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2
+
+
+@pytest.mark.parametrize(("conn", "want"), [(4, [[9.0, -1.0], [1.0], [1.0]]), (8, [[9.0, -1.0], [2.0]])])
+def test_outlines_have_holes_and_part_at_corners(spark, conn, want):
+    """A square ring around a hole, and two pixels that meet at a corner only."""
+    cells = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)] + [(5, 5), (6, 6)]
+    labelled = CC.components(spark.createDataFrame([(1, r, c) for r, c in cells], "k long, r long, c long"), ["k"], 64, conn)
+    got = outlines.outlines(labelled, ["k"], (2.0, 100.0, -2.0, 50.0), conn).orderBy("label").collect()
+    rings = [[[(p.x, p.y) for p in ring] for ring in row.rings] for row in got]
+    assert [[ring_area(r) / 4 for r in row] for row in rings] == want
+    assert rings[0][0][0] == rings[0][0][-1] and len(rings[0][0]) == 5 and all(100 <= x <= 106 and 44 <= y <= 50 for x, y in rings[0][0])
+
+
+def test_outlines_add_up_to_random_regions(spark):
+    rng = np.random.default_rng(4)
+    for conn in (4, 8):
+        mask = spark.createDataFrame([(0, int(r), int(c)) for r, c in np.argwhere(rng.random((40, 40)) < 0.6)], "k long, r long, c long")
+        labelled = CC.components(mask, ["k"], 64, conn, tile=16)
+        size = {r.label: r.n for r in CC.regions(labelled, ["k"]).collect()}
+        edges = {r.label: r["count"] for r in outlines.boundary(labelled, ["k"]).groupBy("label").count().collect()}
+        for row in outlines.outlines(labelled, ["k"], conn=conn).collect():
+            rings = [[(p.x, p.y) for p in ring] for ring in row.rings]
+            assert sum(map(ring_area, rings)) == size[row.label] and ring_area(rings[0]) > 0 and all(ring_area(r) < 0 for r in rings[1:])
+            assert sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for ring in rings for a, b in zip(ring, ring[1:])) == edges[row.label]
+
+
+def test_opening_by_an_even_element_moves_nothing(spark):
+    cells = [(r, c) for r in range(4) for c in range(4)] + [(9, 9)]
+    px = raster.dense(spark.createDataFrame([(0, r, c, 1) for r, c in cells], "k long, r long, c long, v int"), ["k"], "v", 12, 12, 0)
+    got = {(x.r, x.c) for x in raster.opening(px, ["k"], "v", "square2").where("v = 1").collect()}
+    assert got == set(cells) - {(9, 9)}
+    assert {(x.r, x.c) for x in raster.opening(px, ["k"], "v", "square2", times=2).where("v = 1").collect()} == got
+
+
+def test_labels_are_cleaned_class_by_class(spark):
+    grid = np.zeros((12, 12), int)
+    grid[2:7, 2:7], grid[4, 4], grid[9, 9], grid[2:4, 8:10] = 1, 2, 3, 2
+    px = spark.createDataFrame([(0, r, c, int(grid[r, c])) for r in range(12) for c in range(12)], "k long, r long, c long, label int")
+    out = np.zeros_like(grid)
+    for x in raster.clean_labels(px, ["k"], "label", [1, 2, 3]).collect():
+        out[x.r, x.c] = x.label
+    want = grid.copy()
+    want[9, 9] = 0  # a lone pixel goes
+    want[4, 4] = 0  # the hole is closed by class 1, then class 2's lone pixel becomes background
+    assert (out == want).all()
+
+
+def test_boxes_of_all_sizes_meet_in_few_cells(spark):
+    rng = np.random.default_rng(5)
+    sizes = [1, 10, 1e3, 1e5, 3e6]
+    boxes = [(i, float(x), float(y), float(x + w), float(y + w)) for i, (x, y, w) in enumerate(zip(rng.uniform(-1e6, 1e6, 80), rng.uniform(-1e6, 1e6, 80), rng.choice(sizes, 80), strict=True))]
+    df = spark.createDataFrame([*boxes, (80, 5.0, 5.0, 5.0, 5.0), (81, 5.0, 5.0, 5.0, 5.0)], "id long, xmin double, ymin double, xmax double, ymax double")
+    rows = [tuple(r) for r in df.collect()]
+    want = sorted((p[0], q[0]) for p in rows for q in rows if p[1] - 2 <= q[3] and q[1] <= p[3] + 2 and p[2] - 2 <= q[4] and q[2] <= p[4] + 2)
+    assert sorted((r.id, r.other) for r in spatial.box_pairs(df, df.withColumnRenamed("id", "other"), "id", "other", buffer=2.0).collect()) == want
+    assert spatial._celled(df, list(range(14)), 1000.0).count() <= 82 * 14 * 4
+    assert spatial.box_pairs(df.limit(0), df.withColumnRenamed("id", "other").limit(0), "id", "other").count() == 0
+
+
+def test_points_in_a_ring(spark):
+    ring = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0), (0.0, 0.0))])
+    df = spark.createDataFrame([(1.0, 1.0, True), (2.0, 0.5, True), (2.0, 3.0, False), (5.0, 1.0, False), (3.5, 2.9, True), (-1.0, 1.0, False)], "x double, y double, want boolean")
+    assert df.where(G.in_ring(ring, F.col("x"), F.col("y")) != F.col("want")).isEmpty()
+    assert df.select(G.ring_length(F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (3, 4), (0, 0))]))).first()[0] == 10.0
+
+
+def test_draws_follow_the_weights(spark):
+    df = spark.range(50).select("id", (F.col("id") % 5).alias("w")).repartition(7)
+    got = splits.weighted_draws(df, "id", "w", 4000).collect()
+    assert sorted(r.draw for r in got) == list(range(4000)) and all(r.id % 5 == r.w > 0 for r in got)
+    share = sum(r.w for r in got) / 4000
+    assert abs(share - (1 + 4 + 9 + 16) / 10) < 0.1
+    ends = np.cumsum([i % 5 for i in range(50)])
+    unit = {r.id: r.u for r in spark.range(4000).select("id", splits.uniform(F.col("id")).alias("u")).collect()}
+    assert all(r.id == int(np.searchsorted(ends, unit[r.draw] * ends[-1], "right")) for r in got)
+    assert splits.weighted_draws(df.limit(0), "id", "w", 5).count() == 0
+
+
+def test_lovasz_is_that_of_sorted_errors(spark):
+    rng = np.random.default_rng(6)
+    p, g = rng.random(300), rng.integers(0, 2, 300)
+    df = spark.createDataFrame([(0, float(a), float(b)) for a, b in zip(p, g, strict=True)], "k long, p double, g double")
+
+    def by_sorting(error, positive):
+        order = np.argsort(-error)
+        t, pos = positive.sum(), positive[order]
+        jac = 1 - (t - pos.cumsum()) / (t + (1 - pos).cumsum())
+        return float((np.maximum(error[order], 0) * np.diff(jac, prepend=0)).sum())
+
+    one = metrics.lovasz(df, F.abs(F.col("g") - F.col("p")), F.col("g") == 1, "k").first()
+    hinge = metrics.lovasz(df, 1 - (4 * F.col("p") - 2) * (2 * F.col("g") - 1), F.col("g") == 1, "k").first()
+    assert abs(one.lovasz - by_sorting(abs(g - p), g)) < 1e-6 and one.present
+    assert abs(hinge.lovasz - by_sorting(1 - (4 * p - 2) * (2 * g - 1), g)) < 1e-6
+
+
+def test_new_rows_are_appended_once(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    frame = lambda ids: spark.createDataFrame([(i, "x") for i in ids], "id long, v string")
+    writers.append_new(frame([1, 2, 2]), path, "id")
+    writers.append_new(frame([2, 3]), path, "id")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_bad_rows_are_set_aside(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.1), ("b", 0.9), ("c", None)], "name string, q double")
+    writers.quarantine(df, F.col("q") < 0.5, f"{tmp_path}/good", f"{tmp_path}/bad")
+    assert sorted(r.name for r in spark.read.parquet(f"{tmp_path}/good").collect()) == ["b", "c"] and [r.name for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == ["a"]
+
+
+def test_an_index_without_a_column_is_an_error(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/index")
+    with pytest.raises(ValueError, match="missing columns: split"):
+        readers.read_index(spark, f"{tmp_path}/index", "id", "split")
+
+
+def test_a_catalogue_of_nothing_is_an_error(spark):
+    none = spark.createDataFrame([], "scene_id long, r long, c long")
+    with pytest.raises(ValueError, match="no raster"):
+        spatial.footprints(none, ["scene_id"], F.lit(0.0), F.lit(0.0), 10.0, "EPSG:32643", "x", "y")
+
+
+def test_the_checkpoint_folder_must_be_shared(spark, monkeypatch):
+    from terradelta import checkpoints
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoints.shared_folder(Session())
+
+
+def test_no_window_over_a_whole_scene(spark):
+    from terradelta.plans.catalog import QUERIES
+
+    for name in ("threshold_fallback", "scale_unit", "mask_remap_dirty_only"):
+        assert "Window" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString(), name
