@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from terradelta.llm.shared import worker_state
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries a worker's cache holds before its older half is dropped; workers keep it between tasks, about 300 bytes each.
 CACHE_ENTRIES = 150_000
@@ -265,14 +267,14 @@ def units(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
-_made: dict = {}
 
 
 def tokenizer(path: str | None = None, pattern: str | None = None) -> Tokenizer:
     """This worker's tokenizer for a rank file."""
-    if (path, pattern) not in _made:
-        _made[path, pattern] = Tokenizer(path, pattern)
-    return _made[path, pattern]
+    made = worker_state("tokens")
+    if (path, pattern) not in made:
+        made[path, pattern] = Tokenizer(path, pattern)
+    return made[path, pattern]
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

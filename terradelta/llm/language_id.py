@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terradelta.llm.bpe import small
-from terradelta.llm.shared import cut
+from terradelta.llm.shared import cut, worker_state
 
 SAMPLE_DOCS = 500
 SPAN, CONTEXT, ROWS = 232, 24, 2048
@@ -251,6 +251,7 @@ def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("language")
         model = sent.value
         for b in batches:
             for part in small(b, 1024):
@@ -273,6 +274,7 @@ def accept(docs: DataFrame, model: ByteGru | None, least: float = LEAST_SCORE) -
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("language")
         model = sent.value
         for b in batches:
             for part in small(b, 1024):

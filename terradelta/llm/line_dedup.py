@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradelta.llm.bpe import small
-from terradelta.llm.shared import SENT_IDS, by_ids, cut, salted_join, shared_folder
+from terradelta.llm.shared import SENT_IDS, by_ids, cut, salted_join, shared_folder, worker_state
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Keys a shard's filter is planned for (about 1 MB).
-KEYS_PER_SHARD = 200_000
+#: Keys a shard's filter is planned for (about 400 KB).
+KEYS_PER_SHARD = 1 << 16
 #: Up to so many keys with their keepers (24 bytes each) are sent to tasks.
 SENT_KEYS = 1_000_000
 #: Batches that ``dedup_lines`` adds a table in.
@@ -67,6 +67,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, doc_id) for each key of each row, once per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("lines")
         for b in batches:
             for part in small(b, 1024):
                 keys, rows = [], []

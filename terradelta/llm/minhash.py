@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.llm import shingles as S
-from terradelta.llm.shared import by_ids, cut, salted_join
+from terradelta.llm.shared import by_ids, cut, salted_join, worker_state
 from terradelta.operators.graph import stars
 
 BANDS, ROWS = 32, 5
@@ -88,6 +88,7 @@ def signatures(docs: DataFrame, size: int, slots: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, digest, sig): the set's size, a digest of it, and a byte for each slot of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("shingles")
         for b in batches:
             for lo, hi, data, at in S.texts(b.column(1)):
                 sets = list(S.distinct(*S.shingles(data, at, size)))

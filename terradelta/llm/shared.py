@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.checkpoints import cut, remove, shared_folder
 
-__all__ = ["by_ids", "cut", "remove", "salted_join", "shared_folder", "without"]
+__all__ = ["by_ids", "cut", "remove", "salted_join", "shared_folder", "without", "worker_state"]
 
 #: Up to so many ids (8 bytes each) are sent to tasks; more are joined by a shuffle.
 SENT_IDS = 1_000_000
@@ -15,6 +18,22 @@ SENT_IDS = 1_000_000
 SHARES = 1000
 
 
+_held: dict[str, object] = {}
+
+
+def worker_state(owner: str, make: Callable[[], object] = dict) -> object:
+    """What a Python worker keeps for one operator from task to task. Workers serve all operators in turn, so what another
+    one kept is dropped first and the memory given back."""
+    if owner not in _held:
+        if _held:
+            _held.clear()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+        _held[owner] = make()
+    return _held[owner]
+
+
 def by_ids(df: DataFrame, ids: DataFrame, how: str, *columns: str) -> DataFrame:
     """Join with a table of ids (``doc_id``, or these columns), without a shuffle of ``df`` while the ids are few (they are counted)."""
     ids = cut(ids)
@@ -38,6 +57,8 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, sizes:
     sizes = big.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
     total = sizes.agg(F.sum("n")).first()[0] or 0
     hot = cut(sizes.where(F.col("n") > max(1.0, total / SHARES)).select(key, F.ceil(F.col("n") * SHARES / max(1, total)).alias("_salts")))
+    if hot.isEmpty():
+        return big.join(small, key)
     salts = F.coalesce("_salts", F.lit(1).cast("long"))
     left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts)).drop("_salts")
     right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
