@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def search(items: DataFrame, start: str, end: str, cloud: float, collections: list[str], area: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Items between two times, below a cloud cover, of some collections, and, with an area (xmin, ymin, xmax, ymax), whose
+    footprint box meets it. All conditions reach the scan where the items are read from files."""
+    found = items.where(F.col("datetime").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")) & (F.col("cloud") < cloud) & F.col("collection").isin(collections))
+    if area is None:
+        return found
+    x0, y0, x1, y1 = area
+    return found.where((F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0))
+
+
 def pair(items: DataFrame, targets: dict[str, str], days: int = 7, cloud: float = 30.0) -> DataFrame:
     """aoi_id and, for each named target date, the event_id of the AOI's least-cloud scene within some days of it (then the
     nearest, then the least id); AOIs that lack one go. All dates' winners come from one grouped pass."""
