@@ -11,8 +11,8 @@ holds at least one of the sketch: no containment is missed, however long the doc
 exact counts over the item's full set.
 
 The documents are read once. While all item sets together stay under ``ITEM_BYTES``, they travel to the tasks, which
-probe and verify on the spot; beyond, sketches are joined with the documents' shingles, and only candidate pairs are
-joined with full sets.
+probe and verify on the spot; beyond, sketches are joined with those of the documents' shingles that a filter of
+``FILTER_BITS`` bits, sent to the tasks, lets pass, and only candidate pairs are joined with full sets.
 
 Null and empty texts, of items or documents, contain nothing and are contained in nothing. Rows that repeat an item_id
 are items of their own under one id, of which the best match counts; rows that repeat a doc_id give a pair once. Other
@@ -36,6 +36,9 @@ SIZE, SHARE = 5, 0.8
 #: Item sets are sent to tasks only if they take no more than this together.
 ITEM_BYTES = 32 << 20
 
+#: Bits of the filter of sketches (8 MB).
+FILTER_BITS = 1 << 26
+
 _PAIR = "doc_id long, item_id long, n_common long, n_item long"
 
 
@@ -126,8 +129,34 @@ def _by_sent_items(docs: DataFrame, sets: DataFrame, size: int, share: float) ->
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PAIR)
 
 
+def _sketch_filter(sets: DataFrame) -> np.ndarray:
+    """A bit for each hash modulo ``FILTER_BITS``, set where some sketch has it. Four tasks' bits meet on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            for x in b.column(0):
+                bits[(_u64(x.as_py()) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    some = sets.select("sketch").coalesce(4).mapInArrow(run, "bits binary").toLocalIterator()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in some:
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
 def _by_join(docs: DataFrame, sets: DataFrame, size: int, share: float) -> DataFrame:
     """The same for any number of items: sketches join the documents' shingles, and candidates join both full sets."""
+    sent = docs.sparkSession.sparkContext.broadcast(_sketch_filter(sets))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value).view(bool)
+        for b in batches:
+            for lo, hi, data, at in S.texts(b.column(1)):
+                own = [x[bits[(x & np.uint64(FILTER_BITS - 1)).astype(np.int64)]] for x in S.distinct(*S.shingles(data, at, size))]
+                rows = np.repeat(np.arange(lo, hi), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "h"])
 
     def explode(column: str, owner: str):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,8 +180,9 @@ def _by_join(docs: DataFrame, sets: DataFrame, size: int, share: float) -> DataF
 
     numbered = cut(sets.withColumn("row", F.monotonically_increasing_id()))
     keys = numbered.select("row", "sketch").mapInPandas(explode("sketch", "row"), "row long, h long")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "doc_id long, own binary")
-    held = texts.mapInPandas(explode("own", "doc_id"), "doc_id long, h long")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    texts = rows.mapInArrow(split, "doc_id long, own binary")
+    held = rows.mapInArrow(likely, "doc_id long, h long")
     pairs = cut(held.join(keys, "h").select("doc_id", "row").distinct())
     full = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     return pairs.join(numbered.select("row", "item_id", "items"), "row").join(full, "doc_id").select("doc_id", "item_id", "own", "items").mapInPandas(verify, _PAIR)
