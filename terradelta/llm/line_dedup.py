@@ -42,6 +42,8 @@ from terradelta.llm.shared import SENT_IDS, by_ids, cut, salted_join, shared_fol
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys a shard's filter is planned for (about 400 KB).
 KEYS_PER_SHARD = 1 << 16
+#: Shards that a store begins with, so that small stores are spread too.
+FIRST_SHARDS = 64
 #: Up to so many keys with their keepers (24 bytes each) are sent to tasks.
 SENT_KEYS = 1_000_000
 #: Batches that ``dedup_lines`` adds a table in.
@@ -304,10 +306,10 @@ class LineStore:
 
     TABLES = {"postings": "key binary, doc_id long, version long", "removed": "doc_id long, version long", "references": "key binary, n_docs long, keeper long, version long", "filters": f"{_FILTER}, version long"}
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, capacity: int = KEYS_PER_SHARD):
+    def __init__(self, spark: SparkSession, folder: str | None = None, capacity: int = KEYS_PER_SHARD, shards: int = FIRST_SHARDS):
         self.spark, self.capacity = spark, capacity
         self.folder = folder or f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-        self.version, self.shards = 0, 1
+        self.version, self.shards = 0, shards
         self.paths: dict[str, list[str]] = {t: [] for t in self.TABLES}
 
     @classmethod

@@ -57,8 +57,6 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, sizes:
     sizes = big.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
     total = sizes.agg(F.sum("n")).first()[0] or 0
     hot = cut(sizes.where(F.col("n") > max(1.0, total / SHARES)).select(key, F.ceil(F.col("n") * SHARES / max(1, total)).alias("_salts")))
-    if hot.isEmpty():
-        return big.join(small, key)
     salts = F.coalesce("_salts", F.lit(1).cast("long"))
     left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts)).drop("_salts")
     right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")

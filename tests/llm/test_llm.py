@@ -319,7 +319,7 @@ def test_line_store_is_reversible(spark, monkeypatch, most):
     frame = lambda x: spark.createDataFrame(x, "doc_id long, text string").coalesce(1)
     ids = lambda x: spark.createDataFrame([(i,) for i in x], "doc_id long").coalesce(1)
     extra = [(200 + k, f"a line that only document {k // 2} and its twin have") for k in range(40)]
-    store = line_dedup.LineStore(spark, capacity=4)
+    store = line_dedup.LineStore(spark, capacity=4, shards=1)
     store.add(frame(rows[:30]))
     first = store.shards
     store.add(frame(rows[30:]))
