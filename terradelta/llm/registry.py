@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradelta.llm import audio, bpe, decontaminate, divergence, language_id, line_dedup, minhash, quality, token_counts, url_filter, warc
+from terradelta.llm import audio, bpe, decontaminate, divergence, language_id, line_dedup, minhash, quality, sketches, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketch of every document and of its edited text, with their likeness."""
+    return sketches.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -81,6 +86,7 @@ QUERIES = {
     "op9_audio_media": op9_audio_media,
     "op10_bpe": op10_bpe,
     "op11_source_divergence": op11_source_divergence,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
