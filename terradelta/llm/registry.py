@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradelta.llm import audio, bpe, decontaminate, divergence, language_id, line_dedup, minhash, quality, sketches, token_counts, url_filter, warc
+from terradelta.llm import audio, bpe, decontaminate, divergence, language_id, line_dedup, minhash, quality, sketches, token_counts, url_filter, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with the near word it is a variant of, and the end of that chain."""
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -87,6 +92,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_source_divergence": op11_source_divergence,
     "op12_fingerprints": op12_fingerprints,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
