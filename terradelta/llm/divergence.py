@@ -40,44 +40,43 @@ SCALE = 1_000_000_000
 #: Ranks of the ``term`` part.
 TERM_RANKS = 200
 #: A task's tree and its counts are summed and begun anew at about so many nodes or terms.
-NODES, HELD = 200_000, 400_000
+NODES, HELD = 200_000, 600_000
 #: Sources, or distinct counts of one source, in one row of the single sums.
 BLOCK = 1024
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term; a row with a null term for each group."""
+    """(lang, source, term, n, docs): occurrences and documents of each term, by (lang, term) and perhaps in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(TERM).findall
-        counts: Counter = Counter()
-        holders: Counter = Counter()
-        seen: set[tuple[str, str]] = set()
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held = 0
 
-        def out() -> pa.RecordBatch:
-            keys = [*counts, *((a, b, None) for a, b in seen)]
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-            n, d = (pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in (counts, holders))
-            return pa.RecordBatch.from_arrays([*columns, n, d], ["lang", "source", "term", "n", "docs"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, holders) in counts.items():
+                named = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in (lang, source)]
+                columns = [pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array([holders[t] for t in n], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*named, *columns], ["lang", "source", "term", "n", "docs"])
+            counts.clear()
 
         for b in batches:
             for text, lang, source in zip(*(b.column(i) for i in range(3)), strict=True):
-                group = lang.as_py() or "", source.as_py() or ""
-                seen.add(group)
-                own = Counter(find((text.as_py() or "").translate(_LOWER)))
-                for term, n in own.items():
-                    key = (*group, term)
-                    counts[key] += n
-                    holders[key] += 1
-                if len(counts) > HELD:
-                    yield out()
-                    for x in (counts, holders, seen):
-                        x.clear()
-        yield out()
+                n, holders = counts.setdefault((lang.as_py() or "", source.as_py() or ""), (Counter(), Counter()))
+                terms = find((text.as_py() or "").translate(_LOWER))
+                held -= len(n)
+                n.update(terms)
+                holders.update(set(terms))
+                held += len(n)
+                if held > HELD:
+                    yield from out()
+                    held = 0
+        yield from out()
 
     found = docs.select("text", "lang", "source").mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # one shuffle for both sums: a term's rows are few, at most one for each source and task
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def probability(n: str, total: str, terms: str) -> Column:
@@ -169,14 +168,14 @@ def _corrections(rows: DataFrame) -> DataFrame:
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank: how far a source is from each other source of its language (part ``pair``,
     all of them) and by which terms it exceeds its language (part ``term``, the first ``TERM_RANKS``)."""
-    counts = cut(term_counts(docs))
-    by_term = counts.where("term IS NOT NULL").groupBy("lang", "term")
+    by_term = term_counts(docs).groupBy("lang", "term")
     kept = by_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("row")).where(F.col("docs") >= LEAST_DOCS)
     kept = cut(kept.select("lang", "term", "total", "row"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_total"))
     entries = kept.select("lang", "term", "total", F.inline("row"))
     own = entries.groupBy("lang", "source").agg(F.sum("n").alias("source_total"), F.count("*").alias("source_terms"))
-    groups = counts.where("term IS NULL").select("lang", "source").join(own, ["lang", "source"], "left").join(langs, "lang", "left")
+    every = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    groups = every.join(own, ["lang", "source"], "left").join(langs, "lang", "left")
     amount = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     groups = groups.select("lang", "source", *[amount(F.col(c)).alias(c) for c in ("source_total", "source_terms", "terms", "lang_total")])
     some = F.col("terms") > 0
