@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terradelta.functions import geometry as G
 from terradelta.operators import components as CC
+from terradelta.operators import polygons as PG
 from terradelta.operators import scenes as SC
 from terradelta.operators import spatial as SJ
 from terradelta.plans.registry import query
@@ -23,8 +24,8 @@ def _roads(r):
     return r.select("road_id", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("xmin"), F.least("y1", "y2").alias("ymin"), F.greatest("x1", "x2").alias("xmax"), F.greatest("y1", "y2").alias("ymax"))
 
 
-def near_roads(a, roads, buffer=ROAD_BUFFER):
-    return SJ.box_pairs(a, _roads(roads), "alert_id", "road_id", buffer=buffer, exact=f"{DIST2} <= {buffer * buffer}", more=("x1", "y1", "x2", "y2"))
+def near_roads(a, roads, key="alert_id", buffer=ROAD_BUFFER):
+    return SJ.box_pairs(a, _roads(roads), key, "road_id", buffer=buffer, exact=f"{DIST2} <= {buffer * buffer}", more=("x1", "y1", "x2", "y2"))
 
 
 query("sj_exists", "alerts zones", f"SELECT alert_id, EXISTS (SELECT 1 FROM zones b WHERE {_MEET}) AS in_restricted_zone FROM alerts a")(lambda a, z: SJ.flag(a, SJ.box_pairs(a, z, "alert_id", "zone_id"), "alert_id", "in_restricted_zone").select("alert_id", "in_restricted_zone"))
@@ -60,33 +61,47 @@ query("raster_catalog", "px", _CATALOG + f"SELECT rc.*, '{CRS}' AS crs, w.* EXCL
 )
 query("sj_raster_footprint", "zones px", _BOXES + f"SELECT zone_id, scene_id FROM zones a JOIN rc b ON {_MEET}")(lambda z, px: SJ.box_pairs(z, raster_catalog(px), "zone_id", "scene_id", cell=5000.0).select("zone_id", "scene_id"))
 
-# Pixels of each zone's triangle: zones and pixels meet in tiles of 16 x 16 pixels.
-_TRI = G.in_triangle("x", "y")
-_PIX = ", g AS (SELECT *, (scene_id % 10) * 10000 + c * 100 + 50.0::DOUBLE AS x, (scene_id // 10 % 10) * 10000 + (63 - r) * 100 + 50.0::DOUBLE AS y FROM {t})"
+# --- zones as polygons: a notched outline, a hole in it, and a second part beside it ------------------------------------
+#: Corners of the rings as shares of the zone's box, moved by SHIFT so that no pixel's centre lies on an edge.
+RINGS = [[(0.0, 0.0), (1.0, 0.1), (0.9, 1.0), (0.5, 0.45), (0.05, 0.9)], [(0.3, 0.15), (0.6, 0.12), (0.45, 0.35)], [(1.1, 0.2), (1.4, 0.25), (1.2, 0.6)]]
+SHIFT = 7.3
+_SIDES = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for ring in RINGS for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+_PIX = f""", g AS (SELECT *, (scene_id % 10) * 10000 + c * 100 + 50.0::DOUBLE AS x, (scene_id // 10 % 10) * 10000 + (63 - r) * 100 + 50.0::DOUBLE AS y FROM {{t}}),
+e AS (SELECT zone_id, xmin, xmin + fx1::DOUBLE * w + {SHIFT}::DOUBLE AS x1, ymin + fy1::DOUBLE * h + {SHIFT}::DOUBLE AS y1, xmin + fx2::DOUBLE * w + {SHIFT}::DOUBLE AS x2, ymin + fy2::DOUBLE * h + {SHIFT}::DOUBLE AS y2
+      FROM zones, (VALUES {_SIDES}) AS v(fx1, fy1, fx2, fy2)),
+zp AS (SELECT zone_id, scene_id, r, c FROM e JOIN g ON x >= xmin AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)"""
 
 
-def zone_pixels(zones, px):
-    x = F.col("scene_id") % 10 * 10000 + F.col("c") * 100 + 50.0
-    y = F.expr("scene_id div 10 % 10") * 10000 + (63 - F.col("r")) * 100 + 50.0
-    return SJ.inside(px, zones, x, y, _TRI, 1600.0)
+def zone_polygons(zones):
+    corner = lambda f: G.point(F.col("xmin") + f[0] * F.col("w") + SHIFT, F.col("ymin") + f[1] * F.col("h") + SHIFT)
+    return zones.select("zone_id", F.array(*[F.array(*[corner(f) for f in [*ring, ring[0]]]) for ring in RINGS]).alias("rings"))
 
 
-_ZM = _PIX.format(t="px") + f", m AS (SELECT zone_id, scene_id, avg(prob) AS m FROM zones JOIN g ON {_TRI} GROUP BY ALL), zm AS (SELECT zone_id, avg(m) AS mean_prob, count(*) AS hits FROM m GROUP BY zone_id)"
+def scenes(px):
+    """Place and extent of the scenes' grids."""
+    x, y = _origin()
+    return px.select("scene_id").distinct().select("scene_id", x.alias("x0"), (y + 6400).alias("y1"), F.lit(100.0).alias("res"), F.lit(64).alias("height"), F.lit(64).alias("width"))
+
+
+_ZM = _PIX.format(t="px") + ", m AS (SELECT zone_id, scene_id, avg(prob) AS m FROM zp JOIN px USING (scene_id, r, c) GROUP BY ALL), zm AS (SELECT zone_id, avg(m) AS mean_prob, count(*) AS hits FROM m GROUP BY zone_id)"
 
 
 def zonal_mean(zones, px):
     """Mean over scenes of each scene's mean probability in a polygon, and the number of scenes."""
-    per = zone_pixels(zones, px).groupBy("zone_id", "scene_id").agg(F.avg("prob").alias("m"))
-    found = per.groupBy("zone_id").agg(F.round(F.avg("m"), 6).alias("mean_prob"), F.count("*").alias("hits"))
+    sums = {"s": F.col("prob"), "n": F.lit(1)}
+    per = PG.zonal(zone_polygons(zones), px.where("NOT isnan(prob)"), scenes(px), "zone_id", ["scene_id"], sums)
+    found = per.groupBy("zone_id").agg(F.round(F.avg(F.col("s") / F.col("n")), 6).alias("mean_prob"), F.count("*").alias("hits"))
     return zones.select("zone_id").join(found, "zone_id", "left").select("zone_id", "mean_prob", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 query("zonal_mean", "zones px", _ZM + "SELECT z.zone_id, round(mean_prob, 6) AS mean_prob, coalesce(hits, 0) AS hits FROM zones z LEFT JOIN zm USING (zone_id)")(zonal_mean)
-_ZH = _PIX.format(t="land_cover") + f", h AS (SELECT zone_id, code, count(*) AS n FROM zones JOIN g ON {_TRI} WHERE code <> 0 GROUP BY ALL)"
+_ZH = _PIX.format(t="land_cover") + ", h AS (SELECT zone_id, code, count(*) AS n FROM zp JOIN land_cover USING (scene_id, r, c) WHERE code <> 0 GROUP BY ALL)"
 
 
 def zone_classes(zones, cover):
-    return zone_pixels(zones, cover).where("code <> 0").groupBy("zone_id", "code").agg(F.count("*").alias("n"))
+    """(zone_id, code, n) of the pixels with data in each polygon."""
+    per = PG.zonal(zone_polygons(zones), cover.where("code <> 0"), scenes(cover), "zone_id", ["scene_id"], {"n": F.lit(1)}, ["code"])
+    return per.groupBy("zone_id", "code").agg(F.sum("n").alias("n"))
 
 
 query("zonal_hist", "zones land_cover", _ZH + "SELECT zone_id, '{' || string_agg('\"' || code || '\":' || n, ',' ORDER BY code) || '}' AS hist FROM h GROUP BY zone_id")(
@@ -95,21 +110,20 @@ query("zonal_hist", "zones land_cover", _ZH + "SELECT zone_id, '{' || string_agg
 query("map_hist", "zones land_cover", _ZH + "SELECT zone_id, coalesce(sum(n) FILTER (code = 40), 0)::BIGINT AS cropland, count(*) AS classes FROM h GROUP BY zone_id")(
     lambda z, lc: zone_classes(z, lc).groupBy("zone_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("m")).select("zone_id", F.coalesce(F.element_at("m", 40), F.lit(0)).alias("cropland"), F.size("m").cast("long").alias("classes"))
 )
-#: Land-cover groups (fixed values): code to group.
-GROUPS = {10: "VEG", 20: "VEG", 30: "VEG", 40: "AGRI", 50: "BUILT", 60: "BARE", 70: "BARE", 80: "WATER", 90: "WET", 95: "WET", 100: "VEG"}
-NAMES = {10: "tree", 20: "shrub", 30: "grass", 40: "crop", 50: "built", 60: "bare", 70: "snow", 80: "water", 90: "wetland", 95: "mangrove", 100: "moss"}
-_SHARES = ("BUILT", "VEG", "WET", "WATER", "AGRI", "BARE")
-_F = _ZH + ", f AS (SELECT z.zone_id, " + ", ".join(f"coalesce(sum(n) FILTER (code IN ({', '.join(str(c) for c, x in GROUPS.items() if x == g)}))::DOUBLE / sum(n), 0) AS f_{g.lower()}" for g in _SHARES) + " FROM zones z LEFT JOIN h USING (zone_id) GROUP BY z.zone_id)"
+#: Land-cover classes and groups (fixed values of the land-cover product and of the rules).
+NAMES = {10: "Tree cover", 20: "Shrubland", 30: "Grassland", 40: "Cropland", 50: "Built-up", 60: "Bare / sparse", 70: "Snow / ice", 80: "Water", 90: "Herbaceous wetland", 95: "Mangroves", 100: "Moss / lichen"}
+GROUPS = {"BUILT": (50,), "VEG": (10, 20, 30), "WET": (90, 95), "WATER": (80,), "AGRI": (40,), "BARE": (60,)}
+_F = _ZH + ", f AS (SELECT z.zone_id, " + ", ".join(f"coalesce(sum(n) FILTER (code IN ({', '.join(map(str, codes))}))::DOUBLE / sum(n), 0) AS f_{g.lower()}" for g, codes in GROUPS.items()) + " FROM zones z LEFT JOIN h USING (zone_id) GROUP BY z.zone_id)"
 
 
 def fractions(zones, cover):
-    """Share of each land-cover group in a polygon, 0 where it has no data."""
+    """Share of each land-cover group in a polygon, 0 where it has no data; snow and moss are in no group."""
     total = F.sum("n")
-    share = lambda g: F.coalesce(F.sum(F.when(F.col("code").isin([c for c, x in GROUPS.items() if x == g]), F.col("n"))) / total, F.lit(0.0)).alias(f"f_{g.lower()}")
-    return zones.select("zone_id").join(zone_classes(zones, cover), "zone_id", "left").groupBy("zone_id").agg(*map(share, _SHARES))
+    share = lambda g: F.coalesce(F.sum(F.when(F.col("code").isin(*GROUPS[g]), F.col("n"))) / total, F.lit(0.0)).alias(f"f_{g.lower()}")
+    return zones.select("zone_id").join(zone_classes(zones, cover), "zone_id", "left").groupBy("zone_id").agg(*map(share, GROUPS))
 
 
-query("zonal_fractions", "zones land_cover", _F + "SELECT zone_id, " + ", ".join(f"round(f_{g.lower()}, 6) AS f_{g.lower()}" for g in _SHARES) + " FROM f")(lambda z, lc: fractions(z, lc).select("zone_id", *[F.round(f"f_{g.lower()}", 6).alias(f"f_{g.lower()}") for g in _SHARES]))
+query("zonal_fractions", "zones land_cover", _F + "SELECT zone_id, " + ", ".join(f"round(f_{g.lower()}, 6) AS f_{g.lower()}" for g in GROUPS) + " FROM f")(lambda z, lc: fractions(z, lc).select("zone_id", *[F.round(f"f_{g.lower()}", 6).alias(f"f_{g.lower()}") for g in GROUPS]))
 _NAME_SQL = "CASE code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in NAMES.items()) + " END"
 _DOM = _F + f", d AS (SELECT zone_id, code, {_NAME_SQL} AS name FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY n DESC, code) AS k FROM h) WHERE k = 1)"
 
@@ -122,21 +136,29 @@ def dominant(zones, cover):
 
 
 query("dominant_class", "zones land_cover", _DOM + "SELECT * FROM d")(dominant)
-#: Rule cut-offs (fixed values), in order.
-_RULES = [("f_built >= 0.30", "built"), ("f_water + f_wet >= 0.30", "water"), ("f_veg >= 0.40", "vegetation"), ("f_agri >= 0.40", "agriculture"), ("f_bare >= 0.40", "bare")]
-_CHAIN = "CASE " + " ".join(f"WHEN {c} THEN '{n}_change'" for c, n in _RULES) + " ELSE coalesce(name, 'unknown') END"
-_CT = _DOM + f", ct AS (SELECT f.zone_id, CASE WHEN EXISTS (SELECT 1 FROM buildings b WHERE a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax) THEN 'building_change' ELSE {_CHAIN} END AS change_type FROM f JOIN zones a USING (zone_id) LEFT JOIN d USING (zone_id))"
-
-
-def change_type(zones, cover, buildings):
-    """A rule cascade over group shares, refined by overlays: a building makes it a building change."""
-    typed = fractions(zones, cover).join(dominant(zones, cover), "zone_id", "left").withColumn("kind", F.expr(_CHAIN))
+#: Rules in order, with their cut-offs and names (fixed values).
+_RULES = [("f_built >= 0.30", "built-up change"), ("f_water + f_wet >= 0.30", "water/wetland change"), ("f_veg >= 0.40", "vegetation change"), ("f_agri >= 0.40", "agriculture change"), ("f_bare >= 0.40", "bare/soil change")]
+_CHAIN = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in _RULES) + " ELSE coalesce(name || ' change', 'unknown') END"
+_CT = _DOM + f""", ct AS (SELECT f.zone_id, CASE WHEN f_built >= 0.30 OR EXISTS (SELECT 1 FROM buildings b WHERE {_MEET}) THEN 'building/impervious change'
+  WHEN EXISTS (SELECT 1 FROM roads WHERE {DIST2} <= 36) THEN 'road/linear development' ELSE {_CHAIN} END AS change_type FROM f JOIN zones a USING (zone_id) LEFT JOIN d USING (zone_id))"""
+
+
+def change_type(zones, cover, buildings, roads):
+    """A rule cascade over group shares, refined by overlays: buildings, or many built pixels, come first, then roads near by."""
+    shares = zone_classes(zones, cover).groupBy("zone_id").agg(
+        *[F.coalesce(F.sum(F.when(F.col("code").isin(*codes), F.col("n"))) / F.sum("n"), F.lit(0.0)).alias(f"f_{g.lower()}") for g, codes in GROUPS.items()],
+        F.max_by("code", F.struct("n", -F.col("code"))).alias("code"),
+    )
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col("code"))
+    typed = zones.select("zone_id").join(shares, "zone_id", "left").withColumn("name", name).withColumn("kind", F.expr(_CHAIN))
     over = SJ.flag(typed, SJ.box_pairs(zones, buildings, "zone_id", "bld_id"), "zone_id", "built")
-    return over.select("zone_id", F.when(F.col("built"), "building_change").otherwise(F.col("kind")).alias("change_type"))
+    over = SJ.flag(over, near_roads(zones, roads, "zone_id"), "zone_id", "near_road")
+    kind = F.when(F.col("built") | (F.col("f_built") >= 0.30), "building/impervious change").when(F.col("near_road"), "road/linear development").otherwise(F.col("kind"))
+    return over.select("zone_id", kind.alias("change_type"))
 
 
-query("change_type", "zones land_cover buildings", _CT + "SELECT * FROM ct")(change_type)
-query("change_type_counts", "zones land_cover buildings", _CT + "SELECT change_type, count(*) AS n FROM ct GROUP BY change_type ORDER BY n DESC, change_type LIMIT 10")(lambda z, lc, b: change_type(z, lc, b).groupBy("change_type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "change_type").limit(10))
+query("change_type", "zones land_cover buildings roads", _CT + "SELECT * FROM ct")(change_type)
+query("change_type_counts", "zones land_cover buildings roads", _CT + "SELECT change_type, count(*) AS n FROM ct GROUP BY change_type ORDER BY n DESC, change_type LIMIT 10")(lambda z, lc, b, r: change_type(z, lc, b, r).groupBy("change_type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "change_type").limit(10))
 
 # --- alerts ----------------------------------------------------------------------------------------------------------
 _AL = ", al AS (SELECT *, w * h AS area_m2, CASE WHEN alert_id % 5 = 0 THEN NULL ELSE (alert_id % 100) / 100.0::DOUBLE END AS mean_prob FROM alerts)"
@@ -221,15 +243,33 @@ def _ways(r):
     return SC.osm_ways(nodes, ways).select("way_id", "kind", F.size("points").alias("n_points"), F.element_at("points", 1)["x"].alias("first_x"))
 
 # --- burning polygons to pixels --------------------------------------------------------------------------------------
-_BURN = ", b AS (SELECT scene_id, r, c, bool_or(true) AS hit FROM g JOIN zones ON {tri} GROUP BY ALL)".format(tri=_TRI)
-
-
-def burn(zones, px):
-    """Pixels whose centre lies in some zone's triangle."""
-    return zone_pixels(zones, px).select("scene_id", "r", "c").distinct()
-
-
-query("rasterize_polygons", "zones px", _PIX.format(t="px") + _BURN + "SELECT scene_id, r, c, 1 AS v FROM b")(lambda z, px: burn(z, px).withColumn("v", F.lit(1)))
-query("burn_labels_priority", "zones px", _PIX.format(t="px") + _BURN + "SELECT px.scene_id, px.r, px.c, CASE WHEN hit THEN 1 WHEN pred_cls = 2 THEN 2 WHEN prob >= 0.8 THEN 3 ELSE 0 END AS label FROM px LEFT JOIN b USING (scene_id, r, c)")(
-    lambda z, px: px.join(burn(z, px).withColumn("hit", F.lit(True)), ["scene_id", "r", "c"], "left").select("scene_id", "r", "c", F.when(F.col("hit"), 1).when(F.col("pred_cls") == 2, 2).when(F.col("prob") >= 0.8, 3).otherwise(0).alias("label"))
+query("rasterize_polygons", "zones px", _PIX.format(t="px") + "SELECT DISTINCT scene_id, r, c, 1 AS v FROM zp")(
+    lambda z, px: PG.burn(zone_polygons(z), scenes(px), ["scene_id"]).join(px.select("scene_id", "r", "c"), ["scene_id", "r", "c"])
 )
+#: Label values by priority, and the land-cover codes of the last layer (fixed values).
+LABELS = {"building": 1, "road": 0, "other": 2, "ignore": 255}
+COVERED = (10, 20, 30, 80, 90, 95)
+_LINES = f""", sc AS (SELECT DISTINCT scene_id, (scene_id % 10) * 10000.0::DOUBLE AS x0, (scene_id // 10 % 10) * 10000 + 6400.0::DOUBLE AS top FROM land_cover),
+q AS (SELECT scene_id, (x1 - x0) / 100 AS ca, (x2 - x0) / 100 AS cb, (top - y1) / 100 AS ra, (top - y2) / 100 AS rb FROM roads, sc),
+n AS (SELECT scene_id, abs(cb - ca) >= abs(rb - ra) AS flat, CASE WHEN abs(cb - ca) >= abs(rb - ra) THEN [ca, cb, ra, rb] ELSE [ra, rb, ca, cb] END AS v FROM q),
+i AS (SELECT *, unnest(range(greatest(floor(least(v[1], v[2])), 0)::BIGINT, least(floor(greatest(v[1], v[2])), 63)::BIGINT + 1)) AS i FROM n),
+j AS (SELECT scene_id, flat, i, floor(v[3] + CASE WHEN v[1] = v[2] THEN 0 ELSE (least(greatest(i + 0.5, least(v[1], v[2])), greatest(v[1], v[2])) - v[1]) / (v[2] - v[1]) END * (v[4] - v[3]))::BIGINT AS k FROM i),
+rd AS (SELECT DISTINCT scene_id, CASE WHEN flat THEN k ELSE i END AS r, CASE WHEN flat THEN i ELSE k END AS c FROM j),
+g AS (SELECT *, (scene_id % 10) * 10000 + c * 100 + 50 AS x, (scene_id // 10 % 10) * 10000 + (63 - r) * 100 + 50 AS y FROM land_cover),
+bl AS (SELECT DISTINCT scene_id, r, c FROM g JOIN buildings ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax)"""
+
+
+def burn_labels(buildings, roads, cover):
+    """Buildings before roads before land cover before nothing; roads are lines."""
+    grids = scenes(cover)
+    boxes = buildings.select(F.array(G.box_ring(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")])).alias("rings"))
+    key = ["scene_id", "r", "c"]
+    layer = lambda d, name: d.select(*key, F.lit(True).alias(name))
+    both = cover.join(layer(PG.burn(boxes, grids, ["scene_id"]), "building"), key, "left").join(layer(PG.burn_lines(roads, grids, ["scene_id"]), "road"), key, "left")
+    value = F.when(F.col("building"), LABELS["building"]).when(F.col("road"), LABELS["road"]).when(F.col("code").isin(*COVERED), LABELS["other"]).otherwise(LABELS["ignore"])
+    return both.select(*key, value.alias("label"))
+
+
+query("burn_labels_priority", "buildings roads land_cover", _LINES + f"""
+SELECT l.scene_id, l.r, l.c, CASE WHEN bl.r IS NOT NULL THEN {LABELS["building"]} WHEN rd.r IS NOT NULL THEN {LABELS["road"]} WHEN code IN {COVERED} THEN {LABELS["other"]} ELSE {LABELS["ignore"]} END AS label
+FROM land_cover l LEFT JOIN bl ON bl.scene_id = l.scene_id AND bl.r = l.r AND bl.c = l.c LEFT JOIN rd ON rd.scene_id = l.scene_id AND rd.r = l.r AND rd.c = l.c""")(burn_labels)
