@@ -81,7 +81,7 @@ def components(mask: DataFrame, keys: list[str], width: int, conn: int = 4, tile
     edge = lambda v: F.pmod(F.col(v), F.lit(tile)).isin(0, tile - 1)
     border = local.where(edge("r") | edge("c"))
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in NEIGHBOURS[conn]]))
-    moved = border.withColumn("s", steps).select(*keys, (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"), F.col("local").alias("other"), F.col("tr").alias("tr2"), F.col("tc").alias("tc2"))
+    moved = border.withColumn("_step", steps).select(*keys, (F.col("r") + F.col("_step.dr")).alias("r"), (F.col("c") + F.col("_step.dc")).alias("c"), F.col("local").alias("other"), F.col("tr").alias("tr2"), F.col("tc").alias("tc2"))
     met = border.join(moved, [*keys, "r", "c"]).where("(tr <> tr2 OR tc <> tc2) AND local <> other")
     pairs = met.select(*keys, F.greatest("local", "other").alias("x"), F.least("local", "other").alias("y")).distinct()
     block = F.floor(F.col("y") / (width * tile * BLOCK_TILES))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terradelta.functions import geometry as G
+from terradelta.operators import component_tree as CT
 from terradelta.operators import components as CC
 from terradelta.operators import metrics as M
 from terradelta.operators import outlines as OL
@@ -340,22 +341,18 @@ def dissolve_tiles(px):
     return CC.regions(CC.components(strips, ["strip"], 128), ["strip"]).select("strip", "label", "n", "c0", "c1")
 
 
-_GRID = _flood("SELECT t AS thr, scene_id, r, c FROM px, (SELECT unnest([0.8, 0.9]::DOUBLE[]) AS t) WHERE prob >= t", "thr, scene_id") + """, z AS (SELECT *, count(*) OVER (PARTITION BY thr, scene_id, label) AS n FROM cc),
-g AS (SELECT t AS thr, a AS min_area, p.gt, coalesce(z.n, 0) >= a AS hit FROM px p, (SELECT unnest([0.8, 0.9]::DOUBLE[]) AS t), (SELECT unnest([1, 5, 20]) AS a) LEFT JOIN z ON z.thr = t AND z.scene_id = p.scene_id AND z.r = p.r AND z.c = p.c WHERE p.gt <> 255),
-s AS (SELECT thr, min_area, count(*) FILTER (hit AND gt = 1) AS tp, count(*) FILTER (hit AND gt = 0) AS fp, count(*) FILTER (NOT hit AND gt = 1) AS fn FROM g GROUP BY ALL), w AS (SELECT *, round(2.0::DOUBLE * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1 FROM s)"""
+#: The grid of thresholds and least areas. Probabilities have one digit, so regions change at tenths only.
+THRESHOLDS, AREAS = [k / 100 for k in range(1, 100)], [1, 5, 20]
+_GRID = _flood("SELECT t AS tenth, scene_id, r, c FROM px, (SELECT unnest(range(1, 11)) AS t) WHERE prob >= t / 10.0::DOUBLE", "tenth, scene_id") + """, z AS (SELECT *, count(*) OVER (PARTITION BY tenth, scene_id, label) AS n FROM cc),
+g AS (SELECT t AS tenth, a AS min_area, p.gt, coalesce(z.n, 0) >= a AS hit FROM px p, (SELECT unnest(range(1, 11)) AS t), (SELECT unnest([1, 5, 20]) AS a) LEFT JOIN z ON z.tenth = t AND z.scene_id = p.scene_id AND z.r = p.r AND z.c = p.c WHERE p.gt <> 255),
+s AS (SELECT tenth, min_area, count(*) FILTER (hit AND gt = 1) AS tp, count(*) FILTER (hit AND gt = 0) AS fp, count(*) FILTER (NOT hit AND gt = 1) AS fn FROM g GROUP BY ALL),
+w AS (SELECT k / 100.0::DOUBLE AS thr, min_area, tp, fp, fn, round(2.0::DOUBLE * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1 FROM s JOIN (SELECT unnest(range(1, 100)) AS k) ON (k + 9) // 10 = tenth)"""
 
 
 def area_sweep(px):
-    """Scores over a grid of thresholds and least areas: one labelling of all thresholds, then one conditional sum."""
-    grid = F.explode(F.array(F.lit(0.8), F.lit(0.9)))
-    rows = px.withColumn("thr", grid)
-    labelled = CC.components(rows.where("prob >= thr"), ["thr", "scene_id"], 64)
-    sized = CC.remove_small(labelled, ["thr", "scene_id"], 1).select("thr", "scene_id", "r", "c", "n")
-    joined = rows.where("gt <> 255").join(sized, ["thr", "scene_id", "r", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = [n_if(cond).alias(f"{n}_{a}") for a in (1, 5, 20) for n, cond in (("tp", (F.col("n") >= a) & (F.col("gt") == 1)), ("fp", (F.col("n") >= a) & (F.col("gt") == 0)), ("fn", (F.col("n") < a) & (F.col("gt") == 1)))]
-    wide = joined.groupBy("thr").agg(*sums)
-    per = F.explode(F.array(*[F.struct(F.lit(a).alias("min_area"), *[F.col(f"{n}_{a}").alias(n) for n in ("tp", "fp", "fn")]) for a in (1, 5, 20)])).alias("s")
-    return wide.select("thr", per).select("thr", "s.*").withColumn("f1", F.round(2.0 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)), 6))
+    """Scores over a grid of thresholds and least areas, from one tree of regions."""
+    swept = CT.area_sweep(px, SCENE, "prob", "gt", THRESHOLDS, AREAS, 64)
+    return swept.withColumn("f1", F.round(2.0 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)), 6))
 
 
 query("threshold_minarea_sweep", "px", _GRID + "SELECT * FROM w")(area_sweep)
