@@ -8,9 +8,14 @@ is around it, across words, lines and spans; positions of the overlap are labell
 sorted by length, so that each step works on those rows only that still have bytes. Gates are piecewise linear sigmoids.
 
 Training is backpropagation through time with Adam on the driver, on a bounded sample of labelled documents: at most
-``SAMPLE_DOCS`` for each language, chosen by a hash of the doc_id. Their whole texts are used: windows of ``WINDOW`` bytes
-are drawn evenly over all of a language's bytes, and languages evenly. Only texts and their languages are seen; a
-prediction sees only the text. The languages, one row each, are known to the driver, as they are the network's outputs.
+``SAMPLE_DOCS`` for each language, chosen by a hash of the doc_id. Tasks draw ``WINDOWS`` windows of ``WINDOW`` bytes for
+each language, evenly over all bytes of its sample, and only those come to the driver. Only texts and their languages are
+seen; a prediction sees only the text. The languages, one row each, are known to the driver, as they are the outputs.
+
+A network of known languages puts every text into one of them. So ``accept`` also asks whether a text looks like its
+language at all: by the mean log-likelihood of its pairs of letters and blanks, as bytes, from the same windows. The floor
+of each language is ``MARGIN`` bits a byte below what all but one in 200 documents of its sample reach, and lower for short
+texts, whose mean varies; so texts of unknown languages and scripts, program code, encoded data and random letters go.
 
 Null and empty texts and those without a letter are ``und`` with score 0. Documents with null lang are predicted but not
 learned from; so are rows with a null doc_id. With no training document at all, all are ``und``, and ``accept`` has no
@@ -19,6 +24,7 @@ ground to reject any. Rows that repeat a doc_id give a row each. Other columns a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +38,23 @@ from terradelta.llm.shared import cut, worker_state
 
 SAMPLE_DOCS = 500
 SPAN, CONTEXT, ROWS = 232, 24, 2048
-HIDDEN, STEPS, BATCH, WINDOW = 12, 150, 192, 64
+HIDDEN, STEPS, BATCH, WINDOW, WINDOWS = 12, 150, 192, 64, 8192
+#: Bits a byte below a language's documents, and standard deviations of a short text's mean, that are still allowed; a text
+#: with fewer pairs of letters and blanks is not judged by them.
+MARGIN, DEVIATIONS, LEAST_PAIRS = 2.5, 3.0, 200
 UNKNOWN = "und"
-#: Documents below this score are not of any learned language; see ``accept``.
-LEAST_SCORE = 0.3
+#: A further floor, of the score, for ``accept``; a short text of a learned language may have any.
+LEAST_SCORE = 0.0
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+#: Letters, blanks and all bytes of characters beyond ASCII, of folded bytes.
+_WORDY = np.zeros(256, bool)
+_WORDY[[9, 10, 13, 32, *range(97, 123), *range(128, 256)]] = True
+
+
 def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
@@ -56,6 +70,8 @@ class ByteGru:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
         self.languages, self.hidden = languages, hidden
+        self.pairs = np.zeros((len(languages), 256, 256), np.float32)  # log2 of a byte's probability after another one
+        self.floor, self.spread = np.full(len(languages), -np.inf), np.zeros(len(languages))
         self.p = {"out": draw(2 * hidden, len(languages)), "bias": np.zeros(len(languages), np.float32)}
         for way in "fb":
             self.p |= {f"x{way}": draw(256, 3 * hidden), f"h{way}": draw(hidden, 3 * hidden)}
@@ -114,32 +130,50 @@ class ByteGru:
             g |= {f"x{way}": gx, f"h{way}": gh}
         return g
 
-    def fit(self, texts: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11) -> ByteGru:
-        """texts: of each language. A window is drawn by its place among all bytes of its language."""
+    def fit(self, windows: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11) -> ByteGru:
+        """windows: of each language, drawn evenly over its bytes. Languages are drawn evenly."""
         rng = np.random.default_rng(seed)
-        runs = [np.frombuffer(b"".join(own), np.uint8) for own in texts]
-        ends = [np.cumsum([len(t) for t in own]) for own in texts]
-        usable = np.array([k for k, run in enumerate(runs) if len(run)])
+        usable = np.array([k for k, own in enumerate(windows) if own])
         if not len(usable):
             return self
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for step in range(1, steps + 1):
             y = usable[rng.integers(0, len(usable), batch)]
-            windows = []
-            for k in y:
-                at = int(rng.integers(0, len(runs[k])))
-                doc = int(np.searchsorted(ends[k], at, "right"))
-                lo = max(int(ends[k][doc - 1]) if doc else 0, at - WINDOW // 2)
-                windows.append(runs[k][lo : min(int(ends[k][doc]), lo + WINDOW)])
-            g = self.gradients(*padded(windows), y)
+            g = self.gradients(*padded([windows[k][int(rng.integers(0, len(windows[k])))] for k in y]), y)
             now = rate * (1 - step / (steps + 1))
             for k in self.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        for k, own in enumerate(windows):
+            counts = np.full((256, 256), 0.02)
+            for w in own:
+                x = _FOLD[np.frombuffer(w, np.uint8)]
+                np.add.at(counts, (x[:-1], x[1:]), 1)
+            self.pairs[k] = np.log2(counts / counts.sum(1, keepdims=True))
         return self
 
+    def familiarity(self, raw: bytes, language: int) -> tuple[float, float, int]:
+        """Mean and deviation of the log2 probabilities of a text's letters and blanks after one another, and their number."""
+        x = _FOLD[np.frombuffer(raw, np.uint8)]
+        wordy = _WORDY[x]
+        each = self.pairs[language][x[:-1], x[1:]][wordy[:-1] & wordy[1:]]
+        return (float(each.mean(dtype=np.float64)), float(each.std(dtype=np.float64)), len(each)) if len(each) else (0.0, 0.0, 0)
+
+    def calibrate(self, seen: list[list[tuple[float, float]]]) -> ByteGru:
+        """seen: of each language, its sample documents' familiarity."""
+        for k, own in enumerate(seen):
+            if own:
+                self.floor[k] = np.quantile([mean for mean, _ in own], 0.005) - MARGIN
+                self.spread[k] = np.median([deviation for _, deviation in own])
+        return self
+
+    def familiar(self, text: str, language: str) -> bool:
+        k = self.languages.index(language)
+        mean, _, n = self.familiarity(text.encode("utf-8"), k)
+        return n < LEAST_PAIRS or mean >= self.floor[k] - DEVIATIONS * self.spread[k] / n**0.5
+
     def _parts(self, way: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """A layer's weights for each gate apart, with the gates' slope and middle taken in, and its share of the output."""
         n, k = self.hidden, "fb".index(way)
@@ -237,11 +271,42 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteGru | None:
     chance = F.least(F.lit(float(space)), space * 1.5 * sample_docs / F.col("count") + 1)
     likely = labelled.join(F.broadcast(counts), "lang").where(F.pmod(order, F.lit(space)) < chance)
     some = likely.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "text"))).where(F.col("k") <= sample_docs)
-    texts: dict[str, list[bytes]] = {k: [] for k in names}
-    for r in sorted(some.select("lang", "k", "text").toLocalIterator(), key=lambda r: (r["lang"], r["k"])):
-        if has_letter(r["text"]):
-            texts[r["lang"]].append(r["text"].encode("utf-8"))
-    return ByteGru(names).fit([texts[k] for k in names]) if any(texts.values()) else None
+    some = cut(some.select("lang", "text"))
+    sizes = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # a row for each language
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, found = [], []
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py()
+                raw = text.encode("utf-8") if has_letter(text) else b""
+                rng = np.random.default_rng(zlib.crc32(raw))
+                n = int(len(raw) * WINDOWS / max(1, sizes[lang] or 1) + rng.random())
+                for at in rng.integers(0, max(1, len(raw)), n).tolist():
+                    lo = max(0, at - WINDOW // 2)
+                    langs.append(lang)
+                    found.append(raw[lo : lo + WINDOW])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "window"])
+
+    windows: dict[str, list[bytes]] = {k: [] for k in names}
+    for r in some.mapInArrow(draw, "lang string, window binary").toLocalIterator():  # about WINDOWS for each language
+        windows[r["lang"]].append(bytes(r["window"]))
+    if not any(windows.values()):
+        return None
+    model = ByteGru(names).fit([sorted(w for w in windows[k] if len(w) > 1) for k in names])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for b in batches:
+            rows = [(lang, *model.familiarity((text.as_py() or "").encode("utf-8"), model.languages.index(lang))) for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            rows = [r for r in rows if r[3] >= LEAST_PAIRS]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))], ["lang", "mean", "deviation"])
+
+    seen: dict[str, list[tuple[float, float]]] = {k: [] for k in names}
+    for r in some.mapInArrow(rate, "lang string, mean double, deviation double").toLocalIterator():  # two numbers a sample document
+        seen[r["lang"]].append((r["mean"], r["deviation"]))
+    return model.calibrate([seen[k] for k in names])
 
 
 def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
@@ -267,8 +332,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: ByteGru | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose text is in a learned language: not ``und`` and of at least this score. All columns stay. Without a
-    model all rows stay."""
+    """The rows whose text is in a learned language: not ``und``, of at least this score, and familiar for its language. All
+    columns stay. Without a model all rows stay."""
     if model is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -278,7 +343,8 @@ def accept(docs: DataFrame, model: ByteGru | None, least: float = LEAST_SCORE) -
         model = sent.value
         for b in batches:
             for part in small(b, 1024):
-                rows = model.read(part.column("text").to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in rows], pa.bool_()))
+                texts = part.column("text").to_pylist()
+                keep = [x != UNKNOWN and s >= least and model.familiar(t, x) for t, (x, s) in zip(texts, model.read(texts), strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradelta.llm.bpe import small
-from terradelta.llm.shared import SENT_IDS, by_ids, cut, salted_join, shared_folder, worker_state
+from terradelta.llm.shared import SENT_IDS, by_ids, cut, remove, salted_join, shared_folder, worker_state
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys a shard's filter is planned for (about 400 KB).
@@ -218,9 +218,9 @@ def _of_keys(posted: DataFrame, keys: DataFrame) -> DataFrame:
 _DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
 
-def _drop(docs: DataFrame, stays, with_text: bool) -> DataFrame:
+def _drop(docs: DataFrame, stays, with_text: bool, gone: str | None = None) -> DataFrame:
     """Each row without the lines that ``stays`` (doc_ids, keys, each line's row, the batch) says go: doc_id, n_lines,
-    n_dropped, kept_sha256, or with text the row's own columns with its new text. A column ``_gone`` does not stay."""
+    n_dropped, kept_sha256, or with text the row's own columns with its new text. The column named ``gone`` is for ``stays`` and does not stay."""
 
     def lines_of(part: pa.RecordBatch, min_chars: int = MIN_CHARS) -> Iterator[tuple[list[str], np.ndarray]]:
         texts = [(t or "").split("\n") for t in part.column("text").to_pylist()]
@@ -249,12 +249,12 @@ def _drop(docs: DataFrame, stays, with_text: bool) -> DataFrame:
                 for i, (own, keep) in enumerate(lines_of(part)):
                     if not keep.all():
                         texts[i] = "\n".join([x for x, k in zip(own, keep, strict=True) if k])
-                names = [n for n in part.schema.names if n != "_gone"]
+                names = [n for n in part.schema.names if n != gone]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, part.schema.field(n).type) if n == "text" else part.column(n) for n in names], names)
 
     if with_text:
-        return docs.mapInArrow(rewrite, docs.drop("_gone").schema)
-    return docs.select(F.col("doc_id").cast("long"), "text", *[c for c in docs.columns if c == "_gone"]).mapInArrow(digest, _DIGEST)
+        return docs.mapInArrow(rewrite, docs.drop(gone).schema if gone else docs.schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *[c for c in (gone,) if c]).mapInArrow(digest, _DIGEST)
 
 
 def _drop_sent(docs: DataFrame, busy: DataFrame, with_text: bool) -> DataFrame:
@@ -278,14 +278,17 @@ def _drop_sent(docs: DataFrame, busy: DataFrame, with_text: bool) -> DataFrame:
 
 
 def _drop_joined(docs: DataFrame, lost: DataFrame, with_text: bool) -> DataFrame:
-    """lost: (doc_id, _gone), the keys that a document loses; no more than its lines."""
+    """lost: (doc_id, keys), the keys that a document loses; no more than its lines."""
+    gone = "_gone"  # a name that no column of the documents has
+    while gone in map(str.lower, docs.columns):
+        gone += "_"
 
     def stays(part: pa.RecordBatch, keys: list[bytes | None], rows: np.ndarray) -> np.ndarray:
-        gone = [set(x or ()) for x in part.column("_gone").to_pylist()]
-        return np.array([k is None or k not in gone[r] for k, r in zip(keys, rows.tolist(), strict=True)], bool)
+        left_out = [set(x or ()) for x in part.column(gone).to_pylist()]
+        return np.array([k is None or k not in left_out[r] for k, r in zip(keys, rows.tolist(), strict=True)], bool)
 
-    plain = docs.drop("_gone")
-    return _drop(plain.join(lost, "doc_id", "left").select(*plain.columns, "_gone"), stays, with_text)
+    both = docs.join(lost.select("doc_id", F.col("keys").alias(gone)), "doc_id", "left").select(*docs.columns, gone)
+    return _drop(both, stays, with_text, gone)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, with_text: bool = False, batches: int = BATCHES) -> DataFrame:
@@ -294,7 +297,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, with_text: bool = Fal
     posted = cut(postings(docs))
     for k in range(batches):
         store.add_postings(posted.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), unseen=True)
-    return store.apply(docs, min_docs, with_text)
+    kept = store.apply(docs, min_docs, with_text)
+    remove(docs.sparkSession, store.folder)  # what apply needs of it is sent or kept apart
+    return kept
 
 
 class LineStore:
@@ -418,5 +423,5 @@ class LineStore:
         if busy.count() <= SENT_KEYS:
             return _drop_sent(docs, busy.select("key", "keeper"), with_text)
         held = salted_join(self.postings(), busy.select("key", "keeper"), "key", "doc_id", busy.select("key", F.col("n_docs").alias("n")))
-        lost = held.where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_list("key").alias("_gone"))
-        return _drop_joined(docs, lost, with_text)
+        lost = held.where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        return _drop_joined(docs, cut(lost), with_text)

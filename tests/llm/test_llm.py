@@ -300,8 +300,8 @@ def test_lines_of_three_documents_stay_once(spark, monkeypatch, sent):
     got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup_lines(df).collect()]
     assert sorted(x for x in got if x[0] is not None) == want and [x[2] for x in got if x[0] is None] == [0]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
-    texts = line_dedup.dedup_lines(df.drop("_gone"), with_text=True)
-    assert texts.columns == ["doc_id", "text", "key"]
+    texts = line_dedup.dedup_lines(df.withColumn("_gone_", F.lit(2)), with_text=True)
+    assert texts.columns == ["doc_id", "text", "_gone", "key", "_gone_"] and texts.where("_gone = 'x' AND _gone_ = 2").count() == len(rows) + 1
     assert sorted((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in texts.collect() if r.doc_id is not None) == sorted((x[0], x[3]) for x in want)
 
 
@@ -431,6 +431,25 @@ def test_languages_held_out(spark):
     assert np.mean(held) > 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
+UNKNOWN_TEXTS = {
+    "Greek": "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και φεύγει προς το βουνό. " * 4,
+    "Chinese": "机器学习是人工智能的一个分支，它研究如何让计算机从数据中学习，而不需要明确编程。" * 4,
+    "Hungarian": "A gyors barna róka átugrik a lusta kutya felett, miközben a nap lassan lenyugszik a hegyek mögött. " * 4,
+    "code": "def f(x):\n    for i in range(10):\n        if x[i] != y[i + 1]:\n            return {k: v for k, v in z.items()}\n" * 4,
+    "base64": "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=500)),
+    "letters": "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyz  ", k=500)),
+}
+
+
+def test_texts_of_unknown_languages_are_rejected_and_the_corpus_stays(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(known)
+    kept = language_id.accept(known, model).count()
+    assert kept == known.where("text RLIKE '\\\\p{L}'").count()
+    foreign = docs(spark, [*UNKNOWN_TEXTS.values()])
+    assert language_id.accept(foreign, model).count() == 0
+
+
 def test_languages_of_odd_rows(spark):
     model = language_id.ByteGru(["x", "y"]).fit([[b"aaa", b"aaa aaa"], [b"zzz"]], steps=30, batch=32)
     df = docs(spark, [None, "", "12 ++", "aaa aaa", "z" * 100000 + "²", "²"])
@@ -699,7 +718,7 @@ def test_pipeline_stages_of_odd_rows(spark, tmp_path):
     leak = "zero one two three four five six seven eight nine"
     long = " ".join(f"w{i}" for i in range(60_000))
     texts = [(1, one), (2, one), (2, two), (3, two), (4, leak), (4, three), (5, None), (6, ""), (None, one), (7, long), (8, long + " x"), (9, three), (9, three)]
-    df = spark.createDataFrame([(i, t, "en", len(t or ""), 7, 8) for i, t in texts], "doc_id long, text string, lang string, n_chars long, key long, text_hash long").withColumn("_gone_id", F.lit(1)).repartition(3)
+    df = spark.createDataFrame([(i, t, "en", len(t or ""), 7, 8) for i, t in texts], "doc_id long, text string, lang string, n_chars long, key long, text_hash long").withColumn("_gone_id", F.lit(1)).withColumn("_gone", F.lit("g")).repartition(3)
     rows = lambda d: sorted(((r.doc_id or 0, (r.text or "")[:9]) for r in d.collect()))
     stages = dict(corpus_pipeline.STAGES)
     near = stages["near-dedup"](spark, df, str(tmp_path))
