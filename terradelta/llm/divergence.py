@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 
 from terradelta.llm.shared import cut, salted_join
 
-#: A term is a run of these: letters A-Z, a-z and everything beyond ASCII.
-TERM = "[^\x00-\x40\x5b-\x60\x7b-\x7f]+"
+#: A term is a run of these bytes of UTF-8: letters A-Z, a-z and all of what lies beyond ASCII.
+TERM = b"[^\x00-\x40\x5b-\x60\x7b-\x7f]+"
 #: Terms of fewer documents of a language are left out.
 LEAST_DOCS = 3
 #: The scale of probabilities.
@@ -43,7 +43,7 @@ TERM_RANKS = 200
 NODES, HELD = 200_000, 600_000
 #: Sources, or distinct counts of one source, in one row of the single sums.
 BLOCK = 1024
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -57,14 +57,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, holders) in counts.items():
                 named = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in (lang, source)]
-                columns = [pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array([holders[t] for t in n], pa.int64())]
+                columns = [pa.array(n.keys(), pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([holders[t] for t in n], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*named, *columns], ["lang", "source", "term", "n", "docs"])
             counts.clear()
 
         for b in batches:
             for text, lang, source in zip(*(b.column(i) for i in range(3)), strict=True):
                 n, holders = counts.setdefault((lang.as_py() or "", source.as_py() or ""), (Counter(), Counter()))
-                terms = find((text.as_py() or "").translate(_LOWER))
+                terms = find(bytes(text.as_buffer()).translate(_LOWER)) if text.is_valid else []
                 held -= len(n)
                 n.update(terms)
                 holders.update(set(terms))
