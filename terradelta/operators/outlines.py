@@ -1,9 +1,12 @@
-"""Outlines of labelled regions: boundary edges by counting, rings by following them.
+"""Outlines of labelled regions: boundary edges by counting, paths within tiles, rings by list ranking.
 
 Each pixel sends its four sides; a side that two pixels of one region share is inside it and cancels, so what is left is
-the boundary, found by one aggregation. A region's boundary edges, whose number follows its perimeter and not its area, are
-then followed to rings, which are values of the region's one row. A region lies on the left of its edges as they are
-followed in (x to the right, y up); so outer rings turn counter-clockwise and holes clockwise.
+the boundary, found by one aggregation. A tile follows its own edges: rings within it are done, and paths that leave it end
+there. Each path is then a node whose successor is the path that takes over in the next tile. Pointer doubling finds the
+least path of each ring, and, with the ring cut there, each path's place in it, in a number of rounds that follows the
+logarithm of the paths of a ring. So a coastline of millions of edges is a table of bounded paths in order, not a row.
+A region lies on the left of its edges as they are followed in (x to the right, y up); so outer rings turn
+counter-clockwise and holes clockwise.
 """
 
 from __future__ import annotations
@@ -15,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terradelta.checkpoints import cut
+
 #: Sides of a pixel as (row, column) of start and direction: lower side to the right, right side up, upper side to the left, left side down.
 SIDES = [(1, 0, 0), (1, 1, 1), (0, 1, 2), (0, 0, 3)]
 STEPS = [(0, 1), (-1, 0), (0, -1), (1, 0)]
+TILE = 64
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -35,47 +41,137 @@ def boundary(labelled: DataFrame, keys: list[str]) -> DataFrame:
     return one.where("_n = 1").select(*keys, "label", "e.*")
 
 
-def follow(edges: list[tuple[int, int, int]], conn: int = 4) -> list[list[tuple[int, int]]]:
-    """Closed rings of grid points (r, c), corners only, the outer ring first. Where two pixels meet at a corner only, the
-    ring turns so that they are apart (4 neighbours) or together (8)."""
-    out: dict[tuple[int, int], set[int]] = {}
-    for r, c, d in edges:
-        out.setdefault((r, c), set()).add(d)
-    rings = []
-    while out:
-        start = min(out)
-        d = min(out[start])
-        at, ring, first = start, [], d
-        while True:
-            out[at].discard(d)
-            if not out[at]:
-                del out[at]
-            if not ring or ring[-1][1] != d:
-                ring.append((at, d))
-            at = (at[0] + STEPS[d][0], at[1] + STEPS[d][1])
-            turns = ((d + 1) % 4, d, (d + 3) % 4) if conn == 4 else ((d + 3) % 4, d, (d + 1) % 4)
-            ahead = [t for t in turns if t in out.get(at, ())]
-            if at == start and (first not in turns or not ahead or turns.index(first) < turns.index(ahead[0])):
-                break
-            d = ahead[0]
-        if len(ring) > 1 and ring[0][1] == ring[-1][1]:
-            ring = ring[1:]
-        points = [p for p, _ in ring]
-        rings.append([*points, points[0]])
-    area = lambda ring: sum(a[1] * -b[0] + b[1] * a[0] for a, b in zip(ring, ring[1:], strict=False))  # noqa: E731  y is -r
-    return sorted(rings, key=lambda ring: -area(ring))
-
-
-def outlines(labelled: DataFrame, keys: list[str], affine: tuple[float, float, float, float] = (1.0, 0.0, -1.0, 0.0), conn: int = 4) -> DataFrame:
+def trace(edges: list[tuple[int, int, int]], inside: list[bool], conn: int = 4) -> tuple[list[tuple[list, list | None]], list[tuple[tuple, tuple]]]:
+    """(paths, links) of edges (r, c, d), of which those marked ``inside`` start in this tile and the others end in it.
+
+    A path is its inside edges in order, with None where it closes and its last edge where it leaves the tile. A link is an edge
+    from outside and the inside edge that follows it. Where two pixels meet at a corner only, a ring turns so that they
+    are apart (4 neighbours) or together (8).
+    """
+    own = {e for e, i in zip(edges, inside, strict=True) if i}
+
+    def after(e: tuple[int, int, int]) -> tuple[int, int, int] | None:
+        r, c, d = e
+        r, c = r + STEPS[d][0], c + STEPS[d][1]
+        turns = ((d + 1) % 4, d, (d + 3) % 4) if conn == 4 else ((d + 3) % 4, d, (d + 1) % 4)
+        return next(((r, c, t) for t in turns if (r, c, t) in own), None)
+
+    links = [(e, after(e)) for e, i in zip(edges, inside, strict=True) if not i]
+    paths, left = [], set(own)
+    for first in [*sorted({f for _, f in links}), *sorted(own)]:
+        if first not in left:
+            continue
+        path, at = [], first
+        while at is not None and at in left:
+            left.discard(at)
+            path.append(at)
+            at = after(at)
+        paths.append((path, path[-1] if at is None else None))
+    return paths, links
+
+
+def _corners(path: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The points where a path begins, turns and ends."""
+    r, c, d = path[-1]
+    return [path[0][:2], *[e[:2] for e, before in zip(path[1:], path, strict=False) if e[2] != before[2]], (r + STEPS[d][0], c + STEPS[d][1])]
+
+
+def paths(labelled: DataFrame, keys: list[str], conn: int = 4, tile: int = TILE) -> DataFrame:
+    """keys, label, ring, pos, points: pieces of rings, in order of pos within a ring; each piece begins where the one before
+    it ends, and the last ends where the first begins. points: array of (r, c). A ring is named by its least piece."""
+    by = [*keys, "label"]
+    edge = F.col("r") * F.lit(1 << 33) + F.col("c") * 4 + F.col("d")
+    step = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in STEPS]), F.col("d") + 1)
+    place = lambda r, c: F.struct(F.floor(r / tile).alias("tr"), F.floor(c / tile).alias("tc"))
+    ends = boundary(labelled, keys).withColumn("_from", place(F.col("r"), F.col("c"))).withColumn("_to", place(F.col("r") + step(0), F.col("c") + step(1)))
+    dealt = ends.withColumn("_at", F.explode(F.array_distinct(F.array("_from", "_to")))).select(*by, "_at.tr", "_at.tc", edge.alias("edge"), "r", "c", "d", (F.col("_at") == F.col("_from")).alias("inside"))
+    fields = {f.name: f for f in dealt.schema.fields}
+    schema = T.StructType([fields[k] for k in by]).add("first", T.LongType()).add("last", T.LongType()).add("link", T.BooleanType()).add("points", T._parse_datatype_string("array<struct<r:long,c:long>>"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        own = list(zip(p["r"].tolist(), p["c"].tolist(), p["d"].tolist(), strict=True))
+        name = lambda e: (e[0] << 33) + e[1] * 4 + e[2]
+        found, links = trace(own, p["inside"].tolist(), conn)
+        rows = [(name(path[0]), None if last is None else name(last), False, [{"r": r, "c": c} for r, c in _corners(path)]) for path, last in found]
+        rows += [(name(f), name(e), True, None) for e, f in links]
+        out = pd.DataFrame(rows, columns=["first", "last", "link", "points"]).astype({"first": "Int64", "last": "Int64"})
+        return out.assign(**{k: p[k].iloc[0] for k in by})[[*by, "first", "last", "link", "points"]]
+
+    traced = cut(dealt.groupBy(*by, "tr", "tc").applyInPandas(run, schema))
+    closed = traced.where("NOT link AND last IS NULL").select(*by, F.col("first").alias("ring"), F.lit(0).cast("long").alias("pos"), "points")
+    links = traced.where("link").select(*by, "last", F.col("first").alias("next"))
+    open_ = traced.where("NOT link AND last IS NOT NULL").join(links, [*by, "last"]).select(*by, "first", "next", "points")
+    nodes = cut(open_.select(*by, "first", "next"))
+    rings = _ranked(_least(nodes, by), by)
+    return closed.unionByName(open_.join(rings, [*by, "first"]).select(*by, "ring", "pos", "points"))
+
+
+def _doubled(state: DataFrame, by: list[str], carried: list[str]) -> DataFrame:
+    """Each node with what the node at its pointer holds, as (next2, carried2)."""
+    ahead = state.select(*by, F.col("first").alias("next"), F.col("next").alias("next2"), *[F.col(c).alias(f"{c}2") for c in carried])
+    return state.join(ahead, [*by, "next"], "left")
+
+
+def _least(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, first, next, ring): the least node of each node's cycle. Once no minimum changes, each has seen its whole cycle."""
+    state = nodes.withColumn("ring", F.col("first"))
+    while True:
+        both = _doubled(state, by, ["ring"])
+        state = cut(both.select(*by, "first", F.col("next2").alias("next"), F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("moved")))
+        if state.where("moved").isEmpty():
+            return nodes.join(state.select(*by, "first", "ring"), [*by, "first"])
+        state = state.drop("moved")
+
+
+def _ranked(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, first, ring, pos): places in each cycle from its least node on. Cycles are cut before that, and each node counts
+    how many follow it."""
+    state = cut(nodes.select(*by, "first", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("n")))
+    while not state.where("next IS NOT NULL").isEmpty():
+        both = _doubled(state, by, ["n"])
+        state = cut(both.select(*by, "first", "ring", F.col("next2").alias("next"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")))
+    return state.select(*by, "first", "ring", (-F.col("n")).alias("pos"))
+
+
+def measures(pieces: DataFrame, keys: list[str], affine: tuple[float, float, float, float] = (1.0, 0.0, -1.0, 0.0)) -> DataFrame:
+    """keys, label, area, perimeter, rings (their number): sums over pieces, so that none is put together. affine: x = a c + b,
+    y = d r + e."""
+    a, b, d, e = affine
+    x, y = lambda p: p["c"] * F.lit(a) + F.lit(b), lambda p: p["r"] * F.lit(d) + F.lit(e)
+    n = F.size("points")
+    side = lambda p, q: F.struct((x(p) * y(q) - x(q) * y(p)).alias("cross"), F.sqrt((x(p) - x(q)) * (x(p) - x(q)) + (y(p) - y(q)) * (y(p) - y(q))).alias("length"))
+    sides = F.zip_with(F.slice("points", F.lit(1), n - 1), F.slice("points", F.lit(2), n - 1), side)
+    total = lambda c: F.aggregate("sides", F.lit(0.0), lambda s, v: s + v[c])
+    each = pieces.withColumn("sides", sides).select(*keys, "label", "ring", (total("cross") / 2).alias("area"), total("length").alias("perimeter"))
+    return each.groupBy(*keys, "label").agg(F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"), F.count_distinct("ring").alias("rings"))
+
+
+def joined(pieces: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """A closed ring from its pieces in order: corners only, from its least point on."""
+    points = [p for piece in pieces for p in piece[:-1]]
+    straight = lambda p, q, r: (p[0] == q[0] == r[0]) or (p[1] == q[1] == r[1])
+    corners = [q for p, q, r in zip([points[-1], *points], points, [*points[1:], points[0]], strict=False) if not straight(p, q, r)]
+    at = corners.index(min(corners))
+    return [*corners[at:], *corners[: at + 1]]
+
+
+def outlines(labelled: DataFrame, keys: list[str], affine: tuple[float, float, float, float] = (1.0, 0.0, -1.0, 0.0), conn: int = 4, pieces: DataFrame | None = None) -> DataFrame:
     """keys, label, rings: the outer ring and then the holes of each region, in the coordinates x = a c + b, y = d r + e of
-    affine (a, b, d, e)."""
+    affine (a, b, d, e). A region's rings are values of its row, as in a feature; where that is too much, use ``paths``."""
     a, b, d, e = affine
-    each = boundary(labelled, keys).groupBy(*keys, "label").agg(F.collect_list(F.struct("r", "c", "d")).alias("edges"))
-    schema = T.StructType([f for f in each.schema.fields if f.name != "edges"]).add("rings", T._parse_datatype_string(RINGS))
+    pieces = paths(labelled, keys, conn) if pieces is None else pieces
+    each = pieces.groupBy(*keys, "label").agg(F.sort_array(F.collect_list(F.struct("ring", "pos", "points"))).alias("pieces"))
+    schema = T.StructType([f for f in each.schema.fields if f.name != "pieces"]).add("rings", T._parse_datatype_string(RINGS))
+    area = lambda ring: sum(p[1] * -q[0] + p[0] * q[1] for p, q in zip(ring, ring[1:], strict=False))  # noqa: E731  y is -r
+
+    def rings(row: list) -> list[list[dict]]:
+        parts: dict[int, list] = {}
+        for piece in row:
+            parts.setdefault(piece["ring"], []).append([(p["r"], p["c"]) for p in piece["points"]])
+        return [[{"x": a * c + b, "y": d * r + e} for r, c in ring] for ring in sorted(map(joined, parts.values()), key=lambda ring: -area(ring))]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rings = [[[{"x": a * c + b, "y": d * r + e} for r, c in ring] for ring in follow([(x["r"], x["c"], x["d"]) for x in row], conn)] for row in p["edges"]]
-            yield p.drop(columns="edges").assign(rings=rings)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            yield p.drop(columns="pieces").assign(rings=[rings(row) for row in p["pieces"]])
 
     return each.mapInPandas(run, schema)

@@ -308,11 +308,10 @@ def _edges_sql(keys: str) -> str:
 
 
 def outlined(labelled, keys, least=1, conn=4):
-    """Regions of enough pixels with their rings, whose areas (holes turn the other way) add up to the pixels'."""
+    """Regions of enough pixels with the area and length of their outlines; holes turn the other way and count as less."""
     big = CC.remove_small(labelled, keys, least).drop("n")
-    found = CC.regions(big, keys).join(OL.outlines(big, keys, AFFINE, conn), [*keys, "label"])
-    total = lambda f: F.aggregate("rings", F.lit(0.0), lambda a, ring: a + f(ring))
-    return found.withColumn("area_m2", F.round(total(G.signed_area), 3)).withColumn("perimeter_m", F.round(total(G.ring_length), 3))
+    measured = OL.measures(OL.paths(big, keys, conn), keys, AFFINE)
+    return CC.regions(big, keys).join(measured, [*keys, "label"]).withColumn("area_m2", F.round("area", 3)).withColumn("perimeter_m", F.round("perimeter", 3))
 
 
 query("polygonize", "px", _CC + _edges_sql("scene_id") + "SELECT scene_id, label, count(*) * 100.0::DOUBLE AS area_m2, any_value(edges) * 10.0::DOUBLE AS perimeter_m, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, round(avg(c), 6) AS cx, round(avg(r), 6) AS cy FROM cc JOIN ed USING (scene_id, label) GROUP BY scene_id, label HAVING count(*) >= 3")(
