@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terradelta.operators.quantiles import quantiles
+
 #: Structuring elements (fixed values).
 ELEMENTS = {
     "square2": [(0, 0), (0, 1), (1, 0), (1, 1)],
@@ -106,7 +108,7 @@ def change_heat(px: DataFrame, keys: list[str], before: str = "v0", after: str =
     between two percentiles of the chip."""
     d = px.where(~F.isnan(before) & ~F.isnan(after)).withColumn("d", F.col(after) - F.col(before))
     heat = with_group(d, [*keys, "band"], F.stddev_pop("d").alias("sd")).groupBy(*keys, "r", "c").agg(F.avg(F.abs("d") / (F.col("sd") + 1e-6)).alias("h"))
-    q = heat.groupBy(*keys).agg(F.percentile("h", F.array(F.lit(lo), F.lit(hi))).alias("q"))
+    q = quantiles(heat, keys, "h", [lo, hi]).drop("n")
     unit = F.least(F.greatest((F.col("h") - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0] + 1e-6), F.lit(0.0)), F.lit(1.0))
     return heat.join(q, keys).select(*keys, "r", "c", (unit * 255).alias("heat"))
 
@@ -147,8 +149,7 @@ def windows(width: int, height: int, size: int, stride: int | None = None, align
 def stretch(px: DataFrame, keys: list[str], value: str, lo: float, hi: float, least: int = 10) -> DataFrame:
     """Values stretched so that these percentiles become 0 and 1, clipped; groups with fewer than ``least`` finite values
     or without range stay as they are, and NaN stays NaN."""
-    finite = F.when(~F.isnan(value), F.col(value))
-    ends = px.groupBy(*keys).agg(F.percentile(finite, F.array(F.lit(lo), F.lit(hi))).alias("q"), F.count(finite).alias("n"))
+    ends = quantiles(px, keys, value, [lo, hi])
     v, a, b = F.col(value), F.col("q")[0], F.col("q")[1]
     scaled = F.when(F.isnan(v), v).when((F.col("n") < least) | (b <= a), v).otherwise(F.least(F.greatest((v - a) / (b - a), F.lit(0.0)), F.lit(1.0)))
     return px.join(ends, keys).withColumn(value, scaled).drop("q", "n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terradelta.operators import metrics as M
+from terradelta.operators.quantiles import quantiles
 from terradelta.plans.registry import query
 
 
@@ -124,8 +125,17 @@ query("threshold_sweep", "px", _SWEEP + "SELECT * FROM w")(lambda px: M.sweep(px
 query("best_threshold", "px", _SWEEP + "SELECT thr, f1 FROM w ORDER BY f1 DESC, thr LIMIT 5")(lambda px: M.sweep(px, "prob", "gt").select("thr", "f1").orderBy(F.col("f1").desc(), "thr").limit(5))
 
 query("prob_stats", "px", "SELECT scene_id, min(prob) AS lo, max(prob) AS hi, round(avg(prob), 6) AS mean, round(quantile_cont(prob, 0.5), 6) AS median, count(*) FILTER (prob > 0.2) AS n20, count(*) FILTER (prob > 0.3) AS n30, count(*) FILTER (prob > 0.5) AS n50, round(avg((prob > 0.5)::INT), 6) AS share FROM px GROUP BY scene_id")(
-    lambda px: px.groupBy("scene_id").agg(F.min("prob").alias("lo"), F.max("prob").alias("hi"), F.round(F.avg("prob"), 6).alias("mean"), F.round(F.percentile("prob", 0.5), 6).alias("median"), *[M.n_if(F.col("prob") > t / 100).alias(f"n{t}") for t in (20, 30, 50)], F.round(F.avg((F.col("prob") > 0.5).cast("int")), 6).alias("share"))
+    lambda px: scene_stats(px)
 )
+
+
+def scene_stats(px, value="prob", cuts=(20, 30, 50)):
+    """Figures of each scene; the median by radix selection, the rest in one pass."""
+    v = F.col(value)
+    sums = px.groupBy("scene_id").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.round(F.avg(v), 6).alias("mean"), *[M.n_if(v > t / 100).alias(f"n{t}") for t in cuts], F.round(F.avg((v > 0.5).cast("int")), 6).alias("share"))
+    return sums.join(quantiles(px, ["scene_id"], value, [0.5]).select("scene_id", F.round(F.col("q")[0], 6).alias("median")), "scene_id")
+
+
 query("prob_stats_global", "px", "SELECT count(*) AS n, min(prob) AS lo, max(prob) AS hi, round(avg(prob), 6) AS mean, round(stddev_samp(prob), 6) AS std, round(quantile_cont(prob, 0.25), 6) AS q25, round(quantile_cont(prob, 0.5), 6) AS q50, round(quantile_cont(prob, 0.75), 6) AS q75, round(100 * avg((prob > 0.5)::INT), 6) AS pct50 FROM px")(
     lambda px: global_stats(px)
 )

@@ -11,6 +11,7 @@ from terradelta.operators import metrics as M
 from terradelta.operators import outlines as OL
 from terradelta.operators import raster as R
 from terradelta.operators import scenes as SC
+from terradelta.operators.quantiles import quantiles
 from terradelta.plans.registry import query
 
 SCENE = ["scene_id"]
@@ -184,7 +185,7 @@ query("p99_normalize", "chip_px", ", z AS (SELECT chip_id, band, r, c, CASE WHEN
 
 def _p99(px):
     z = px.select("chip_id", "band", "r", "c", F.nanvl("v0", F.lit(0.0)).alias("v"))
-    q = z.groupBy("chip_id", "band").agg(F.percentile("v", 0.99).alias("q"))
+    q = quantiles(z, ["chip_id", "band"], "v", [0.99]).select("chip_id", "band", F.col("q")[0].alias("q"))
     return z.join(q, ["chip_id", "band"]).select("chip_id", "band", "r", "c", F.round(F.least(F.greatest(F.col("v") / F.when(F.col("q") <= 0, 1.0).otherwise(F.col("q")), F.lit(0.0)), F.lit(1.0)), 6).alias("v"))
 
 

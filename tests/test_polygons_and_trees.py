@@ -115,3 +115,16 @@ def test_component_tree_is_a_labelling_for_each_threshold(spark, monkeypatch, co
         want = {at: [max((k for k in range(1, v + 1) if sizes[k][at] >= a), default=0) for a in areas] for at, v in level.items() if v}
         assert {at[1:]: r for at, r in got.items() if at[0] == s} == want
     assert CT.reaches(px.where("level > 9"), ["s"], areas, n, conn).count() == 0
+
+
+def test_radix_selection_gives_percentiles(spark):
+    from terradelta.operators.quantiles import quantiles
+
+    rng = random.Random(4)
+    values = {0: [rng.gauss(0, 1) for _ in range(700)], 1: [10.0 ** rng.uniform(-200, 200) for _ in range(500)], 2: [3.0] * 400, 3: [float(rng.randint(0, 3)) for _ in range(600)], 4: [1.0, 2.0], 5: [float("nan"), None], 6: [-1e9] + [rng.random() for _ in range(300)]}
+    df = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "k long, v double")
+    shares = [0.0, 0.02, 0.25, 0.5, 0.98, 1.0]
+    want = {r["k"]: (r["n"], r["q"]) for r in df.groupBy("k").agg(F.count(F.when(~F.isnan("v"), F.col("v"))).alias("n"), F.percentile(F.when(~F.isnan("v"), F.col("v")), F.array(*map(F.lit, shares))).alias("q")).collect()}
+    for small, bins in ((10**6, 16), (20, 512), (3, 4096)):
+        got = {r["k"]: (r["n"], r["q"]) for r in quantiles(df, ["k"], "v", shares, small=small, bins=bins).collect()}
+        assert got == want, (small, bins)
