@@ -37,14 +37,32 @@ def _ring():
     return G.box_ring(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
-def _geojson(z):
+@query("scan_geojson", "zones", "SELECT zone_id, 'Polygon' AS geom_type, 5 AS corners, xmin, ymax FROM zones")
+def scan_geojson(z):
     path = _new(z.sparkSession, "geojson")
-    W.write_geojson(z.withColumn("ring", _ring()), path, "ring", "zone_id", "w")
-    return R.read_geojson(z.sparkSession, path)
+    W.write_geojson(z.withColumn("parts", F.array(F.array(_ring()))), path, "parts", "zone_id", "w")
+    box = G.bbox(F.col("ring"))
+    return R.read_geojson(z.sparkSession, path).select(F.get_json_object("props", "$.zone_id").cast("long").alias("zone_id"), "geom_type", F.size("ring").alias("corners"), box["xmin"].alias("xmin"), box["ymax"].alias("ymax"))
 
 
-query("scan_geojson", "zones", "SELECT zone_id, 'Polygon' AS geom_type, 5 AS corners, xmin, ymax FROM zones")(lambda z: _geojson(z).select(F.get_json_object("props", "$.zone_id").cast("long").alias("zone_id"), "geom_type", F.size("ring").alias("corners"), G.bbox(F.col("ring"))["xmin"].alias("xmin"), G.bbox(F.col("ring"))["ymax"].alias("ymax")))
-query("write_geojson", "zones", "SELECT zone_id, w * h AS area FROM zones")(lambda z: _geojson(z).select(F.get_json_object("props", "$.zone_id").cast("long").alias("zone_id"), F.round(G.ring_area(F.col("ring")), 3).alias("area")))
+#: Corners of a zone's parts by share of its box, as corners of its first part, of a hole in that and of its second part.
+_FX = "[0.0, 1.0, 0.9, 0.5, 0.05, 0.3, 0.6, 0.45, 1.1, 1.4, 1.2]::DOUBLE[]"
+_FY = "[0.0, 0.1, 1.0, 0.45, 0.9, 0.15, 0.12, 0.35, 0.2, 0.25, 0.6]::DOUBLE[]"
+_LON, _LAT = (t.replace("300000.0D", "300000.0::DOUBLE").replace("2000000.0D", "2000000.0::DOUBLE") for t in G.to_wgs84("(300000.0D + x)", "(2000000.0D + y)", "32643"))
+
+
+@query("write_geojson", "zones", f", p AS (SELECT zone_id, xmin + unnest({_FX}) * w + 7.3::DOUBLE AS x, ymin + unnest({_FY}) * h + 7.3::DOUBLE AS y FROM zones) SELECT zone_id, 'MultiPolygon' AS geom_type, 2 AS parts, 1 AS holes, round(min({_LON}), 6) AS lon0, round(min({_LAT}), 6) AS lat0, round(max({_LON}), 6) AS lon1, round(max({_LAT}), 6) AS lat1 FROM p GROUP BY zone_id")
+def write_geojson(z):
+    """Polygons of two parts, one with a hole, written in WGS84 and read back."""
+    from terradelta.plans.spatial_queries import EAST, NORTH, zone_polygons
+
+    path = _new(z.sparkSession, "geojson")
+    moved = F.transform("rings", lambda ring: F.transform(ring, lambda p: G.point(p["x"] + EAST, p["y"] + NORTH)))
+    parts = zone_polygons(z).withColumn("rings", moved).withColumn("parts", F.array(F.slice("rings", 1, 2), F.slice("rings", 3, 1)))
+    W.write_geojson(parts, path, "parts", "zone_id", zone="32643")
+    back = R.read_geojson(z.sparkSession, path).withColumn("b", G.bbox(F.col("ring"))).withColumn("zone_id", F.get_json_object("props", "$.zone_id").cast("long"))
+    ends = [F.round(f(f"b.{c}"), 6).alias(n) for f, c, n in ((F.min, "xmin", "lon0"), (F.min, "ymin", "lat0"), (F.max, "xmax", "lon1"), (F.max, "ymax", "lat1"))]
+    return back.groupBy("zone_id", "geom_type").agg(F.count("*").cast("int").alias("parts"), F.sum(F.size("holes")).cast("int").alias("holes"), *ends)
 
 
 @query("scan_osm_elements", "roads", "SELECT 'node' AS kind, road_id * 10 AS id, 2 AS size FROM roads UNION ALL SELECT 'way', road_id, 2 FROM roads")
@@ -126,19 +144,28 @@ def write_chip_arrays(c):
     return c.sparkSession.read.parquet(path).select("chip_id", F.size("t0").cast("long").alias("n"))
 
 
-@query("write_raster", "px", "SELECT scene_id, r, c, prob FROM px")
+@query("write_raster", "px", "SELECT scene_id, r, c, prob, (scene_id % 10) * 10000 + c * 100 + 50.0::DOUBLE AS x, (scene_id // 10 % 10) * 10000 + (63 - r) * 100 + 50.0::DOUBLE AS y, 'EPSG:32643' AS crs FROM px")
 def write_raster(px):
+    """Each scene's own place, and pixels' centres by the affine that is read back."""
     path = _new(px.sparkSession, "raster")
-    W.write_raster(px, path, "prob")
-    return px.sparkSession.read.parquet(path).select(F.col("scene_id").cast("long").alias("scene_id"), F.inline("cells")).select("scene_id", "r", "c", F.col("v").alias("prob"))
+    s = F.col("scene_id")
+    W.write_raster(px, path, "prob", affine=W.north_up(s % 10 * 10000.0, F.expr("scene_id div 10 % 10") * 10000.0 + 6400, 100.0), crs="EPSG:32643")
+    back = px.sparkSession.read.parquet(path).select(F.col("scene_id").cast("long").alias("scene_id"), "affine", "crs", F.inline("cells"))
+    at = lambda *k: F.col(f"affine.{k[0]}") * (F.col("c") + 0.5) + F.col(f"affine.{k[1]}") * (F.col("r") + 0.5) + F.col(f"affine.{k[2]}")
+    return back.select("scene_id", "r", "c", F.col("v").alias("prob"), at("a", "b", "c").alias("x"), at("d", "e", "f").alias("y"), "crs")
 
 
-@query("write_empty", "alerts", "SELECT alert_id, xmin, ymin FROM alerts WHERE false")
+@query("write_empty", "alerts", "SELECT unnest(['csv', 'geojson', 'parquet']) AS sink, count(*) AS n, unnest(['alert_id,area_m2', '', 'alert_id,area_m2']) AS columns FROM alerts WHERE w < 0")
 def write_empty(a):
-    """No alert passes; the folder still holds a readable table with the schema."""
-    path = _new(a.sparkSession, "alerts")
-    a.where("w < 0").select("alert_id", "xmin", "ymin").write.parquet(path)
-    return a.sparkSession.read.parquet(path)
+    """No alert passes; every sink still holds what its readers take: columns, or a collection without features."""
+    spark, path = a.sparkSession, _new(a.sparkSession, "alerts")
+    none = a.where("w < 0").withColumn("area_m2", F.col("w") * F.col("h")).withColumn("parts", F.array(F.array(_ring())))
+    W.write_csv(none.select("alert_id", "area_m2"), f"{path}/csv")
+    W.write_geojson(none, f"{path}/geojson", "parts", "alert_id")
+    none.select("alert_id", "area_m2").write.parquet(f"{path}/parquet")
+    csv, features, table = spark.read.csv(f"{path}/csv", header=True), R.read_geojson(spark, f"{path}/geojson"), spark.read.parquet(f"{path}/parquet")
+    rows = [d.agg(F.lit(n).alias("sink"), F.count("*").alias("n"), F.lit(",".join(c for c in d.columns if n != "geojson")).alias("columns")) for n, d in (("csv", csv), ("geojson", features), ("parquet", table))]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 @query("write_summary_json", "px", "SELECT count(*) AS pixels, count(DISTINCT scene_id) AS scenes, round(avg(prob), 6) AS mean FROM px")

@@ -138,26 +138,33 @@ _HEAT = ", d AS (SELECT *, v1 - v0 AS d FROM chip_px WHERE NOT isnan(v0) AND NOT
 query("change_heat", "chip_px", _HEAT + "SELECT chip_id, r, c, round(least(greatest((h - lo) / (hi - lo + 1e-6), 0), 1) * 255, 4) AS heat FROM h JOIN q USING (chip_id)")(lambda px: R.change_heat(px, ["chip_id"]).withColumn("heat", F.round("heat", 4)))
 
 
-@query("score_chips", "chip_px", "SELECT chip_id, r * 4 + c AS k, round(coalesce(nullif(avg(abs(v1 - v0)), 'NaN'::DOUBLE), 0), 6) AS prob FROM chip_px GROUP BY ALL")
-def score_chips(px):
-    """A scorer that is made once per task and applied to chip pairs in Arrow batches; the default scorer is the mean
-    absolute band difference, 0 on masked pixels. Any callable may take its place."""
+def band_difference():
+    """The default scorer: the mean absolute difference over bands, 0 on masked pixels."""
     import numpy as np
-    import pandas as pd
 
-    def make_scorer():
-        return lambda a, b: np.nan_to_num(np.abs(b - a).reshape(4, 16).mean(0))
+    return lambda before, after: np.nan_to_num(np.abs(after - before).mean(0))
+
+
+def score_chips(px, make_scorer=band_difference, shape=(4, 4, 4)):
+    """(chip_id, k, prob) of each pixel k of a chip. make_scorer: makes, once per task, a function of both dates' arrays
+    [bands, rows, columns] that gives a score for each pixel, such as a network that it loads."""
+    import numpy as np
+    import pandas as pd
 
     def run(parts):
         scorer = make_scorer()
         for p in parts:
-            scored = [scorer(np.array(a, float), np.array(b, float)).tolist() for a, b in zip(p["t0"], p["t1"], strict=True)]
+            scored = [np.asarray(scorer(np.array(a, float).reshape(shape), np.array(b, float).reshape(shape)), float).ravel().tolist() for a, b in zip(p["t0"], p["t1"], strict=True)]
             yield pd.DataFrame({"chip_id": p["chip_id"], "prob": scored})
 
-    cells = F.sort_array(F.collect_list(F.struct((F.col("band") * 16 + F.col("r") * 4 + F.col("c")).alias("i"), "v0", "v1")))
+    _, rows, columns = shape
+    cells = F.sort_array(F.collect_list(F.struct((F.col("band") * (rows * columns) + F.col("r") * columns + F.col("c")).alias("i"), "v0", "v1")))
     arrays = px.groupBy("chip_id").agg(cells.alias("p")).select("chip_id", F.col("p.v0").alias("t0"), F.col("p.v1").alias("t1"))
     scored = arrays.mapInPandas(run, "chip_id long, prob array<double>")
-    return scored.select("chip_id", F.posexplode("prob").alias("k", "prob")).select("chip_id", F.col("k").cast("long").alias("k"), F.round("prob", 6).alias("prob"))
+    return scored.select("chip_id", F.posexplode("prob").alias("k", "prob")).select("chip_id", F.col("k").cast("long").alias("k"), "prob")
+
+
+query("score_chips", "chip_px", "SELECT chip_id, r * 4 + c AS k, round(coalesce(nullif(avg(abs(v1 - v0)), 'NaN'::DOUBLE), 0), 6) AS prob FROM chip_px GROUP BY ALL")(lambda px: score_chips(px).withColumn("prob", F.round("prob", 6)))
 
 
 _DIFF = ", d AS (SELECT chip_id, r, c, band, abs(v1 - v0) AS d FROM chip_px WHERE NOT isnan(v0) AND NOT isnan(v1))"
@@ -328,9 +335,19 @@ def _typed(px):
 
 query("polygonize_typed", "px", _CC8 + _edges_sql("scene_id, cls") + "SELECT scene_id, cls, label, count(*) * 100.0::DOUBLE AS area_m2, any_value(edges) * 10.0::DOUBLE AS perimeter_m, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM cc JOIN ed USING (scene_id, cls, label) GROUP BY scene_id, cls, label HAVING count(*) >= 2")(lambda px: _typed(px).select("scene_id", "cls", "label", "area_m2", "perimeter_m", "r0", "r1", "c0", "c1"))
 #: Names of typed change classes (fixed values).
-CHANGE = {1: "building/impervious", 2: "road/linear", 3: "vegetation_loss"}
-query("typed_filter", "px", "SELECT scene_id, pred_cls AS cls, CASE pred_cls " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in CHANGE.items()) + " ELSE 'unknown' END AS name, count(*) * 100.0::DOUBLE AS area FROM px WHERE pred_cls <> 0 GROUP BY ALL HAVING count(*) >= 5")(
-    lambda px: px.where("pred_cls <> 0").groupBy("scene_id", F.col("pred_cls").alias("cls")).agg((F.count("*") * 100.0).alias("area")).where("area >= 500").select("scene_id", "cls", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CHANGE.items() for x in kv]), F.col("cls")), F.lit("unknown")).alias("name"), "area")
+CHANGE = {1: "building/impervious", 2: "road/linear", 3: "vegetation_loss", 4: "water_wetland_change"}
+_TYPED = ", ty AS (SELECT scene_id, pred_cls + (CASE WHEN prob >= 0.9 THEN 2 ELSE 0 END) AS cls FROM px)"
+
+
+def typed_filter(px, cls, least=5, pixel_area=100.0):
+    """Areas of the change classes by name; class 0 is no change, and a class without a name is unknown."""
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in CHANGE.items() for x in kv]), F.col("cls").cast("int"))
+    sums = px.withColumn("cls", cls).where("cls <> 0").groupBy("scene_id", "cls").agg((F.count("*") * pixel_area).alias("area"))
+    return sums.where(F.col("area") >= least * pixel_area).select("scene_id", "cls", F.coalesce(name, F.lit("unknown")).alias("name"), "area")
+
+
+query("typed_filter", "px", _TYPED + "SELECT scene_id, cls, CASE cls WHEN 1 THEN 'building/impervious' WHEN 2 THEN 'road/linear' WHEN 3 THEN 'vegetation_loss' WHEN 4 THEN 'water_wetland_change' ELSE 'unknown' END AS name, count(*) * 100.0::DOUBLE AS area FROM ty WHERE cls <> 0 GROUP BY ALL HAVING count(*) >= 5")(
+    lambda px: typed_filter(px, F.col("pred_cls") + F.when(F.col("prob") >= 0.9, 2).otherwise(0))
 )
 
 

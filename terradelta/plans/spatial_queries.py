@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terradelta.functions import geometry as G
+from terradelta.operators import alerts as AL
 from terradelta.operators import components as CC
 from terradelta.operators import polygons as PG
 from terradelta.operators import scenes as SC
@@ -168,9 +169,19 @@ def _scored(a):
     return a.withColumn("area_m2", F.col("w") * F.col("h")).withColumn("mean_prob", F.when(F.col("alert_id") % 5 != 0, (F.col("alert_id") % 100) / 100.0))
 
 
-query("alert_filter", "alerts", _AL + "SELECT alert_id, area_m2, mean_prob FROM al WHERE area_m2 >= 400 AND coalesce(mean_prob, 0) >= 0.3")(lambda a: _scored(a).where((F.col("area_m2") >= 400) & (F.coalesce("mean_prob", F.lit(0.0)) >= 0.3)).select("alert_id", "area_m2", "mean_prob"))
-query("mean_prob_describe", "alerts", _AL + "SELECT count(mean_prob) AS n, round(avg(mean_prob), 6) AS mean, round(stddev_samp(mean_prob), 6) AS std, min(mean_prob) AS lo, max(mean_prob) AS hi FROM al WHERE mean_prob IS NOT NULL")(
-    lambda a: _scored(a).where("mean_prob IS NOT NULL").agg(F.count("mean_prob").alias("n"), F.round(F.avg("mean_prob"), 6).alias("mean"), F.round(F.stddev_samp("mean_prob"), 6).alias("std"), F.min("mean_prob").alias("lo"), F.max("mean_prob").alias("hi"))
+_REST = _AL + f", rz AS (SELECT *, EXISTS (SELECT 1 FROM zones b WHERE {_MEET}) AS in_restricted_zone FROM al a)"
+
+
+def _restricted(a, z):
+    return SJ.flag(_scored(a), SJ.box_pairs(a, z, "alert_id", "zone_id"), "alert_id", "in_restricted_zone")
+
+
+query("alert_filter", "alerts zones", _REST + "SELECT alert_id, area_m2, mean_prob, in_restricted_zone FROM rz WHERE area_m2 >= 400 AND coalesce(mean_prob, 0) >= 0.3")(lambda a, z: AL.passing(_restricted(a, z)).select("alert_id", "area_m2", "mean_prob", "in_restricted_zone"))
+query("alert_funnel", "alerts zones", _REST + """, n AS (SELECT count(*) AS k0, count(*) FILTER (area_m2 >= 400) AS k1, count(*) FILTER (area_m2 >= 400 AND coalesce(mean_prob, 0) >= 0.3) AS k2,
+  count(*) FILTER (area_m2 >= 400 AND coalesce(mean_prob, 0) >= 0.3 AND in_restricted_zone) AS k3 FROM rz)
+SELECT 1 AS step, 'area' AS stage, k1 AS kept, k0 - k1 AS dropped FROM n UNION ALL SELECT 2, 'mean_prob', k2, k1 - k2 FROM n UNION ALL SELECT 3, 'restricted', k3, k2 - k3 FROM n""")(lambda a, z: AL.funnel(_restricted(a, z), only_restricted=True))
+query("mean_prob_describe", "alerts", _AL + "SELECT count(mean_prob) AS n, round(avg(mean_prob), 6) AS mean, round(stddev_samp(mean_prob), 6) AS std, min(mean_prob) AS lo, " + ", ".join(f"round(quantile_cont(mean_prob, {q / 100}), 6) AS q{q}" for q in (25, 50, 75)) + ", max(mean_prob) AS hi FROM al")(
+    lambda a: AL.describe(_scored(a)).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "lo", "q25", "q50", "q75", "hi")])
 )
 
 

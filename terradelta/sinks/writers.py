@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terradelta.functions.geometry import to_wgs84
+
 
 def write_index(df: DataFrame, path: str, by: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def feature(ring: Column, props: Column) -> Column:
-    """A GeoJSON Feature of a polygon ring."""
-    coordinates = F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
-    return F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
+def _geometry(parts: str, zone: str | None) -> Column:
+    """GeoJSON text of an array of polygons, each an array of rings, outer ring first: a Polygon or a MultiPolygon. zone: the
+    UTM zone's EPSG code of the coordinates, which become longitude and latitude; None leaves them as they are."""
+    x, y = ("p.x", "p.y") if zone is None else to_wgs84("p.x", "p.y", zone)
+    placed = F.expr(f"transform({parts}, part -> transform(part, ring -> transform(ring, p -> array({x}, {y}))))")
+    shape = lambda name, coordinates: F.to_json(F.struct(F.lit(name).alias("type"), coordinates.alias("coordinates")))
+    return F.when(F.size(parts) == 1, shape("Polygon", placed[0])).otherwise(shape("MultiPolygon", placed))
 
 
-def write_geojson(df: DataFrame, path: str, ring: str, *props: str) -> None:
-    """Newline-delimited FeatureCollections of one feature, so that no task gathers a whole collection."""
-    collection = F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature(F.col(ring), F.struct(*props))).alias("features"))
-    df.select(F.to_json(collection).alias("value")).write.mode("overwrite").text(path)
+def write_geojson(df: DataFrame, path: str, parts: str, *props: str, zone: str | None = None) -> None:
+    """Newline-delimited FeatureCollections of one feature, so that no task gathers a whole collection, and one that is
+    empty, so that a table without rows gives a valid document too. parts: see ``_geometry``."""
+    own = F.to_json(F.struct(*props)) if props else F.lit("{}")
+    features = F.concat(F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","properties":'), own, F.lit(',"geometry":'), _geometry(parts, zone), F.lit("}]}"))
+    empty = df.sparkSession.range(1).select(F.lit('{"type":"FeatureCollection","features":[]}').alias("value"))
+    df.select(features.alias("value")).unionByName(empty).write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -36,12 +44,18 @@ def write_arrays(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def write_raster(px: DataFrame, path: str, value: str, tile: int = 32) -> None:
-    """Tiles as sparse arrays of (r, c, v) with their place and affine, a folder per scene."""
+def write_raster(px: DataFrame, path: str, value: str, *, affine: Column, crs: str, tile: int = 32) -> None:
+    """Tiles as sparse arrays of (r, c, v) with their place, a folder per scene. affine: a struct (a, b, c, d, e, f) of each
+    pixel's scene, x = a col + b row + c and y = d col + e row + f, see ``north_up``; crs: the coordinates' EPSG code."""
     cells = F.sort_array(F.collect_list(F.struct(F.col("r"), F.col("c"), F.col(value).alias("v"))))
-    affine = F.struct(F.lit(10.0).alias("a"), F.lit(0.0).alias("b"), F.lit(500.0).alias("c"), F.lit(0.0).alias("d"), F.lit(-10.0).alias("e"), F.lit(9000.0).alias("f"))
-    tiles = px.groupBy("scene_id", F.floor(F.col("r") / tile).alias("tile_y"), F.floor(F.col("c") / tile).alias("tile_x")).agg(cells.alias("cells"))
-    tiles.withColumn("affine", affine).withColumn("crs", F.lit("EPSG:32643")).write.mode("overwrite").partitionBy("scene_id").parquet(path)
+    tiles = px.withColumn("affine", affine).groupBy("scene_id", "affine", F.floor(F.col("r") / tile).alias("tile_y"), F.floor(F.col("c") / tile).alias("tile_x")).agg(cells.alias("cells"))
+    tiles.withColumn("crs", F.lit(crs)).write.mode("overwrite").partitionBy("scene_id").parquet(path)
+
+
+def north_up(x0: Column, y1: Column, res: float) -> Column:
+    """The affine of a raster whose upper left corner lies at (x0, y1)."""
+    values = {"a": F.lit(res), "b": F.lit(0.0), "c": x0, "d": F.lit(0.0), "e": F.lit(-res), "f": y1}
+    return F.struct(*[v.cast("double").alias(k) for k, v in values.items()])
 
 
 def write_json(df: DataFrame, path: str) -> None:
