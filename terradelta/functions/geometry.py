@@ -68,6 +68,50 @@ def in_ring(ring: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(_edges(ring), lambda e: crosses(e) & right(e))) % 2 == 1
 
 
+def rings_meet(a: Column, b: Column) -> Column:
+    """Two closed rings' areas meet: edges cross or touch, or one ring lies in the other."""
+    turn = lambda px, py, qx, qy, x, y: (qx - px) * (y - py) - (qy - py) * (x - px)
+
+    def cross(e: Column, f: Column) -> Column:
+        near = F.lit(True)
+        for u, v in (("ax", "bx"), ("ay", "by")):
+            near &= (F.greatest(e[u], e[v]) >= F.least(f[u], f[v])) & (F.greatest(f[u], f[v]) >= F.least(e[u], e[v]))
+        apart = lambda g, h: turn(g["ax"], g["ay"], g["bx"], g["by"], h["ax"], h["ay"]) * turn(g["ax"], g["ay"], g["bx"], g["by"], h["bx"], h["by"])
+        return near & (apart(e, f) <= 0) & (apart(f, e) <= 0)
+
+    first = lambda ring: F.element_at(ring, 1)
+    edges = _edges(b)
+    return F.exists(_edges(a), lambda e: F.exists(edges, lambda f: cross(e, f))) | in_ring(a, first(b)["x"], first(b)["y"]) | in_ring(b, first(a)["x"], first(a)["y"])
+
+
+def clip_ring(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """The closed ring cut to a box: a fold over the box's half-planes, each of which cuts what the last one left; null where
+    nothing is left. A ring in several pieces stays one ring, with edges of no area between them along the box."""
+    ways = ((True, xmin, 1.0), (True, xmax, -1.0), (False, ymin, 1.0), (False, ymax, -1.0))
+    planes = F.array(*[F.struct(F.lit(upright).alias("upright"), bound.cast("double").alias("bound"), F.lit(sign).alias("sign")) for upright, bound, sign in ways])
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def cut(points: Column, plane: Column) -> Column:
+        depth = lambda p: (F.when(plane["upright"], p["x"]).otherwise(p["y"]) - plane["bound"]) * plane["sign"]
+
+        def sent(a: Column, b: Column) -> Column:
+            share = depth(a) / (depth(a) - depth(b))
+            at = F.array(point(a["x"] + share * (b["x"] - a["x"]), a["y"] + share * (b["y"] - a["y"])))
+            own, inside_a, inside_b = F.array(point(b["x"], b["y"])), depth(a) >= 0, depth(b) >= 0
+            return F.when(inside_a & inside_b, own).when(inside_a, at).when(inside_b, F.concat(at, own)).otherwise(none)
+
+        n = F.greatest(F.size(points) - 1, F.lit(0))
+        return _closed(F.flatten(F.zip_with(F.slice(points, F.lit(1), n), F.slice(points, F.lit(2), n), sent)))
+
+    left = F.aggregate(planes, F.coalesce(ring.cast("array<struct<x:double,y:double>>"), none), cut)
+    return F.when(F.size(left) > 0, left)
+
+
+def _closed(points: Column) -> Column:
+    """The points after the last one of them."""
+    return F.concat(F.slice(points, F.greatest(F.size(points), F.lit(1)), F.lit(1)), points)
+
+
 def boxes_meet(a: str, b: str) -> Column:
     """Closed boxes of two aliases intersect."""
     c = lambda t, n: F.col(f"{t}.{n}")

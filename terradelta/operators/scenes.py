@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terradelta.functions.geometry import bbox, rings_meet
+from terradelta.operators import spatial as SJ
 
-def search(items: DataFrame, start: str, end: str, cloud: float, collections: list[str], area: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Items between two times, below a cloud cover, of some collections, and, with an area (xmin, ymin, xmax, ymax), whose
-    footprint box meets it. All conditions reach the scan where the items are read from files."""
+
+def search(items: DataFrame, start: str, end: str, cloud: float, collections: list[str], areas: DataFrame | None = None, key: str = "id", cell: float = SJ.CELL) -> DataFrame:
+    """Items between two times, below a cloud cover, of some collections, and, with areas (a ring column), whose footprint
+    (``ring``) meets one of them. The conditions on columns reach the scan where the items are read from files; boxes find
+    the areas near a footprint, and rings decide. An item comes once, whatever it meets; items without a footprint go."""
     found = items.where(F.col("datetime").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")) & (F.col("cloud") < cloud) & F.col("collection").isin(collections))
-    if area is None:
+    if areas is None:
         return found
-    x0, y0, x1, y1 = area
-    return found.where((F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0))
+    boxed = lambda d: d.where("ring IS NOT NULL").withColumn("_box", bbox(F.col("ring"))).select("*", "_box.*").drop("_box")
+    wanted = boxed(areas.select(F.monotonically_increasing_id().alias("_area"), "ring")).withColumnRenamed("ring", "_ring")
+    met = SJ.box_pairs(boxed(found.select(key, "ring")), wanted, key, "_area", cell=cell, more=("_ring",)).where(rings_meet(F.col("ring"), F.col("_ring")))
+    return found.join(met.select(key).distinct(), key, "left_semi")
 
 
 def pair(items: DataFrame, targets: dict[str, str], days: int = 7, cloud: float = 30.0) -> DataFrame:

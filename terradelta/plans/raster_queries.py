@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terradelta.functions import geometry as G
 from terradelta.operators import component_tree as CT
 from terradelta.operators import components as CC
+from terradelta.operators import focal as FC
 from terradelta.operators import metrics as M
 from terradelta.operators import outlines as OL
 from terradelta.operators import raster as R
@@ -246,10 +247,10 @@ def _mask(px):
     return px.select(*KEY, (F.col("prob") >= 0.5).cast("int").alias("v"))
 
 
-query("box_blur", "px", _NEAR + "SELECT scene_id, r, c, round(avg(prob), 6) AS v FROM n GROUP BY ALL")(lambda px: R.focal(px, SCENE, "prob", "square3", [F.round(F.avg("v"), 6).alias("v")]))
-query("median_filter", "px", _NEAR + "SELECT scene_id, r, c, round(quantile_cont(prob, 0.5), 6) AS v FROM n GROUP BY ALL")(lambda px: R.focal(px, SCENE, "prob", "square3", [F.round(F.percentile("v", 0.5), 6).alias("v")]))
-query("dilate", "px", _NEAR + "SELECT scene_id, r, c, max(v) AS v FROM n GROUP BY ALL")(lambda px: R.dilate(_mask(px), SCENE))
-query("erode", "px", _NEAR + "SELECT scene_id, r, c, CASE WHEN count(*) = 9 THEN min(v) ELSE 0 END AS v FROM n GROUP BY ALL")(lambda px: R.erode(_mask(px), SCENE))
+query("box_blur", "px", _NEAR + "SELECT scene_id, r, c, round(avg(prob), 6) AS v FROM n GROUP BY ALL")(lambda px: FC.square(px, SCENE, "prob", 1, "mean", "v").withColumn("v", F.round("v", 6)))
+query("median_filter", "px", _NEAR + "SELECT scene_id, r, c, round(quantile_cont(prob, 0.5), 6) AS v FROM n GROUP BY ALL")(lambda px: FC.square(px, SCENE, "prob", 1, "median", "v").withColumn("v", F.round("v", 6)))
+query("dilate", "px", _NEAR + "SELECT scene_id, r, c, max(v) AS v FROM n GROUP BY ALL")(lambda px: FC.square(_mask(px), SCENE, "v", 1, "max").withColumn("v", F.col("v").cast("int")))
+query("erode", "px", _NEAR + "SELECT scene_id, r, c, CASE WHEN count(*) = 9 THEN min(v) ELSE 0 END AS v FROM n GROUP BY ALL")(lambda px: FC.square(_mask(px), SCENE, "v", 1, "whole_min").withColumn("v", F.col("v").cast("int")))
 _CROSS = "b.scene_id = a.scene_id AND abs(b.r - a.r) + abs(b.c - a.c) <= 1"
 _OPEN = f", m AS MATERIALIZED (SELECT scene_id, r, c, (prob >= 0.3)::INT AS v FROM px), e AS MATERIALIZED (SELECT a.scene_id, a.r, a.c, CASE WHEN count(*) = 5 THEN min(b.v) ELSE 0 END AS v FROM m a JOIN m b ON {_CROSS} GROUP BY ALL), d AS MATERIALIZED (SELECT a.scene_id, a.r, a.c, max(b.v) AS v FROM e a JOIN e b ON {_CROSS} GROUP BY ALL)"
 #: Offsets of the ellipse of 7, for SQL: rows of a disc of radius 3.

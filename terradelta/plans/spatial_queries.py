@@ -34,10 +34,26 @@ query("sj_overlay_flags", "alerts buildings roads", f"SELECT alert_id, EXISTS (S
     lambda a, b, r: SJ.flag(SJ.flag(a, SJ.box_pairs(a, b, "alert_id", "bld_id"), "alert_id", "overlaps_building"), near_roads(a, r), "alert_id", "overlaps_road").select("alert_id", "overlaps_building", "overlaps_road")
 )
 query("sj_count", "aoi buildings", f"SELECT a.aoi_id, count(b.bld_id) AS n FROM aoi a LEFT JOIN buildings b ON {_MEET} GROUP BY a.aoi_id")(lambda a, b: SJ.count(a, SJ.box_pairs(a, b, "aoi_id", "bld_id", cell=20000.0), "aoi_id", "n").select("aoi_id", "n"))
-query("sj_clip", "alerts zones", f"SELECT alert_id, zone_id, greatest(a.xmin, b.xmin) AS xmin, greatest(a.ymin, b.ymin) AS ymin, least(a.xmax, b.xmax) AS xmax, least(a.ymax, b.ymax) AS ymax FROM alerts a JOIN zones b ON {_MEET}")(
-    lambda a, z: SJ.box_pairs(a, z, "alert_id", "zone_id").select("alert_id", "zone_id", *[F.greatest(c, f"r_{c}").alias(c) for c in ("xmin", "ymin")], *[F.least(c, f"r_{c}").alias(c) for c in ("xmax", "ymax")])
-)
-query("aoi_scene_join", "aoi alerts", f"SELECT a.aoi_id, b.alert_id AS scene FROM aoi a JOIN alerts b ON {_MEET}")(lambda a, s: SJ.box_pairs(s, a, "alert_id", "aoi_id", cell=20000.0).select("aoi_id", F.col("alert_id").alias("scene")))
+@query("sj_clip", "alerts zones", f"SELECT alert_id, zone_id, greatest(a.xmin, b.xmin) AS xmin, greatest(a.ymin, b.ymin) AS ymin, least(a.xmax, b.xmax) AS xmax, least(a.ymax, b.ymax) AS ymax, round((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)), 3) AS area FROM alerts a JOIN zones b ON {_MEET}")
+def sj_clip(alerts, zones):
+    """Outlines of alerts cut to the zones that they meet."""
+    met = SJ.box_pairs(alerts, zones, "alert_id", "zone_id")
+    cut = met.select("alert_id", "zone_id", G.clip_ring(_ring(), *[F.col(f"r_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]).alias("ring"))
+    return cut.select("alert_id", "zone_id", G.bbox(F.col("ring")).alias("b"), F.round(G.ring_area(F.col("ring")), 3).alias("area")).select("alert_id", "zone_id", "b.*", "area")
+
+
+_L_MEET = "b.xmin <= a.xmax AND b.xmax >= a.xmin AND b.ymin <= a.ymin + a.h / 2 AND b.ymax >= a.ymin OR b.xmin <= a.xmin + a.w / 2 AND b.xmax >= a.xmin AND b.ymin <= a.ymax AND b.ymax >= a.ymin"
+
+
+@query("aoi_scene_join", "aoi alerts", f"SELECT a.aoi_id, b.alert_id AS scene FROM aoi a JOIN alerts b ON {_L_MEET}")
+def aoi_scene_join(aoi, scenes):
+    """Footprints and the AOIs, L-shaped here, that they meet: boxes first, then rings."""
+    x, y, w, h, X, Y = (F.col(c) for c in ("xmin", "ymin", "w", "h", "xmax", "ymax"))
+    corners = [(x, y), (X, y), (X, y + h / 2), (x + w / 2, y + h / 2), (x + w / 2, Y), (x, Y), (x, y)]
+    areas = aoi.withColumn("area", F.array(*[G.point(a, b) for a, b in corners]))
+    met = SJ.box_pairs(scenes.withColumn("ring", _ring()), areas, "alert_id", "aoi_id", cell=20000.0, more=("area",))
+    return met.where(G.rings_meet(F.col("ring"), F.col("area"))).select("aoi_id", F.col("alert_id").alias("scene"))
+
 
 #: Where the square lies in UTM zone 43 north, for footprints in WGS84.
 EAST, NORTH, CRS = 300000.0, 2000000.0, "EPSG:32643"

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from terradelta.checkpoints import shared_folder
 from terradelta.fixtures import bucket, split_of, split_sql, table
 from terradelta.functions import strings as S
+from terradelta.functions import geometry as G
 from terradelta.operators import manifest as MF
 from terradelta.operators import scenes as SC
 from terradelta.operators import splits as SP
@@ -154,13 +155,18 @@ query("shuffle_rows", "manifest", f"SELECT stem FROM (SELECT DISTINCT stem FROM
 # --- scene catalogue -------------------------------------------------------------------------------------------------
 _FIRST = ", k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE source_endpoint WHEN 'aws' THEN 0 ELSE 1 END, datetime, event_id) AS k FROM scene_items)"
 SEARCH = "datetime >= TIMESTAMP '2024-01-05 00:00:00' AND datetime <= TIMESTAMP '2024-01-20 23:59:59' AND cloud < 30 AND collection IN ('click', 'view', 'purchase')"
-query("scene_search", "scene_items aoi", f"SELECT id, event_id, cloud FROM scene_items s JOIN aoi a ON a.aoi_id = s.aoi_id % 25 WHERE {SEARCH} AND xmin <= 50000 AND xmax >= 30000 AND ymin <= 50000 AND ymax >= 30000")(lambda i, a: _search(i, a))
+_NOTCHED = "((xmin <= 50000 AND xmax >= 30000 AND ymin <= 34000 AND ymax >= 30000) OR (xmin <= 34000 AND xmax >= 30000 AND ymin <= 50000 AND ymax >= 30000))"
+query("scene_search", "scene_items aoi", f"SELECT id, event_id, cloud FROM scene_items s JOIN aoi a ON a.aoi_id = s.aoi_id % 25 WHERE {SEARCH} AND {_NOTCHED}")(lambda i, a: _search(i, a))
 
 
 def _search(items, aoi):
-    """Items with the box of their AOI as footprint, searched by time, cloud, collection and area."""
-    placed = items.withColumn("k", F.col("aoi_id") % 25).join(aoi.select(F.col("aoi_id").alias("k"), "xmin", "ymin", "xmax", "ymax"), "k")
-    return SC.search(placed, "2024-01-05 00:00:00", "2024-01-20 23:59:59", 30, ["click", "view", "purchase"], (30000, 30000, 50000, 50000)).select("id", "event_id", "cloud")
+    """Items with the outline of their AOI as footprint, searched by time, cloud, collection and an area with a notch: an L
+    that some footprints meet by their boxes only."""
+    corners = [(30000, 30000), (50000, 30000), (50000, 34000), (34000, 34000), (34000, 50000), (30000, 50000), (30000, 30000)]
+    area = items.sparkSession.range(1).select(F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in corners]).alias("ring"))
+    rings = aoi.select(F.col("aoi_id").alias("k"), G.box_ring(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("ring"))
+    placed = items.withColumn("k", F.col("aoi_id") % 25).join(rings, "k")
+    return SC.search(placed, "2024-01-05 00:00:00", "2024-01-20 23:59:59", 30, ["click", "view", "purchase"], area, "event_id", 20000.0).select("id", "event_id", "cloud")
 
 
 query("source_exclusion", "scene_items", "SELECT event_id, source_endpoint, collection FROM scene_items WHERE NOT (source_endpoint = 'usgs' AND collection = 'click') AND NOT (source_endpoint = 'aws' AND collection = 'error')")(

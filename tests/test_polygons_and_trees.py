@@ -128,3 +128,52 @@ def test_radix_selection_gives_percentiles(spark):
     for small, bins in ((10**6, 16), (20, 512), (3, 4096)):
         got = {r["k"]: (r["n"], r["q"]) for r in quantiles(df, ["k"], "v", shares, small=small, bins=bins).collect()}
         assert got == want, (small, bins)
+
+
+@pytest.mark.parametrize("kind", ["mean", "median", "max", "min", "whole_min"])
+def test_square_neighbourhoods_of_any_radius(spark, kind):
+    from terradelta.operators import focal
+
+    rng = random.Random(5)
+    n = 30
+    cells = {(s, r, c): rng.choice([0.0, 1.0, 2.5, -3.0, None, rng.random()]) for s in range(2) for r in range(n) for c in range(n) if rng.random() < 0.8}
+    px = spark.createDataFrame([(*k, v) for k, v in cells.items()], "s long, r int, c int, v double")
+    for radius, tile in ((1, 8), (5, 8), (25, 64)):
+        got = {(x["s"], x["r"], x["c"]): x["v"] for x in focal.square(px, ["s"], "v", radius, kind, tile=tile).collect()}
+        assert set(got) == set(cells)
+        for s, r, c in rng.sample(sorted(cells), 120):
+            near = [cells[s, y, x] for y in range(r - radius, r + radius + 1) for x in range(c - radius, c + radius + 1) if cells.get((s, y, x)) is not None]
+            full = len(near) == (2 * radius + 1) ** 2
+            want = {"mean": lambda v: sum(v) / len(v), "median": lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2, "max": max, "min": min, "whole_min": lambda v: min(v) if full else 0.0}[kind]  # noqa: B023
+            expected = want(near) if near else (0.0 if kind == "whole_min" else None)
+            assert got[s, r, c] == expected or abs(got[s, r, c] - expected) < 1e-9, (radius, s, r, c)
+
+
+def test_rings_meet_by_edges_or_containment(spark):
+    from terradelta.functions import geometry as G
+
+    box = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    ell = [(0.0, 0.0), (10.0, 0.0), (10.0, 2.0), (2.0, 2.0), (2.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
+    others = [(box(5.0, 5.0, 3.0), False), (box(1.5, 5.0, 3.0), True), (box(0.5, 0.5, 0.5), True), (box(-5.0, -5.0, 30.0), True), (box(2.0, 2.0, 1.0), True), (box(10.0, 2.0, 1.0), True), (box(10.1, 0.0, 1.0), False), (box(2.5, 2.5, 20.0), False)]
+    shape = "array<struct<x:double,y:double>>"
+    as_rows = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    df = spark.createDataFrame([(k, as_rows(ell), as_rows(o)) for k, (o, _) in enumerate(others)], f"k int, a {shape}, b {shape}")
+    got = df.select("k", G.rings_meet(F.col("a"), F.col("b")).alias("m"), G.rings_meet(F.col("b"), F.col("a")).alias("w")).orderBy("k").collect()
+    assert [r["m"] for r in got] == [r["w"] for r in got] == [m for _, m in others]
+
+
+def test_clipped_rings_have_the_area_of_their_pixels(spark):
+    from terradelta.functions import geometry as G
+
+    rng = random.Random(11)
+    shape = "array<struct<x:double,y:double>>"
+    stars = [star(rng, rng.uniform(0, 10), rng.uniform(0, 10), 6, 7) for _ in range(12)]
+    df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in [*ring, ring[0]]]) for k, ring in enumerate(stars)], f"k int, ring {shape}")
+    cut = df.select("k", G.clip_ring(F.col("ring"), F.lit(2.0), F.lit(3.0), F.lit(8.0), F.lit(9.0)).alias("ring")).select("k", G.ring_area(F.col("ring")).alias("area"), "ring")
+    n = 120
+    for row in cut.collect():
+        pixels = sum(inside([stars[row["k"]]], 2 + (c + 0.5) * 6 / n, 3 + (r + 0.5) * 6 / n) for r in range(n) for c in range(n)) * (6 / n) ** 2
+        assert abs((row["area"] or 0.0) - pixels) < 0.6
+        assert all(1.999 < p["x"] < 8.001 and 2.999 < p["y"] < 9.001 for p in row["ring"] or [])
+    away = df.select(G.clip_ring(F.col("ring"), *[F.lit(float(v)) for v in (100, 100, 101, 101)]).alias("ring"))
+    assert away.where("ring IS NOT NULL").count() == 0
