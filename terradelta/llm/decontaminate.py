@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.llm import shingles as S
-from terradelta.llm.shared import cut
+from terradelta.llm.shared import cut, worker_state
 
 SIZE, SHARE = 5, 0.8
 #: Item sets are sent to tasks only if they take no more than this together.
@@ -117,6 +117,7 @@ def _by_sent_items(docs: DataFrame, sets: DataFrame, size: int, share: float) ->
     sent = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("items")
         index = _Index(sent.value, share)
         for b in batches:
             for lo, hi, data, at in S.texts(b.column(1)):

@@ -42,6 +42,8 @@ HIDDEN, STEPS, BATCH, WINDOW, WINDOWS = 12, 150, 192, 64, 8192
 #: Bits a byte below a language's documents, and standard deviations of a short text's mean, that are still allowed; a text
 #: with fewer pairs of letters and blanks is not judged by them.
 MARGIN, DEVIATIONS, LEAST_PAIRS = 2.5, 3.0, 200
+#: Bytes of a text that are rated at once.
+PIECE = 1 << 15
 UNKNOWN = "und"
 #: A further floor, of the score, for ``accept``; a short text of a learned language may have any.
 LEAST_SCORE = 0.0
@@ -155,11 +157,18 @@ class ByteGru:
         return self
 
     def familiarity(self, raw: bytes, language: int) -> tuple[float, float, int]:
-        """Mean and deviation of the log2 probabilities of a text's letters and blanks after one another, and their number."""
-        x = _FOLD[np.frombuffer(raw, np.uint8)]
-        wordy = _WORDY[x]
-        each = self.pairs[language][x[:-1], x[1:]][wordy[:-1] & wordy[1:]]
-        return (float(each.mean(dtype=np.float64)), float(each.std(dtype=np.float64)), len(each)) if len(each) else (0.0, 0.0, 0)
+        """Mean and deviation of the log2 probabilities of a text's letters and blanks after one another, and their number.
+        The text is read in pieces, so that a long one needs no more memory than others."""
+        table, total, squares, n = self.pairs[language].ravel(), 0.0, 0.0, 0
+        data = np.frombuffer(raw, np.uint8)
+        for lo in range(0, len(data) - 1, PIECE):
+            x = _FOLD[data[lo : lo + PIECE + 1]]
+            wordy = _WORDY[x]
+            each = table[x[:-1].astype(np.int32) * 256 + x[1:]][wordy[:-1] & wordy[1:]]
+            total += float(each.sum(dtype=np.float64))
+            squares += float(np.square(each).sum(dtype=np.float64))
+            n += len(each)
+        return (total / n, max(0.0, squares / n - (total / n) ** 2) ** 0.5, n) if n else (0.0, 0.0, 0)
 
     def calibrate(self, seen: list[list[tuple[float, float]]]) -> ByteGru:
         """seen: of each language, its sample documents' familiarity."""

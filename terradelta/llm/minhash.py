@@ -118,6 +118,7 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     """(id, items) of (id, text): each text's sorted distinct shingles, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("sets")
         for b in batches:
             for lo, hi, data, at in S.texts(b.column(1)):
                 sets = [x.tobytes() for x in S.distinct(*S.shingles(data, at, size))]
@@ -151,6 +152,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     """The pairs with 100 * intersection >= percent * union of their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("pairs")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
