@@ -40,7 +40,7 @@ SCALE = 1_000_000_000
 #: Ranks of the ``term`` part.
 TERM_RANKS = 200
 #: A task's tree and its counts are summed and begun anew at about so many nodes or terms.
-NODES, HELD = 200_000, 600_000
+NODES, HELD = 200_000, 1_200_000
 #: Sources, or distinct counts of one source, in one row of the single sums.
 BLOCK = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -210,7 +210,8 @@ def _singles(sized: DataFrame, groups: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64("source"), F.col("places"))
     others = groups.join(places, "lang").withColumn("to", F.struct("lang", place.alias("place"))).groupBy("to").agg(F.collect_list(F.struct(F.col("source").alias("item"), F.col("floor").alias("q"))).alias("others"))
     dealt = base.unionByName(blocks).join(places, "lang").withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)))
-    met = salted_join(dealt.withColumn("to", F.struct("lang", "place")).drop("place", "places"), others, "to", "source")
+    # a row has up to BLOCK sources on either side, so even a language of all rows is few rows here
+    met = dealt.withColumn("to", F.struct("lang", "place")).drop("place", "places").join(others, "to")
     each = met.select("lang", "source", "block", "floor", "own", F.inline("others")).where("item <> source")
     total = lambda term: F.expr(f"aggregate(own, 0L, (s, x) -> s + x.rows * ({term}))")
     none = gap("floor", "q")

@@ -28,22 +28,24 @@ CONTEXT = 2
 
 
 class TokenTree:
-    """The pre-tokens of one text with sums of characters and tokens."""
+    """The pre-tokens of one text, each with its number of tokens, and sums of characters and tokens over them."""
 
     def __init__(self, tok: Tokenizer, pretokens: list[str]):
         self.tok = tok
         self._build(pretokens)
 
-    def _count(self, block: list[str]) -> int:
+    def _counts(self, pretokens: list[str]) -> list[int]:
         known, unit = self.tok.known, self.tok.count
-        return sum([f[0] if (f := known.get(m)) else unit(m) for m in block])
+        return [f[0] if (f := known.get(m)) else unit(m) for m in pretokens]
 
-    def _build(self, pretokens: list[str]) -> None:
+    def _build(self, pretokens: list[str], counts: list[int] | None = None) -> None:
+        counts = self._counts(pretokens) if counts is None else counts
         self.blocks = [pretokens[i : i + BLOCK] for i in range(0, len(pretokens), BLOCK)] or [[]]
+        self.counts = [counts[i : i + BLOCK] for i in range(0, len(counts), BLOCK)] or [[]]
         self.size = 1 << (len(self.blocks) - 1).bit_length()
         pad = [0] * (self.size - len(self.blocks))
         self.chars = [0] * self.size + [sum(map(len, b)) for b in self.blocks] + pad
-        self.tokens = [0] * self.size + [self._count(b) for b in self.blocks] + pad
+        self.tokens = [0] * self.size + [sum(b) for b in self.counts] + pad
         for v in range(self.size - 1, 0, -1):
             self._add_up(v)
 
@@ -54,7 +56,7 @@ class TokenTree:
     def _renew(self, block: int) -> None:
         v = self.size + block
         self.chars[v] = sum(map(len, self.blocks[block]))
-        self.tokens[v] = self._count(self.blocks[block])
+        self.tokens[v] = sum(self.counts[block])
         v >>= 1
         while v:
             self._add_up(v)
@@ -94,14 +96,15 @@ class TokenTree:
             k += 1
         if k == len(self.blocks[first]) and first + 1 < len(self.blocks):
             first, k = first + 1, 0
-        before = self.blocks[first][:k]
-        last, old, ends, stop = first, self.blocks[first][k:], [], at
+        before, before_n = self.blocks[first][:k], self.counts[first][:k]
+        last, old, old_n, ends, stop = first, self.blocks[first][k:], self.counts[first][k:], [], at
         for m in old:
             stop += len(m)
             ends.append(stop)
         while True:
             while last + 1 < len(self.blocks) and stop < end + CONTEXT + 1:
                 last += 1
+                old_n += self.counts[last]
                 for m in self.blocks[last]:
                     stop += len(m)
                     old.append(m)
@@ -118,19 +121,22 @@ class TokenTree:
             if synced or final:
                 break
             last += 1
+            old_n += self.counts[last]
             for m in self.blocks[last]:
                 stop += len(m)
                 old.append(m)
                 ends.append(stop)
         done, same = synced or (len(found), stop)
-        rest = old[ends.index(same) + 1 :] if same in boundaries else []
-        merged = before + found[:done] + rest
+        kept = ends.index(same) + 1 if same in boundaries else len(old)
+        merged = before + found[:done] + old[kept:]
+        merged_n = before_n + self._counts(found[:done]) + old_n[kept:]  # nothing else is encoded again
         if len(merged) > FULL:
-            self._build([m for b in self.blocks[:first] for m in b] + merged + [m for b in self.blocks[last + 1 :] for m in b])
+            flat = lambda parts: [m for b in parts for m in b]
+            self._build(flat(self.blocks[:first]) + merged + flat(self.blocks[last + 1 :]), flat(self.counts[:first]) + merged_n + flat(self.counts[last + 1 :]))
         else:
-            self.blocks[first] = merged
+            self.blocks[first], self.counts[first] = merged, merged_n
             for b in range(first + 1, last + 1):
-                self.blocks[b] = []
+                self.blocks[b], self.counts[b] = [], []
             for b in range(first, last + 1):
                 self._renew(b)
         return done

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terradelta.llm.shared import cut, shared_folder
+from terradelta.llm.shared import cut, salted_join, shared_folder
 
 MIN_REVISIT = 1000
 SEGMENT_BYTES = 8 << 10
@@ -52,8 +52,10 @@ def roles(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", F.sha2(body, 256).alias("sha"), F.length(body).alias("size"))
     ids = cut(own.select("page_id", "sha", "size"))
-    first = ids.where(F.col("size") >= min_revisit).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
-    shared = ids.join(first, "sha").select("page_id", "sha", "keeper").dropDuplicates(["page_id", "sha"])
+    first = ids.where(F.col("size") >= min_revisit).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    first = cut(first)
+    # a payload that many pages share is one key
+    shared = salted_join(ids, first.select("sha", "keeper"), "sha", "page_id", first.select("sha", "n")).select("page_id", "sha", "keeper").dropDuplicates(["page_id", "sha"])
     repeats = cut(ids.groupBy("page_id", "sha").agg(F.count("*").alias("n")).where("n > 1"))
     listed = shared.unionByName(repeats, allowMissingColumns=True)
     special = cut(listed.groupBy("page_id", "sha").agg(F.max("keeper").alias("keeper"), F.max("n").alias("n")))
@@ -281,8 +283,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
     read = cut(payloads(reassemble(read_records(write_archives(pages))), with_payload=False))
     responses = read.where("kind = 'response'")
     revisits = read.where("kind = 'revisit'").select("page_id", "refers_to")
-    asked = revisits.select(F.col("refers_to").alias("record_id")).distinct()
+    counts = cut(revisits.groupBy("refers_to").agg(F.count("*").alias("n")))
+    asked = counts.select(F.col("refers_to").alias("record_id"))
     named = responses.join(asked, "record_id", "left_semi").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("origin"), "payload_bytes", "digest")
-    resolved = revisits.join(named, "refers_to", "left").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("origin").alias("refers_to"))
+    # every record that is asked for once, also one that no archive holds
+    answers = counts.select("refers_to").join(named, "refers_to", "left")
+    resolved = salted_join(revisits, answers, "refers_to", "page_id", counts).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("origin").alias("refers_to"))
     own = responses.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     return own.unionByName(resolved)

@@ -431,6 +431,28 @@ def test_languages_held_out(spark):
     assert np.mean(held) > 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_an_edit_encodes_only_what_it_touches(reference_encoding):
+    t, ref = reference_encoding
+    long = "x" * 20000
+    tree = token_counts.TokenTree(t, t.find(f"one two {long} three four"))
+    seen = []
+    count = tree._counts
+    tree._counts = lambda block: seen.extend(block) or count(block)
+    tree.edit(0, 3, "six")
+    assert tree.text == f"six two {long} three four" and tree.n_tokens == len(ref.encode_ordinary(tree.text))
+    assert sum(map(len, seen)) < 100
+
+
+def test_a_payload_that_a_third_of_the_pages_share(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(k, f"http://a/{k}", "same " * 300 if k % 3 == 0 else f"page {k} " * 200) for k in range(600)]
+        got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {k: ("revisit", 597) if k % 3 == 0 and k != 597 else ("response", None) for k in range(600)}
+
+
 UNKNOWN_TEXTS = {
     "Greek": "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και φεύγει προς το βουνό. " * 4,
     "Chinese": "机器学习是人工智能的一个分支，它研究如何让计算机从数据中学习，而不需要明确编程。" * 4,
