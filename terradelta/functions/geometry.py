@@ -118,11 +118,6 @@ def boxes_meet(a: str, b: str) -> Column:
     return (c(a, "xmin") <= c(b, "xmax")) & (c(b, "xmin") <= c(a, "xmax")) & (c(a, "ymin") <= c(b, "ymax")) & (c(b, "ymin") <= c(a, "ymax"))
 
 
-def in_triangle(x: str, y: str) -> str:
-    """Condition text: a point lies in the triangle of a box's first three corners."""
-    return f"{x} >= xmin AND {x} <= xmax AND {y} >= ymin AND ({y} - ymin) * w <= ({x} - xmin) * h"
-
-
 def segment_box_distance2(x1="x1", y1="y1", x2="x2", y2="y2") -> str:
     """Expression text: squared distance of a segment from a closed box xmin..ymax; 0 where they meet.
 

@@ -56,16 +56,6 @@ def count(left: DataFrame, pairs: DataFrame, left_id: str, name: str) -> DataFra
     return left.join(n, left_id, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def inside(points: DataFrame, polygons: DataFrame, x: Column, y: Column, within: str, tile: float) -> DataFrame:
-    """Points with the polygons they lie in: polygons are listed under the square tiles that their boxes cover, points under
-    the one they lie in, and ``within``, a condition on x, y and a polygon's columns, is tested for those that meet there.
-    So a polygon is sent once to each tile, however many points it holds."""
-    at = points.withColumn("x", x).withColumn("y", y).withColumn("cx", F.floor(F.col("x") / tile)).withColumn("cy", F.floor(F.col("y") / tile))
-    side = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
-    listed = polygons.withColumn("cx", side("xmin", "xmax")).withColumn("cy", side("ymin", "ymax"))
-    return at.join(listed, ["cx", "cy"]).where(within).drop("cx", "cy")
-
-
 def footprints(px: DataFrame, keys: list[str], x0: Column, y1: Column, res: float, crs: str, lon: str, lat: str) -> DataFrame:
     """keys, crs, the box of each scene's pixels, and the WGS84 box of that box's corners; x0 and y1 are the left and upper
     edge of pixel (0, 0), lon and lat expression texts over x and y. An error if there is no scene."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from terradelta.checkpoints import shared_folder
 from terradelta.functions import geometry as G
 from terradelta.operators import component_tree as CT
 from terradelta.operators import components as CC
@@ -14,6 +17,8 @@ from terradelta.operators import raster as R
 from terradelta.operators import scenes as SC
 from terradelta.operators.quantiles import quantiles
 from terradelta.plans.registry import query
+from terradelta.sinks import writers as W
+from terradelta.sources import readers as RD
 
 SCENE = ["scene_id"]
 KEY = ["scene_id", "r", "c"]
@@ -84,17 +89,17 @@ def _stitch(px):
     return cut.unionByName(overlap).groupBy("scene_id", (F.col("ty") * 16 + F.col("y")).alias("r"), (F.col("tx") * 16 + F.col("x")).alias("c")).agg(F.max("prob").alias("prob"))
 
 
-query("raster_window", "px", ", g AS (SELECT scene_id, y AS r, x AS c FROM (SELECT DISTINCT scene_id FROM px), (SELECT unnest(range(10, 20)) AS y), (SELECT unnest(range(30, 45)) AS x)) SELECT g.*, coalesce(prob, 0) AS prob FROM g LEFT JOIN px USING (scene_id, r, c)")(
-    lambda px: window(px, 10, 30, 10, 15)
-)
-
-
-def window(px, y, x, height, width, value="prob"):
-    """A window of every scene, missing pixels as 0; rows and columns outside it are not read further."""
-    own = px.where((F.col("r") >= y) & (F.col("r") < y + height) & (F.col("c") >= x) & (F.col("c") < x + width)).select(*KEY, value)
+@query("raster_window", "px", ", g AS (SELECT scene_id, y AS r, x AS c FROM (SELECT DISTINCT scene_id FROM px), (SELECT unnest(range(10, 20)) AS y), (SELECT unnest(range(30, 45)) AS x)) SELECT g.*, coalesce(prob, 0) AS prob FROM g LEFT JOIN px USING (scene_id, r, c)")
+def raster_window(px, y=10, x=30, height=10, width=15):
+    """A window of every scene from a store of tiles, missing pixels as 0."""
+    spark, path = px.sparkSession, f"{shared_folder(px.sparkSession)}/raster-{uuid.uuid4().hex}"
+    s = F.col("scene_id")
+    W.write_raster(px, path, "prob", affine=W.north_up(s % 10 * 10000.0, F.expr("scene_id div 10 % 10") * 10000.0 + 6400, 100.0), crs="EPSG:32643", tile=8)
+    own = RD.read_raster(spark, path, y, x, height, width, tile=8).select(*KEY, "v")
     side = lambda a, n: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(a + n - 1).cast("long")))
     grid = px.select("scene_id").distinct().withColumn("r", side(y, height)).withColumn("c", side(x, width))
-    return grid.join(own, KEY, "left").select(*KEY, F.coalesce(value, F.lit(0.0)).alias(value))
+    return grid.join(own, KEY, "left").select(*KEY, F.coalesce("v", F.lit(0.0)).alias("prob"))
+
 
 # --- pixel arithmetic ------------------------------------------------------------------------------------------------
 _SCL = "(chip_id + r * 3 + c * 5) % 13"

@@ -44,12 +44,28 @@ def write_arrays(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def _spread(v: Column) -> Column:
+    """A 0 after each of a number's 16 bits."""
+    v = v.cast("long")
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def morton(y: Column, x: Column) -> Column:
+    """The place of a tile on the Z-order curve, on which tiles that are near are mostly near: the bits of y (below 2**16) and
+    x in turn."""
+    return F.shiftleft(_spread(y), 1).bitwiseOR(_spread(x))
+
+
 def write_raster(px: DataFrame, path: str, value: str, *, affine: Column, crs: str, tile: int = 32) -> None:
-    """Tiles as sparse arrays of (r, c, v) with their place, a folder per scene. affine: a struct (a, b, c, d, e, f) of each
-    pixel's scene, x = a col + b row + c and y = d col + e row + f, see ``north_up``; crs: the coordinates' EPSG code."""
+    """Tiles as sparse arrays of (r, c, v) with their place, a folder per scene, in Z-order, so that the files' statistics
+    let a window be read without most of the others. affine: a struct (a, b, c, d, e, f) of each pixel's scene,
+    x = a col + b row + c and y = d col + e row + f, see ``north_up``; crs: the coordinates' EPSG code."""
     cells = F.sort_array(F.collect_list(F.struct(F.col("r"), F.col("c"), F.col(value).alias("v"))))
     tiles = px.withColumn("affine", affine).groupBy("scene_id", "affine", F.floor(F.col("r") / tile).alias("tile_y"), F.floor(F.col("c") / tile).alias("tile_x")).agg(cells.alias("cells"))
-    tiles.withColumn("crs", F.lit(crs)).write.mode("overwrite").partitionBy("scene_id").parquet(path)
+    placed = tiles.withColumn("crs", F.lit(crs)).withColumn("tile", F.lit(tile)).withColumn("z", morton(F.col("tile_y"), F.col("tile_x")))
+    placed.repartitionByRange("scene_id", "z").sortWithinPartitions("scene_id", "z").write.mode("overwrite").partitionBy("scene_id").parquet(path)
 
 
 def north_up(x0: Column, y1: Column, res: float) -> Column:

@@ -117,6 +117,22 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return decode_npy(spark.read.format("binaryFile").load(path).select("path", "content"), "path")
 
 
+def read_raster(spark: SparkSession, path: str, y: int, x: int, height: int, width: int, tile: int = 32) -> DataFrame:
+    """(scene_id, affine, crs, r, c, v) of the stored pixels of a window of every scene. Conditions on the tiles and on their
+    places on the Z-order curve, between those of the window's corners, reach the files' statistics. tile: as written."""
+    ends = {"tile_y": (y // tile, (y + height - 1) // tile), "tile_x": (x // tile, (x + width - 1) // tile)}
+    found = spark.read.parquet(path)
+    for name, (lo, hi) in ends.items():
+        found = found.where((F.col(name) >= lo) & (F.col(name) <= hi))
+    z = [_z(ends["tile_y"][k], ends["tile_x"][k]) for k in (0, 1)]
+    cells = found.where((F.col("z") >= z[0]) & (F.col("z") <= z[1])).select(F.col("scene_id").cast("long").alias("scene_id"), "affine", "crs", F.inline("cells"))
+    return cells.where((F.col("r") >= y) & (F.col("r") < y + height) & (F.col("c") >= x) & (F.col("c") < x + width))
+
+
+def _z(y: int, x: int) -> int:
+    return sum((x >> k & 1) << 2 * k | (y >> k & 1) << 2 * k + 1 for k in range(16))
+
+
 def rgb_arrays(images: DataFrame) -> DataFrame:
     """(origin, height, width, channels, values): images of Spark's image source with channels in RGB order, scaled to
     [0, 1]; a single channel stays single."""

@@ -177,3 +177,17 @@ def test_clipped_rings_have_the_area_of_their_pixels(spark):
         assert all(1.999 < p["x"] < 8.001 and 2.999 < p["y"] < 9.001 for p in row["ring"] or [])
     away = df.select(G.clip_ring(F.col("ring"), *[F.lit(float(v)) for v in (100, 100, 101, 101)]).alias("ring"))
     assert away.where("ring IS NOT NULL").count() == 0
+
+
+def test_a_window_reads_few_tiles_of_the_store(spark, tmp_path):
+    from terradelta.sinks import writers
+    from terradelta.sources import readers
+
+    px = spark.createDataFrame([(s, r, c, float(r * 100 + c)) for s in range(2) for r in range(40) for c in range(40) if (r + c) % 3], "scene_id long, r long, c long, v double")
+    writers.write_raster(px, f"{tmp_path}/t", "v", affine=writers.north_up(F.col("scene_id") * 10.0, F.lit(50.0), 2.0), crs="EPSG:1", tile=4)
+    got = readers.read_raster(spark, f"{tmp_path}/t", 5, 9, 11, 3, tile=4)
+    assert {(x["scene_id"], x["r"], x["c"], x["v"], x["affine"]["c"]) for x in got.collect()} == {(s, r, c, float(r * 100 + c), s * 10.0) for s in range(2) for r in range(5, 16) for c in range(9, 12) if (r + c) % 3}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(tile_y,1)" in plan and "LessThanOrEqual(z," in plan
+    z = spark.createDataFrame([(y, x) for y in range(20) for x in (0, 1, 5, 300, 65535)], "y long, x long").select("y", "x", writers.morton(F.col("y"), F.col("x")).alias("z"))
+    assert all(r["z"] == readers._z(r["y"], r["x"]) for r in z.collect())
