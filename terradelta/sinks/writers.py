@@ -80,13 +80,20 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Appends the rows whose key the table does not hold; of rows that repeat a key one is taken. The first call makes the
-    table; ``df`` must not read it."""
+    table; ``df`` must not read it. One writer at a time: a second one gets an error, as it would not see the first one's keys.
+    A writer that died leaves the file ``<path>._appending``, which must be removed by hand."""
     spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    new = df.dropDuplicates([key])
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti").select(df.columns)
-    new.write.mode("append").parquet(path)
+    place, lock = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}._appending"))
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.createNewFile(lock):
+        raise RuntimeError(f"another writer appends to {path}")
+    try:
+        new = df.dropDuplicates([key])
+        if files.exists(place):
+            new = new.join(spark.read.parquet(path).select(key), key, "left_anti").select(df.columns)
+        new.write.mode("append").parquet(path)
+    finally:
+        files.delete(lock, False)
 
 
 def quarantine(df: DataFrame, bad: Column, good_path: str, bad_path: str) -> None:

@@ -1,6 +1,7 @@
 """Hand goldens and invariants."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -272,6 +273,10 @@ def test_new_rows_are_appended_once(spark, tmp_path):
     frame = lambda ids: spark.createDataFrame([(i, "x") for i in ids], "id long, v string")
     writers.append_new(frame([1, 2, 2]), path, "id")
     writers.append_new(frame([2, 3]), path, "id")
+    open(f"{path}._appending", "w").close()
+    with pytest.raises(RuntimeError, match="another writer"):
+        writers.append_new(frame([9]), path, "id")
+    os.remove(f"{path}._appending")
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
 
 
