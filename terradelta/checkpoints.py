@@ -20,9 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, estimate: bool = True) -> DataFrame:
+    """The rows, written to the shared folder. Spark keeps its estimate of their size with them, and multiplies estimates
+    in joins; loops with joins leave it out, as their rounds would make it a number of millions of digits."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    rows = df.checkpoint()
+    if estimate:
+        return rows
+    plain = spark._jsparkSession.internalCreateDataFrame(rows._jdf.queryExecution().toRdd(), rows._jdf.schema(), False)
+    return DataFrame(plain, spark)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -15,7 +15,7 @@ def stars(edges: DataFrame) -> DataFrame:
     logarithm of the largest component. Minima are combined before the shuffle; a round's links are checkpointed.
     """
     signature = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = cut(edges)
+    edges = cut(edges, estimate=False)
     before = signature(edges)  # links that are stars already take one round
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -23,7 +23,7 @@ def stars(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = cut(small.select("e.a", "e.b").where("a <> b").distinct())
+        edges = cut(small.select("e.a", "e.b").where("a <> b").distinct(), estimate=False)
         now = signature(edges)
         if now == before:
             return edges
