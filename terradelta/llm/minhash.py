@@ -8,12 +8,13 @@ Texts with equal shingle sets form one class by a digest of the set, so exact co
 of all that follows. Each class's signature is cut into bands. A bucket (band, hash) compares its members with one of
 them, its hub, only; buckets choose hubs by a hash, so a group of near copies has many. Pairs are first held against the
 signatures (a pair six standard deviations below the threshold is left out), then against the full sets, and verified
-links are grouped. A link between two members of a bucket may still be missed if neither is the hub; so in buckets that
-then hold several components, the members of different components are compared as well: those outside the bucket's
-largest component with each other and with it, in blocks of about ``BLOCK`` x ``BLOCK``. Each member comes with its set,
-folded to 16 bits a shingle, a matrix product counts the common values of all pairs, and only pairs that the counts
-cannot rule out leave the task for verification. This holds for buckets of any size. No pair of an unrelated bucket is
-ever a row. With b bands of r rows a link at similarity s is no candidate with probability (1 - s^r)^b: 7e-9 at 0.85
+links are grouped. A link between two members of a bucket may still be missed if neither is the hub; so buckets that then
+hold several components are looked at again. Those that share members are put together as a region. The members of a
+region of up to ``BLOCK`` are all compared across components; in larger regions only those are that share one of the
+seldom shingles by which they differ from the region's centre (``centred``), which similar ones must. Such members meet in
+buckets of any size: those outside a bucket's largest component meet each other and it, in blocks of about ``BLOCK`` x
+``BLOCK``. Each comes with its set, folded to 16 bits a shingle, a matrix product counts the common values of all pairs,
+and only pairs that the counts cannot rule out leave the task for verification. With b bands of r rows a link at similarity s is no candidate with probability (1 - s^r)^b: 7e-9 at 0.85
 with 32 bands of 5, 3e-6 at 0.8.
 
 Keys that many rows share, such as the hub of a large group, a bucket, or the digest of a text with many copies, are
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terradelta.llm import centred
 from terradelta.llm import shingles as S
 from terradelta.llm.shared import by_ids, cut, salted_join, worker_state
 from terradelta.operators.graph import stars
@@ -293,6 +295,33 @@ def _cross_pairs(mixed: DataFrame, docs: DataFrame, classes: DataFrame, size: in
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _mixed(labelled: DataFrame, least: int) -> DataFrame:
+    """Of (bucket, id, component): the rows of buckets with ``least`` members or more in several components, with the
+    bucket's members, its major (largest) component, the members outside of it, and its lowest id."""
+    kinds = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min("id").alias("low")).groupBy("bucket")
+    several = kinds.agg(F.sum("n").alias("members"), F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("outside"), F.min("low").alias("low"))
+    several = cut(several.where((F.col("outside") > 0) & (F.col("members") >= least)))
+    return cut(salted_join(labelled, several, "bucket", "id", several.select("bucket", F.col("members").alias("n"))))
+
+
+def _gathered(mixed: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, id, component) in place of mixed buckets, such that no link within one of them is lost, and (a, b), links.
+
+    Buckets that share members form a region. A region of up to ``BLOCK`` members is one bucket; in larger ones only
+    those meet that ``centred.meetings`` cannot tell apart.
+    """
+    own = mixed.select("id", "component").distinct()
+    regions = components(mixed.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "region")
+    placed = cut(regions.join(own, "id"))
+    sizes = cut(placed.groupBy("region").agg(F.count("*").alias("n")))
+    members = cut(salted_join(placed, sizes, "region", "id", sizes))
+    large = members.where(F.col("n") > BLOCK)
+    sets = cut(shingle_sets(_texts(docs, classes, large.select("id")), size))
+    apart, links = centred.meetings(large, sets, percent)
+    whole = members.where(F.col("n") <= BLOCK).select(F.xxhash64("region").alias("bucket"), "id", "component")
+    return cut(whole.union(apart)), links
+
+
 def _buckets(sigs: DataFrame, count: int, rows: int) -> DataFrame:
     """(bucket, id): a hash for each band of each signature."""
     hashed = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * rows + 1, F.lit(rows))))
@@ -319,14 +348,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     links = cut(_verified(cut(_likely(star, sigs, least)), docs, classes, size, percent))
     found = components(links)
     labelled = cut(shared.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
-    kinds = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
-    several = cut(kinds.agg(F.sum("n").alias("members"), F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0 AND members > 2"))
-    mixed = cut(salted_join(labelled, several, "bucket", "id", several.select("bucket", F.col("members").alias("n"))))
-    more = cut(_cross_pairs(mixed, docs, classes, size, percent))
+    mixed = _mixed(labelled, 3)
+    near, sure = _gathered(mixed, docs, classes, size, percent)
+    more = cut(_cross_pairs(_mixed(near, 2), docs, classes, size, percent))
+    more = cut(_verified(more, docs, classes, size, percent).union(sure))
     if not more.isEmpty():
-        more = cut(_verified(more, docs, classes, size, percent))
-        if not more.isEmpty():
-            found = components(links.union(more))
+        found = components(links.union(more))
     linked = cut(found.join(classes.select("id", "doc_id"), "id"))
     lows = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = salted_join(linked.select("id", "component"), lows, "component", "id").select("id", "component_id")
