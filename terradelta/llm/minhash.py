@@ -9,13 +9,14 @@ of all that follows. Each class's signature is cut into bands. A bucket (band, h
 them, its hub, only; buckets choose hubs by a hash, so a group of near copies has many. Pairs are first held against the
 signatures (a pair six standard deviations below the threshold is left out), then against the full sets, and verified
 links are grouped. A link between two members of a bucket may still be missed if neither is the hub; so buckets that then
-hold several components are looked at again. Those that share members are put together as a region. The members of a
-region of up to ``BLOCK`` are all compared across components; in larger regions only those are that share one of the
-seldom shingles by which they differ from the region's centre (``centred``), which similar ones must. Such members meet in
-buckets of any size: those outside a bucket's largest component meet each other and it, in blocks of about ``BLOCK`` x
-``BLOCK``. Each comes with its set, folded to 16 bits a shingle, a matrix product counts the common values of all pairs,
-and only pairs that the counts cannot rule out leave the task for verification. With b bands of r rows a link at similarity s is no candidate with probability (1 - s^r)^b: 7e-9 at 0.85
-with 32 bands of 5, 3e-6 at 0.8.
+hold several components are looked at again, each by itself, as texts that are only somewhat alike hang together through
+their buckets over much of a corpus. Those outside a bucket's largest component meet each other and it, in blocks of about
+``BLOCK`` x ``BLOCK``; so a member of a bucket of usual size is dealt out twice at most. Buckets of more than ``MANY`` blocks
+are first put together as regions, and there only those meet that share one of the seldom shingles by which they differ from
+the region's centre (``centred``), which similar ones must. Members come with their sets, folded to 16 bits a shingle; a
+matrix product counts the common values of all pairs,
+and only pairs that the counts cannot rule out leave the task for verification. With b bands of r rows a link at
+similarity s is no candidate with probability (1 - s^r)^b: 7e-9 at 0.85 with 32 bands of 5, 3e-6 at 0.8.
 
 Keys that many rows share, such as the hub of a large group, a bucket, or the digest of a text with many copies, are
 salted (``salted_join``), so no join gathers them in one task.
@@ -43,8 +44,10 @@ from terradelta.llm.shared import by_ids, cut, salted_join, worker_state
 from terradelta.operators.graph import stars
 
 BANDS, ROWS = 32, 5
-#: Members of a bucket are compared in blocks of about so many.
-BLOCK = 256
+#: Members of a bucket are compared in blocks of about so many; buckets of more than ``MANY`` blocks go another way.
+BLOCK, MANY = 1024, 8
+#: Values of folded sets that are counted at once.
+WIDTH = 2048
 
 
 def superminhash(hashes: np.ndarray, at: np.ndarray, slots: int) -> np.ndarray:
@@ -221,29 +224,32 @@ def _possible(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
     Folding keeps each shingle's value, so the symmetric difference of folded sets is no larger than the sets' own; and
     that of similar sets is at most (100 - percent) / (100 + percent) of their sizes' sum. No similar pair is ruled out.
     """
-    component, side = np.array(rows["component"]), np.array(rows["side"])
-    apart = component[:, None] != component[None, :]
-    if side.min() == 2:
-        apart &= np.tri(len(side), k=-1, dtype=bool)
-    else:
-        apart &= (side[:, None] == 1) & (side[None, :] == 0)
+    component, side, n = (np.array(rows[c]) for c in ("component", "side", "n"))
+    one = np.flatnonzero(side != 0)
+    two = one if side.min() == 2 else np.flatnonzero(side == 0)
+    apart = component[one][:, None] != component[two][None, :]
+    if two is one:
+        apart &= np.tri(len(one), k=-1, dtype=bool)
     if not apart.any():
         return []
     sets = [np.frombuffer(x, np.uint16) for x in rows["folded"]]
     length = np.array([len(x) for x in sets])
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), length)
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, len(values), 8192):
-        here = (column >= lo) & (column < lo + 8192)
-        grid = np.zeros((len(sets), min(8192, len(values) - lo)), np.float32)
+    times = np.zeros(1 << 16, np.int32)
+    for x in sets:
+        times[x] += 1
+    place = np.cumsum(times > 1, dtype=np.int32) - 1  # a value that one set has is common to no pair
+    sets = [place[x[times[x] > 1]] for x in sets]
+    row, column = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets]), np.concatenate(sets)
+    common = np.zeros(apart.shape, np.float32)
+    for lo in range(0, int(place[-1]) + 1, WIDTH):
+        here = np.flatnonzero((column >= lo) & (column < lo + WIDTH))
+        grid = np.zeros((len(sets), min(WIDTH, int(place[-1]) + 1 - lo)), np.float32)
         grid[row[here], column[here] - lo] = 1
-        common += grid @ grid.T
-    n = np.array(rows["n"])
-    differ = length[:, None] + length[None, :] - 2 * common
-    a, b = np.nonzero(apart & (differ * (100 + percent) <= (n[:, None] + n[None, :]) * (100 - percent)))
+        common += grid[one] @ grid[two].T
+    differ = length[one][:, None] + length[two][None, :] - 2 * common
+    a, b = np.nonzero(apart & (differ * (100 + percent) <= (n[one][:, None] + n[two][None, :]) * (100 - percent)))
     ids = rows["id"]
-    return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(one[a].tolist(), two[b].tolist(), strict=True)]
 
 
 def _cross_pairs(mixed: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -304,22 +310,24 @@ def _mixed(labelled: DataFrame, least: int) -> DataFrame:
     return cut(salted_join(labelled, several, "bucket", "id", several.select("bucket", F.col("members").alias("n"))))
 
 
-def _gathered(mixed: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, id, component) in place of mixed buckets, such that no link within one of them is lost, and (a, b), links.
+def _thinned(mixed: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows as of ``_mixed`` in place of mixed ones, such that no link within a bucket is lost, and (a, b), links, or None.
 
-    Buckets that share members form a region. A region of up to ``BLOCK`` members is one bucket; in larger ones only
-    those meet that ``centred.meetings`` cannot tell apart.
+    Buckets of more than ``MANY`` blocks that share members form a region, whose members only meet where
+    ``centred.meetings`` cannot tell them apart; all other buckets stay as they are.
     """
-    own = mixed.select("id", "component").distinct()
-    regions = components(mixed.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "region")
+    many = F.col("members") > MANY * BLOCK
+    crowded = mixed.where(many)
+    if crowded.isEmpty():
+        return mixed, None
+    own = crowded.select("id", "component").distinct()
+    regions = components(crowded.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "region")
     placed = cut(regions.join(own, "id"))
     sizes = cut(placed.groupBy("region").agg(F.count("*").alias("n")))
     members = cut(salted_join(placed, sizes, "region", "id", sizes))
-    large = members.where(F.col("n") > BLOCK)
-    sets = cut(shingle_sets(_texts(docs, classes, large.select("id")), size))
-    apart, links = centred.meetings(large, sets, percent)
-    whole = members.where(F.col("n") <= BLOCK).select(F.xxhash64("region").alias("bucket"), "id", "component")
-    return cut(whole.union(apart)), links
+    sets = cut(shingle_sets(_texts(docs, classes, members.select("id")), size))
+    apart, links = centred.meetings(members, sets, percent)
+    return mixed.where(~many).unionByName(_mixed(cut(apart), 2)), links
 
 
 def _buckets(sigs: DataFrame, count: int, rows: int) -> DataFrame:
@@ -349,9 +357,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     found = components(links)
     labelled = cut(shared.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
     mixed = _mixed(labelled, 3)
-    near, sure = _gathered(mixed, docs, classes, size, percent)
-    more = cut(_cross_pairs(_mixed(near, 2), docs, classes, size, percent))
-    more = cut(_verified(more, docs, classes, size, percent).union(sure))
+    near, sure = _thinned(mixed, docs, classes, size, percent)
+    more = _verified(cut(_cross_pairs(near, docs, classes, size, percent)), docs, classes, size, percent)
+    more = cut(more if sure is None else more.union(sure))
     if not more.isEmpty():
         found = components(links.union(more))
     linked = cut(found.join(classes.select("id", "doc_id"), "id"))

@@ -203,6 +203,25 @@ def test_a_large_group_near_the_threshold_loses_no_link(spark, monkeypatch, edit
     assert [r.component_id for r in got] == low.tolist()
 
 
+@pytest.mark.parametrize("edits", [8, 16])
+def test_a_group_somewhat_alike_costs_no_more_rows_than_its_buckets(spark, monkeypatch, edits):
+    """One text in 1200 versions, hardly two of which are similar enough: each member is dealt out a few times a bucket."""
+    rng = random.Random(edits)
+    base = [f"w{i}" for i in range(140)]
+    texts = []
+    for k in range(1200):
+        v = list(base)
+        for i in rng.sample(range(len(v)), edits):
+            v[i] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(v) + " y" * (k == 7))
+    texts.append(texts[7] + " y")
+    rows, keep = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df: (rows.append(keep(df)), rows[-1])[1])
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got}[1200] == 7
+    assert max(x.count() for x in rows) <= minhash.BANDS * len(texts)
+
+
 def test_hot_keys_are_dealt_to_several_tasks(spark):
     big = spark.range(20000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
     small = spark.range(19000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
