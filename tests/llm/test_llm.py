@@ -491,6 +491,34 @@ def test_texts_of_unknown_languages_are_rejected_and_the_corpus_stays(spark):
     assert language_id.accept(foreign, model).count() == 0
 
 
+def test_the_pipeline_learns_languages_from_all_documents(spark, monkeypatch):
+    """Counts and bounds against numpy over every labelled document; nothing is drawn."""
+    import corpus_pipeline
+    from terradelta.llm import byte_pairs
+
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = byte_pairs.learn(known)
+    texts = {}
+    for r in known.where("lang IS NOT NULL").collect():
+        if any(map(str.isalpha, r.text or "")):
+            texts.setdefault(r.lang, []).append(r.text)
+    assert model.languages == sorted(texts) and max(map(len, texts.values())) > language_id.SAMPLE_DOCS
+    for k, lang in enumerate(model.languages):
+        n = np.zeros(1 << 16)
+        for t in texts[lang]:
+            x = np.frombuffer(t.encode(), np.uint8).astype(int)
+            x[(x >= 65) & (x <= 90)] += 32
+            n += np.bincount(x[:-1] * 256 + x[1:], minlength=1 << 16)
+        n = n.reshape(256, 256) + byte_pairs.PRIOR * n.sum()
+        assert np.allclose(model.table[:, k], np.log2(n / n.sum(1, keepdims=True)).ravel(), atol=1e-4)
+        rated = [(m[k], d[k]) for m, d, size in map(model.likeness, texts[lang]) if size >= language_id.LEAST_PAIRS]
+        assert np.isclose(model.floor[k], np.quantile([m for m, _ in rated], 0.005) - language_id.MARGIN) and np.isclose(model.spread[k], np.median([d for _, d in rated]))
+    assert byte_pairs.accept(known, model).count() == known.where("text RLIKE '\\\\p{L}'").count()
+    assert byte_pairs.accept(docs(spark, [*UNKNOWN_TEXTS.values(), None, "", "12 ++"]), model).count() == 0
+    monkeypatch.setattr(language_id, "train", None)  # learns from at most SAMPLE_DOCS a language
+    assert corpus_pipeline.identify_language(spark, known, "").count() == known.where("text RLIKE '\\\\p{L}'").count()
+
+
 def test_languages_of_odd_rows(spark):
     model = language_id.ByteGru(["x", "y"]).fit([[b"aaa", b"aaa aaa"], [b"zzz"]], steps=30, batch=32)
     df = docs(spark, [None, "", "12 ++", "aaa aaa", "z" * 100000 + "²", "²"])
