@@ -20,12 +20,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Whether shuffle files of an action go with its end; Spark reads it when a DataFrame is made.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, estimate: bool = True) -> DataFrame:
-    """The rows, written to the shared folder. Spark keeps its estimate of their size with them, and multiplies estimates
-    in joins; loops with joins leave it out, as their rounds would make it a number of millions of digits."""
+    """The rows, written to the shared folder; the shuffle files that led to them go then, as nothing reads them again, and
+    do not wait until the driver happens to collect its garbage. Spark keeps its estimate of the rows' size with them, and
+    multiplies estimates in joins; loops with joins leave it out, as their rounds would make it a number of millions of digits."""
     spark = df.sparkSession
     shared_folder(spark)
-    rows = df.checkpoint()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        fresh = df.select("*")  # its own shuffles: those of df, if any were made, stay
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    rows = fresh.checkpoint()
     if estimate:
         return rows
     plain = spark._jsparkSession.internalCreateDataFrame(rows._jdf.queryExecution().toRdd(), rows._jdf.schema(), False)

@@ -50,14 +50,20 @@ def without(df: DataFrame, gone: DataFrame, *key: Column) -> DataFrame:
 def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, sizes: DataFrame | None = None) -> DataFrame:
     """Inner join of ``big`` with ``small``, whose keys are unique, that deals hot keys to several tasks.
 
-    A key with more than one in ``SHARES`` of big's rows gets salts, one for each such share of the rows: big's rows take
-    one by a hash of ``spread``, and small's row is repeated under each. Hot keys are at most ``SHARES`` and their salts
-    at most twice as many, whatever the tables' sizes. sizes: (key, n) of big's rows, where they are known already.
+    A key with more than one in ``SHARES`` of big's rows gets salts, one for each such share of the rows, rounded up to a
+    power of two: big's rows take one by a hash of ``spread``, and small's row is repeated under each. Hot keys are at most
+    ``SHARES`` and their salts at most twice as many, whatever the tables' sizes; so tasks get hashes of these keys as
+    constants, and big's rows meet no other table. sizes: (key, n) of big's rows, where they are known already.
     """
     sizes = big.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = cut(sizes.where(F.col("n") > max(1.0, total / SHARES)).select(key, F.ceil(F.col("n") * SHARES / max(1, total)).alias("_salts")))
-    salts = F.coalesce("_salts", F.lit(1).cast("long"))
-    left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts)).drop("_salts")
-    right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    power = F.ceil(F.log2(F.col("n") * SHARES / max(1, total)))
+    levels: dict[int, list[int]] = {}
+    for hashed, k in sizes.where(F.col("n") > max(1.0, total / SHARES)).select(F.xxhash64(key), power).collect():
+        levels.setdefault(k, []).append(hashed)
+    salts = F.lit(1)
+    for k, hot in levels.items():  # at most ten
+        salts = F.when(F.xxhash64(key).isin(hot), F.lit(1 << k)).otherwise(salts)
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), salts))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)))
     return left.join(right, [key, "_salt"]).drop("_salt")

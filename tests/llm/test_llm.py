@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -222,6 +223,34 @@ def test_a_group_somewhat_alike_costs_no_more_rows_than_its_buckets(spark, monke
     assert max(x.count() for x in rows) <= minhash.BANDS * len(texts)
 
 
+@pytest.mark.parametrize("key", ["k", "encode(k, 'utf-8')", "named_struct('k', k)"])
+def test_rows_with_hot_keys_meet_one_table_only(spark, key):
+    """Hot keys reach tasks as constants: no join but the one with the other table sees the large table's rows."""
+    big = spark.range(6000).select(F.when(F.col("id") % 2 == 0, "a").when(F.col("id") % 16 == 1, "b").when(F.col("id") % 99 == 0, "c").when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("k"), "id").withColumn("k", F.expr(key))
+    small = big.groupBy("k").agg(F.max("id").alias("v"))
+    small = spark.createDataFrame(small.where("v % 5 < 4").collect(), small.schema)
+    got = shared.salted_join(big, small, "k", "id")
+    want = big.join(small, "k")
+    assert got.columns == ["k", "id", "v"] and got.count() == want.count() and got.exceptAll(want).isEmpty()
+    joins = [x for x in got._jdf.queryExecution().analyzed().toString().splitlines() if "Join " in x]
+    assert len(joins) == 1 and "Inner" in joins[0]
+
+
+def test_checkpoints_leave_no_shuffle_files(spark):
+    jvm = spark.sparkContext._jvm
+    files = lambda: jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+    shuffles = lambda: {x.getName() for x in files() if x.getName().startswith("shuffle_")}
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    df.count()
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = [shared.cut(df, estimate).join(shared.cut(df), "k") for estimate in (True, False)]
+    end = time.time() + 20  # files go a little later, those of other tests too
+    while (left := shuffles() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert before and not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert [x.count() for x in rows] == [7, 7] and df.count() == 7
+
+
 def test_hot_keys_are_dealt_to_several_tasks(spark):
     big = spark.range(20000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
     small = spark.range(19000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
