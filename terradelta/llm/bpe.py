@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terradelta.llm.shared import worker_state
+from terradelta.llm.shared import tidy, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries a worker's cache holds before its older half is dropped; workers keep it between tasks, about 300 bytes each.
@@ -89,7 +89,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Tokenizer:
     """Encodes with the ranks of a tiktoken file and the pattern that goes with it."""
 
-    def __init__(self, path: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str | None = None, pattern: str | None = None, entries: int = CACHE_ENTRIES):
         import public_tokenizers
         import regex
 
@@ -106,6 +106,7 @@ class Tokenizer:
         self.pairs = np.array([k for k, _ in pairs] + [_DEAD], np.int64)
         self.merged = np.array([r for _, r in pairs] + [-1], np.int64)
         self.find = regex.compile(pattern or public_tokenizers.PATTERN).findall
+        self._most = entries
         self._young: dict[str, tuple[int, str, bytes]] = {}
         self._old: dict[str, tuple[int, str, bytes]] = {}
 
@@ -157,7 +158,7 @@ class Tokenizer:
         """Encodes together what these cut texts hold and the cache lacks."""
         young, old = self._young, self._old
         new = {u for cut in texts for u in cut if u not in young and len(u) <= CACHE_CHARS}
-        if len(young) + 2 * len(new) > CACHE_ENTRIES:
+        if len(young) + 2 * len(new) > self._most:
             self._old, self._young = old, young = young, {}
             new = {u for cut in texts for u in cut if len(u) <= CACHE_CHARS}
         for u in [u for u in new if u in old]:
@@ -222,7 +223,7 @@ class Tokenizer:
                 counts, ids, raw = zip(*map(self._unit, matches), strict=True)
                 found = (sum(counts), ",".join(ids), b"".join(raw))
         if len(unit) <= CACHE_CHARS:
-            if len(self._young) >= CACHE_ENTRIES:
+            if len(self._young) >= self._most:
                 self._old, self._young = self._young, {}
             self._young[unit] = found
         return found
@@ -269,12 +270,12 @@ def units(text: str) -> list[str]:
 
 
 
-def tokenizer(path: str | None = None, pattern: str | None = None) -> Tokenizer:
-    """This worker's tokenizer for a rank file."""
+def tokenizer(path: str | None = None, pattern: str | None = None, entries: int = CACHE_ENTRIES) -> Tokenizer:
+    """This worker's tokenizer for a rank file, with a cache of that size."""
     made = worker_state("tokens")
-    if (path, pattern) not in made:
-        made[path, pattern] = Tokenizer(path, pattern)
-    return made[path, pattern]
+    if (path, pattern, entries) not in made:
+        made[path, pattern, entries] = Tokenizer(path, pattern, entries)
+    return made[path, pattern, entries]
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,16 +311,18 @@ def small(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes each text, decodes its ids again, and gives n_tokens, ids_sha256 and decoded_sha256 per row."""
+def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", step: int = 512, entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Encodes each text, decodes its ids again, and gives n_tokens, ids_sha256 and decoded_sha256 per row.
+
+    step: texts that are cut and merged together; entries: of the cache. Both set a worker's memory and change no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = tokenizer(path, entries=entries)
         for b in batches:
-            for part in small(b):
+            for part in small(b, step):
                 rows = t.digests([x or "" for x in part.column(1).to_pylist()])
                 n, ids, raw = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

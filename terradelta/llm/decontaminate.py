@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.llm import shingles as S
-from terradelta.llm.shared import cut, worker_state
+from terradelta.llm.shared import cut, tidy, worker_state
 
 SIZE, SHARE = 5, 0.8
 #: Item sets are sent to tasks only if they take no more than this together.
@@ -127,7 +127,7 @@ def _by_sent_items(docs: DataFrame, sets: DataFrame, size: int, share: float) ->
                     ids = b.column(0).slice(lo, hi - lo).take(pa.array(doc, pa.int32()))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (item, common, n))], ["doc_id", "item_id", "n_common", "n_item"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PAIR)
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), _PAIR)
 
 
 def _sketch_filter(sets: DataFrame) -> np.ndarray:
@@ -182,8 +182,8 @@ def _by_join(docs: DataFrame, sets: DataFrame, size: int, share: float) -> DataF
     numbered = cut(sets.withColumn("row", F.monotonically_increasing_id()))
     keys = numbered.select("row", "sketch").mapInPandas(explode("sketch", "row"), "row long, h long")
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    texts = rows.mapInArrow(split, "doc_id long, own binary")
-    held = rows.mapInArrow(likely, "doc_id long, h long")
+    texts = rows.mapInArrow(tidy(split), "doc_id long, own binary")
+    held = rows.mapInArrow(tidy(likely), "doc_id long, h long")
     pairs = cut(held.join(keys, "h").select("doc_id", "row").distinct())
     full = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     return pairs.join(numbered.select("row", "item_id", "items"), "row").join(full, "doc_id").select("doc_id", "item_id", "own", "items").mapInPandas(verify, _PAIR)

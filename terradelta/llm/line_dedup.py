@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradelta.llm.bpe import small
-from terradelta.llm.shared import SENT_IDS, by_ids, cut, remove, salted_join, shared_folder, worker_state
+from terradelta.llm.shared import SENT_IDS, by_ids, cut, remove, salted_join, shared_folder, tidy, worker_state
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys a shard's filter is planned for (about 400 KB).
@@ -79,7 +79,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     rows += [i] * len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0).take(pa.array(rows, pa.int32()))], ["key", "doc_id"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key binary, doc_id long")
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "key binary, doc_id long")
 
 
 def references(posted: DataFrame) -> DataFrame:
@@ -253,8 +253,8 @@ def _drop(docs: DataFrame, stays, with_text: bool, gone: str | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(texts, part.schema.field(n).type) if n == "text" else part.column(n) for n in names], names)
 
     if with_text:
-        return docs.mapInArrow(rewrite, docs.drop(gone).schema if gone else docs.schema)
-    return docs.select(F.col("doc_id").cast("long"), "text", *[c for c in (gone,) if c]).mapInArrow(digest, _DIGEST)
+        return docs.mapInArrow(tidy(rewrite), docs.drop(gone).schema if gone else docs.schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *[c for c in (gone,) if c]).mapInArrow(tidy(digest), _DIGEST)
 
 
 def _drop_sent(docs: DataFrame, busy: DataFrame, with_text: bool) -> DataFrame:

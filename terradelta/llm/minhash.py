@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from terradelta.llm import centred
 from terradelta.llm import shingles as S
-from terradelta.llm.shared import by_ids, cut, salted_join, worker_state
+from terradelta.llm.shared import by_ids, cut, salted_join, tidy, worker_state
 from terradelta.operators.graph import stars
 
 BANDS, ROWS = 32, 5
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, size: int, slots: int) -> DataFrame:
                 own = [b.column(k).slice(lo, hi - lo) for k in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "sig"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
+    return _keyed(docs).mapInArrow(tidy(run), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
                 sets = [x.tobytes() for x in S.distinct(*S.shingles(data, at, size))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "items"])
 
-    return texts.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
+    return texts.mapInArrow(tidy(run), "id long, items binary").dropDuplicates(["id"])
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
                 one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (2, 3))
                 yield b.select([0, 1]).filter(pa.array((one == two).sum(1) >= least))
 
-    return _with_both(pairs, sigs, "sig").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, sigs, "sig").mapInArrow(tidy(run), "a long, b long")
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -171,7 +171,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = cut(shingle_sets(_texts(docs, classes, ids), size))
-    return _with_both(pairs, sets, "items").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, sets, "items").mapInArrow(tidy(run), "a long, b long")
 
 
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +215,7 @@ def folded_sets(texts: DataFrame, size: int) -> DataFrame:
                 raw = [np.unique((x >> np.uint64(48)).astype(np.uint16)).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(raw, pa.binary())], ["id", "n", "folded"])
 
-    return texts.mapInArrow(run, "id long, n long, folded binary").dropDuplicates(["id"])
+    return texts.mapInArrow(tidy(run), "id long, n long, folded binary").dropDuplicates(["id"])
 
 
 def _possible(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
@@ -298,7 +298,7 @@ def _cross_pairs(mixed: DataFrame, docs: DataFrame, classes: DataFrame, size: in
 
     # A key has at most a block from each side: about 2 * BLOCK rows.
     dealt = keyed.join(sets, "id").select("key", *names).repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _mixed(labelled: DataFrame, least: int) -> DataFrame:

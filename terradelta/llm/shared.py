@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradelta.checkpoints import cut, remove, shared_folder
 
-__all__ = ["by_ids", "cut", "remove", "salted_join", "shared_folder", "without", "worker_state"]
+__all__ = ["by_ids", "cut", "modest_batches", "remove", "salted_join", "shared_folder", "tidy", "without", "worker_state"]
 
 #: Up to so many ids (8 bytes each) are sent to tasks; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 #: A key with more than one in so many of the rows is dealt to several tasks; there are at most so many such keys.
 SHARES = 1000
+#: Rows of a batch that Spark hands to Python; its own 10,000 whole texts take tens of MB, several times on either side.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 _held: dict[str, object] = {}
@@ -27,13 +31,37 @@ def worker_state(owner: str, make: Callable[[], object] = dict) -> object:
     if owner not in _held:
         if _held:
             _held.clear()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
         _held[owner] = make()
     return _held[owner]
 
 
+def give_back() -> None:
+    """Free memory that Arrow's and the system's allocators hold goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that gives its task's memory back at the end, as its worker then stays idle beside others."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to ``BATCH_ROWS``. It stays so, as rows are made after their DataFrame was returned;
+    no result depends on it, and a smaller setting is kept."""
+    rows = int(spark.conf.get(_BATCH))
+    if rows <= 0 or rows > BATCH_ROWS:  # none or less: no bound
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def by_ids(df: DataFrame, ids: DataFrame, how: str, *columns: str) -> DataFrame:
     """Join with a table of ids (``doc_id``, or these columns), without a shuffle of ``df`` while the ids are few (they are counted)."""
     ids = cut(ids)

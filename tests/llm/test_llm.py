@@ -842,3 +842,42 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES} == set(range(1, 11))
+
+
+def test_stages_hand_python_modest_batches(spark, corpus):
+    import corpus_pipeline
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    many = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"))
+    sizes = lambda df: max(r.n for r in df.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect())
+    spark.conf.unset(rows)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(rows, "10000")
+            stage(spark, docs(spark, corpus[:20]), SF)
+            assert sizes(many) == 1024
+        for before, after in (("0", 1024), ("100", 100)):
+            spark.conf.set(rows, before)
+            corpus_pipeline.encode_tokens(spark, many, SF)
+            assert sizes(many) == after
+    finally:
+        spark.conf.unset(rows)
+
+
+def test_small_steps_and_caches_give_the_same_tokens(spark, corpus, reference_encoding):
+    df = docs(spark, corpus)
+    for path_rows in (df, df.limit(0)):
+        want = sorted(bpe.encode_digests(path_rows).collect())
+        assert sorted(bpe.encode_digests(path_rows, step=3, entries=50).collect()) == want
+    t = bpe.Tokenizer(entries=100)
+    for lo in range(0, 1000, 10):
+        t.digests([f"word{i}" for i in range(lo, lo + 10)])
+        assert len(t._young) <= 100 and len(t._old) <= 100
+
+
+def test_a_tidy_task_gives_its_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(shared, "give_back", lambda: calls.append(1))
+    task = shared.tidy(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert next(task) == 2 and not calls
+    assert list(task) == [4] and calls == [1]
