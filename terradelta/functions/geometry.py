@@ -101,12 +101,27 @@ def clip_ring(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Colu
             return F.when(inside_a & inside_b, own).when(inside_a, at).when(inside_b, F.concat(at, own)).otherwise(none)
 
         n = F.greatest(F.size(points) - 1, F.lit(0))
-        return _closed(F.flatten(F.zip_with(F.slice(points, F.lit(1), n), F.slice(points, F.lit(2), n), sent)))
+        kept = F.flatten(F.zip_with(F.slice(points, F.lit(1), n), F.slice(points, F.lit(2), n), sent))
+        return F.get(F.transform(F.array(kept), _closed), F.lit(0))  # so that they are found once
 
     left = F.aggregate(planes, F.coalesce(ring.cast("array<struct<x:double,y:double>>"), none), cut)
     return F.when(F.size(left) > 0, left)
 
 
+def clipped(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """(xmin, ymin, xmax, ymax, area) of ``clip_ring``; nulls where nothing is left. An upright rectangle is cut by its ends,
+    without a fold over its corners; other rings are cut once, whatever is asked of them."""
+    x, y = lambda k: F.get(ring, F.lit(k))["x"], lambda k: F.get(ring, F.lit(k))["y"]
+    upright = (y(0) == y(1)) & (x(1) == x(2)) & (y(2) == y(3)) & (x(3) == x(0)) & (x(0) == x(4)) & (y(0) == y(4)) & (x(0) <= x(1)) & (y(1) <= y(2))
+    ends = [f(own, bound.cast("double")) for f, own, bound in ((F.greatest, x(0), xmin), (F.greatest, y(0), ymin), (F.least, x(1), xmax), (F.least, y(2), ymax))]
+    names = ("xmin", "ymin", "xmax", "ymax")
+    box = F.struct(*[e.alias(n) for e, n in zip(ends, names, strict=True)], ((ends[2] - ends[0]) * (ends[3] - ends[1])).alias("area"))
+    left = (ends[0] <= ends[2]) & (ends[1] <= ends[3])
+    of = lambda r: F.struct(*[bbox(r)[n].alias(n) for n in names], ring_area(r).alias("area"))
+    fold = F.get(F.transform(F.array(clip_ring(ring, xmin, ymin, xmax, ymax)), of), F.lit(0))
+    return F.when((F.size(ring) == 5) & upright, F.when(left, box)).otherwise(fold)
+
+
 def _closed(points: Column) -> Column:
     """The points after the last one of them."""
     return F.concat(F.slice(points, F.greatest(F.size(points), F.lit(1)), F.lit(1)), points)

@@ -38,8 +38,8 @@ query("sj_count", "aoi buildings", f"SELECT a.aoi_id, count(b.bld_id) AS n FROM
 def sj_clip(alerts, zones):
     """Outlines of alerts cut to the zones that they meet."""
     met = SJ.box_pairs(alerts, zones, "alert_id", "zone_id")
-    cut = met.select("alert_id", "zone_id", G.clip_ring(_ring(), *[F.col(f"r_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]).alias("ring"))
-    return cut.select("alert_id", "zone_id", G.bbox(F.col("ring")).alias("b"), F.round(G.ring_area(F.col("ring")), 3).alias("area")).select("alert_id", "zone_id", "b.*", "area")
+    cut = G.clipped(_ring(), *[F.col(f"r_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    return met.select("alert_id", "zone_id", cut.alias("b")).select("alert_id", "zone_id", "b.xmin", "b.ymin", "b.xmax", "b.ymax", F.round("b.area", 3).alias("area"))
 
 
 _L_MEET = "b.xmin <= a.xmax AND b.xmax >= a.xmin AND b.ymin <= a.ymin + a.h / 2 AND b.ymax >= a.ymin OR b.xmin <= a.xmin + a.w / 2 AND b.xmax >= a.xmin AND b.ymin <= a.ymax AND b.ymax >= a.ymin"

@@ -1,6 +1,10 @@
 """What shows on larger tables only: groups beyond a task, equal shapes, equal grids, many tiles."""
 
+from pyspark.sql import functions as F
+
+from terradelta.functions import geometry as G
 from terradelta.operators import alerts as AL
+from terradelta.operators import spatial as SJ
 
 
 def test_figures_of_a_group_beyond_a_task(spark, monkeypatch):
@@ -15,3 +19,30 @@ def test_figures_of_a_group_beyond_a_task(spark, monkeypatch):
     clash = spark.createDataFrame([(k % 2, k % 3, float(v)) for k, v in enumerate(range(1001))], "_all int, _lo int, v double")
     direct = Q.quantiles(clash, ["_all", "_lo"], "v", [0.5], small=10**6).collect()
     assert sorted(map(tuple, Q.quantiles(clash, ["_all", "_lo"], "v", [0.5], small=20).collect())) == sorted(map(tuple, direct))
+
+
+def test_rings_are_cut_once_and_rectangles_by_their_ends(spark):
+    shape = "array<struct<x:double,y:double>>"
+    rings = [[(0, 0), (4, 0), (4, 3), (0, 3)], [(0, 0), (0, 3), (4, 3), (4, 0)], [(5, 0), (9, 0), (9, 3), (5, 3)], [(2, 1), (8, 1), (2, 5)], [(9, 9), (10, 9), (10, 10), (9, 10)], [(0, 0), (2, 0), (2, 1), (0, 1)]]
+    df = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in [*ring, ring[0]]]) for k, ring in enumerate(rings)], f"k int, ring {shape}")
+    box = [F.lit(float(v)) for v in (2, 1, 6, 4)]
+    got = df.select("k", G.clipped(F.col("ring"), *box).alias("b")).select("k", "b.*").orderBy("k").collect()
+    slow = df.select("k", G.clip_ring(F.col("ring"), *box).alias("ring")).select("k", G.bbox(F.col("ring")).alias("b"), G.ring_area(F.col("ring")).alias("area")).select("k", "b.*", "area").orderBy("k").collect()
+    assert got == slow and got[0][1:] == (2.0, 1.0, 4.0, 3.0, 4.0) and got[4]["area"] is None and got[5]["area"] == 0.0
+    far = spark.range(1).selectExpr("0D AS a", "1D AS b")
+    far = far.select(G.clipped(G.box_ring(F.col("a"), F.col("a"), F.col("b"), F.col("b")), *box)["area"].alias("area"))
+    assert far.first()["area"] is None
+
+
+def test_equal_boxes_are_searched_once_and_make_no_pairs(spark):
+    schema = "id long, xmin double, ymin double, xmax double, ymax double"
+    left = [(k, float(k % 3 * 10), 0.0, k % 3 * 10 + 1.0, 1.0) for k in range(300)] + [(300, None, 0.0, 1.0, 1.0), (301, -5.0, -5.0, 50.0, 50.0)]
+    right = [(k, 0.5, 0.5, 2.0, 2.0) for k in range(300)] + [(300, 20.5, 3.0, 21.0, 4.0)]
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    got = {r["id"]: r["hit"] for r in SJ.flag_met(a, SJ.met(a, b), "hit").collect()}
+    assert got == {k: k == 301 or (k < 300 and k % 3 == 0) for k in range(302)}
+    near = {r["id"]: r["hit"] for r in SJ.flag_met(a, SJ.met(a, b, buffer=2.0, exact="r_ymin > 2"), "hit").collect()}
+    assert near == {k: k == 301 or (k < 300 and k % 3 == 2) for k in range(302)}
+    assert SJ.met(a, b).count() == 2 and SJ.met(a, b.limit(0)).count() == 0
+    plan = SJ.met(a, b)._jdf.queryExecution().toString()
+    assert "LeftSemi" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
