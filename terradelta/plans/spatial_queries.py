@@ -25,13 +25,14 @@ def _roads(r):
     return r.select("road_id", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("xmin"), F.least("y1", "y2").alias("ymin"), F.greatest("x1", "x2").alias("xmax"), F.greatest("y1", "y2").alias("ymax"))
 
 
-def near_roads(a, roads, key="alert_id", buffer=ROAD_BUFFER):
-    return SJ.box_pairs(a, _roads(roads), key, "road_id", buffer=buffer, exact=f"{DIST2} <= {buffer * buffer}", more=("x1", "y1", "x2", "y2"))
+def near_roads(a, roads, buffer=ROAD_BUFFER):
+    """The boxes with a road near by."""
+    return SJ.met(a, _roads(roads), buffer=buffer, exact=f"{DIST2} <= {buffer * buffer}", more=("x1", "y1", "x2", "y2"))
 
 
 query("sj_exists", "alerts zones", f"SELECT alert_id, EXISTS (SELECT 1 FROM zones b WHERE {_MEET}) AS in_restricted_zone FROM alerts a")(lambda a, z: SJ.flag(a, SJ.box_pairs(a, z, "alert_id", "zone_id"), "alert_id", "in_restricted_zone").select("alert_id", "in_restricted_zone"))
 query("sj_overlay_flags", "alerts buildings roads", f"SELECT alert_id, EXISTS (SELECT 1 FROM buildings b WHERE {_MEET}) AS overlaps_building, EXISTS (SELECT 1 FROM roads WHERE {DIST2} <= 36) AS overlaps_road FROM alerts a")(
-    lambda a, b, r: SJ.flag(SJ.flag(a, SJ.box_pairs(a, b, "alert_id", "bld_id"), "alert_id", "overlaps_building"), near_roads(a, r), "alert_id", "overlaps_road").select("alert_id", "overlaps_building", "overlaps_road")
+    lambda a, b, r: SJ.flag_met(SJ.flag_met(a, SJ.met(a, b), "overlaps_building"), near_roads(a, r), "overlaps_road").select("alert_id", "overlaps_building", "overlaps_road")
 )
 query("sj_count", "aoi buildings", f"SELECT a.aoi_id, count(b.bld_id) AS n FROM aoi a LEFT JOIN buildings b ON {_MEET} GROUP BY a.aoi_id")(lambda a, b: SJ.count(a, SJ.box_pairs(a, b, "aoi_id", "bld_id", cell=20000.0), "aoi_id", "n").select("aoi_id", "n"))
 @query("sj_clip", "alerts zones", f"SELECT alert_id, zone_id, greatest(a.xmin, b.xmin) AS xmin, greatest(a.ymin, b.ymin) AS ymin, least(a.xmax, b.xmax) AS xmax, least(a.ymax, b.ymax) AS ymax, round((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)), 3) AS area FROM alerts a JOIN zones b ON {_MEET}")
@@ -167,9 +168,8 @@ def change_type(zones, cover, buildings, roads):
         F.max_by("code", F.struct("n", -F.col("code"))).alias("code"),
     )
     name = F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col("code"))
-    typed = zones.select("zone_id").join(shares, "zone_id", "left").withColumn("name", name).withColumn("kind", F.expr(_CHAIN))
-    over = SJ.flag(typed, SJ.box_pairs(zones, buildings, "zone_id", "bld_id"), "zone_id", "built")
-    over = SJ.flag(over, near_roads(zones, roads, "zone_id"), "zone_id", "near_road")
+    typed = zones.join(shares, "zone_id", "left").withColumn("name", name).withColumn("kind", F.expr(_CHAIN))
+    over = SJ.flag_met(SJ.flag_met(typed, SJ.met(zones, buildings), "built"), near_roads(zones, roads), "near_road")
     kind = F.when(F.col("built") | (F.col("f_built") >= 0.30), "building/impervious change").when(F.col("near_road"), "road/linear development").otherwise(F.col("kind"))
     return over.select("zone_id", kind.alias("change_type"))
 
