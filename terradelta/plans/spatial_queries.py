@@ -118,8 +118,9 @@ _ZH = _PIX.format(t="land_cover") + ", h AS (SELECT zone_id, code, count(*) AS n
 
 def zone_classes(zones, cover):
     """(zone_id, code, n) of the pixels with data in each polygon."""
-    per = PG.zonal(zone_polygons(zones), cover.where("code <> 0"), scenes(cover), "zone_id", ["scene_id"], {"n": F.lit(1)}, ["code"])
-    return per.groupBy("zone_id", "code").agg(F.sum("n").alias("n"))
+    members, shapes = PG.shapes(zone_polygons(zones), "zone_id")
+    counts = PG.zonal(shapes, cover.where("code <> 0"), scenes(cover), "_shape", ["scene_id"], {"n": F.lit(1)}, ["code"], stacked=True)
+    return members.join(counts, "_shape").select("zone_id", "code", "n")
 
 
 query("zonal_hist", "zones land_cover", _ZH + "SELECT zone_id, '{' || string_agg('\"' || code || '\":' || n, ',' ORDER BY code) || '}' AS hist FROM h GROUP BY zone_id")(

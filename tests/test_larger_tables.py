@@ -1,9 +1,12 @@
 """What shows on larger tables only: groups beyond a task, equal shapes, equal grids, many tiles."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from terradelta.functions import geometry as G
 from terradelta.operators import alerts as AL
+from terradelta.operators import polygons as PG
 from terradelta.operators import spatial as SJ
 
 
@@ -46,3 +49,57 @@ def test_equal_boxes_are_searched_once_and_make_no_pairs(spark):
     assert SJ.met(a, b).count() == 2 and SJ.met(a, b.limit(0)).count() == 0
     plan = SJ.met(a, b)._jdf.queryExecution().toString()
     assert "LeftSemi" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+SHAPE = "array<array<struct<x:double,y:double>>>"
+GRID = "scene long, x0 double, y1 double, res double, height int, width int"
+
+
+def _world(spark, copies=5, scenes=7, n=300):
+    """Polygons of few shapes, scenes on two grids that reach beyond a region of pixels, and what brute force finds."""
+    rng = random.Random(8)
+    ring = lambda x, y, w: [(x, y), (x + w, y + 0.1 * w), (x + 0.9 * w, y + w), (x + 0.5 * w, y + 0.45 * w), (x + 0.05 * w, y + 0.9 * w)]
+    own = [[ring(3.3, 5.7, 60.0)], [ring(200.2, 240.4, 90.0), ring(10.1, 10.2, 5.0)], [ring(100.3, 250.9, 8.0)]]
+    polygons = [(k, [[{"x": x, "y": y} for x, y in r] for r in own[k % 3]]) for k in range(3 * copies)]
+    grids = [(s, 0.0 if s % 2 else 0.5, float(n), 1.0, n, n) for s in range(scenes)]
+    pixels = {}
+    for s, *_ in grids:
+        for _ in range(4000):
+            pixels[s, rng.randrange(n), rng.randrange(n)] = (rng.randrange(10) / 8, rng.randrange(3))
+    want = {}
+    for k in range(3):
+        rings = [[*r, r[0]] for r in own[k]]
+        for (s, r, c), (v, cls) in pixels.items():
+            x, y = grids[s][1] + c + 0.5, n - r - 0.5
+            if sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for g in rings for (x1, y1), (x2, y2) in zip(g, g[1:], strict=False)) % 2:
+                want.setdefault((k, s, r, c), (v, cls))
+    px = spark.createDataFrame([(*at, *v) for at, v in pixels.items()], "scene long, r long, c long, v double, cls int")
+    return spark.createDataFrame(polygons, f"id long, rings {SHAPE}"), px, spark.createDataFrame(grids, GRID), want, 3 * copies
+
+
+def test_zonal_sums_in_blocks_of_scenes_and_spans(spark, monkeypatch):
+    polygons, px, scenes, want, n = _world(spark)
+    members, shapes = PG.shapes(polygons, "id")
+    assert shapes.count() == 3 and sorted(map(tuple, members.collect())) == [(k, k % 3) for k in range(n)]
+    runs = PG.spans(shapes, PG.grids(scenes, ["scene"])[0], "_shape", ["_grid"]).count()
+    assert runs * 3 < PG.spans(shapes, scenes, "_shape", ["scene"]).count()
+    for blocks, spans in ((16, 100_000), (2, 20)):
+        monkeypatch.setattr(PG, "SCENES", blocks)
+        monkeypatch.setattr(PG, "SPANS", spans)
+        sums = {"s": F.when(F.col("v") < 1, F.col("v")), "n": F.lit(1)}
+        for keys, stacked in ((["scene"], False), ([], True)):
+            expected = {}
+            for (k, s, _, _), (v, cls) in want.items():
+                a = expected.setdefault((k, cls) if stacked else (k, s, cls), [None, 0])
+                a[0] = (a[0] or 0.0) + v if v < 1 else a[0]
+                a[1] += 1
+            got = PG.zonal(shapes, px, scenes, "_shape", ["scene"], sums, ["cls"], stacked=stacked)
+            assert {tuple(x[c] for c in ["_shape", *keys, "cls"]): [x["s"], x["n"]] for x in got.collect()} == expected
+
+
+def test_pixels_are_burnt_once_for_a_grid(spark):
+    polygons, px, scenes, want, _ = _world(spark)
+    got = PG.burnt(px, scenes, ["scene"], {"hit": lambda g: PG.burn_grids(polygons.where("id <> 1"), g), "none": lambda g: PG.burn_grids(polygons.where("id < 0"), g)})
+    assert got.columns == [*px.columns, "hit", "none"] and got.count() == px.count()
+    assert {(x["scene"], x["r"], x["c"]) for x in got.where("hit").collect()} == {at[1:] for at in want}
+    assert got.where("none").count() == 0
