@@ -107,9 +107,10 @@ _ZM = _PIX.format(t="px") + ", m AS (SELECT zone_id, scene_id, avg(prob) AS m FR
 def zonal_mean(zones, px):
     """Mean over scenes of each scene's mean probability in a polygon, and the number of scenes."""
     sums = {"s": F.col("prob"), "n": F.lit(1)}
-    per = PG.zonal(zone_polygons(zones), px.where("NOT isnan(prob)"), scenes(px), "zone_id", ["scene_id"], sums)
-    found = per.groupBy("zone_id").agg(F.round(F.avg(F.col("s") / F.col("n")), 6).alias("mean_prob"), F.count("*").alias("hits"))
-    return zones.select("zone_id").join(found, "zone_id", "left").select("zone_id", "mean_prob", F.coalesce("hits", F.lit(0)).alias("hits"))
+    members, shapes = PG.shapes(zone_polygons(zones), "zone_id")
+    per = PG.zonal(shapes, px.where("NOT isnan(prob)"), scenes(px), "_shape", ["scene_id"], sums)
+    found = per.groupBy("_shape").agg(F.round(F.avg(F.col("s") / F.col("n")), 6).alias("mean_prob"), F.count("*").alias("hits"))
+    return zones.select("zone_id").join(members.join(found, "_shape"), "zone_id", "left").select("zone_id", "mean_prob", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 query("zonal_mean", "zones px", _ZM + "SELECT z.zone_id, round(mean_prob, 6) AS mean_prob, coalesce(hits, 0) AS hits FROM zones z LEFT JOIN zm USING (zone_id)")(zonal_mean)
