@@ -290,11 +290,10 @@ bl AS (SELECT DISTINCT scene_id, r, c FROM g JOIN buildings ON x >= xmin AND x <
 
 def burn_labels(buildings, roads, cover):
     """Buildings before roads before land cover before nothing; roads are lines."""
-    grids = scenes(cover)
-    boxes = buildings.select(F.array(G.box_ring(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")])).alias("rings"))
+    boxes = buildings.select("xmin", "ymin", "xmax", "ymax").distinct().select(F.array(G.box_ring(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")])).alias("rings"))
     key = ["scene_id", "r", "c"]
-    layer = lambda d, name: d.select(*key, F.lit(True).alias(name))
-    both = cover.join(layer(PG.burn(boxes, grids, ["scene_id"]), "building"), key, "left").join(layer(PG.burn_lines(roads, grids, ["scene_id"]), "road"), key, "left")
+    layers = {"building": lambda g: PG.burn_grids(boxes, g), "road": lambda g: PG.burn_lines(roads, g, ["_grid"])}
+    both = PG.burnt(cover, scenes(cover), ["scene_id"], layers)
     value = F.when(F.col("building"), LABELS["building"]).when(F.col("road"), LABELS["road"]).when(F.col("code").isin(*COVERED), LABELS["other"]).otherwise(LABELS["ignore"])
     return both.select(*key, value.alias("label"))
 
