@@ -1,6 +1,6 @@
 """Connected regions of pixel masks.
 
-A tile's pixels are labelled together in numpy; regions that touch across tile borders are then merged over border labels
+A tile's pixels are labelled together in numpy, several tiles in one call; regions that touch across tile borders are then merged over border labels
 only, whose number grows with tile edges, not with pixels: first by union-find among the links of a block of tiles, then by
 star contraction of what is left, which takes one round where no region leaves its block. Labels are the smallest
 r * width + c of the region.
@@ -12,36 +12,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terradelta.checkpoints import cut
 from terradelta.operators.graph import stars
+from terradelta.operators.tiles import map_tiles
 
 NEIGHBOURS = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
 
 
-def _label_tile(rows: pd.DataFrame, width: int, conn: int) -> np.ndarray:
-    """Smallest r * width + c that each pixel reaches within these rows."""
-    r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
-    r0, c0 = r.min() - 1, c.min() - 1
-    none = np.iinfo(np.int64).max
-    grid = np.full((r.max() - r0 + 2, c.max() - c0 + 2), none, np.int64)
-    at = (r - r0, c - c0)
-    grid[at] = r * width + c
-    mask = grid < none
-    steps = [(a * s, b * s) for a, b in NEIGHBOURS[conn] for s in (1, -1)]
+def _labels(r: np.ndarray, c: np.ndarray, group: np.ndarray, tile: int, width: int, conn: int) -> np.ndarray:
+    """Smallest r * width + c that each pixel reaches within its tile; group: the tiles' numbers."""
+    at = (group * (tile + 1) + r % tile) * (tile + 1) + c % tile  # a free row and column apart
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    a, b = [], []
+    for dr, dc in NEIGHBOURS[conn]:
+        to = at + dr * (tile + 1) + dc
+        k = np.minimum(np.searchsorted(at, to), len(at) - 1)
+        hit = np.flatnonzero(at[k] == to)
+        a.append(hit)
+        b.append(k[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    low = np.arange(len(at))
     while True:
-        low = grid.copy()
-        for a, b in steps:
-            np.minimum(low[1:-1, 1:-1], grid[1 + a : grid.shape[0] - 1 + a, 1 + b : grid.shape[1] - 1 + b], out=low[1:-1, 1:-1])
-        low = np.where(mask, low, none)
-        if (low == grid).all():
-            return grid[at]
-        grid = low
-
-
+        # the least of two pixels' roots becomes the other root's, and then everyone's below it
+        least, up = np.minimum(low[a], low[b]), low.copy()
+        np.minimum.at(up, low[a], least)
+        np.minimum.at(up, low[b], least)
+        while not ((above := up[up]) == up).all():
+            up = above
+        if (up == low).all():
+            break
+        low = up
+    name = np.full(len(at), np.iinfo(np.int64).max)
+    np.minimum.at(name, low, (r * width + c)[order])
+    out = np.empty(len(at), np.int64)
+    out[order] = name[low]
+    return out
+
+
+#: Side of a tile, whose pixels are labelled in one task, and merged labels that are sent to all tasks.
+TILE, SENT = 256, 100_000
 #: Tile rows whose links are contracted together; their number is bounded by the scene's width.
 BLOCK_TILES = 8
 
@@ -72,12 +87,16 @@ def _forest(names: list[str]):
     return run
 
 
-def components(mask: DataFrame, keys: list[str], width: int, conn: int = 4, tile: int = 32) -> DataFrame:
+def components(mask: DataFrame, keys: list[str], width: int, conn: int = 4, tile: int = TILE) -> DataFrame:
     """keys, r, c, label of the pixels of a mask; mask has a row for each pixel that is set."""
     px = mask.select(*keys, F.col("r").cast("long"), F.col("c").cast("long"))
-    tiles = px.withColumn("tr", F.floor(F.col("r") / tile)).withColumn("tc", F.floor(F.col("c") / tile))
-    schema = T.StructType([*tiles.schema.fields, T.StructField("local", T.LongType())])
-    local = cut(tiles.groupBy(*keys, "tr", "tc").applyInPandas(lambda p: p.assign(local=_label_tile(p, width, conn)), schema))
+    tiled = lambda d: d.withColumn("tr", F.floor(F.col("r") / tile)).withColumn("tc", F.floor(F.col("c") / tile))
+    schema = T.StructType([*px.schema.fields, T.StructField("local", T.LongType())])
+
+    def run(p: pa.Table, group: np.ndarray) -> pa.Table:
+        return p.append_column("local", pa.array(_labels(p.column("r").to_numpy(), p.column("c").to_numpy(), group, tile, width, conn)))
+
+    local = tiled(cut(map_tiles(tiled(px), [*keys, "tr", "tc"], run, schema)))
     edge = lambda v: F.pmod(F.col(v), F.lit(tile)).isin(0, tile - 1)
     border = local.where(edge("r") | edge("c"))
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in NEIGHBOURS[conn]]))
@@ -89,6 +108,7 @@ def components(mask: DataFrame, keys: list[str], width: int, conn: int = 4, tile
     node = lambda v: F.struct(*keys, F.col(v).alias("local"))
     links = near.select(node("x").alias("a"), node("y").alias("b"))
     merged = stars(links).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.local").alias("local"), F.col("b.local").alias("merged"))
+    merged = F.broadcast(merged) if merged.count() <= SENT else merged
     return local.join(merged, [*keys, "local"], "left").select(*keys, "r", "c", F.coalesce("merged", "local").alias("label"))
 
 

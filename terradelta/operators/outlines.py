@@ -1,8 +1,7 @@
-"""Outlines of labelled regions: boundary edges by counting, paths within tiles, rings by list ranking.
+"""Outlines of labelled regions: boundary edges and paths within tiles, rings by list ranking.
 
-Each pixel sends its four sides; a side that two pixels of one region share is inside it and cancels, so what is left is
-the boundary, found by one aggregation. A tile follows its own edges: rings within it are done, and paths that leave it end
-there. Each path is then a node whose successor is the path that takes over in the next tile. Pointer doubling finds the
+A tile has the pixels with a corner in it. A pixel's side is an edge if the pixel beyond it is not of its region; an edge
+starts at a corner, and that corner's tile follows it: rings within it are done, and paths that leave it end there. Each path is then a node whose successor is the path that takes over in the next tile. Pointer doubling finds the
 least path of each ring, and, with the ring cut there, each path's place in it, in a number of rounds that follows the
 logarithm of the paths of a ring. So a coastline of millions of edges is a table of bounded paths in order, not a row.
 A region lies on the left of its edges as they are followed in (x to the right, y up); so outer rings turn
@@ -11,19 +10,25 @@ counter-clockwise and holes clockwise.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terradelta.checkpoints import cut
+from terradelta.operators.tiles import map_tiles
 
 #: Sides of a pixel as (row, column) of start and direction: lower side to the right, right side up, upper side to the left, left side down.
 SIDES = [(1, 0, 0), (1, 1, 1), (0, 1, 2), (0, 0, 3)]
 STEPS = [(0, 1), (-1, 0), (0, -1), (1, 0)]
-TILE = 64
+#: The pixel beyond each side; a side's own pixel is on its left.
+BEYOND = [(1, 0), (0, 1), (-1, 0), (0, -1)]
+TILE = 256
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -41,63 +46,102 @@ def boundary(labelled: DataFrame, keys: list[str]) -> DataFrame:
     return one.where("_n = 1").select(*keys, "label", "e.*")
 
 
-def trace(edges: list[tuple[int, int, int]], inside: list[bool], conn: int = 4) -> tuple[list[tuple[list, list | None]], list[tuple[tuple, tuple]]]:
-    """(paths, links) of edges (r, c, d), of which those marked ``inside`` start in this tile and the others end in it.
-
-    A path is its inside edges in order, with None where it closes and its last edge where it leaves the tile. A link is an edge
-    from outside and the inside edge that follows it. Where two pixels meet at a corner only, a ring turns so that they
-    are apart (4 neighbours) or together (8).
-    """
-    own = {e for e, i in zip(edges, inside, strict=True) if i}
-
-    def after(e: tuple[int, int, int]) -> tuple[int, int, int] | None:
-        r, c, d = e
-        r, c = r + STEPS[d][0], c + STEPS[d][1]
-        turns = ((d + 1) % 4, d, (d + 3) % 4) if conn == 4 else ((d + 3) % 4, d, (d + 1) % 4)
-        return next(((r, c, t) for t in turns if (r, c, t) in own), None)
-
-    links = [(e, after(e)) for e, i in zip(edges, inside, strict=True) if not i]
-    paths, left = [], set(own)
-    for first in [*sorted({f for _, f in links}), *sorted(own)]:
-        if first not in left:
+def _follow(heads: list[int], own: list[int], after: list[int]) -> tuple[list[int], list[int], list[bool]]:
+    """(edges in order, path by path; the paths' sizes; whether they close) of edges each of which has one after it, or -1."""
+    seen, order, sizes, closed = bytearray(len(after)), [], [], []
+    for first in itertools.chain(heads, own):
+        if seen[first]:
             continue
-        path, at = [], first
-        while at is not None and at in left:
-            left.discard(at)
-            path.append(at)
-            at = after(at)
-        paths.append((path, path[-1] if at is None else None))
-    return paths, links
-
-
-def _corners(path: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The points where a path begins, turns and ends."""
-    r, c, d = path[-1]
-    return [path[0][:2], *[e[:2] for e, before in zip(path[1:], path, strict=False) if e[2] != before[2]], (r + STEPS[d][0], c + STEPS[d][1])]
+        at, begin = first, len(order)
+        while at >= 0 and not seen[at]:
+            seen[at] = 1
+            order.append(at)
+            at = after[at]
+        sizes.append(len(order) - begin)
+        closed.append(at >= 0)
+    return order, sizes, closed
+
+
+def _tracer(by: list[str], conn: int, tile: int):
+    """Paths and links of tiles' pixels (by, tr, tc, r, c). Where two pixels meet at a corner only, a ring turns so that they
+    are apart (4 neighbours) or together (8)."""
+
+    def run(p: pa.Table, group: np.ndarray) -> pa.Table:
+        # pixels in order of their place, with free rows and columns around each tile
+        tr, tc, r, c = (p.column(k).to_numpy() for k in ("tr", "tc", "r", "c"))
+        wide = tile + 3
+        place = (group * wide + r - tr * tile + 2) * wide + c - tc * tile + 2
+        row = np.argsort(place, kind="stable")
+        place, group, tr, tc, r, c = (v[row] for v in (place, group, tr, tc, r, c))
+        label, _ = pd.factorize(p.column("label").to_pandas())
+        label, n = label[row], len(row)
+        beside = {}  # the pixel of the same region at an offset, or -1
+        for a, b in ((0, 1), (1, 0), (1, 1), (1, -1)):
+            k = np.minimum(np.searchsorted(place, place + a * wide + b), n - 1)
+            hit = np.flatnonzero((place[k] == place + a * wide + b) & (label[k] == label))
+            ahead, back = np.full(n, -1), np.full(n, -1)
+            ahead[hit], back[k[hit]] = k[hit], hit
+            beside[a, b], beside[-a, -b] = ahead, back
+        # edges of pixel i in direction d are 4 i + d
+        i = np.arange(n)
+        edge, start_r, start_c, inside, ends, after = (np.zeros((n, 4), t) for t in (bool, np.int64, np.int64, bool, bool, np.int64))
+        for a, b, d in SIDES:
+            out, ahead = BEYOND[d], BEYOND[(d + 1) % 4]
+            edge[:, d] = beside[out] < 0
+            start_r[:, d], start_c[:, d] = r + a, c + b
+            inside[:, d] = ((r + a) // tile == tr) & ((c + b) // tile == tc)
+            ends[:, d] = ((r + a + STEPS[d][0]) // tile == tr) & ((c + b + STEPS[d][1]) // tile == tc)
+            next_, across = beside[ahead], beside[out[0] + ahead[0], out[1] + ahead[1]]
+            left, straight, right = i * 4 + (d + 1) % 4, next_ * 4 + d, across * 4 + (d + 3) % 4
+            after[:, d] = np.where(next_ < 0, left, np.where(across < 0, straight, right)) if conn == 4 else np.where(across >= 0, right, np.where(next_ >= 0, straight, left))
+        edge, start_r, start_c, inside, ends, after = (v.ravel() for v in (edge, start_r, start_c, inside, ends, after))
+        name = (start_r << 33) + start_c * 4 + np.arange(4 * n) % 4
+        whose = np.repeat(row, 4)
+        own, links = np.flatnonzero(edge & inside), np.flatnonzero(edge & ~inside & ends)
+        sort = lambda e: e[np.lexsort((name[e], label[e >> 2], group[e >> 2]))]
+        own, heads = sort(own), sort(after[links])
+        order, sizes, closed = _follow(heads.tolist(), own.tolist(), np.where(ends, after, -1).tolist())
+        order, sizes, closed = np.array(order, np.int64), np.array(sizes, np.int64), np.array(closed, bool)
+        final = np.cumsum(sizes) - 1
+        first = order[final - sizes + 1]
+        # the points where a path begins, turns and ends
+        turns = np.ones(len(order), bool)
+        turns[1:] = order[1:] % 4 != order[:-1] % 4
+        turns[final - sizes + 1] = True
+        path = np.repeat(np.arange(len(sizes)), sizes)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(path[turns], minlength=len(sizes)) + 1)])
+        last, kept = order[final], order[turns]
+        points = [np.empty(offsets[-1], np.int64) for _ in range(2)]
+        step = np.array(STEPS)
+        for k, start in enumerate((start_r, start_c)):
+            points[k][np.arange(len(kept)) + path[turns]] = start[kept]
+            points[k][offsets[1:] - 1] = start[last] + step[last % 4, k]
+        no = len(links)
+        pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([offsets, np.full(no, offsets[-1])]), pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in points], ["r", "c"]), mask=pa.array(np.arange(len(sizes) + no) >= len(sizes)))
+        rows = p.select(by).take(pa.array(np.concatenate([whose[first], whose[links]])))
+        found = {
+            "first": pa.array(np.concatenate([name[first], name[after[links]]])),
+            "last": pa.array(np.concatenate([name[last], name[links]]), mask=np.concatenate([closed, np.zeros(no, bool)])),
+            "link": pa.array(np.arange(len(sizes) + no) >= len(sizes)),
+            "points": pieces,
+        }
+        for k, v in found.items():
+            rows = rows.append_column(k, v)
+        return rows
+
+    return run
 
 
 def paths(labelled: DataFrame, keys: list[str], conn: int = 4, tile: int = TILE) -> DataFrame:
     """keys, label, ring, pos, points: pieces of rings, in order of pos within a ring; each piece begins where the one before
     it ends, and the last ends where the first begins. points: array of (r, c). A ring is named by its least piece."""
     by = [*keys, "label"]
-    edge = F.col("r") * F.lit(1 << 33) + F.col("c") * 4 + F.col("d")
-    step = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in STEPS]), F.col("d") + 1)
-    place = lambda r, c: F.struct(F.floor(r / tile).alias("tr"), F.floor(c / tile).alias("tc"))
-    ends = boundary(labelled, keys).withColumn("_from", place(F.col("r"), F.col("c"))).withColumn("_to", place(F.col("r") + step(0), F.col("c") + step(1)))
-    dealt = ends.withColumn("_at", F.explode(F.array_distinct(F.array("_from", "_to")))).select(*by, "_at.tr", "_at.tc", edge.alias("edge"), "r", "c", "d", (F.col("_at") == F.col("_from")).alias("inside"))
+    both = lambda v: F.array_distinct(F.array(F.floor(F.col(v) / tile), F.floor((F.col(v) + 1) / tile)))
+    px = labelled.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    dealt = px.withColumn("tr", F.explode(both("r"))).withColumn("tc", F.explode(both("c")))
     fields = {f.name: f for f in dealt.schema.fields}
     schema = T.StructType([fields[k] for k in by]).add("first", T.LongType()).add("last", T.LongType()).add("link", T.BooleanType()).add("points", T._parse_datatype_string("array<struct<r:long,c:long>>"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        own = list(zip(p["r"].tolist(), p["c"].tolist(), p["d"].tolist(), strict=True))
-        name = lambda e: (e[0] << 33) + e[1] * 4 + e[2]
-        found, links = trace(own, p["inside"].tolist(), conn)
-        rows = [(name(path[0]), None if last is None else name(last), False, [{"r": r, "c": c} for r, c in _corners(path)]) for path, last in found]
-        rows += [(name(f), name(e), True, None) for e, f in links]
-        out = pd.DataFrame(rows, columns=["first", "last", "link", "points"]).astype({"first": "Int64", "last": "Int64"})
-        return out.assign(**{k: p[k].iloc[0] for k in by})[[*by, "first", "last", "link", "points"]]
-
-    traced = cut(dealt.groupBy(*by, "tr", "tc").applyInPandas(run, schema))
+    traced = cut(map_tiles(dealt, [*keys, "tr", "tc"], _tracer(by, conn, tile), schema))
     closed = traced.where("NOT link AND last IS NULL").select(*by, F.col("first").alias("ring"), F.lit(0).cast("long").alias("pos"), "points")
     links = traced.where("link").select(*by, "last", F.col("first").alias("next"))
     open_ = traced.where("NOT link AND last IS NOT NULL").join(links, [*by, "last"]).select(*by, "first", "next", "points")

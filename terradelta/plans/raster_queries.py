@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from terradelta.checkpoints import shared_folder
+from terradelta.checkpoints import cut, shared_folder
 from terradelta.functions import geometry as G
 from terradelta.operators import component_tree as CT
 from terradelta.operators import components as CC
@@ -323,9 +323,10 @@ def _edges_sql(keys: str) -> str:
 
 def outlined(labelled, keys, least=1, conn=4):
     """Regions of enough pixels with the area and length of their outlines; holes turn the other way and count as less."""
-    big = CC.remove_small(labelled, keys, least).drop("n")
+    found = cut(CC.regions(labelled, keys).where(F.col("n") >= least))
+    big = labelled.join(found.select(*keys, "label"), [*keys, "label"], "left_semi")
     measured = OL.measures(OL.paths(big, keys, conn), keys, AFFINE)
-    return CC.regions(big, keys).join(measured, [*keys, "label"]).withColumn("area_m2", F.round("area", 3)).withColumn("perimeter_m", F.round("perimeter", 3))
+    return found.join(measured, [*keys, "label"]).withColumn("area_m2", F.round("area", 3)).withColumn("perimeter_m", F.round("perimeter", 3))
 
 
 query("polygonize", "px", _CC + _edges_sql("scene_id") + "SELECT scene_id, label, count(*) * 100.0::DOUBLE AS area_m2, any_value(edges) * 10.0::DOUBLE AS perimeter_m, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, round(avg(c), 6) AS cx, round(avg(r), 6) AS cy FROM cc JOIN ed USING (scene_id, label) GROUP BY scene_id, label HAVING count(*) >= 3")(

@@ -2,12 +2,16 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from terradelta.functions import geometry as G
 from terradelta.operators import alerts as AL
+from terradelta.operators import components as CC
+from terradelta.operators import outlines as OL
 from terradelta.operators import polygons as PG
 from terradelta.operators import spatial as SJ
+from terradelta.operators import tiles
 
 
 def test_figures_of_a_group_beyond_a_task(spark, monkeypatch):
@@ -103,3 +107,57 @@ def test_pixels_are_burnt_once_for_a_grid(spark):
     assert got.columns == [*px.columns, "hit", "none"] and got.count() == px.count()
     assert {(x["scene"], x["r"], x["c"]) for x in got.where("hit").collect()} == {at[1:] for at in want}
     assert got.where("none").count() == 0
+
+
+@pytest.mark.parametrize("conn", [4, 8])
+def test_many_tiles_share_a_call_and_rings_cross_them(spark, conn):
+    rng = random.Random(conn)
+    n = 45
+    scenes = {s: {(r, c) for r in range(n) for c in range(n) if rng.random() < 0.45 + 0.1 * s} for s in (1, 2)}
+    mask = spark.createDataFrame([(s, r, c) for s, own in scenes.items() for r, c in own], "s long, r long, c long")
+    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if conn == 8 else [])
+    want = {}
+    for s, own in scenes.items():
+        left = set(own)
+        while left:
+            stack = [min(left)]
+            region = {stack[0]}
+            while stack:
+                r, c = stack.pop()
+                for a, b in steps:
+                    if (r + a, c + b) in left and (r + a, c + b) not in region:
+                        region.add((r + a, c + b))
+                        stack.append((r + a, c + b))
+            left -= region
+            want[s, min(r * 64 + c for r, c in region)] = region
+    for tile, batch in ((7, 10000), (7, 5), (64, 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            labelled = CC.components(mask, ["s"], 64, conn, tile=tile).cache()
+            got = {}
+            for x in labelled.collect():
+                got.setdefault((x["s"], x["label"]), set()).add((x["r"], x["c"]))
+            assert got == want
+            pieces = OL.paths(labelled, ["s"], conn, tile=tile)
+            measured = OL.measures(pieces, ["s"]).collect()
+            assert {(x["s"], x["label"]): x["area"] for x in measured} == {k: float(len(v)) for k, v in want.items()}
+            sides = {k: sum((r + a, c + b) not in v for r, c in v for a, b in steps[:4]) for k, v in want.items()}
+            assert {(x["s"], x["label"]): x["perimeter"] for x in measured} == sides
+            rings = {}
+            for x in pieces.collect():
+                rings.setdefault((x["s"], x["label"], x["ring"]), []).append((x["pos"], [tuple(p) for p in x["points"]]))
+            for own in rings.values():
+                own = [p for _, p in sorted(own)]
+                assert all(a[-1] == b[0] for a, b in zip(own, [*own[1:], own[0]], strict=True))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # a call for each tile would be as many calls as tiles
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(p, group):
+        calls.add(1)
+        return p
+
+    small = spark.range(900).selectExpr("id div 3 AS k", "id % 3 AS r")
+    assert tiles.map_tiles(small, ["k"], run, small.schema).count() == 900
+    assert calls.value <= 16
